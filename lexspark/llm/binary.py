@@ -32,7 +32,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch, utf8
+from .common import map_arrow, scratch, span_hashes, utf8
 from .tokens import read_tokenizer
 
 MAGIC = b"LXR1"
@@ -42,8 +42,9 @@ TAIL = 5
 #: Bytes of text for one shard.
 SHARD_BYTES = 24 << 20
 #: Stretches that a worker's memo of ids holds before it starts anew.
-MEMO = 400_000
-MEMO_BYTES = 48
+MEMO = 1_000_000
+#: Bytes of text that are cut at once.
+FAST_BYTES = 4 << 20
 END_ID = 0
 
 
@@ -75,8 +76,11 @@ def frames(data: bytes):
 
 
 #: What the fast way can't cut: white space beyond ASCII (and the separators
-#: that libraries may treat as such), special strings.
-ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+#: that libraries may treat as such).
+ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Space, line feed, or the mark of a text's start.
+_CUT = np.zeros(256, bool)
+_CUT[[0, 10, 32]] = True
 
 
 class Encoder:
@@ -84,8 +88,9 @@ class Encoder:
 
     A byte-level vocabulary with the usual pattern never joins what a single
     space or line feed between two other characters starts with what precedes
-    it, so such stretches are encoded once by the library and kept; all other
-    texts go to the library whole."""
+    it. Such stretches are found by array operations over many texts at once,
+    named by a 64-bit hash, encoded once by the library and kept in a memo of
+    bounded size; all other texts go to the library whole."""
 
     def __init__(self, data: bytes):
         import os
@@ -99,85 +104,100 @@ class Encoder:
         self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocab.values()) < 1 << 16 else 4
-        size = max(vocab.values()) + 1
-        self.bytes_of = np.zeros(size, np.int64)
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
         known = set(byte_symbols())
         for token, i in vocab.items():
             self.bytes_of[i] = len(token) if known.issuperset(token) else len(token.encode())
-        self.at: dict[bytes, int] = {}
-        self.heads: dict[bytes, np.ndarray] = {}
         self.fresh()
 
     def fresh(self) -> None:
-        self.at.clear()
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.start = np.zeros(MEMO + 1, np.int64)
-        self.size = np.zeros(MEMO + 1, np.int32)
-        self.n = self.used = 0
-
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.lib.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def opening(self, word: bytes) -> np.ndarray:
-        """ids of a text's first word, which no space precedes."""
-        ids = self.heads.get(word)
-        if ids is None:
-            ids = self.whole(word.decode())
-            if len(word) <= MEMO_BYTES:
-                if len(self.heads) >= MEMO // 8:
-                    self.heads.clear()
-                self.heads[word] = ids
-        return ids
+        self.keys = np.zeros(0, np.uint64)
+        self.start = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int32)
+        self.flat = np.zeros(0, np.uint16 if self.width == 2 else np.uint32)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def simple(self, raw: bytes) -> bool:
         if b"  " in raw or b"\n " in raw or b" \n" in raw or b"\n\n\n" in raw or b"\t" in raw or b"\r" in raw or b"\x0b" in raw or b"\x0c" in raw:
             return False
-        if raw[:1] in b" \n" or raw[-1:] in b" \n" or any(s in raw for s in self.special):
+        if not raw or raw[:1] in b" \n" or raw[-1:] in b" \n" or any(s in raw for s in self.special):
             return False
-        return raw.isascii() and not any(c in raw for c in (b"\x1c", b"\x1d", b"\x1e", b"\x1f")) or ODD.search(raw.decode("utf-8", "replace")) is None
-
-    def learn(self, parts: list[bytes]) -> None:
-        """Encode parts by the library in one go, as words of one text."""
-        pieces = [p if p[:1] == b"\n" else b" " + p for p in parts]
-        ids = self.whole(b"".join(pieces).decode())
-        ends = np.cumsum(self.bytes_of[ids])
-        cuts = np.searchsorted(ends, np.cumsum([len(p) for p in pieces])) + 1
-        starts = np.concatenate(([0], cuts[:-1]))
-        if len(self.flat) < self.used + len(ids):
-            self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)))
-        self.flat[self.used : self.used + len(ids)] = ids
-        n = self.n
-        self.start[n : n + len(parts)] = starts + self.used
-        self.size[n : n + len(parts)] = cuts - starts
-        self.at.update(zip(parts, range(n, n + len(parts))))
-        self.n, self.used = n + len(parts), self.used + len(ids)
-
-    def ids(self, raw: bytes) -> np.ndarray:
-        if not raw:
-            return np.zeros(0, np.uint32)
-        if not self.simple(raw):
-            return self.whole(raw.decode("utf-8", "replace"))
-        first, *parts = raw.replace(b"\n", b" \n").split(b" ")
-        head = self.opening(first)
-        if not parts:
-            return head
-        found = list(map(self.at.get, parts))
-        if None in found:
-            new = list(dict.fromkeys(p for p, x in zip(parts, found) if x is None))
-            if max(map(len, new)) > MEMO_BYTES * 64 or len(new) > MEMO:
-                return self.whole(raw.decode("utf-8", "replace"))
-            if self.n + len(new) > MEMO:
+        if raw.isascii():
+            return not any(c in raw for c in (b"\x00", b"\x1c", b"\x1d", b"\x1e", b"\x1f"))
+        return ODD.search(raw.decode("utf-8", "replace")) is None
+
+    def learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> None:
+        """Encode units raw[start:end], each a cut and what follows it, and
+        keep their ids."""
+        data = np.frombuffer(raw, np.uint8)
+        size = np.zeros(len(keys), np.int64)
+        start, flat, used = np.zeros(len(keys), np.int64), [self.flat], len(self.flat)
+        alone = (data[starts] == 0) | ((data[starts] == 10) & (ends - starts == 1))
+        single = np.flatnonzero(alone)
+        for i, x in zip(single.tolist(), self.whole([raw[starts[i] : ends[i]].lstrip(b"\0").decode() for i in single])):
+            start[i], size[i] = used, len(x)
+            flat.append(np.array(x, self.flat.dtype))
+            used += len(x)
+        rest = np.flatnonzero(~alone)
+        for some in np.split(rest, range(20_000, len(rest), 20_000)):
+            if len(some):
+                # as words of one text; the tokens' lengths tell them apart
+                text = b"".join([raw[s:e] for s, e in zip(starts[some].tolist(), ends[some].tolist())])
+                found = np.array(self.whole([text.decode()])[0], self.flat.dtype)
+                cuts = np.searchsorted(np.cumsum(self.bytes_of[found]), np.cumsum(ends[some] - starts[some])) + 1
+                size[some] = np.diff(cuts, prepend=0)
+                start[some] = used + cuts - size[some]
+                flat.append(found)
+                used += len(found)
+        self.flat = np.concatenate(flat)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.size = np.insert(self.keys, at, keys), np.insert(self.start, at, start), np.insert(self.size, at, size)
+
+    def fast(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw = b"\0" + b"\0".join(texts)
+        data = np.frombuffer(raw, np.uint8)
+        starts = np.flatnonzero(_CUT[data])
+        ends = np.append(starts[1:], len(data))
+        keys, first, at = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(keys) > MEMO:
+            half = len(texts) // 2
+            return self.fast(texts[:half]) + self.fast(texts[half:]) if half else [np.array(self.whole([texts[0].decode()])[0], self.flat.dtype)]
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        if not known.all():
+            if len(self.keys) + np.count_nonzero(~known) > MEMO:
                 self.fresh()
-                new = list(dict.fromkeys(parts))
-                if len(new) > MEMO:
-                    return self.whole(raw.decode("utf-8", "replace"))
-            self.learn(new)
-            found = list(map(self.at.get, parts))
-        at = np.array(found)
-        size, start = self.size[at], self.start[at]
-        ends = np.cumsum(size)
-        index = np.arange(ends[-1]) + np.repeat(start - (ends - size), size)
-        return np.concatenate((head, self.flat[index]))
+                known[:] = False
+            new = first[~known]
+            self.learn(raw, starts[new], ends[new], keys[~known])
+            place = np.searchsorted(self.keys, keys)
+        start, size = self.start[place][at], self.size[place][at]
+        upto = np.cumsum(size)
+        out = self.flat[np.arange(upto[-1]) + np.repeat(start - (upto - size), size)]
+        last = np.flatnonzero(data[starts] == 0)[1:]
+        return np.split(out, upto[last - 1])
+
+    def ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        out: list = [None] * len(texts)
+        quick, held = [], 0
+        for i, t in enumerate(texts):
+            if not self.simple(t):
+                out[i] = np.array(self.whole([t.decode("utf-8", "replace")])[0] if t else [], self.flat.dtype)
+                continue
+            quick.append(i)
+            held += len(t)
+            if held >= FAST_BYTES:
+                for j, x in zip(quick, self.fast([texts[j] for j in quick])):
+                    out[j] = x
+                quick, held = [], 0
+        if quick:
+            for j, x in zip(quick, self.fast([texts[j] for j in quick])):
+                out[j] = x
+        return out
 
 
 _encoders: dict[int, Encoder] = {}
@@ -205,8 +225,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
         end = np.array([end_id], np.uint32)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            out = [frame(i, np.concatenate((own.ids(t or b""), end)), own.width)[:-1] for i, t in zip(ids, utf8(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            found = own.ids([t or b"" for t in utf8(batch.column("text"))])
+            out = pa.array((frame(i, np.concatenate((x, end)), own.width)[:-1] for i, x in zip(ids, found)), pa.binary())
+            yield pa.RecordBatch.from_arrays([out], names=["value"])
 
     ordered = rows.repartitionByRange(int(count), "doc_id").sortWithinPartitions("doc_id")
     map_arrow(ordered, encode, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(path)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,3 +102,43 @@ def chunks(items: Iterable, size: int) -> Iterator[list]:
             block = []
     if block:
         yield block
+
+
+_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_POWERS = np.ones(1, np.uint64)
+_SPACE = np.ones(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = False
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that scatters them."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(n: int) -> np.ndarray:
+    """The first n powers of an odd multiplier, modulo 2^64."""
+    global _POWERS
+    if len(_POWERS) < n:
+        factors = np.full(max(n, 64), 0x9E3779B97F4A7C15, np.uint64)
+        factors[0] = 1
+        _POWERS = np.cumprod(factors, dtype=np.uint64)
+    return _POWERS[:n]
+
+
+def word_spans(data: np.ndarray, inside: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of bytes whose table entry is true."""
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside[data], [False])).view(np.int8)))
+    return edge[::2], edge[1::2]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for each span; spans don't overlap."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    own = data[place + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)
+    return mix(np.add.reduceat(own * powers(int(sizes.max()))[place], first) + sizes.astype(np.uint64) * _MIX2)
