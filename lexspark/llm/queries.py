@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, decontam, langid, licenses, mixing, ngramjoin, quality, tokens, toxicity
+from . import binary, decontam, langid, licenses, lm, mixing, ngramjoin, quality, tokens, toxicity
 from .common import read
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,6 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_token_counts, op4_language_id, op5_toxicity, op6_quality_rules, op7_license_scan, op8_token_binary, op9_decontamination, op10_ngram_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_token_counts, op3_lm_score, op4_language_id, op5_toxicity, op6_quality_rules, op7_license_scan, op8_token_binary, op9_decontamination, op10_ngram_jaccard)}
 
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.SQL}
