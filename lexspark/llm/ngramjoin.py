@@ -43,53 +43,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, stored, utf8
+from .common import cut, map_arrow, mix, span_hashes, stored, utf8, word_spans
 
 WORDS = 5
 #: A bucket of at most so many sets yields all its pairs.
 COLD = 24
 #: Signature rows for one partition.
 ROWS = 2_000_000
-MEMO = 300_000
+#: Sets, and shingles, of a group that is verified in one place.
+TOGETHER = 64
+TOGETHER_SHINGLES = 1_000_000
 #: Rows of two numbers up to which a checked table is broadcast.
 MOST_BROADCAST = 1_000_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-_memo: dict[bytes, int] = {}
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that scatters them."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hash(word: bytes) -> int:
-    h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    if len(_memo) >= MEMO:
-        _memo.clear()
-    _memo[word] = h
-    return h
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    get = _memo.get
-    hashes = np.array([get(w) or word_hash(w) for w in words], np.uint64)
-    if len(words) < WORDS:
-        x = np.uint64(len(words))
-        for h in hashes:
-            x = mix(np.array([x]) * _MULT[0] + h)[0]
-        return np.array([x], np.uint64)
-    n = len(words) - WORDS + 1
+    data = np.frombuffer((text or b"").lower(), np.uint8)
+    hashes = span_hashes(data, *word_spans(data))
+    if not len(hashes):
+        return hashes
+    n = max(len(hashes) - WORDS + 1, 1)
     x = hashes[:n] * _MULT[0]
-    for i in range(1, WORDS):
+    for i in range(1, min(WORDS, len(hashes))):
         x = mix(x) + hashes[i : n + i] * _MULT[i]
-    return np.unique(mix(x))
+    return np.unique(mix(x + np.uint64(min(WORDS, len(hashes)))))
 
 
 def fingerprint(own: np.ndarray) -> int:
@@ -124,6 +104,16 @@ def differences(n: int, band: int) -> int:
     return (n + min(4 * n // 3, (2 << band) - 1)) // 7
 
 
+def part_of(own: np.ndarray, parts: int) -> np.ndarray:
+    return ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def filled(own: np.ndarray, band: int) -> int:
+    """Parts that hold something."""
+    parts = parts_of(band)
+    return 1 + int(np.count_nonzero(np.diff(part_of(own, parts)))) if parts else len(own)
+
+
 def signatures(own: np.ndarray, fine: frozenset[int] = frozenset()) -> list[tuple[int, np.ndarray, int]]:
     """For each of the set's bands: the band, its signatures, and how many of
     them may be left out without losing a link (negative: too few)."""
@@ -134,7 +124,7 @@ def signatures(own: np.ndarray, fine: frozenset[int] = frozenset()) -> list[tupl
         if parts == 0:
             sigs = mix(own ^ seed)
         else:
-            part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            part = part_of(own, parts)
             starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
             sigs = mix(np.add.reduceat(mix(own + seed), starts) ^ (part[starts] * _MULT[2] + seed))
         out.append((band, sigs, len(sigs) - differences(len(own), band) - 1))
@@ -152,7 +142,7 @@ def document_sets(docs: DataFrame) -> DataFrame:
                 own = shingle_set(text)
                 node.append(fingerprint(own))
                 n.append(len(own))
-                short.append(next((band for band, _, spare in signatures(own) if spare < 0), None) if len(own) else None)
+                short.append(next((band for band in bands_for(len(own)) if filled(own, band) <= differences(len(own), band)), None) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(short, pa.int32())], names=["doc_id", "node", "n_shingles", "short"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -188,9 +178,12 @@ def signature_rows(docs: DataFrame, fine: frozenset[int]) -> DataFrame:
     return map_arrow(docs.select(F.col("text").cast("string")), run, "sig long, node long, info long")
 
 
+MET = ["sig", "a", "info_a", "b", "info_b", "times"]
+
+
 def bucket_rows(sigs: DataFrame, partitions: int) -> DataFrame:
-    """What the buckets yield: a, b of a candidate pair with sig null, or a
-    member a of a large bucket sig with b null and its info."""
+    """What the buckets yield: a candidate pair a, b with sig null and the
+    number of buckets in which it met, or a member a of a large bucket sig."""
 
     def run(batches):
         got = [tuple(b.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "node", "info")) for b in batches]
@@ -218,21 +211,24 @@ def bucket_rows(sigs: DataFrame, partitions: int) -> DataFrame:
                 i, j = np.triu_indices(m, 1)
                 a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
                 fit = np.minimum(n[a], n[b]) * 4 >= np.maximum(n[a], n[b]) * 3
-                left.append(node[a[fit]])
-                right.append(node[b[fit]])
+                left.append(a[fit])
+                right.append(b[fit])
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
-            order = np.lexsort((b, a))
+            order = np.lexsort((info[a] & 1, info[b] & 1, node[b], node[a]))
             a, b = a[order], b[order]
             fresh = np.ones(len(a), bool)
-            fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            a, b = a[fresh], b[fresh]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["sig", "a", "b", "info"])
+            fresh[1:] = (node[a[1:]] != node[a[:-1]]) | (node[b[1:]] != node[b[:-1]]) | (info[a[1:]] != info[a[:-1]]) | (info[b[1:]] != info[b[:-1]])
+            at = np.flatnonzero(fresh)
+            times = np.diff(np.append(at, len(a)))
+            a, b = a[at], b[at]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(node[a]), pa.array(info[a]), pa.array(node[b]), pa.array(info[b]), pa.array(times)], names=MET)
         large = np.repeat(size > COLD, size)
         if large.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[large]), pa.array(node[large]), pa.nulls(int(large.sum()), pa.int64()), pa.array(info[large])], names=["sig", "a", "b", "info"])
+            none = pa.nulls(int(large.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(sig[large]), pa.array(node[large]), pa.array(info[large]), none, none, none], names=MET)
 
-    return map_arrow(sigs.repartition(partitions, "sig"), run, "sig long, a long, b long, info long")
+    return map_arrow(sigs.repartition(partitions, "sig"), run, ", ".join(f"{c} long" for c in MET))
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -253,7 +249,13 @@ def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
             own = [shingle_set(t) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "shingles"])
 
-    return map_arrow(some, run, "node long, shingles binary").dropDuplicates(["node"])
+    return map_arrow(some, run, "node long, shingles binary")
+
+
+def links_between(x: bytes, y: bytes) -> bool:
+    r, s = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(r, s, assume_unique=True))
+    return 100 * both >= 75 * (len(r) + len(s) - both)
 
 
 def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -261,11 +263,7 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                r, s = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(r, s, assume_unique=True))
-                keep.append(100 * both >= 75 * (len(r) + len(s) - both))
+            keep = [links_between(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -273,6 +271,32 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
+def verified_together(pairs: DataFrame, own: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets link, for groups (node, root) that are small
+    enough to meet in one task: each set is sent once."""
+    a = pairs.join(roots, F.col("a") == F.col("node")).select("root", "a", "b", F.lit(None).cast("binary").alias("shingles"))
+    sets = own.join(roots, "node").select("root", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    # a group's sets come before its pairs
+    rows = sets.union(a).repartition("root").sortWithinPartitions("root", F.col("b").isNotNull())
+
+    def run(batches):
+        root, held = None, {}
+        for batch in batches:
+            left, right = [], []
+            for r, x, y, shingles in zip(*(batch.column(c) for c in ("root", "a", "b", "shingles"))):
+                if (r := r.as_py()) != root:
+                    root, held = r, {}
+                x, y = x.as_py(), y.as_py()
+                if y is None:
+                    held[x] = shingles.as_py()
+                elif links_between(held[x], held[y]):
+                    left.append(x)
+                    right.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return map_arrow(rows, run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (least node reachable) of every node that has an edge."""
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -293,26 +317,63 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
+def candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs a > b that may link, and members sig, a of large buckets that may
+    have partners which they haven't met in another bucket.
+
+    Of the signatures of a set with so many to spare, one more than these must
+    be shared with each set that links with it; those in large buckets may be,
+    the others must have met."""
+    spare = lambda c: F.expr(f"({c} & 4294967295) div 2")
+    members = met.filter("sig is not null").select("sig", "a", F.col("info_a").alias("info"))
+    hidden = cut(members.groupBy("a", "info").agg(F.count(F.lit(1)).alias("hidden")))
+    open_ = hidden.filter(F.col("hidden") > spare("info")).select("a").distinct()
+    heavy = cut(members.select("sig", "a").join(small(open_), "a", "left_semi"))
+    pairs = met.filter("sig is null").groupBy("a", "info_a", "b", "info_b").agg(F.sum("times").alias("times"))
+    hidden = small(hidden)
+    for c in "ab":
+        h = hidden.select(F.col("a").alias(c), F.col("info").alias(f"info_{c}"), F.col("hidden").alias(f"hidden_{c}"))
+        pairs = pairs.join(h, [c, f"info_{c}"], "left")
+    need = lambda c: spare(f"info_{c}") + 1 - F.coalesce(f"hidden_{c}", F.lit(0))
+    pairs = pairs.filter(F.col("times") >= F.greatest(need("a"), need("b")))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), heavy
+
+
 def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Edges a, b between different sets that connect what links connect."""
     stats = sets.agg(F.sum("n_shingles").alias("n"), F.collect_set("short").alias("short")).first()
     spark = docs.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(stats.n or 0) // ROWS))
     met = stored(bucket_rows(signature_rows(docs, frozenset(stats.short)), partitions), "buckets")
-    pairs = met.filter("sig is null").select("a", "b").distinct()
-
-    # sets that may have partners which they haven't met in a cold bucket
-    members = met.filter("sig is not null").select("sig", "a", "info")
-    open_ = members.groupBy("a", "info").agg(F.count(F.lit(1)).alias("c")).filter("c > (info & 4294967295) div 2").select("a").distinct()
-    heavy = cut(members.select("sig", "a").join(small(open_), "a", "left_semi"))
+    pairs, heavy = candidates(met)
     first = small(heavy.groupBy("sig").agg(F.min("a").alias("b")))
     stars = heavy.join(first, "sig").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    ask = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).union(stars).distinct())
-    own = stored(texts_of(docs, sets, ask.select(F.col("a").alias("node")).union(ask.select("b")).distinct()), "sets")
-    links = cut(verified(ask, own))
-    if heavy.isEmpty():
+    ask = cut(pairs.union(stars).distinct())
+
+    # candidates form groups; small ones are verified each in one place
+    groups = components(ask)
+    sizes = groups.join(sets.groupBy("node").agg(F.max("n_shingles").alias("n")), "node").groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    fits = cut(groups.join(sizes, "root").select("node", "root", ((F.col("c") <= TOGETHER) & (F.col("n") <= TOGETHER_SHINGLES)).alias("fits")))
+    little, much = small(fits.filter("fits").select("node", "root")), small(fits.filter("not fits").select("node"))
+    own = texts_of(docs, sets, fits.select("node"))
+    links = cut(verified_together(ask.join(little.select(F.col("node").alias("a")), "a", "left_semi"), own, little))
+    if much.isEmpty() and heavy.isEmpty():
         return links
-    roots = small(components(links))
+
+    # large ones: each set with its least partner, then what isn't connected
+    own = stored(texts_of(docs, sets, much.select("node")), "sets")
+    ask = cut(ask.join(much.select(F.col("node").alias("a")), "a", "left_semi"))
+    one = ask.groupBy("a").agg(F.min("b").alias("b"))
+    stars = cut(stars.union(one).distinct().join(ask, ["a", "b"], "left_semi"))
+    found = cut(verified(stars, own))
+    roots = small(components(found))
+    rb = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
+    open_ = ask.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(rb, "b", "left")
+    open_ = open_.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(stars, ["a", "b"], "left_anti")
+    found = cut(found.union(verified(cut(open_), own)))
+    roots = small(components(found))
+
+    # in large buckets: sets outside the largest component with all others
     placed = heavy.join(roots, F.col("a") == F.col("node"), "left").select("sig", "a", F.coalesce("root", "a").alias("root"))
     sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
     top = small(sizes.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1"))
@@ -320,7 +381,10 @@ def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     outside = small(placed.filter("root <> top").select("sig", F.col("a").alias("b"), F.col("root").alias("rb")))
     rest = placed.join(outside, "sig").filter("root <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     more = cut(rest.join(ask, ["a", "b"], "left_anti"))
-    return links if more.isEmpty() else links.union(verified(more, own))
+    if not more.isEmpty():
+        own = texts_of(docs, sets, more.select(F.col("a").alias("node")).union(more.select("b")).distinct())
+        found = found.union(verified(more, stored(own, "sets")))
+    return links.union(found)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
