@@ -398,3 +398,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_node = joined.join(names, "root").select("node", "component_id")
     out = sets.join(of_node, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without those that have a smaller doc_id in their component; of
+    rows with one doc_id, one is kept; those with a null doc_id all are."""
+    sets = stored(document_sets(docs), "docsets")
+    roots = components(linked_sets(docs, sets))
+    # per node: its least doc_id, and the least of its component
+    least = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    joined = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    of_node = joined.join(names, "root").select("node", "component_id")
+    rows = sets.join(of_node, "node", "left")
+    # few columns a row; the texts stay where they are if the ids are few
+    go = rows.filter("component_id is not null and doc_id > component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    out = docs.join(small(go.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    again = small(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id"))
+    if again.isEmpty():
+        return out
+    once = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
