@@ -1,0 +1 @@
+"""A DataFrame engine for collections of legal and administrative documents."""
