@@ -18,7 +18,8 @@ labelled rows of both kinds all scores are 0.
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_arrow, utf8
 
-FIT_ROWS = 3000
-FIT_BYTES = 12 << 20
+FIT_ROWS = 2000
+FIT_BYTES = 6 << 20
+#: Features are hash buckets.
+BUCKETS = 1 << 20
 #: A feature must be in so many of the sample's documents.
 LEAST_DOCUMENTS = 3
 EPOCHS = 30
@@ -47,15 +50,17 @@ def sentences(text: bytes) -> list[bytes]:
     return lowered.translate(SENTENCE_TABLE).split(b"\n")
 
 
-def features(word: bytes) -> list[str]:
-    """The word, its beginnings of 3 to 7 and its ends of 3 to 5 characters."""
+def features(word: bytes) -> list[int]:
+    """Buckets of the word, its beginnings of 3 to 7 and its ends of 3 to 5
+    characters."""
     w = word.decode("utf-8", "replace")
     n = len(w)
-    return [f"={w}", *(f"^{w[:k]}" for k in range(3, min(n, 8))), *(f"${w[-k:]}" for k in range(3, min(n, 6)))]
+    parts = [f"={w}", *(f"^{w[:k]}" for k in range(3, min(n, 8))), *(f"${w[-k:]}" for k in range(3, min(n, 6)))]
+    return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
         self.memo: dict[bytes, float] = {}
 
@@ -95,35 +100,47 @@ def fit(positive: list[bytes], negative: list[bytes], weight: float = 1.0) -> Mo
     be sampled more thinly. Proximal AdaGrad over the noisy-or's likelihood."""
     if not positive or not negative:
         return Model({}, START_BIAS)
-    bags = [[set(s.split()) for s in sentences(t)] for t in [*positive, *negative]]
-    frequency: Counter = Counter()
-    of_word: dict[bytes, list[str]] = {}
-    for bag in bags:
-        words = set().union(*bag)
-        for w in words:
-            if w not in of_word:
-                of_word[w] = features(w)
-        frequency.update({f for w in words for f in of_word[w]})
-    names = [f for f, n in sorted(frequency.items()) if n >= LEAST_DOCUMENTS]
-    at = {f: i for i, f in enumerate(names)}
-    known = {w: [at[f] for f in fs if f in at] for w, fs in of_word.items()}
-    del frequency, of_word
-    index, lengths, sizes = [], [], []
-    for bag in bags:
-        used = 0
-        for s in bag:
-            if s:
-                row = [i for w in s for i in known[w]]
-                index.append(np.array(row, np.int32))
-                lengths.append(len(row))
+    at: dict[bytes, int] = {}
+    word_features, word_ends = array("i"), array("i", [0])
+    words_flat, lengths, sizes = array("i"), array("i"), []
+    frequency = np.zeros(BUCKETS, np.int32)
+    for text in [*positive, *negative]:
+        used, present = 0, set()
+        for s in sentences(text):
+            own = set(s.split())
+            if own:
+                for w in own:
+                    i = at.get(w)
+                    if i is None:
+                        i = at[w] = len(at)
+                        word_features.extend(features(w))
+                        word_ends.append(len(word_features))
+                    words_flat.append(i)
+                    present.add(i)
+                lengths.append(len(own))
                 used += 1
         sizes.append(used)
-    del bags, known
+        seen = {f for i in present for f in word_features[word_ends[i] : word_ends[i + 1]]}
+        frequency[list(seen)] += 1
+    del at
+    # features of too few documents fall away; the others are numbered anew
+    number = np.full(BUCKETS, -1, np.int32)
+    names = np.flatnonzero(frequency >= LEAST_DOCUMENTS)
+    number[names] = np.arange(len(names))
+    of_feature, ends = number[np.frombuffer(word_features, np.int32)], np.frombuffer(word_ends, np.int32)
+    n_kept = np.concatenate(([0], np.cumsum(of_feature >= 0)))[ends]
+    of_feature = of_feature[of_feature >= 0]
+    # words to features, sentence by sentence
+    w = np.frombuffer(words_flat, np.int32)
+    n = np.diff(n_kept)[w]
+    upto = np.cumsum(n)
+    flat = of_feature[np.arange(upto[-1] if len(upto) else 0) + np.repeat(n_kept[w] - (upto - n), n)]
+    of_sentence = np.repeat(np.arange(len(lengths)), lengths)
+    lengths = np.bincount(of_sentence, n, len(lengths)).astype(np.int64)
+    del w, n, upto, of_sentence, word_features, words_flat
     y = np.r_[np.ones(len(positive)), np.zeros(len(negative))]
     keep = np.array(sizes) > 0
     y, sizes = y[keep], np.array(sizes)[keep]
-    flat, lengths = np.concatenate(index), np.array(lengths)
-    del index
     sentence_ends, doc_ends = np.r_[0, np.cumsum(lengths)], np.r_[0, np.cumsum(sizes)]
     w, g2 = np.zeros(len(names)), np.full(len(names), 1e-6)
     bias, b2 = START_BIAS, 1e-6
@@ -150,7 +167,7 @@ def fit(positive: list[bytes], negative: list[bytes], weight: float = 1.0) -> Mo
             gb = gz.sum()
             b2 += gb * gb
             bias = min(bias - RATE / np.sqrt(b2) * gb, -4.0)
-    return Model({f: float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, float(bias))
+    return Model({int(f): float(x) for f, x in zip(names, w) if abs(x) > 1e-3}, float(bias))
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic: int, rows: int, most_bytes: int) -> tuple[list[bytes], int]:
