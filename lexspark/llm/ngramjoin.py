@@ -20,8 +20,9 @@ Buckets. Sets that share a signature meet in a bucket. A bucket of at most
 COLD sets yields all its pairs. A larger one yields none at first: a set with
 more than k signatures that aren't in large buckets has met all its partners.
 The others (mostly members of large groups of near copies) are compared with
-their bucket's least member; then connected components are found, and only sets
-outside the largest component of a bucket are compared with the rest of it. So
+their bucket's least member; then connected components are found, sets outside
+the largest component of a bucket are compared with one member of it, in each
+bucket another, and only those that are still outside with all the rest. So
 groups cost a multiple of their size, no link between two components is lost,
 and every pair that counts is verified on whole sets.
 
@@ -40,7 +41,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_arrow, mix, span_hashes, stored, utf8, word_spans
@@ -50,10 +51,13 @@ WORDS = 5
 COLD = 24
 #: Signature rows for one partition.
 ROWS = 2_000_000
+#: Rounds in which a set outside is compared with one member of each bucket.
+PIVOT_ROUNDS = 3
 #: Sets, and shingles, of a group that is verified in one place.
-TOGETHER = 64
-TOGETHER_SHINGLES = 1_000_000
-#: Rows of two numbers up to which a checked table is broadcast.
+TOGETHER = 8_000
+TOGETHER_SHINGLES = 2_000_000
+#: Ids up to which a checked column of them is broadcast (to leave texts where
+#: they are); beyond it, a shuffled join does the same.
 MOST_BROADCAST = 1_000_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -231,16 +235,16 @@ def bucket_rows(sigs: DataFrame, partitions: int) -> DataFrame:
     return map_arrow(sigs.repartition(partitions, "sig"), run, ", ".join(f"{c} long" for c in MET))
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, checkpointed; to be broadcast if it has few rows."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+def small(ids: DataFrame) -> DataFrame:
+    """A column of ids, checkpointed; to be broadcast if it has few rows."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
 
 def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, shingles (their hashes as bytes) of the given nodes, made anew
     from the text of one document each (all those without a doc_id)."""
-    named = sets.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    named = sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     some = texts.join(small(named.select("doc_id")), "doc_id", "left_semi").union(texts.filter("doc_id is null"))
 
@@ -271,45 +275,109 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def verified_together(pairs: DataFrame, own: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets link, for groups (node, root) that are small
-    enough to meet in one task: each set is sent once."""
-    a = pairs.join(roots, F.col("a") == F.col("node")).select("root", "a", "b", F.lit(None).cast("binary").alias("shingles"))
-    sets = own.join(roots, "node").select("root", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
-    # a group's sets come before its pairs
-    rows = sets.union(a).repartition("root").sortWithinPartitions("root", F.col("b").isNotNull())
+def joined_up(nodes, pairs) -> dict[int, int]:
+    """Least node reachable from each node by the pairs."""
+    root = {x: x for x in nodes}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        x, y = top(x), top(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return {x: top(x) for x in root}
+
+
+def solve(nodes: list[int], shingles: list[bytes]) -> list[tuple[int, int]]:
+    """(node, least node reachable by links) of a group's sets. From the least
+    node that isn't placed, sets are reached breadth first; each is compared, by
+    array operations, with all that aren't placed yet."""
+    order = sorted(range(len(nodes)), key=nodes.__getitem__)
+    own = [np.frombuffer(shingles[i], np.uint64) for i in order]
+    names = [nodes[i] for i in order]
+    size = np.array([len(x) for x in own])
+    values, flat = np.unique(np.concatenate(own), return_inverse=True)
+    ends = np.cumsum(size)
+    mark = np.zeros(len(values), np.int32)
+    left, rest, rest_flat = np.arange(len(own)), np.cumsum(size) - size, flat
+    out = []
+    while len(left):
+        root, queue = int(left[0]), [int(left[0])]
+        placed = np.zeros(len(left), bool)
+        placed[0] = True
+        while queue:
+            x = queue.pop()
+            mark[flat[ends[x] - size[x] : ends[x]]] = 1
+            shared = np.add.reduceat(mark[rest_flat], rest)
+            mark[flat[ends[x] - size[x] : ends[x]]] = 0
+            new = ~placed & (100 * shared >= 75 * (size[x] + size[left] - shared))
+            queue += left[new].tolist()
+            placed |= new
+            if placed.sum() * 2 > len(left) or not queue:
+                # leave out what is placed
+                out += [(names[i], names[root]) for i in left[placed].tolist()]
+                keep = ~placed
+                rest_flat = rest_flat[np.repeat(keep, size[left])]
+                left = left[keep]
+                rest = np.cumsum(size[left]) - size[left]
+                placed = np.zeros(len(left), bool)
+                if not len(left):
+                    break
+    return out
+
+
+def solved_together(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """node, root (least node reachable by links) of all nodes in groups (node,
+    root) that are small enough to meet in one task: each set is sent once."""
+    rows = own.join(groups, "node").select("root", "node", "shingles").repartition("root").sortWithinPartitions("root", "node")
 
     def run(batches):
-        root, held = None, {}
+        root, nodes, held, done = None, [], [], []
         for batch in batches:
-            left, right = [], []
-            for r, x, y, shingles in zip(*(batch.column(c) for c in ("root", "a", "b", "shingles"))):
-                if (r := r.as_py()) != root:
-                    root, held = r, {}
-                x, y = x.as_py(), y.as_py()
-                if y is None:
-                    held[x] = shingles.as_py()
-                elif links_between(held[x], held[y]):
-                    left.append(x)
-                    right.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            for r, node, shingles in zip(batch.column("root").to_pylist(), batch.column("node").to_pylist(), batch.column("shingles")):
+                if r != root:
+                    done += solve(nodes, held) if nodes else []
+                    root, nodes, held = r, [], []
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    held.append(shingles.as_py())
+            if len(done) > 10_000:
+                yield emit(done)
+                done = []
+        yield emit(done + (solve(nodes, held) if nodes else []))
 
-    return map_arrow(rows, run, "a long, b long")
+    def emit(rows):
+        node, top = zip(*rows) if rows else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(top, pa.int64())], names=["node", "root"])
+
+    return map_arrow(rows, run, "node long, root long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root (least node reachable) of every node that has an edge."""
+
+    def contract(batches):
+        # what meets in one task by chance is joined up there first
+        pairs = [p for b in batches for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+        found = [(x, r) for x, r in joined_up({x for p in pairs for x in p}, pairs).items() if x != r]
+        a, b = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-    edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spread = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition("b")
+    edges = cut(map_arrow(spread, contract, "a long, b long").distinct())
     now = state(edges)
     while True:
         # large star: each node's larger neighbours go to its least neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = small(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = cut(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         # small star: smaller neighbours, and the node, go to the least one
-        large = cut(large)
-        least = small(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
         linked = large.join(least, "a").filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         edges = cut(linked.union(least.select("a", F.col("m").alias("b"))).distinct())
         before, now = now, state(edges)
@@ -318,8 +386,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs a > b that may link, and members sig, a of large buckets that may
-    have partners which they haven't met in another bucket.
+    """Pairs a > b that may link, and members sig, a, needed of large buckets
+    that may have partners which they haven't met in another bucket, and whether
+    they must look for them in this one.
 
     Of the signatures of a set with so many to spare, one more than these must
     be shared with each set that links with it; those in large buckets may be,
@@ -327,10 +396,14 @@ def candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     spare = lambda c: F.expr(f"({c} & 4294967295) div 2")
     members = met.filter("sig is not null").select("sig", "a", F.col("info_a").alias("info"))
     hidden = cut(members.groupBy("a", "info").agg(F.count(F.lit(1)).alias("hidden")))
-    open_ = hidden.filter(F.col("hidden") > spare("info")).select("a").distinct()
-    heavy = cut(members.select("sig", "a").join(small(open_), "a", "left_semi"))
+    heavy_nodes = hidden.filter(F.col("hidden") > spare("info")).select("a", "info", (F.col("hidden") - spare("info")).alias("need"))
+    heavy = members.join(heavy_nodes.select("a").distinct(), "a", "left_semi").join(heavy_nodes, ["a", "info"], "left")
+    # of a set's large buckets, as many of the largest as it has signatures to
+    # spare aren't needed to meet its partners
+    size = heavy.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    place = F.row_number().over(Window.partitionBy("a", "info").orderBy("size", "sig"))
+    heavy = cut(heavy.join(size, "sig").select("sig", "a", (place <= F.coalesce("need", F.lit(0))).alias("needed")))
     pairs = met.filter("sig is null").groupBy("a", "info_a", "b", "info_b").agg(F.sum("times").alias("times"))
-    hidden = small(hidden)
     for c in "ab":
         h = hidden.select(F.col("a").alias(c), F.col("info").alias(f"info_{c}"), F.col("hidden").alias(f"hidden_{c}"))
         pairs = pairs.join(h, [c, f"info_{c}"], "left")
@@ -340,57 +413,68 @@ def candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges a, b between different sets that connect what links connect."""
+    """node, root of the sets that link with others (and of some that don't):
+    the least node reachable by links."""
     stats = sets.agg(F.sum("n_shingles").alias("n"), F.collect_set("short").alias("short")).first()
     spark = docs.sparkSession
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(stats.n or 0) // ROWS))
     met = stored(bucket_rows(signature_rows(docs, frozenset(stats.short)), partitions), "buckets")
     pairs, heavy = candidates(met)
-    first = small(heavy.groupBy("sig").agg(F.min("a").alias("b")))
+    first = heavy.groupBy("sig").agg(F.min("a").alias("b"))
     stars = heavy.join(first, "sig").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     ask = cut(pairs.union(stars).distinct())
 
-    # candidates form groups; small ones are verified each in one place
+    # candidates form groups; small ones are solved each in one place
     groups = components(ask)
-    sizes = groups.join(sets.groupBy("node").agg(F.max("n_shingles").alias("n")), "node").groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    size = sets.groupBy("node").agg(F.max("n_shingles").alias("n"))
+    sizes = groups.join(size, "node").groupBy("root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
     fits = cut(groups.join(sizes, "root").select("node", "root", ((F.col("c") <= TOGETHER) & (F.col("n") <= TOGETHER_SHINGLES)).alias("fits")))
-    little, much = small(fits.filter("fits").select("node", "root")), small(fits.filter("not fits").select("node"))
-    own = texts_of(docs, sets, fits.select("node"))
-    links = cut(verified_together(ask.join(little.select(F.col("node").alias("a")), "a", "left_semi"), own, little))
-    if much.isEmpty() and heavy.isEmpty():
-        return links
+    little, much = fits.filter("fits").select("node", "root"), fits.filter("not fits").select("node")
+    own = texts_of(docs, sets, little.select("node"))
+    roots = cut(solved_together(own, little))
+    if much.isEmpty():
+        return roots
 
     # large ones: each set with its least partner, then what isn't connected
-    own = stored(texts_of(docs, sets, much.select("node")), "sets")
+    own = stored(texts_of(docs, sets, much), "sets")
     ask = cut(ask.join(much.select(F.col("node").alias("a")), "a", "left_semi"))
-    one = ask.groupBy("a").agg(F.min("b").alias("b"))
-    stars = cut(stars.union(one).distinct().join(ask, ["a", "b"], "left_semi"))
-    found = cut(verified(stars, own))
-    roots = small(components(found))
-    rb = roots.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-    open_ = ask.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").join(rb, "b", "left")
-    open_ = open_.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(stars, ["a", "b"], "left_anti")
-    found = cut(found.union(verified(cut(open_), own)))
-    roots = small(components(found))
-
-    # in large buckets: sets outside the largest component with all others
-    placed = heavy.join(roots, F.col("a") == F.col("node"), "left").select("sig", "a", F.coalesce("root", "a").alias("root"))
-    sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"))
-    top = small(sizes.groupBy("sig").agg(F.max_by("root", F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1"))
-    placed = cut(placed.join(top, "sig"))
-    outside = small(placed.filter("root <> top").select("sig", F.col("a").alias("b"), F.col("root").alias("rb")))
-    rest = placed.join(outside, "sig").filter("root <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = cut(rest.join(ask, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        own = texts_of(docs, sets, more.select(F.col("a").alias("node")).union(more.select("b")).distinct())
-        found = found.union(verified(more, stored(own, "sets")))
-    return links.union(found)
+    tried = cut(ask.groupBy("a").agg(F.min("b").alias("b")))
+    found = cut(verified(tried, own))
+    placed = cut(components(found))
+    end = lambda c: placed.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    apart = ask.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    apart = apart.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    apart = cut(apart)
+    found = cut(found.union(verified(apart, own)))
+    placed = cut(components(found))
+
+    # in large buckets: sets outside the largest component, first with one
+    # member each of the largest component of many buckets, then with all
+    tested = tried.union(apart)
+    for rounds in range(PIVOT_ROUNDS + 1):
+        every = heavy.join(placed, F.col("a") == F.col("node"), "left").select("sig", "a", "needed", F.coalesce("root", "a").alias("root"))
+        counts = every.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max_by("a", F.xxhash64("sig", "a", F.lit(rounds))).alias("pivot"))
+        top = counts.groupBy("sig").agg(F.max_by(F.struct("root", "pivot"), F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+        every = cut(every.join(top.select("sig", F.col("t.root").alias("top"), "t.pivot"), "sig"))
+        outside = every.filter("needed and root <> top")
+        if rounds < PIVOT_ROUNDS:
+            pairs = outside.select(F.greatest("a", "pivot").alias("a"), F.least("a", "pivot").alias("b"))
+        else:
+            outside = outside.select("sig", F.col("a").alias("u"), F.col("root").alias("ru"))
+            pairs = every.select("sig", "a", "root").join(outside, "sig").filter("root <> ru").select(F.greatest("a", "u").alias("a"), F.least("a", "u").alias("b"))
+        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            continue
+        found = cut(found.union(verified(pairs, own)).distinct())
+        tested = cut(tested.union(pairs))
+        placed = cut(components(found))
+    return roots.union(placed)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     sets = stored(document_sets(docs), "docsets")
-    roots = components(linked_sets(docs, sets))
+    roots = linked_sets(docs, sets)
     # a set's documents: its least doc_id, then the least over its component
     least = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -404,7 +488,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without those that have a smaller doc_id in their component; of
     rows with one doc_id, one is kept; those with a null doc_id all are."""
     sets = stored(document_sets(docs), "docsets")
-    roots = components(linked_sets(docs, sets))
+    roots = linked_sets(docs, sets)
     # per node: its least doc_id, and the least of its component
     least = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     joined = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
