@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from lexspark.plans import queries, queries_retrieval, registry
@@ -16,7 +17,7 @@ def plain(value):
         value = value.tolist()
     if isinstance(value, (list, tuple)):
         return tuple(plain(x) for x in value)
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return None
     if isinstance(value, bool):
         return value
