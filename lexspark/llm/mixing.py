@@ -69,7 +69,8 @@ def targets(sources: DataFrame, weights=WEIGHTS, share_percent: int = SHARE_PERC
     rows = rows.withColumn("_rest", F.sum("_w").over(every) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
     level = F.when(F.col("_rest") > 0, F.col("_left") / F.col("_rest"))
     rows = rows.withColumn("_open", (F.col("_w") > 0) & (F.col("_ratio") > level)).withColumn("_level", level)
-    first = F.min(F.when(F.col("_open"), F.struct("_ratio", "_level"))).over(every)
+    place = (F.col("source").isNull().alias("_null"), F.col("source").cast("binary").alias("_name"))
+    first = F.min(F.when(F.col("_open"), F.struct("_ratio", *place, "_level"))).over(every)
     target = F.when(F.col("_w") == 0, F.lit(0.0)).when(F.col("_open"), F.col("_w") * first["_level"]).otherwise(limit.cast("double"))
     return rows.select("source", "source_size", target.alias("target"))
 
