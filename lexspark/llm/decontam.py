@@ -193,3 +193,27 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, least_hit: int = WINDOW
     """The rows of docs without a run of benchmark words."""
     found = find_benchmark(docs, bench)
     return found.filter(F.size("_runs") == 0).select(*docs.columns)
+
+
+#: DuckDB's SQL for report().
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), i AS (
+  SELECT item_id, w, least(10, len(w)) AS k, unnest(range(len(w) - least(10, len(w)) + 1)) AS s FROM b WHERE len(w) > 0
+), x AS (
+  SELECT DISTINCT item_id, k, array_to_string(w[s + 1 : s + k], ' ') AS g FROM i
+), p AS (
+  SELECT rid, w, k, unnest(range(len(w) - k + 1)) AS pos FROM d, (SELECT DISTINCT k FROM x) WHERE len(w) >= k
+), m AS (
+  SELECT rid, pos, x.k, item_id FROM (SELECT rid, pos, k, array_to_string(w[pos + 1 : pos + k], ' ') AS g FROM p) AS y JOIN x ON y.k = x.k AND y.g = x.g
+), h AS (
+  SELECT rid, count(DISTINCT pos + j) AS n_hit FROM m, (SELECT unnest(range(10)) AS j) WHERE j < k GROUP BY rid
+), n AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, cast(item_id AS VARCHAR) AS item FROM m) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN n USING (rid)
+"""

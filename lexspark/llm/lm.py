@@ -1,10 +1,10 @@
 """Language-model scores by logistic context mixing.
 
 A text is its tokens: words, then one end. A text has one of CLASSES classes,
-by its most frequent word, which costs log10(CLASSES). A token is spelled as
+by the most frequent of its short words, which costs log10(CLASSES). A token is spelled as
 bytes, ended by a space (the end is the space alone); each bit of the spelling
 is predicted by several predictors, one for each context (the class and the
-last one, two, three or four bytes of the word, and all of it so far), whose
+last one, two or three bytes of the word, and all of it so far), whose
 counts of zeros and ones stand in hash tables of SLOTS slots. The predictions
 are mixed in the logistic domain by weights that a gate selects (how often the
 longest context was seen, and which bit it is), and refined by an adaptive map
@@ -44,9 +44,9 @@ from pyspark.sql import functions as F
 
 from .common import chunks, held_out, map_arrow, mix, powers, span_hashes, stored, utf8, word_spans
 
-SLOT_BITS = 19
+SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
-ORDERS = (1, 2, 3, 4, 0)
+ORDERS = (1, 2, 3, 0)
 CLASSES = 16
 PIECES = 16
 DISCOUNT = 0.75
@@ -57,10 +57,12 @@ FIT_WORDS = 150_000
 RATE = 0.02
 GATES = 64
 BINS = 33
+#: Steps of the mixer's output for which log-probabilities are tabled.
+FINE = 1025
 #: Hash of the end of a text.
 END = 0x5EED
 #: Bytes of text that are taken at once.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
@@ -84,7 +86,7 @@ class Spelling:
         own = np.where(place == np.repeat(sizes - 1, sizes), 32, data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else 32).astype(np.uint64)
         self.bytes, self.word = own.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
         back = [np.zeros(total, np.uint64)]
-        for n in range(1, 5):
+        for n in range(1, 4):
             x = np.zeros(total, np.uint64)
             x[n:] = own[:-n] + np.uint64(1) if n < total else x[n:]
             x[place < n] = 0
@@ -105,26 +107,41 @@ class Spelling:
             yield j, (self.bytes >> (7 - j)) & 1, [((h + spread) & np.uint64(SLOTS - 1)).astype(np.int64) for h in self.contexts]
 
 
-def gather_contexts(training: DataFrame) -> np.ndarray:
-    """contexts x slots x (zeros, ones): counts over all training documents, a
-    word and class once a block."""
+def gather(training: DataFrame) -> DataFrame:
+    """What all training documents give: h (hash of a word), k (class), n, END
+    for their ends; and, with h null, pieces of the context tables, for which a
+    word and class counts once a block."""
 
-    def count(batches):
-        total = np.zeros((len(ORDERS), SLOTS * 2), np.float64)
+    def run(batches):
+        total = np.zeros((len(ORDERS), SLOTS * 2), np.uint32)
         for data, starts, ends, upto in blocks(batches):
             hashes = span_hashes(data, starts, ends)
-            classes = np.repeat(classes_of(hashes, upto), np.diff(upto, prepend=0))
-            _, first = np.unique(keyed(hashes, classes), return_index=True)
+            of_text = classes_of(hashes, ends - starts, upto)
+            classes = np.repeat(of_text, np.diff(upto, prepend=0))
+            _, first, times = np.unique(keyed(hashes, classes), return_index=True, return_counts=True)
+            k, ended = np.unique(of_text, return_counts=True)
+            h = np.append(hashes[first].view(np.int64), np.full(len(k), END))
+            yield words(h, np.append(classes[first], k), np.append(times, ended))
             for some in np.split(first, range(100_000, len(first), 100_000)):
                 if len(some):
                     spell = Spelling(data, starts[some], ends[some], classes[some])
                     for _, bit, slots in spell.bits():
-                        for k, slot in enumerate(slots):
-                            total[k] += np.bincount(slot * 2 + bit, minlength=SLOTS * 2)
+                        for c, slot in enumerate(slots):
+                            np.add.at(total[c], slot * 2 + bit, 1)
         size = SLOTS * 2 // PIECES
-        for k in range(len(ORDERS)):
-            pieces = [zlib.compress(total[k, i * size : (i + 1) * size].astype(np.uint32).tobytes(), 1) for i in range(PIECES)]
-            yield pa.RecordBatch.from_arrays([pa.array([k * PIECES + i for i in range(PIECES)], pa.int32()), pa.array(pieces, pa.binary())], names=["piece", "data"])
+        for c in range(len(ORDERS)):
+            pieces = [zlib.compress(total[c, i * size : (i + 1) * size].tobytes(), 1) for i in range(PIECES)]
+            none = pa.nulls(PIECES, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([c * PIECES + i for i in range(PIECES)], pa.int32()), pa.array(pieces, pa.binary())], names=["h", "k", "n", "piece", "data"])
+
+    def words(h, k, n):
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(k), pa.array(n), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary())], names=["h", "k", "n", "piece", "data"])
+
+    return map_arrow(training.select(F.col("text").cast("string").alias("text")), run, "h long, k long, n long, piece int, data binary")
+
+
+def contexts(gathered: DataFrame) -> np.ndarray:
+    """contexts x slots x (zeros, ones)."""
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -134,10 +151,9 @@ def gather_contexts(training: DataFrame) -> np.ndarray:
                 total[piece] = total[piece] + x if piece in total else x
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["piece", "data"])
 
-    schema = "piece int, data binary"
     out = np.zeros((len(ORDERS) * PIECES, SLOTS * 2 // PIECES), np.float32)
-    texts = training.select(F.col("text").cast("string").alias("text"))
-    for r in map_arrow(map_arrow(texts, count, schema).repartition("piece"), add, schema).toLocalIterator():
+    pieces = gathered.filter("piece is not null").select("piece", "data").repartition("piece")
+    for r in map_arrow(pieces, add, "piece int, data binary").toLocalIterator():
         out[r.piece] = np.frombuffer(r.data, np.float32)
     return out.reshape(len(ORDERS), SLOTS, 2)
 
@@ -146,20 +162,14 @@ def keyed(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return mix(hashes + mix(classes.astype(np.uint64) + np.uint64(1)))
 
 
-def classes_of(hashes: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """Class of each text, texts ending at word upto: by its most frequent
-    word, of equally frequent ones that of the least hash."""
+def classes_of(hashes: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Class of each text, texts ending at word upto: by the most frequent of
+    its short words' hash buckets."""
     n = np.diff(upto, prepend=0)
-    doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((hashes, doc))
-    d, h = doc[order], hashes[order]
-    starts = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])))) if len(d) else np.zeros(0, np.int64)
-    times = np.diff(np.append(starts, len(d)))
-    best = np.lexsort((h[starts], -times, d[starts])) if len(d) else starts
-    docs, at = np.unique(d[starts[best]], return_index=True)
-    out = np.zeros(len(n), np.int64)
-    out[docs] = (h[starts[best[at]]] >> np.uint64(60)).astype(np.int64) % CLASSES
-    return out
+    short = np.flatnonzero(sizes <= 3)
+    doc = np.searchsorted(upto, short, side="right")
+    votes = np.bincount(doc * 256 + (hashes[short] >> np.uint64(56)).astype(np.int64), minlength=len(n) * 256).reshape(-1, 256)
+    return votes.argmax(1) % CLASSES
 
 
 def blocks(batches):
@@ -185,24 +195,6 @@ def block(texts: list[bytes]):
     return data, starts, ends, np.searchsorted(starts, upto)
 
 
-def count_words(training: DataFrame) -> DataFrame:
-    """h (hash of a word), k (class), c over all training documents; END for
-    their ends."""
-
-    def count(batches):
-        for data, starts, ends, upto in blocks(batches):
-            hashes = span_hashes(data, starts, ends)
-            of_text = classes_of(hashes, upto)
-            classes = np.repeat(of_text, np.diff(upto, prepend=0))
-            _, first, times = np.unique(keyed(hashes, classes), return_index=True, return_counts=True)
-            k, ended = np.unique(of_text, return_counts=True)
-            h = np.append(hashes[first].view(np.int64), np.full(len(k), END))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.append(classes[first], k)), pa.array(np.append(times, ended))], names=["h", "k", "n"])
-
-    rows = map_arrow(training.select(F.col("text").cast("string").alias("text")), count, "h long, k long, n long")
-    return rows.groupBy("h", "k").agg(F.sum("n").alias("c"))
-
-
 class Mixer:
     """Probabilities of spellings from context counts."""
 
@@ -210,6 +202,7 @@ class Mixer:
         self.counts = counts
         zeros, ones = counts[..., 0] + 0.2, counts[..., 1] + 0.2
         self.table = np.log(ones / zeros).astype(np.float32)
+        self.logs = np.zeros(0, np.float32)
         self.level = np.minimum(np.log2(counts[-1].sum(1) + 1), 7).astype(np.int8)
         self.weights = np.full((GATES, len(ORDERS)), 0.35)
         self.map = np.tile(squash(np.linspace(-8, 8, BINS)), (GATES, 1))
@@ -224,18 +217,28 @@ class Mixer:
     def refined(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return (squash(x) + self.map[gate, self.bin_of(x)]) / 2
 
+    def settle(self) -> None:
+        """Table the logs of both bits' probabilities for each gate and step."""
+        x = np.tile(np.linspace(-8, 8, FINE), GATES)
+        gate = np.repeat(np.arange(GATES), FINE)
+        p = self.refined(x, gate)
+        self.logs = np.log10(np.stack((1 - p, p), 1)).astype(np.float32).ravel()
+
     def log10(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """log10 of each word's probability."""
         if not len(starts):
             return np.zeros(0)
         spell = Spelling(data, starts, ends, classes)
-        total = np.zeros(len(spell.bytes))
+        total = np.zeros(len(spell.bytes), np.float32)
+        weights = self.weights.T.astype(np.float32)
         for j, bit, slots in spell.bits():
-            inputs = np.stack([self.table[k][s] for k, s in enumerate(slots)])
             gate = self.level[slots[-1]].astype(np.int64) * 8 + j
-            p = self.refined(self.mixed(inputs, gate), gate)
-            total += np.log10(np.where(bit == 1, p, 1 - p))
-        return np.add.reduceat(total, spell.first)
+            x = self.table[0][slots[0]] * weights[0][gate]
+            for k in range(1, len(ORDERS)):
+                x += self.table[k][slots[k]] * weights[k][gate]
+            step = np.clip(x * np.float32((FINE - 1) / 16) + np.float32((FINE - 1) / 2 + 0.5), 0, FINE - 1).astype(np.int64)
+            total += self.logs[(gate * FINE + step) * 2 + bit]
+        return np.add.reduceat(total.astype(np.float64), spell.first)
 
     def train(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> None:
         """Online over the bits of the given words, which the counts hold: each
@@ -269,13 +272,13 @@ class Mixer:
         self.map = np.clip((hits + 20 * prior) / (seen + 20), 1e-5, 1 - 1e-5)
 
 
-def learn(training: DataFrame) -> Mixer:
-    mixer = Mixer(gather_contexts(training))
+def learn(training: DataFrame, gathered: DataFrame) -> Mixer:
+    mixer = Mixer(contexts(gathered))
     some = training.select(F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("_h")).filter("text is not null").orderBy("_h").limit(FIT_ROWS)
     for texts in chunks((bytes(r.text) for r in some.toLocalIterator()), FIT_ROWS):
         data, starts, ends, upto = block(texts)
         hashes = span_hashes(data, starts, ends)
-        classes = np.repeat(classes_of(hashes, upto), np.diff(upto, prepend=0))
+        classes = np.repeat(classes_of(hashes, ends - starts, upto), np.diff(upto, prepend=0))
         _, first = np.unique(keyed(hashes, classes), return_index=True)
         order = np.random.default_rng(5).permutation(first)[:FIT_WORDS]
         mixer.train(data, starts[order], ends[order], classes[order])
@@ -314,19 +317,30 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """docs' doc_id and held_out with n_tokens, n_known, train_tokens,
     base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
-    by_class = stored(count_words(training), "words")
-    words = by_class.groupBy("h").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("cs"))
-    total, distinct = words.agg(F.sum("c"), F.count(F.lit(1))).first()
-    total = total or 0
-    common = words.orderBy(F.desc("c"), "h").limit(MOST_COMMON).collect()
-    counts = Counts(common, by_class.groupBy("k").agg(F.sum("c").alias("n")).collect(), distinct, total)
-    mixer = learn(training)
+    gathered = stored(gather(training), "gathered")
+    of_words = gathered.filter("piece is null")
+    words = stored(of_words.groupBy("h").agg(F.sum("n").alias("c")), "words")
+    # the largest count that no more than MOST_COMMON words reach, by powers of 2^(1/8)
+    level = F.floor(8 * F.log2("c"))
+    levels = words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).orderBy(F.desc("level")).collect()
+    total, distinct, reach, least = sum(r.c for r in levels), sum(r.n for r in levels), 0, None
+    for r in levels:
+        reach += r.n
+        if reach > MOST_COMMON:
+            break
+        least = r.level
+    chosen = words.filter(F.lit(False) if least is None else level >= least)
+    per_class = of_words.join(F.broadcast(chosen.select("h")), "h", "left_semi").groupBy("h", "k").agg(F.sum("n").alias("c"))
+    common = per_class.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("cs")).collect()
+    counts = Counts(common, of_words.groupBy("k").agg(F.sum("n").alias("n")).collect(), distinct, total)
+    mixer = learn(training, gathered)
     shipped = spark.sparkContext.broadcast((mixer.counts, mixer.weights, mixer.map, counts))
 
     def first(batches):
         tables, weights, table, own = shipped.value
         mixer = Mixer(tables)
         mixer.weights, mixer.map = weights, table
+        mixer.settle()
         keys, last = own.keys, max(len(own.keys) - 1, 0)
         none, every = np.zeros(0, np.uint8), np.arange(CLASSES)
         end_lm = 10.0 ** mixer.log10(none, np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), every)
@@ -339,7 +353,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             for data, starts, ends, upto in blocks([batch]):
                 docs_here, n = len(upto), np.diff(upto, prepend=0)
                 hashes = span_hashes(data, starts, ends)
-                of_text = classes_of(hashes, upto)
+                of_text = classes_of(hashes, ends - starts, upto)
                 classes = np.repeat(of_text, n)
                 _, at_first, at = np.unique(keyed(hashes, classes), return_index=True, return_inverse=True)
                 h, k = hashes[at_first].view(np.int64), classes[at_first]
@@ -375,7 +389,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     known = stored(map_arrow(rows, first, f"doc_id {kind}, held_out boolean, rid long, n_tokens long, known long, base double, mine double, n_bytes long, tail double, escape double, h array<long>, n array<int>, lm array<float>"), "scored")
     rare = known.select("rid", "tail", "escape", F.explode(F.arrays_zip("h", "n", "lm")).alias("x")).select("rid", "tail", "escape", "x.h", "x.n", "x.lm")
     c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
-    met = rare.join(by_class.groupBy("h").agg(F.sum("c").alias("c")), "h", "left").select(
+    met = rare.join(words, "h", "left").select(
         "rid", (F.col("n") * F.log10(c + 0.1)).alias("base_rare"), F.when(c > 0, F.col("n")).otherwise(0).cast("long").alias("known_rare"),
         (F.col("n") * F.log10(F.col("tail") * F.greatest(c - DISCOUNT, F.lit(0.0)) + F.col("escape") * F.pow(F.lit(10.0), F.col("lm").cast("double")))).alias("mine_rare"),
     )

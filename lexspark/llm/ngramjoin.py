@@ -503,3 +503,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return out
     once = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+#: DuckDB's SQL for near_duplicates().
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i + 1 : i + 5], ' ') FOR i IN range(len(w) - 4)]) END AS g FROM w
+), l AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM l AS a JOIN l AS b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), r AS (
+  SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), c AS (
+  SELECT a, min(b) AS m FROM r GROUP BY a
+)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM s LEFT JOIN c ON doc_id = a
+"""
