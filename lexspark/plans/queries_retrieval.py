@@ -7,7 +7,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, graph, layout, preparation, retrieval, validation
+from ..operators import evaluation, graph, layout, preparation, recovery, retrieval, validation
 from ..session import table
 from ..sources import bundle
 from .corpus import WITH_ACTS, acts
@@ -405,3 +405,54 @@ def resolved_missing(spark, d):
     return validation.resolve_missing(w, a)
 
 
+
+
+# recovery and audits
+
+
+@query("""SELECT l_orderkey AS doc_id, round(1 - coalesce(sum(length(l_returnflag || l_linestatus || cast(l_partkey AS VARCHAR))) FILTER (l_linenumber % 3 = 0), 0) * 1.0 / sum(length(l_returnflag || l_linestatus || cast(l_partkey AS VARCHAR))), 6) AS share FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_linestatus FROM lineitem) GROUP BY 1""")
+def unmapped_sweep(spark, d):
+    text = F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string"))
+    b = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus").distinct()
+    blocks = b.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 3 == 0).alias("block_id"), text.alias("text"))
+    return recovery.unmapped(blocks, blocks.filter("not block_id").select("doc_id", "block_id").distinct())[1].select("doc_id", "share")
+
+
+@query(WITH_ACTS + " SELECT k, CASE WHEN title = 'ORDIN' THEN 'cites' ELSE CASE WHEN k % 2 = 0 THEN 'promulgates' ELSE 'approves' END END AS kind FROM a2")
+def edge_kinds(spark, d):
+    said = F.when(F.col("title") == "ORDIN", "fara").when(F.col("k") % 2 == 0, "pentru promulgarea Legii privind ceva").otherwise("pentru aprobarea Ordonanței")
+    return acts(spark, d).select("k", graph.edge_kind(said).alias("kind"))
+
+
+@query("SELECT l_orderkey AS source_id, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem WHERE l_orderkey % 5 = 0) WHERE r <= 3 GROUP BY 1")
+def edge_expansion(spark, d):
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("source_id"), F.lit(False).alias("external"), F.col("l_linenumber").alias("pos"))
+    ids = e.filter("source_id % 5 = 0").select(F.col("source_id").alias("id"))
+    return graph.expand(ids, e, 3).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(WITH_ACTS + " SELECT issue_id, count(*) AS acts, count(*) FILTER (title = 'ORDIN') AS generic_titles FROM a2 GROUP BY issue_id")
+def issue_audits(spark, d):
+    a = acts(spark, d)
+    return evaluation.issue_audit(a, a.select("issue_id", "act_index")).select("issue_id", "acts", "generic_titles")
+
+
+@query(WITH_ACTS + """ SELECT k, CASE WHEN title = 'ORDIN' THEN 'privind seria ' || cast(k AS string) ELSE title END AS title FROM a2""")
+def titles_from_body(spark, d):
+    body = F.concat(F.lit("ORDIN\nprivind seria "), F.col("k").cast("string"), F.lit("\n"), F.col("full_text"))
+    return acts(spark, d).select("k", recovery.title_from_body(F.col("title"), body).alias("title"))
+
+
+@query()
+def recovered_acts(spark, d):
+    a = acts(spark, d)
+    own = a.select("issue_id", F.col("k").cast("string").alias("act_number"), "full_text", "k")
+    layer = own.groupBy("issue_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "full_text"))), lambda x: x["full_text"]), "\n").alias("text"))
+    markdown = own.filter("k % 20 <> 0").groupBy("issue_id").agg(F.array_join(F.collect_list("full_text"), "\n").alias("markdown"))
+    return recovery.recover_acts(layer, own.filter("k % 10 <> 0"), markdown).select("issue_id", "number")
+
+
+@query()
+def block_roles(spark, d):
+    lines = layout.lines(acts(spark, d).select(F.col("k").alias("doc_id"), F.col("full_text").alias("text")))
+    return recovery.classify_blocks(lines.select("doc_id", F.lit(1).alias("page_no"), F.col("line_no").alias("order"), F.col("line").alias("text")))
