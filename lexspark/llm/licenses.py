@@ -183,3 +183,40 @@ def report(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         joined(F.concat("base.label", "spans.label")).alias("labels"),
         F.greatest(F.coalesce(F.array_max("spans.containment"), F.lit(0.0)), F.when(F.size("base") > 0, F.lit(PHRASE_SCORE)).otherwise(0.0)).alias("score"),
     )
+
+
+def sql(templates=TEMPLATES, phrases=PHRASES) -> str:
+    """DuckDB's SQL for report(): every line and paragraph with every template."""
+    sets = template_sets(templates)
+    rows = ", ".join(f"({n}, '{label}', {[w.decode() for w in sorted(words)]}, {math.ceil(CONTAINED * len(words) - 1e-9)})" for n, (label, words) in enumerate(sets))
+    at = lambda own: " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(own))
+    places = " UNION ALL ".join(f"SELECT rid, i, '{label}' AS label FROM i WHERE {at(phrase.split())}" for phrase, label in phrases)
+    words = "coalesce(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), [])".format
+    return f"""
+WITH t(id, label, words, need) AS (VALUES {rows}), d AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid, {words("text")} AS w FROM documents
+), i AS (
+  SELECT rid, w, unnest(range(len(w))) AS i FROM d WHERE list_contains(w, 'license')
+), b AS ({places}), l AS (
+  SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM d
+), r AS (
+  SELECT *, regexp_matches(line, '[^\\x20\\x09-\\x0D]') AS filled, sum(CASE WHEN regexp_matches(line, '[^\\x20\\x09-\\x0D]') THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY n) AS run FROM l
+), k AS (
+  SELECT rid, line AS block FROM r WHERE filled UNION ALL SELECT rid, string_agg(line, chr(10) ORDER BY n) FROM r WHERE filled GROUP BY rid, run HAVING count(*) > 1
+), v AS (
+  SELECT rid, list_distinct({words("block")}) AS own FROM k
+), m AS (
+  SELECT rid, label, len(list_intersect(own, words)) * 1.0 / len(words) AS share FROM v, t WHERE len(own) >= need AND len(list_intersect(own, words)) >= need
+), bs AS (
+  SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM b GROUP BY rid
+), bl AS (
+  SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT rid, label FROM b) GROUP BY rid
+), al AS (
+  SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM b UNION SELECT rid, label FROM m) GROUP BY rid
+), sc AS (
+  SELECT rid, max(share) AS share FROM m GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(bl.labels, '') AS base_labels, coalesce(al.labels, '') AS labels,
+  greatest(coalesce(share, 0.0), CASE WHEN n_base > 0 THEN {PHRASE_SCORE} ELSE 0.0 END)::DOUBLE AS score
+FROM d LEFT JOIN bs USING (rid) LEFT JOIN bl USING (rid) LEFT JOIN al USING (rid) LEFT JOIN sc USING (rid)
+"""

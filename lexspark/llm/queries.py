@@ -61,4 +61,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_source_mix, op2_token_counts, op3_lm_score, op4_language_id, op5_toxicity, op6_quality_rules, op7_license_scan, op8_token_binary, op9_decontamination, op10_ngram_jaccard)}
 
-ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.SQL, "op9_decontamination": decontam.SQL, "op10_ngram_jaccard": ngramjoin.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": quality.SQL, "op7_license_scan": licenses.sql(), "op9_decontamination": decontam.SQL, "op10_ngram_jaccard": ngramjoin.SQL}
