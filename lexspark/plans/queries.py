@@ -5,13 +5,12 @@ legal structure run on the corpus that plans.corpus derives from orders."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import evaluation, extraction, graph, layout, linkage, preparation, retrieval, segmentation, validation
+from ..operators import extraction, layout, linkage, preparation, segmentation, validation
 from ..session import table
-from ..sources import bundle
 from .corpus import WITH_ACTS, WITH_ALL, acts, toc
 from .registry import query
 
