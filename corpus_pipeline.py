@@ -4,7 +4,6 @@ lexspark.llm over all that the stage before it kept."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lexspark.llm import binary, common, decontam, mixing, ngramjoin, queries, toxicity
 
