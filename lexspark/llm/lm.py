@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, held_out, map_arrow, mix, powers, span_hashes, stored, utf8, word_spans
 
-SLOT_BITS = 20
+SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
 ORDERS = (1, 2, 3, 0)
 CLASSES = 16
@@ -113,7 +113,7 @@ def gather(training: DataFrame) -> DataFrame:
     word and class counts once a block."""
 
     def run(batches):
-        total = np.zeros((len(ORDERS), SLOTS * 2), np.uint32)
+        total = np.zeros((len(ORDERS), SLOTS * 2), np.int64)
         for data, starts, ends, upto in blocks(batches):
             hashes = span_hashes(data, starts, ends)
             of_text = classes_of(hashes, ends - starts, upto)
@@ -127,10 +127,10 @@ def gather(training: DataFrame) -> DataFrame:
                     spell = Spelling(data, starts[some], ends[some], classes[some])
                     for _, bit, slots in spell.bits():
                         for c, slot in enumerate(slots):
-                            np.add.at(total[c], slot * 2 + bit, 1)
+                            total[c] += np.bincount(slot * 2 + bit, minlength=SLOTS * 2)
         size = SLOTS * 2 // PIECES
         for c in range(len(ORDERS)):
-            pieces = [zlib.compress(total[c, i * size : (i + 1) * size].tobytes(), 1) for i in range(PIECES)]
+            pieces = [zlib.compress(total[c, i * size : (i + 1) * size].astype(np.uint32).tobytes(), 1) for i in range(PIECES)]
             none = pa.nulls(PIECES, pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array([c * PIECES + i for i in range(PIECES)], pa.int32()), pa.array(pieces, pa.binary())], names=["h", "k", "n", "piece", "data"])
 
