@@ -42,9 +42,11 @@ TAIL = 5
 #: Bytes of text for one shard.
 SHARD_BYTES = 24 << 20
 #: Stretches that a worker's memo of ids holds before it starts anew.
-MEMO = 1_000_000
+MEMO = 600_000
 #: Bytes of text that are cut at once.
-FAST_BYTES = 4 << 20
+FAST_BYTES = 1 << 20
+#: Texts of one Arrow batch.
+ROWS = 400
 END_ID = 0
 
 
@@ -213,7 +215,7 @@ def encoder(data: bytes) -> Encoder:
 
 def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> str:
     """Write docs (doc_id, text) as shards under path, ascending by doc_id over
-    the shards' names; returns the path."""
+    the shards' numbers; returns the path."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -230,7 +232,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             yield pa.RecordBatch.from_arrays([out], names=["value"])
 
     ordered = rows.repartitionByRange(int(count), "doc_id").sortWithinPartitions("doc_id")
-    map_arrow(ordered, encode, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(path)
+    map_arrow(ordered, encode, "value binary", ROWS).select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(path)
     return path
 
 
@@ -281,7 +283,7 @@ def encode(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> Dat
     found = spark.read.parquet(table)
     write_index(found, f"{path}/index")
     per_shard = found.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
-    before = per_shard.select("shard", (F.sum("_n").over(Window.orderBy("shard")) - F.col("_n")).alias("_before"))
+    before = per_shard.select("shard", (F.sum("_n").over(Window.orderBy(F.regexp_extract("shard", r"part-(\d+)", 1).cast("long"))) - F.col("_n")).alias("_before"))
     within = Window.partitionBy("shard").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return found.join(before, "shard").select(
         "doc_id", (F.col("_before") + F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32", "shard", "offset", "length"
