@@ -8,9 +8,10 @@ last one, two or three bytes of the word, and all of it so far), whose
 counts of zeros and ones stand in hash tables of SLOTS slots. The predictions
 are mixed in the logistic domain by weights that a gate selects (how often the
 longest context was seen, and which bit it is), and refined by an adaptive map
-from what the mixer says to what then came. Both are trained online, bit by bit
-in small blocks, on a bounded sample of training documents, from counts that
-leave the word at hand out. The tables count a word once a block, not at each
+from what the mixer says to what then came. Both are trained on every training
+document, from counts that leave the word at hand out: the weights online, bit
+by bit in small blocks, in each partition, and averaged by the bits that each
+gate saw there; the map by counts, which are added. The tables count a word once a block, not at each
 occurrence, as the mixer's task is the words that were rare or never seen. The
 product over a spelling's bits is the word's probability under the mixer, M.
 
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, map_arrow, mix, powers, span_hashes, stored, utf8, word_spans
+from .common import held_out, map_arrow, mix, powers, span_hashes, stored, utf8, word_spans
 
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
@@ -51,9 +52,6 @@ CLASSES = 16
 PIECES = 16
 DISCOUNT = 0.75
 MOST_COMMON = 50_000
-#: Training documents, and words of them, for mixer and map.
-FIT_ROWS = 400
-FIT_WORDS = 150_000
 RATE = 0.02
 GATES = 64
 BINS = 33
@@ -240,48 +238,94 @@ class Mixer:
             total += self.logs[(gate * FINE + step) * 2 + bit]
         return np.add.reduceat(total.astype(np.float64), spell.first)
 
-    def train(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> None:
-        """Online over the bits of the given words, which the counts hold: each
-        word's own bits are left out of them."""
-        seen, hits = np.zeros((GATES, BINS)), np.zeros((GATES, BINS))
-        for step in range(2):  # the mixer, then the map
-            for some in np.split(np.arange(len(starts)), range(500, len(starts), 500)):
-                if not len(some):
-                    continue
-                spell = Spelling(data, starts[some], ends[some], classes[some])
-                for j, bit, slots in spell.bits():
-                    inputs = []
-                    for k, s in enumerate(slots):
-                        zeros = np.maximum(self.counts[k, s, 0] - (bit == 0), 0) + 0.2
-                        ones = np.maximum(self.counts[k, s, 1] - (bit == 1), 0) + 0.2
-                        inputs.append(np.log(ones / zeros))
-                    inputs = np.stack(inputs)
-                    n = np.maximum(self.counts[-1, slots[-1]].sum(1) - 1, 0)
-                    gate = np.minimum(np.log2(n + 1), 7).astype(np.int64) * 8 + j
-                    x = self.mixed(inputs, gate)
-                    if step == 0:
-                        error = bit - squash(x)
-                        size = np.maximum(np.bincount(gate, minlength=GATES), 1)
-                        for k in range(len(ORDERS)):
-                            self.weights[:, k] += RATE * np.bincount(gate, error * inputs[k], GATES) / np.sqrt(size)
-                    else:
-                        at = gate * BINS + self.bin_of(x)
-                        seen += np.bincount(at, minlength=GATES * BINS).reshape(GATES, BINS)
-                        hits += np.bincount(at, bit, GATES * BINS).reshape(GATES, BINS)
+    def steps(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray):
+        """(bit, inputs, gate) of the given words, which the counts hold, some
+        words at a time: each word's own bits are left out of the counts."""
+        for at in range(0, len(starts), 500):
+            spell = Spelling(data, starts[at : at + 500], ends[at : at + 500], classes[at : at + 500])
+            for j, bit, slots in spell.bits():
+                inputs = []
+                for k, s in enumerate(slots):
+                    zeros = np.maximum(self.counts[k, s, 0] - (bit == 0), 0) + 0.2
+                    ones = np.maximum(self.counts[k, s, 1] - (bit == 1), 0) + 0.2
+                    inputs.append(np.log(ones / zeros))
+                n = np.maximum(self.counts[-1, slots[-1]].sum(1) - 1, 0)
+                yield bit, np.stack(inputs), np.minimum(np.log2(n + 1), 7).astype(np.int64) * 8 + j
+
+    def train(self, *words: np.ndarray) -> np.ndarray:
+        """Adjust the weights online; bits that each gate saw."""
+        seen = np.zeros(GATES)
+        for bit, inputs, gate in self.steps(*words):
+            error = bit - squash(self.mixed(inputs, gate))
+            size = np.bincount(gate, minlength=GATES)
+            seen += size
+            for k in range(len(ORDERS)):
+                self.weights[:, k] += RATE * np.bincount(gate, error * inputs[k], GATES) / np.sqrt(np.maximum(size, 1))
+        return seen
+
+    def observe(self, *words: np.ndarray) -> np.ndarray:
+        """For each gate and bin of the mixer's output, bits and ones."""
+        out = np.zeros((2, GATES * BINS))
+        for bit, inputs, gate in self.steps(*words):
+            at = gate * BINS + self.bin_of(self.mixed(inputs, gate))
+            out += np.stack((np.bincount(at, minlength=GATES * BINS), np.bincount(at, bit, GATES * BINS)))
+        return out
+
+    def chart(self, observed: np.ndarray) -> None:
+        """The adaptive map, from what was observed."""
+        seen, hits = observed.reshape(2, GATES, BINS)
         prior = squash(np.linspace(-8, 8, BINS))[None, :]
         self.map = np.clip((hits + 20 * prior) / (seen + 20), 1e-5, 1 - 1e-5)
 
 
-def learn(training: DataFrame, gathered: DataFrame) -> Mixer:
-    mixer = Mixer(contexts(gathered))
-    some = training.select(F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("_h")).filter("text is not null").orderBy("_h").limit(FIT_ROWS)
-    for texts in chunks((bytes(r.text) for r in some.toLocalIterator()), FIT_ROWS):
-        data, starts, ends, upto = block(texts)
+def summed(rows: DataFrame, size: int) -> np.ndarray:
+    """Sum of the arrays that the partitions give."""
+    out = np.zeros(size)
+    for r in rows.toLocalIterator():
+        out += np.frombuffer(r.data, np.float64)
+    return out
+
+
+def spellings(batches):
+    """The distinct words and classes of each block, in mixed order."""
+    rng = np.random.default_rng(5)
+    for data, starts, ends, upto in blocks(batches):
         hashes = span_hashes(data, starts, ends)
         classes = np.repeat(classes_of(hashes, ends - starts, upto), np.diff(upto, prepend=0))
         _, first = np.unique(keyed(hashes, classes), return_index=True)
-        order = np.random.default_rng(5).permutation(first)[:FIT_WORDS]
-        mixer.train(data, starts[order], ends[order], classes[order])
+        order = rng.permutation(first)
+        yield data, starts[order], ends[order], classes[order]
+
+
+def learn(training: DataFrame, gathered: DataFrame) -> Mixer:
+    mixer = Mixer(contexts(gathered))
+    texts = training.select(F.col("text").cast("string").alias("text"))
+    shipped = training.sparkSession.sparkContext.broadcast(mixer.counts)
+
+    def packed(x: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["data"])
+
+    def weigh(batches):
+        own, seen = Mixer(shipped.value), np.zeros(GATES)
+        for words in spellings(batches):
+            seen += own.train(*words)
+        yield packed(np.concatenate((seen[:, None], own.weights * seen[:, None]), 1))
+
+    size = GATES * (len(ORDERS) + 1)
+    found = summed(map_arrow(texts, weigh, "data binary"), size).reshape(GATES, -1)
+    met = found[:, 0] > 0
+    mixer.weights[met] = found[met, 1:] / found[met, :1]
+    weights = mixer.weights
+
+    def observe(batches):
+        own, out = Mixer(shipped.value), np.zeros((2, GATES * BINS))
+        own.weights = weights
+        for words in spellings(batches):
+            out += own.observe(*words)
+        yield packed(out)
+
+    mixer.chart(summed(map_arrow(texts, observe, "data binary"), 2 * GATES * BINS))
+    shipped.unpersist()
     return mixer
 
 

@@ -169,6 +169,14 @@ def test_lm_mixer_is_a_distribution():
     assert (10.0 ** mixer.log10(data, starts, starts + 1, np.zeros(256, np.int64))).sum() <= 1.0 + 1e-6
 
 
+def test_lm_mixer_learns_from_all_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm.Mixer, "chart", lambda self, observed, f=lm.Mixer.chart: (seen.append(observed.reshape(2, -1)[0].sum()), f(self, observed))[1])
+    rows = spark.createDataFrame([(i, f"word{i:04d}", "en", "s") for i in range(900)], SCHEMA).repartition(3)
+    lm.score(rows.withColumn("held_out", common.held_out(10, 0)), rows).count()
+    assert seen == [900 * 9 * 8]  # each word's eight bytes and the space after it
+
+
 def test_lm_edges(edge, empty):
     got = {r.doc_id: r for r in lm.report(edge).collect()}
     assert len(got) == len(EDGE) and got[1].n_tokens == 1 and got[1].bits_per_byte is None
