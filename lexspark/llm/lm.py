@@ -4,30 +4,32 @@ A text is its tokens: words, then one end. A text has one of CLASSES classes,
 by the most frequent of its short words, which costs log10(CLASSES). A token is spelled as
 bytes, ended by a space (the end is the space alone); each bit of the spelling
 is predicted by several predictors, one for each context (the class and the
-last one, two or three bytes of the word, and all of it so far), whose
-counts of zeros and ones stand in hash tables of SLOTS slots. The predictions
-are mixed in the logistic domain by weights that a gate selects (how often the
-longest context was seen, and which bit it is), and refined by an adaptive map
-from what the mixer says to what then came. Both are trained on every training
-document, from counts that leave the word at hand out: the weights online, bit
-by bit in small blocks, in each partition, and averaged by the bits that each
-gate saw there; the map by counts, which are added. The tables count a word once a block, not at each
-occurrence, as the mixer's task is the words that were rare or never seen. The
-product over a spelling's bits is the word's probability under the mixer, M.
-
-Words that were seen add a count. With the MOST_COMMON most frequent words as
-H, counts c_k and N_k in class k, T_k the share of the other words in class k,
-c and N_T the others' counts in all classes, V_k and V_T numbers of distinct
-words, absolute discounting gives (a sum of one)
-
-    P(w | k) = max(c_k - D, 0) / N_k + e M(w)              for w in H
-    P(w | k) = T_k max(c - D, 0) / N_T + e M(w)            for others
-    e = D V_k / N_k + T_k D V_T / N_T
-
-The counts of all words and all context tables are gathered from every training
-document. Word counts stay distributed: those of H are broadcast, all others
-meet the documents in a join on a hash of the word, so no key of that join is
-frequent.
+last one, two or three bytes of the word, and all of it so far), from counts of
+zeros and ones. The predictions are mixed in the logistic domain by weights
+that a gate selects (how often the longest context was seen, and which bit it
+is), and refined by an adaptive map from what the mixer says to what then came.
+Both are trained on every training document, from counts that leave one
+occurrence of the word at hand out: the weights online, bit by bit in small
+blocks, in each part of the words, and averaged by the bits that each gate saw
+there; the map by counts, which are added. The product over a spelling's bits
+is the word's probability under the mixer, M.
+
+All counts are those of the corpus: a word counts at each of its occurrences.
+The distinct words and classes are dealt by ranges of their spelling, PART of
+them together, so that those with a common beginning are neighbours: whole
+beginnings are counted in the part that has them, and only the few that reach
+over an edge of a part are added up and broadcast. Contexts of one to three
+bytes are counted in tables with at least twice as many slots as there are
+different contexts.
+
+Words that were seen add their count c_k in class k, with N_k tokens and V_k
+distinct words in that class, by absolute discounting:
+
+    P(w | k) = max(c_k - D, 0) / N_k + D V_k / N_k M(w)
+
+Each distinct word is scored once. The scores of the MOST_BROADCAST most
+frequent are broadcast, all others meet the documents in a join, so no key of
+that join is frequent; the way changes no score.
 
 Defined cases: null texts are empty and have the end alone; without training
 documents c = N = V = 0, the base score of a token is 0 (log10 of 0.1 / 0.1) and
@@ -36,8 +38,6 @@ the model's that of the untrained mixer; repeated rows are scored each.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,13 +45,17 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_arrow, mix, powers, span_hashes, stored, utf8, word_spans
 
-SLOT_BITS = 19
+#: Least slots of a table.
+SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
+#: Bytes of context; 0: the whole word so far, which is counted by parts.
 ORDERS = (1, 2, 3, 0)
+TABLED = sum(n > 0 for n in ORDERS)
 CLASSES = 16
-PIECES = 16
 DISCOUNT = 0.75
-MOST_COMMON = 50_000
+#: Words and classes of one part, and those whose scores are broadcast.
+PART = 50_000
+MOST_BROADCAST = 200_000
 RATE = 0.02
 GATES = 64
 BINS = 33
@@ -98,68 +102,182 @@ class Spelling:
             self.contexts.append(mix(x * np.uint64(8) + np.uint64(k) + (of_class if order else np.uint64(0))))
 
     def bits(self):
-        """(bit, its place in the byte, slots) from the highest bit down."""
+        """(place in the byte, bit, contexts) from the highest bit down."""
         for j in range(8):
             node = (1 << j) | (self.bytes >> (8 - j))
             spread = (node * 0x9E3779B1).astype(np.uint64)
-            yield j, (self.bytes >> (7 - j)) & 1, [((h + spread) & np.uint64(SLOTS - 1)).astype(np.int64) for h in self.contexts]
+            yield j, (self.bytes >> (7 - j)) & 1, [h + spread for h in self.contexts]
 
 
-def gather(training: DataFrame) -> DataFrame:
-    """What all training documents give: h (hash of a word), k (class), n, END
-    for their ends; and, with h null, pieces of the context tables, for which a
-    word and class counts once a block."""
+def gather(texts: DataFrame, counted: bool) -> DataFrame:
+    """key, word (with its space), k (class) and n (its occurrences, 0 if they
+    don't count) of each block of texts, the end of a text among them."""
 
     def run(batches):
-        total = np.zeros((len(ORDERS), SLOTS * 2), np.int64)
         for data, starts, ends, upto in blocks(batches):
             hashes = span_hashes(data, starts, ends)
             of_text = classes_of(hashes, ends - starts, upto)
-            classes = np.repeat(of_text, np.diff(upto, prepend=0))
-            _, first, times = np.unique(keyed(hashes, classes), return_index=True, return_counts=True)
+            key, first, times = np.unique(keyed(hashes, np.repeat(of_text, np.diff(upto, prepend=0))), return_index=True, return_counts=True)
+            word = [data[i:j].tobytes() + b" " for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+            classes = np.repeat(of_text, np.diff(upto, prepend=0))[first]
             k, ended = np.unique(of_text, return_counts=True)
-            h = np.append(hashes[first].view(np.int64), np.full(len(k), END))
-            yield words(h, np.append(classes[first], k), np.append(times, ended))
-            for some in np.split(first, range(100_000, len(first), 100_000)):
-                if len(some):
-                    spell = Spelling(data, starts[some], ends[some], classes[some])
-                    for _, bit, slots in spell.bits():
-                        for c, slot in enumerate(slots):
-                            total[c] += np.bincount(slot * 2 + bit, minlength=SLOTS * 2)
-        size = SLOTS * 2 // PIECES
-        for c in range(len(ORDERS)):
-            pieces = [zlib.compress(total[c, i * size : (i + 1) * size].astype(np.uint32).tobytes(), 1) for i in range(PIECES)]
-            none = pa.nulls(PIECES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([c * PIECES + i for i in range(PIECES)], pa.int32()), pa.array(pieces, pa.binary())], names=["h", "k", "n", "piece", "data"])
-
-    def words(h, k, n):
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(k), pa.array(n), pa.nulls(len(h), pa.int32()), pa.nulls(len(h), pa.binary())], names=["h", "k", "n", "piece", "data"])
-
-    return map_arrow(training.select(F.col("text").cast("string").alias("text")), run, "h long, k long, n long, piece int, data binary")
-
-
-def contexts(gathered: DataFrame) -> np.ndarray:
-    """contexts x slots x (zeros, ones)."""
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for piece, data in zip(batch.column("piece").to_pylist(), batch.column("data")):
-                x = np.frombuffer(zlib.decompress(data.as_py()), np.uint32).astype(np.float64)
-                total[piece] = total[piece] + x if piece in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in total.values()], pa.binary())], names=["piece", "data"])
+            key, times = np.append(key, keyed(ENDS[k], k)), np.append(times, ended)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(word + [b" "] * len(k), pa.binary()), pa.array(np.append(classes, k).astype(np.int32)), pa.array(times.astype(np.int64) * counted)], names=["key", "word", "k", "n"])
+
+    return map_arrow(texts.select(F.col("text").cast("string").alias("text")), run, "key long, word binary, k int, n long")
+
+
+def dealt(words: DataFrame) -> DataFrame:
+    """words with part: those of one part are in one file, by ranges of word."""
+    n = words.count()
+    return stored(words.repartitionByRange(max(-(-n // PART), 1), "word").withColumn("part", F.spark_partition_id()), "parts")
+
 
-    out = np.zeros((len(ORDERS) * PIECES, SLOTS * 2 // PIECES), np.float32)
-    pieces = gathered.filter("piece is not null").select("piece", "data").repartition("piece")
-    for r in map_arrow(pieces, add, "piece int, data binary").toLocalIterator():
-        out[r.piece] = np.frombuffer(r.data, np.float32)
-    return out.reshape(len(ORDERS), SLOTS, 2)
+def edges(words: DataFrame) -> dict[int, list[bytes]]:
+    """Beginnings that a part may share with its neighbours."""
+    ends = sorted((bytes(r.first), bytes(r.last), r.part) for r in words.groupBy("part").agg(F.min("word").alias("first"), F.max("word").alias("last")).collect())
+    out: dict[int, list[bytes]] = {r[2]: [] for r in ends}
+    for (_, last, left), (first, _, right) in zip(ends, ends[1:]):
+        same = next((i for i, (x, y) in enumerate(zip(last, first)) if x != y), min(len(last), len(first)))
+        out[left].append(last[: same + 1])
+        out[right].append(last[: same + 1])
+    return out
+
+
+class Part:
+    """Words of a part in mixed order, spelled; the contexts of each bit; the
+    keys and counts of the contexts that are whole beginnings."""
+
+    def __init__(self, rows: pa.Table):
+        order = np.random.default_rng(5).permutation(len(rows))
+        word = rows.column("word").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+        word = word.combine_chunks() if isinstance(word, pa.ChunkedArray) else word
+        upto = np.frombuffer(word.buffers()[1], np.int64)[word.offset : word.offset + len(word) + 1]
+        data = np.frombuffer(word.buffers()[2], np.uint8)
+        self.key, self.k, self.n = (rows.column(c).to_numpy()[order] for c in ("key", "k", "n"))
+        spell = Spelling(data, upto[:-1], upto[1:] - 1, self.k)
+        self.first, self.times = spell.first, self.n[spell.word].astype(np.float64)
+        # c of all classes
+        _, same = np.unique(span_hashes(data, upto[:-1], upto[1:]), return_inverse=True)
+        self.c = np.bincount(same, self.n).astype(np.int64)[same]
+        self.bits, self.nodes = [], [[] for _ in ORDERS]
+        for _, bit, contexts in spell.bits():
+            self.bits.append(bit)
+            for x, context in zip(self.nodes, contexts):
+                x.append(context)
+        self.keys, self.counts, self.slots = [], [], [None] * TABLED
+        for x in self.nodes[TABLED:]:
+            key, at = np.unique(np.concatenate(x), return_inverse=True)
+            self.keys.append(key)
+            self.counts.append(self.tally(at, len(key)))
+            self.slots.append(np.split(at, 8))
+
+    def tally(self, at: np.ndarray, size: int) -> np.ndarray:
+        times, bit = np.tile(self.times, 8), np.concatenate(self.bits)
+        return np.stack((np.bincount(at, times * (1 - bit), size), np.bincount(at, times * bit, size)), 1)
+
+    def mixer(self, tables: list, over: dict) -> Mixer:
+        """A mixer of the part's counts and what is broadcast; its slots."""
+        for i, (key, count) in enumerate(zip(self.keys, self.counts)):
+            wide, total = over[TABLED + i]
+            at = np.minimum(np.searchsorted(key, wide), max(len(key) - 1, 0))
+            met = key[at] == wide
+            count[at[met]] = total[met]
+        for i, table in enumerate(tables):
+            self.slots[i] = [(x & np.uint64(len(table) - 1)).astype(np.int64) for x in self.nodes[i]]
+        return Mixer([*tables, *self.counts])
+
+
+def parts(batches):
+    """(number, Part) of each part."""
+    held, at = [], None
+    for b in batches:
+        own = b.column("part").to_numpy()
+        turns = np.flatnonzero(np.diff(own)) + 1
+        for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), len(own)]):
+            if hi > lo:
+                if held and own[lo] != at:
+                    yield at, Part(pa.Table.from_batches(held))
+                    held = []
+                at = int(own[lo])
+                held.append(b.slice(lo, hi - lo))
+    if held:
+        yield at, Part(pa.Table.from_batches(held))
+
+
+def contexts(words: DataFrame) -> tuple[list[np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Tables (slots x zeros, ones) of the short contexts, and for the others
+    keys and counts of those that more than one part has."""
+    shared = words.sparkSession.sparkContext.broadcast(edges(words))
+
+    def run(batches):
+        held: list[list] = [[] for _ in ORDERS]
+        for number, part in parts(batches):
+            for i in range(TABLED):
+                key, at = np.unique(np.concatenate(part.nodes[i]), return_inverse=True)
+                held[i].append((key, part.tally(at, len(key))))
+                if len(held[i]) >= 8:
+                    held[i] = [joined(held[i])]
+            some = shared.value[number]
+            if some:
+                data = np.frombuffer(b"".join(some), np.uint8)
+                ends = np.cumsum([len(x) for x in some])
+                n = len(some)
+                spell = Spelling(data, np.tile(ends - [len(x) for x in some], CLASSES), np.tile(ends, CLASSES), np.repeat(np.arange(CLASSES), n))
+                wide: list[list] = [[] for _ in ORDERS]
+                for _, _, found in spell.bits():
+                    for x, context in zip(wide, found):
+                        x.append(context)
+                for i in range(TABLED, len(ORDERS)):
+                    key, count = part.keys[i - TABLED], part.counts[i - TABLED]
+                    x = np.unique(np.concatenate(wide[i]))
+                    at = np.minimum(np.searchsorted(key, x), len(key) - 1)
+                    yield listed(i, key[at[key[at] == x]], count[at[key[at] == x]])
+        for i in range(TABLED):
+            if held[i]:
+                yield listed(i, *joined(held[i]))
+
+    def joined(some):
+        key, at = np.unique(np.concatenate([x[0] for x in some]), return_inverse=True)
+        count = np.concatenate([x[1] for x in some])
+        return key, np.stack((np.bincount(at, count[:, 0], len(key)), np.bincount(at, count[:, 1], len(key))), 1)
+
+    def listed(i, key, count):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.view(np.int64)), *(pa.array(count[:, x].astype(np.int64)) for x in (0, 1))], names=["i", "key", "zeros", "ones"])
+
+    found = map_arrow(words, run, "i int, key long, zeros long, ones long").groupBy("i", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.count(F.lit(1)).alias("n"))
+    found = stored(found.filter((F.col("i") < TABLED) | (F.col("n") > 1)).drop("n"), "contexts")
+
+    def pack(batches):
+        for b in batches:
+            x = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("i", "key", "zeros", "ones")])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["data"])
+
+    sizes = {r.i: r.n for r in found.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    tables = [np.zeros((max(SLOTS, 1 << (2 * sizes.get(i, 0)).bit_length()), 2), np.float32) for i in range(TABLED)]
+    over: dict[int, list] = {i: [] for i in range(TABLED, len(ORDERS))}
+    for r in map_arrow(found, pack, "data binary", 100_000).toLocalIterator():
+        which, key, zeros, ones = np.frombuffer(r.data, np.int64).reshape(4, -1)
+        for i in np.unique(which).tolist():
+            here = which == i
+            own, count = key[here].view(np.uint64), np.stack((zeros[here], ones[here]), 1)
+            if i < TABLED:
+                np.add.at(tables[i], (own & np.uint64(len(tables[i]) - 1)).astype(np.int64), count)
+            else:
+                over[i].append((own, count))
+    shared.unpersist()
+    none = (np.zeros(0, np.uint64), np.zeros((0, 2)))
+    return tables, {i: tuple(np.concatenate(x) for x in zip(none, *some)) for i, some in over.items()}
 
 
 def keyed(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return mix(hashes + mix(classes.astype(np.uint64) + np.uint64(1)))
 
 
+#: Hashes of the ends of texts, for each class.
+ENDS = np.full(CLASSES, END, np.uint64)
+
+
 def classes_of(hashes: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> np.ndarray:
     """Class of each text, texts ending at word upto: by the most frequent of
     its short words' hash buckets."""
@@ -196,10 +314,10 @@ def block(texts: list[bytes]):
 class Mixer:
     """Probabilities of spellings from context counts."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts):
+        """counts: slots x (zeros, ones) of each order."""
         self.counts = counts
-        zeros, ones = counts[..., 0] + 0.2, counts[..., 1] + 0.2
-        self.table = np.log(ones / zeros).astype(np.float32)
+        self.table = [np.log((x[:, 1] + 0.2) / (x[:, 0] + 0.2)).astype(np.float32) for x in counts]
         self.logs = np.zeros(0, np.float32)
         self.level = np.minimum(np.log2(counts[-1].sum(1) + 1), 7).astype(np.int8)
         self.weights = np.full((GATES, len(ORDERS)), 0.35)
@@ -227,48 +345,58 @@ class Mixer:
         if not len(starts):
             return np.zeros(0)
         spell = Spelling(data, starts, ends, classes)
-        total = np.zeros(len(spell.bytes), np.float32)
+        found = ((bit, [(x & np.uint64(len(t) - 1)).astype(np.int64) for x, t in zip(nodes, self.table)]) for _, bit, nodes in spell.bits())
+        return self.summed(found, spell.first, len(spell.bytes))
+
+    def summed(self, found, first: np.ndarray, size: int) -> np.ndarray:
+        """log10 of each word's probability from bits and slots, of which a
+        word's start at first."""
+        total = np.zeros(size, np.float32)
         weights = self.weights.T.astype(np.float32)
-        for j, bit, slots in spell.bits():
+        for j, (bit, slots) in enumerate(found):
             gate = self.level[slots[-1]].astype(np.int64) * 8 + j
             x = self.table[0][slots[0]] * weights[0][gate]
             for k in range(1, len(ORDERS)):
                 x += self.table[k][slots[k]] * weights[k][gate]
             step = np.clip(x * np.float32((FINE - 1) / 16) + np.float32((FINE - 1) / 2 + 0.5), 0, FINE - 1).astype(np.int64)
             total += self.logs[(gate * FINE + step) * 2 + bit]
-        return np.add.reduceat(total.astype(np.float64), spell.first)
-
-    def steps(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray):
-        """(bit, inputs, gate) of the given words, which the counts hold, some
-        words at a time: each word's own bits are left out of the counts."""
-        for at in range(0, len(starts), 500):
-            spell = Spelling(data, starts[at : at + 500], ends[at : at + 500], classes[at : at + 500])
-            for j, bit, slots in spell.bits():
-                inputs = []
-                for k, s in enumerate(slots):
-                    zeros = np.maximum(self.counts[k, s, 0] - (bit == 0), 0) + 0.2
-                    ones = np.maximum(self.counts[k, s, 1] - (bit == 1), 0) + 0.2
-                    inputs.append(np.log(ones / zeros))
-                n = np.maximum(self.counts[-1, slots[-1]].sum(1) - 1, 0)
-                yield bit, np.stack(inputs), np.minimum(np.log2(n + 1), 7).astype(np.int64) * 8 + j
-
-    def train(self, *words: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(total.astype(np.float64), first)
+
+    def score(self, part: Part) -> np.ndarray:
+        found = ((part.bits[j], [s[j] for s in part.slots]) for j in range(8))
+        return self.summed(found, part.first, len(part.times))
+
+    def steps(self, part: Part):
+        """(bit, inputs, gate, times) of the words that were seen, some bytes at
+        a time: one of each word's occurrences is left out of the counts."""
+        seen = np.flatnonzero(part.times > 0)
+        for some in np.split(seen, range(5000, len(seen), 5000)):
+            for j in range(8) if len(some) else ():
+                bit, inputs = part.bits[j][some], []
+                for count, slots in zip(self.counts, part.slots):
+                    x = count[slots[j][some]]
+                    zeros, ones = np.maximum(x[:, 0] - (bit == 0), 0), np.maximum(x[:, 1] - (bit == 1), 0)
+                    inputs.append(np.log((ones + 0.2) / (zeros + 0.2)))
+                yield bit, np.stack(inputs), np.minimum(np.log2(zeros + ones + 1), 7).astype(np.int64) * 8 + j, part.times[some]
+
+    def train(self, part: Part) -> np.ndarray:
         """Adjust the weights online; bits that each gate saw."""
         seen = np.zeros(GATES)
-        for bit, inputs, gate in self.steps(*words):
-            error = bit - squash(self.mixed(inputs, gate))
-            size = np.bincount(gate, minlength=GATES)
-            seen += size
+        for bit, inputs, gate, times in self.steps(part):
+            error = (bit - squash(self.mixed(inputs, gate))) * times
+            size, total = np.bincount(gate, minlength=GATES), np.bincount(gate, times, GATES)
+            seen += total
+            rate = RATE * np.sqrt(size) / np.maximum(total, 1)
             for k in range(len(ORDERS)):
-                self.weights[:, k] += RATE * np.bincount(gate, error * inputs[k], GATES) / np.sqrt(np.maximum(size, 1))
+                self.weights[:, k] += rate * np.bincount(gate, error * inputs[k], GATES)
         return seen
 
-    def observe(self, *words: np.ndarray) -> np.ndarray:
+    def observe(self, part: Part) -> np.ndarray:
         """For each gate and bin of the mixer's output, bits and ones."""
         out = np.zeros((2, GATES * BINS))
-        for bit, inputs, gate in self.steps(*words):
+        for bit, inputs, gate, times in self.steps(part):
             at = gate * BINS + self.bin_of(self.mixed(inputs, gate))
-            out += np.stack((np.bincount(at, minlength=GATES * BINS), np.bincount(at, bit, GATES * BINS)))
+            out += np.stack((np.bincount(at, times, GATES * BINS), np.bincount(at, bit * times, GATES * BINS)))
         return out
 
     def chart(self, observed: np.ndarray) -> None:
@@ -286,160 +414,125 @@ def summed(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def spellings(batches):
-    """The distinct words and classes of each block, in mixed order."""
-    rng = np.random.default_rng(5)
-    for data, starts, ends, upto in blocks(batches):
-        hashes = span_hashes(data, starts, ends)
-        classes = np.repeat(classes_of(hashes, ends - starts, upto), np.diff(upto, prepend=0))
-        _, first = np.unique(keyed(hashes, classes), return_index=True)
-        order = rng.permutation(first)
-        yield data, starts[order], ends[order], classes[order]
-
-
-def learn(training: DataFrame, gathered: DataFrame) -> Mixer:
-    mixer = Mixer(contexts(gathered))
-    texts = training.select(F.col("text").cast("string").alias("text"))
-    shipped = training.sparkSession.sparkContext.broadcast(mixer.counts)
+def learn(words: DataFrame) -> tuple:
+    """Tables, counts across parts, weights and map."""
+    tables, over = contexts(words)
+    shipped = words.sparkSession.sparkContext.broadcast((tables, over))
+    weights = np.full((GATES, len(ORDERS)), 0.35)
 
     def packed(x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["data"])
 
     def weigh(batches):
-        own, seen = Mixer(shipped.value), np.zeros(GATES)
-        for words in spellings(batches):
-            seen += own.train(*words)
-        yield packed(np.concatenate((seen[:, None], own.weights * seen[:, None]), 1))
+        own, out = weights.copy(), np.zeros((GATES, len(ORDERS) + 1))
+        for _, part in parts(batches):
+            mixer = part.mixer(*shipped.value)
+            mixer.weights = own  # goes on from part to part
+            seen = mixer.train(part)[:, None]
+            out += np.concatenate((seen, own * seen), 1)
+        yield packed(out)
 
-    size = GATES * (len(ORDERS) + 1)
-    found = summed(map_arrow(texts, weigh, "data binary"), size).reshape(GATES, -1)
+    found = summed(map_arrow(words, weigh, "data binary"), GATES * (len(ORDERS) + 1)).reshape(GATES, -1)
     met = found[:, 0] > 0
-    mixer.weights[met] = found[met, 1:] / found[met, :1]
-    weights = mixer.weights
+    weights[met] = found[met, 1:] / found[met, :1]
 
     def observe(batches):
-        own, out = Mixer(shipped.value), np.zeros((2, GATES * BINS))
-        own.weights = weights
-        for words in spellings(batches):
-            out += own.observe(*words)
+        out = np.zeros((2, GATES * BINS))
+        for _, part in parts(batches):
+            mixer = part.mixer(*shipped.value)
+            mixer.weights = weights
+            out += mixer.observe(part)
         yield packed(out)
 
-    mixer.chart(summed(map_arrow(texts, observe, "data binary"), 2 * GATES * BINS))
-    shipped.unpersist()
-    return mixer
-
-
-class Counts:
-    """Counts of the most frequent words, per class, and what all have."""
-
-    def __init__(self, common: list, classes: list, distinct: int, total: int):
-        self.keys = np.array(sorted(r.h for r in common), np.int64)
-        at = {h: i for i, h in enumerate(self.keys.tolist())}
-        self.total = np.zeros(len(at))
-        self.of_class = np.zeros((CLASSES, len(at)))
-        for r in common:
-            self.total[at[r.h]] = sum(r.cs.values())
-            for k, c in r.cs.items():
-                self.of_class[k, at[r.h]] = c
-        n = np.zeros(CLASSES)
-        for r in classes:
-            n[r.k] = r.n
-        # what a class without documents takes: all classes' counts
-        empty = n == 0
-        self.of_class[empty] = self.total
-        n[empty] = max(total, 1)
-        self.n = n
-        self.tail = np.maximum(n - self.of_class.sum(1), 0) / n
-        self.rest = max(total - self.total.sum(), 1.0)
-        others = distinct - len(at)
-        self.escape = DISCOUNT * np.minimum(self.of_class, 1).sum(1) / n + self.tail * (DISCOUNT * others / self.rest)
-        if not total:
-            self.escape[:] = 1.0
+    whole = Mixer([np.zeros((1, 2))] * len(ORDERS))
+    whole.chart(summed(map_arrow(words, observe, "data binary"), 2 * GATES * BINS))
+    return shipped, weights, whole.map
+
+
+def scored(words: DataFrame, learned: tuple, seen: dict[int, tuple[int, int]]) -> DataFrame:
+    """key, c (occurrences in all classes) and lm (log10 of the probability) of
+    each word and class; seen: tokens and distinct words of each class."""
+    shipped, weights, table = learned
+    tokens, distinct = (np.array([seen.get(k, (0, 0))[i] for k in range(CLASSES)], float) for i in (0, 1))
+
+    def run(batches):
+        for _, part in parts(batches):
+            mixer = part.mixer(*shipped.value)
+            mixer.weights, mixer.map = weights, table
+            mixer.settle()
+            lm = mixer.score(part)
+            of_class = np.maximum(tokens[part.k], 1)
+            rest = np.where(tokens[part.k] > 0, DISCOUNT * distinct[part.k] / of_class, 1.0)
+            lm = np.log10(np.maximum(part.n - DISCOUNT, 0) / of_class + rest * 10.0**lm)
+            yield pa.RecordBatch.from_arrays([pa.array(part.key), pa.array(part.c), pa.array(lm)], names=["key", "c", "lm"])
+
+    return stored(map_arrow(words, run, "key long, c long, lm double"), "scores")
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """docs' doc_id and held_out with n_tokens, n_known, train_tokens,
-    base_score, score, n_bytes, bits_per_byte."""
+    base_score, score, n_bytes, bits_per_byte; docs that aren't held out are
+    among training."""
     spark = docs.sparkSession
-    gathered = stored(gather(training), "gathered")
-    of_words = gathered.filter("piece is null")
-    words = stored(of_words.groupBy("h").agg(F.sum("n").alias("c")), "words")
-    # the largest count that no more than MOST_COMMON words reach, by powers of 2^(1/8)
-    level = F.floor(8 * F.log2("c"))
-    levels = words.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("c")).orderBy(F.desc("level")).collect()
-    total, distinct, reach, least = sum(r.c for r in levels), sum(r.n for r in levels), 0, None
-    for r in levels:
+    gathered = gather(training, True).union(gather(docs.filter("held_out"), False))
+    words = dealt(stored(gathered.groupBy("key").agg(F.first("word").alias("word"), F.first("k").alias("k"), F.sum("n").alias("n")), "words"))
+    seen = {r.k: (r.n, r.v) for r in words.groupBy("k").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).collect()}
+    total = sum(n for n, _ in seen.values())
+    distinct = words.filter("n > 0").select("word").distinct().count()
+    scores = scored(words, learn(words), seen)
+    # the largest count that no more than MOST_BROADCAST reach, by powers of 2^(1/8)
+    level = F.floor(8 * F.log2(F.col("c") + 1))
+    reach, least = 0, None
+    for r in scores.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():
         reach += r.n
-        if reach > MOST_COMMON:
+        if reach > MOST_BROADCAST:
             break
         least = r.level
-    chosen = words.filter(F.lit(False) if least is None else level >= least)
-    per_class = of_words.join(F.broadcast(chosen.select("h")), "h", "left_semi").groupBy("h", "k").agg(F.sum("n").alias("c"))
-    common = per_class.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("cs")).collect()
-    counts = Counts(common, of_words.groupBy("k").agg(F.sum("n").alias("n")).collect(), distinct, total)
-    mixer = learn(training, gathered)
-    shipped = spark.sparkContext.broadcast((mixer.counts, mixer.weights, mixer.map, counts))
+    ends = keyed(ENDS, np.arange(CLASSES)).view(np.int64).tolist()
+    hot = scores.filter(F.col("key").isin(ends) | (F.lit(False) if least is None else level >= least)).toArrow().sort_by("key")
+    shipped = spark.sparkContext.broadcast(tuple(hot.column(c).to_numpy() for c in ("key", "c", "lm")))
 
     def first(batches):
-        tables, weights, table, own = shipped.value
-        mixer = Mixer(tables)
-        mixer.weights, mixer.map = weights, table
-        mixer.settle()
-        keys, last = own.keys, max(len(own.keys) - 1, 0)
-        none, every = np.zeros(0, np.uint8), np.arange(CLASSES)
-        end_lm = 10.0 ** mixer.log10(none, np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), every)
-        place = min(int(np.searchsorted(keys, END)), last)
-        end_c = own.total[place] if len(keys) and keys[place] == END else 0.0
-        end_k = np.maximum(own.of_class[:, place] - DISCOUNT, 0) / own.n if end_c else np.zeros(CLASSES)
-        end = np.log10(end_k + own.escape * end_lm) - np.log10(CLASSES)
+        keys, own_c, own_lm = shipped.value
+        last = max(len(keys) - 1, 0)
         for batch in batches:
             start = 0
             for data, starts, ends, upto in blocks([batch]):
                 docs_here, n = len(upto), np.diff(upto, prepend=0)
                 hashes = span_hashes(data, starts, ends)
                 of_text = classes_of(hashes, ends - starts, upto)
-                classes = np.repeat(of_text, n)
-                _, at_first, at = np.unique(keyed(hashes, classes), return_index=True, return_inverse=True)
-                h, k = hashes[at_first].view(np.int64), classes[at_first]
-                parts = [x for x in np.split(at_first, range(100_000, len(at_first), 100_000)) if len(x)]
-                lm = np.concatenate([mixer.log10(data, starts[x], ends[x], classes[x]) for x in parts]) if parts else np.zeros(0)
+                each = np.concatenate((keyed(hashes, np.repeat(of_text, n)), keyed(ENDS[of_text], of_text))).view(np.int64)
+                doc = np.concatenate((np.repeat(np.arange(docs_here), n), np.arange(docs_here)))
+                h, at = np.unique(each, return_inverse=True)
                 place = np.minimum(np.searchsorted(keys, h), last)
-                hot = keys[place] == h if len(keys) else np.zeros(len(h), bool)
-                c = np.where(hot, own.total[place], 0.0) if len(keys) else np.zeros(len(h))
-                ck = np.where(hot, own.of_class[k, place], 0.0) if len(keys) else np.zeros(len(h))
-                model = np.log10(np.maximum(ck - DISCOUNT, 0) / own.n[k] + own.escape[k] * 10.0**lm)
-                doc, is_hot = np.repeat(np.arange(docs_here), n), hot[at]
-                w = is_hot.astype(np.float64)
-                base = np.bincount(doc, np.log10(c + 0.1)[at] * w, docs_here) + np.log10(end_c + 0.1)
-                mine = np.bincount(doc, model[at] * w, docs_here) + end[of_text]
-                known = np.bincount(doc, w, docs_here).astype(np.int64) + int(end_c > 0)
-                rare = np.flatnonzero(~is_hot)
-                size = max(len(h), 1)
+                is_hot = keys[place] == h
+                c, lm, w = own_c[place][at], own_lm[place][at], is_hot[at].astype(np.float64)
+                base = np.bincount(doc, np.log10(c + 0.1) * w, docs_here)
+                mine = np.bincount(doc, lm * w, docs_here) - np.log10(CLASSES)
+                known = np.bincount(doc, w * (c > 0), docs_here).astype(np.int64)
+                rare = np.flatnonzero(~is_hot[at])
+                size = len(h)
                 pair, times = np.unique(doc[rare] * size + at[rare], return_counts=True)
                 offsets, word = pa.array(np.searchsorted(pair, np.arange(docs_here + 1) * size), pa.int32()), pair % size
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[word], times.astype(np.int32), lm[word].astype(np.float32))]
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h[word], times.astype(np.int32))]
                 part = batch.slice(start, docs_here)
                 start += docs_here
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"), part.column("held_out"), part.column("rid"), pa.array(n.astype(np.int64) + 1), pa.array(known), pa.array(base), pa.array(mine),
-                        pa.array([len(t or b"") for t in utf8(part.column("text"))], pa.int64()), pa.array(own.tail[of_text] / own.rest), pa.array(own.escape[of_text]), *lists,
+                        pa.array([len(t or b"") for t in utf8(part.column("text"))], pa.int64()), *lists,
                     ],
-                    names=["doc_id", "held_out", "rid", "n_tokens", "known", "base", "mine", "n_bytes", "tail", "escape", "h", "n", "lm"],
+                    names=["doc_id", "held_out", "rid", "n_tokens", "known", "base", "mine", "n_bytes", "keys", "n"],
                 )
 
     rows = docs.select("doc_id", "held_out", F.monotonically_increasing_id().alias("rid"), F.col("text").cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    known = stored(map_arrow(rows, first, f"doc_id {kind}, held_out boolean, rid long, n_tokens long, known long, base double, mine double, n_bytes long, tail double, escape double, h array<long>, n array<int>, lm array<float>"), "scored")
-    rare = known.select("rid", "tail", "escape", F.explode(F.arrays_zip("h", "n", "lm")).alias("x")).select("rid", "tail", "escape", "x.h", "x.n", "x.lm")
-    c = F.coalesce(F.col("c"), F.lit(0)).cast("double")
-    met = rare.join(words, "h", "left").select(
-        "rid", (F.col("n") * F.log10(c + 0.1)).alias("base_rare"), F.when(c > 0, F.col("n")).otherwise(0).cast("long").alias("known_rare"),
-        (F.col("n") * F.log10(F.col("tail") * F.greatest(c - DISCOUNT, F.lit(0.0)) + F.col("escape") * F.pow(F.lit(10.0), F.col("lm").cast("double")))).alias("mine_rare"),
-    )
+    known = stored(map_arrow(rows, first, f"doc_id {kind}, held_out boolean, rid long, n_tokens long, known long, base double, mine double, n_bytes long, keys array<long>, n array<int>"), "scored")
+    rare = known.select("rid", F.explode(F.arrays_zip("keys", "n")).alias("x")).select("rid", F.col("x.keys").alias("key"), "x.n")
+    met = rare.join(scores, "key").select("rid", (F.col("n") * F.log10(F.col("c") + 0.1)).alias("base_rare"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("known_rare"), (F.col("n") * F.col("lm")).alias("mine_rare"))
     sums = met.groupBy("rid").agg(F.sum("base_rare").alias("base_rare"), F.sum("known_rare").alias("known_rare"), F.sum("mine_rare").alias("mine_rare"))
     zero = lambda x: F.coalesce(x, F.lit(0))
-    out = known.drop("h", "n", "lm", "tail", "escape").join(sums, "rid", "left")
+    out = known.drop("keys", "n").join(sums, "rid", "left")
     norm = float(np.log10(total + 0.1 * (distinct + 1)))
     mine = F.col("mine") + zero("mine_rare")
     return out.select(

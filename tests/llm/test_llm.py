@@ -174,7 +174,30 @@ def test_lm_mixer_learns_from_all_documents(spark, monkeypatch):
     monkeypatch.setattr(lm.Mixer, "chart", lambda self, observed, f=lm.Mixer.chart: (seen.append(observed.reshape(2, -1)[0].sum()), f(self, observed))[1])
     rows = spark.createDataFrame([(i, f"word{i:04d}", "en", "s") for i in range(900)], SCHEMA).repartition(3)
     lm.score(rows.withColumn("held_out", common.held_out(10, 0)), rows).count()
-    assert seen == [900 * 9 * 8]  # each word's eight bytes and the space after it
+    assert seen == [900 * (9 + 1) * 8]  # each word's eight bytes and the space after it, and the end
+
+
+def test_lm_contexts_are_true_counts(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(60)) for _ in range(40)]
+    monkeypatch.setattr(lm, "PART", 30)
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)
+    words = lm.dealt(lm.stored(lm.gather(rows, True).groupBy("key").agg(lm.F.first("word").alias("word"), lm.F.first("k").alias("k"), lm.F.sum("n").alias("n")), "words"))
+    tables, over = lm.contexts(words)
+    spelled = Counter(w + " " for t in texts for w in (*t.split(), ""))
+    got = 0
+    for number, part in lm.parts(words.orderBy("part").toArrow().to_batches()):
+        mixer = part.mixer(tables, over)
+        own = words.filter(f"part = {number}").toArrow()
+        word = [own.column("word")[i].as_py().decode() for i in np.random.default_rng(5).permutation(len(own))]
+        for w, first in zip(word, part.first):
+            got += 1
+            for i in range(len(w)):
+                for j in range(8):
+                    same = [(x, n) for x, n in spelled.items() if x[:i] == w[:i] and len(x) > i and ord(x[i]) >> (8 - j) == ord(w[i]) >> (8 - j)]
+                    ones = sum(n for x, n in same if ord(x[i]) >> (7 - j) & 1)
+                    assert mixer.counts[-1][part.slots[-1][j][first + i]].tolist() == [sum(n for _, n in same) - ones, ones]
+    assert got == words.count() and words.select("part").distinct().count() > 3
 
 
 def test_lm_edges(edge, empty):
