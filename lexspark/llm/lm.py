@@ -4,15 +4,16 @@ A text is its tokens: words, then one end. A text has one of CLASSES classes,
 by the most frequent of its short words, which costs log10(CLASSES). A token is spelled as
 bytes, ended by a space (the end is the space alone); each bit of the spelling
 is predicted by several predictors, one for each context (the class and the
-last one, two or three bytes of the word, and all of it so far), from counts of
-zeros and ones. The predictions are mixed in the logistic domain by weights
+last one, two or three bytes of the word, all of it so far, and that without the
+class), from counts of zeros and ones; all of a word with its space are the
+word's own counts, in its class and in all. The predictions are mixed in the logistic domain by weights
 that a gate selects (how often the longest context was seen, and which bit it
 is), and refined by an adaptive map from what the mixer says to what then came.
 Both are trained on every training document, from counts that leave one
 occurrence of the word at hand out: the weights online, bit by bit in small
 blocks, in each part of the words, and averaged by the bits that each gate saw
 there; the map by counts, which are added. The product over a spelling's bits
-is the word's probability under the mixer, M.
+is the word's probability, whether the word was seen or not.
 
 All counts are those of the corpus: a word counts at each of its occurrences.
 The distinct words and classes are dealt by ranges of their spelling, PART of
@@ -22,17 +23,12 @@ over an edge of a part are added up and broadcast. Contexts of one to three
 bytes are counted in tables with at least twice as many slots as there are
 different contexts.
 
-Words that were seen add their count c_k in class k, with N_k tokens and V_k
-distinct words in that class, by absolute discounting:
-
-    P(w | k) = max(c_k - D, 0) / N_k + D V_k / N_k M(w)
-
 Each distinct word is scored once. The scores of the MOST_BROADCAST most
 frequent are broadcast, all others meet the documents in a join, so no key of
 that join is frequent; the way changes no score.
 
 Defined cases: null texts are empty and have the end alone; without training
-documents c = N = V = 0, the base score of a token is 0 (log10 of 0.1 / 0.1) and
+documents all counts are 0, the base score of a token is 0 (log10 of 0.1 / 0.1) and
 the model's that of the untrained mixer; repeated rows are scored each.
 """
 
@@ -48,11 +44,11 @@ from .common import held_out, map_arrow, mix, powers, span_hashes, stored, utf8,
 #: Least slots of a table.
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
-#: Bytes of context; 0: the whole word so far, which is counted by parts.
-ORDERS = (1, 2, 3, 0)
+#: Bytes of context; the whole word so far, -1 with the class and 0 without, is
+#: counted by parts.
+ORDERS = (1, 2, 3, -1, 0)
 TABLED = sum(n > 0 for n in ORDERS)
 CLASSES = 16
-DISCOUNT = 0.75
 #: Words and classes of one part, and those whose scores are broadcast.
 PART = 50_000
 MOST_BROADCAST = 200_000
@@ -98,7 +94,7 @@ class Spelling:
         prefix = sums - np.repeat(sums[self.first], sizes) if total else sums
         self.contexts, of_class = [], mix(np.repeat(classes, sizes).astype(np.uint64) + np.uint64(1))
         for k, order in enumerate(ORDERS):
-            x = prefix + place.astype(np.uint64) if order == 0 else sum((back[n] << np.uint64(9 * (n - 1)) for n in range(1, order + 1)), np.uint64(0))
+            x = prefix + place.astype(np.uint64) if order <= 0 else sum((back[n] << np.uint64(9 * (n - 1)) for n in range(1, order + 1)), np.uint64(0))
             self.contexts.append(mix(x * np.uint64(8) + np.uint64(k) + (of_class if order else np.uint64(0))))
 
     def bits(self):
@@ -176,6 +172,15 @@ class Part:
         times, bit = np.tile(self.times, 8), np.concatenate(self.bits)
         return np.stack((np.bincount(at, times * (1 - bit), size), np.bincount(at, times * bit, size)), 1)
 
+    def short(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts of the contexts of one order: bytes after the same
+        context are added up, then taken apart into bits."""
+        _, first, at = np.unique(self.nodes[i][7] * np.uint64(2) + self.bits[7].astype(np.uint64), return_index=True, return_inverse=True)
+        times = np.tile(np.bincount(at, self.times, len(first)), 8)
+        bit = np.concatenate([x[first] for x in self.bits])
+        key, at = np.unique(np.concatenate([x[first] for x in self.nodes[i]]), return_inverse=True)
+        return key, np.stack((np.bincount(at, times * (1 - bit), len(key)), np.bincount(at, times * bit, len(key))), 1)
+
     def mixer(self, tables: list, over: dict) -> Mixer:
         """A mixer of the part's counts and what is broadcast; its slots."""
         for i, (key, count) in enumerate(zip(self.keys, self.counts)):
@@ -214,8 +219,7 @@ def contexts(words: DataFrame) -> tuple[list[np.ndarray], dict[int, tuple[np.nda
         held: list[list] = [[] for _ in ORDERS]
         for number, part in parts(batches):
             for i in range(TABLED):
-                key, at = np.unique(np.concatenate(part.nodes[i]), return_inverse=True)
-                held[i].append((key, part.tally(at, len(key))))
+                held[i].append(part.short(i))
                 if len(held[i]) >= 8:
                     held[i] = [joined(held[i])]
             some = shared.value[number]
@@ -369,15 +373,18 @@ class Mixer:
     def steps(self, part: Part):
         """(bit, inputs, gate, times) of the words that were seen, some bytes at
         a time: one of each word's occurrences is left out of the counts."""
+        without = []
+        for x in self.counts:
+            zeros, ones = np.log(x[:, 0] + 0.2), np.log(x[:, 1] + 0.2)
+            fewer = np.log(np.maximum(x - 1, 0) + 0.2)
+            without.append(np.stack((ones - fewer[:, 0], fewer[:, 1] - zeros), 1).astype(np.float32).ravel())
+        level = np.minimum(np.log2(np.maximum(self.counts[-1].sum(1) - 1, 0) + 1), 7).astype(np.int8)
         seen = np.flatnonzero(part.times > 0)
         for some in np.split(seen, range(5000, len(seen), 5000)):
             for j in range(8) if len(some) else ():
-                bit, inputs = part.bits[j][some], []
-                for count, slots in zip(self.counts, part.slots):
-                    x = count[slots[j][some]]
-                    zeros, ones = np.maximum(x[:, 0] - (bit == 0), 0), np.maximum(x[:, 1] - (bit == 1), 0)
-                    inputs.append(np.log((ones + 0.2) / (zeros + 0.2)))
-                yield bit, np.stack(inputs), np.minimum(np.log2(zeros + ones + 1), 7).astype(np.int64) * 8 + j, part.times[some]
+                bit = part.bits[j][some]
+                inputs = np.stack([table[slots[j][some] * 2 + bit] for table, slots in zip(without, part.slots)])
+                yield bit, inputs, level[part.slots[-1][j][some]].astype(np.int64) * 8 + j, part.times[some]
 
     def train(self, part: Part) -> np.ndarray:
         """Adjust the weights online; bits that each gate saw."""
@@ -409,7 +416,7 @@ class Mixer:
 def summed(rows: DataFrame, size: int) -> np.ndarray:
     """Sum of the arrays that the partitions give."""
     out = np.zeros(size)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         out += np.frombuffer(r.data, np.float64)
     return out
 
@@ -449,22 +456,17 @@ def learn(words: DataFrame) -> tuple:
     return shipped, weights, whole.map
 
 
-def scored(words: DataFrame, learned: tuple, seen: dict[int, tuple[int, int]]) -> DataFrame:
+def scored(words: DataFrame, learned: tuple) -> DataFrame:
     """key, c (occurrences in all classes) and lm (log10 of the probability) of
-    each word and class; seen: tokens and distinct words of each class."""
+    each word and class."""
     shipped, weights, table = learned
-    tokens, distinct = (np.array([seen.get(k, (0, 0))[i] for k in range(CLASSES)], float) for i in (0, 1))
 
     def run(batches):
         for _, part in parts(batches):
             mixer = part.mixer(*shipped.value)
             mixer.weights, mixer.map = weights, table
             mixer.settle()
-            lm = mixer.score(part)
-            of_class = np.maximum(tokens[part.k], 1)
-            rest = np.where(tokens[part.k] > 0, DISCOUNT * distinct[part.k] / of_class, 1.0)
-            lm = np.log10(np.maximum(part.n - DISCOUNT, 0) / of_class + rest * 10.0**lm)
-            yield pa.RecordBatch.from_arrays([pa.array(part.key), pa.array(part.c), pa.array(lm)], names=["key", "c", "lm"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.key), pa.array(part.c), pa.array(mixer.score(part))], names=["key", "c", "lm"])
 
     return stored(map_arrow(words, run, "key long, c long, lm double"), "scores")
 
@@ -476,10 +478,9 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     gathered = gather(training, True).union(gather(docs.filter("held_out"), False))
     words = dealt(stored(gathered.groupBy("key").agg(F.first("word").alias("word"), F.first("k").alias("k"), F.sum("n").alias("n")), "words"))
-    seen = {r.k: (r.n, r.v) for r in words.groupBy("k").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).collect()}
-    total = sum(n for n, _ in seen.values())
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     distinct = words.filter("n > 0").select("word").distinct().count()
-    scores = scored(words, learn(words), seen)
+    scores = scored(words, learn(words))
     # the largest count that no more than MOST_BROADCAST reach, by powers of 2^(1/8)
     level = F.floor(8 * F.log2(F.col("c") + 1))
     reach, least = 0, None

@@ -200,6 +200,18 @@ def test_lm_contexts_are_true_counts(spark, monkeypatch):
     assert got == words.count() and words.select("part").distinct().count() > 3
 
 
+def test_lm_mixer_scores_every_word(spark):
+    rows = spark.createDataFrame([(i, f"the word w{i % 7} is the {i}", "en", "s") for i in range(50)], SCHEMA)
+    words = lm.dealt(lm.stored(lm.gather(rows, True).groupBy("key").agg(lm.F.first("word").alias("word"), lm.F.first("k").alias("k"), lm.F.sum("n").alias("n")), "words"))
+    learned = lm.learn(words)
+    got = {r.key: r.lm for r in lm.scored(words, learned).collect()}
+    for _, part in lm.parts(words.orderBy("part").toArrow().to_batches()):
+        mixer = part.mixer(*learned[0].value)
+        mixer.weights, mixer.map = learned[1:]
+        mixer.settle()
+        assert [got[k] for k in part.key.tolist()] == pytest.approx(mixer.score(part).tolist(), abs=1e-4)
+
+
 def test_lm_edges(edge, empty):
     got = {r.doc_id: r for r in lm.report(edge).collect()}
     assert len(got) == len(EDGE) and got[1].n_tokens == 1 and got[1].bits_per_byte is None
