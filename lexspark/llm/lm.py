@@ -50,7 +50,7 @@ ORDERS = (1, 2, 3, -1, 0)
 TABLED = sum(n > 0 for n in ORDERS)
 CLASSES = 16
 #: Words and classes of one part, and those whose scores are broadcast.
-PART = 50_000
+PART = 10_000
 MOST_BROADCAST = 200_000
 RATE = 0.02
 GATES = 64
@@ -315,15 +315,36 @@ def block(texts: list[bytes]):
     return data, starts, ends, np.searchsorted(starts, upto)
 
 
+class Table:
+    """Counts (slots x zeros, ones) and what is derived from them."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.logs = np.log((counts[:, 1] + 0.2) / (counts[:, 0] + 0.2)).astype(np.float32)
+        self._without: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def without(self) -> np.ndarray:
+        """For each slot and bit, the input with that bit left out once."""
+        if self._without is None:
+            x, out = self.counts, np.empty((len(self.counts), 2), np.float32)
+            out[:, 0] = np.log((x[:, 1] + 0.2) / (np.maximum(x[:, 0] - 1, 0) + 0.2))
+            out[:, 1] = np.log((np.maximum(x[:, 1] - 1, 0) + 0.2) / (x[:, 0] + 0.2))
+            self._without = out.ravel()
+        return self._without
+
+
 class Mixer:
     """Probabilities of spellings from context counts."""
 
     def __init__(self, counts):
-        """counts: slots x (zeros, ones) of each order."""
-        self.counts = counts
-        self.table = [np.log((x[:, 1] + 0.2) / (x[:, 0] + 0.2)).astype(np.float32) for x in counts]
+        """counts: slots x (zeros, ones) of each order, or its Table."""
+        tables = [x if isinstance(x, Table) else Table(x) for x in counts]
+        self.tables, self.table, self.counts = tables, [x.logs for x in tables], [x.counts for x in tables]
         self.logs = np.zeros(0, np.float32)
-        self.level = np.minimum(np.log2(counts[-1].sum(1) + 1), 7).astype(np.int8)
+        self.level = np.minimum(np.log2(self.counts[-1].sum(1) + 1), 7).astype(np.int8)
         self.weights = np.full((GATES, len(ORDERS)), 0.35)
         self.map = np.tile(squash(np.linspace(-8, 8, BINS)), (GATES, 1))
 
@@ -373,11 +394,7 @@ class Mixer:
     def steps(self, part: Part):
         """(bit, inputs, gate, times) of the words that were seen, some bytes at
         a time: one of each word's occurrences is left out of the counts."""
-        without = []
-        for x in self.counts:
-            zeros, ones = np.log(x[:, 0] + 0.2), np.log(x[:, 1] + 0.2)
-            fewer = np.log(np.maximum(x - 1, 0) + 0.2)
-            without.append(np.stack((ones - fewer[:, 0], fewer[:, 1] - zeros), 1).astype(np.float32).ravel())
+        without = [x.without() for x in self.tables]
         level = np.minimum(np.log2(np.maximum(self.counts[-1].sum(1) - 1, 0) + 1), 7).astype(np.int8)
         seen = np.flatnonzero(part.times > 0)
         for some in np.split(seen, range(5000, len(seen), 5000)):
@@ -427,13 +444,17 @@ def learn(words: DataFrame) -> tuple:
     shipped = words.sparkSession.sparkContext.broadcast((tables, over))
     weights = np.full((GATES, len(ORDERS)), 0.35)
 
+    def opened():
+        return [Table(x) for x in shipped.value[0]], shipped.value[1]
+
     def packed(x: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["data"])
 
     def weigh(batches):
+        tables, wide = opened()
         own, out = weights.copy(), np.zeros((GATES, len(ORDERS) + 1))
         for _, part in parts(batches):
-            mixer = part.mixer(*shipped.value)
+            mixer = part.mixer(tables, wide)
             mixer.weights = own  # goes on from part to part
             seen = mixer.train(part)[:, None]
             out += np.concatenate((seen, own * seen), 1)
@@ -444,9 +465,10 @@ def learn(words: DataFrame) -> tuple:
     weights[met] = found[met, 1:] / found[met, :1]
 
     def observe(batches):
+        tables, wide = opened()
         out = np.zeros((2, GATES * BINS))
         for _, part in parts(batches):
-            mixer = part.mixer(*shipped.value)
+            mixer = part.mixer(tables, wide)
             mixer.weights = weights
             out += mixer.observe(part)
         yield packed(out)
@@ -462,8 +484,9 @@ def scored(words: DataFrame, learned: tuple) -> DataFrame:
     shipped, weights, table = learned
 
     def run(batches):
+        tables, wide = [Table(x) for x in shipped.value[0]], shipped.value[1]
         for _, part in parts(batches):
-            mixer = part.mixer(*shipped.value)
+            mixer = part.mixer(tables, wide)
             mixer.weights, mixer.map = weights, table
             mixer.settle()
             yield pa.RecordBatch.from_arrays([pa.array(part.key), pa.array(part.c), pa.array(mixer.score(part))], names=["key", "c", "lm"])
