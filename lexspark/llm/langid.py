@@ -218,12 +218,15 @@ class Model:
 def constant(score: np.ndarray, penalty: float) -> int | None:
     """The label of the best path, if that has no switch.
 
-    If no stretch gains more by another label than one switch costs, no path
-    beats the best constant one: k stretches have k switches at least."""
+    No path beats the best constant one if no stretch gains more by another
+    label than one switch costs, nor a stretch from the first word and one to
+    the last together: k stretches have k switches at least, or k - 1 if the
+    best label is nowhere, and then the first and the last are among them."""
     best = int(score.sum(0, dtype=np.float64).argmax())
     gain = np.cumsum(score - score[:, [best]], 0, dtype=np.float64)
-    low = np.minimum.accumulate(np.vstack((np.zeros(gain.shape[1]), gain[:-1])), 0)
-    return best if (gain - low).max() <= penalty else None
+    before = np.vstack((np.zeros(gain.shape[1]), gain[:-1]))
+    stretch = (gain - np.minimum.accumulate(before, 0)).max()
+    return best if max(stretch, gain.max() + (gain[-1] - before).max()) <= penalty else None
 
 
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:

@@ -242,6 +242,11 @@ def test_viterbi_is_the_best_path():
         assert value == pytest.approx(best(s, 5.0), abs=1e-3)
 
 
+def test_viterbi_without_the_best_constant_label():
+    score = np.array([(0, -40, -15), (-40, 0, -15)], np.float32)
+    assert langid.viterbi([score], 20.0)[0].tolist() == [0, 1]
+
+
 def test_language_spans_of_mixed_text(spark):
     rows = [(i, t, x, "s") for i in range(40) for t, x in (("the cat sat on the mat and was happy with it", "en"), ("der hund und die katze sind nicht in dem haus", "de"), ("кошка сидит дома и смотрит в окно", "ru"))]
     model = langid.Model(*langid.learn(spark.createDataFrame(rows, SCHEMA)))
