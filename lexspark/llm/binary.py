@@ -5,8 +5,9 @@ A shard is a sequence of frames, one for each document:
     4 bytes  b"LXR1"
     8 bytes  length of the payload, little-endian unsigned
     4 bytes  masked CRC-32 of those 8 bytes
-    payload  1 byte: bytes per id (2 or 4); 1 byte: 1 if doc_id is given;
-             8 bytes: doc_id, signed; then the ids, little-endian unsigned
+    payload  1 byte: bytes per id (2 or 4); 1 byte: kind of doc_id (0 none, 1 a
+             number, 2 a text); 8 bytes: doc_id, or the length of its UTF-8
+             bytes, which follow; then the ids, little-endian unsigned
     4 bytes  masked CRC-32 of the payload
     1 byte   b"\\n", the end of the frame
 
@@ -14,11 +15,15 @@ The mask is that of the TFRecord format: rotate right by 15, add 0xa282ead8.
 Spark's own text writer puts the frames into files (it writes a row's bytes as
 they are and the line feed after them), so that shards go to any file system
 that Spark can write, by its commit protocol; a lost executor's attempt leaves
-nothing behind. The index table has shard, offset, length, doc_id and n_tokens
-of every frame, for shuffled reads.
+nothing behind. A task starts a new shard before a frame that would make the one
+at hand larger than SHARD_BYTES, so that only a single frame can. Shards are
+named by their place in the order of doc_id. The index table has shard, offset,
+length, doc_id and n_tokens of every frame, for shuffled reads.
 
 Defined cases: null texts are empty; an empty text has the end id alone; a null
-doc_id sorts first; repeated doc_ids keep all their records.
+doc_id sorts first; repeated doc_ids keep all their records, in an order that a
+hash of the text and then of the place gives; a doc_id that is no whole number
+is kept as text, in the order of its own type; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,19 +37,21 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch, span_hashes, utf8
+from .common import map_arrow, scratch, span_hashes, stored, utf8
 from .tokens import read_tokenizer
 
 MAGIC = b"LXR1"
 HEAD = struct.Struct("<4sQI")
 META = struct.Struct("<BBq")
 TAIL = 5
-#: Bytes of text for one shard.
-SHARD_BYTES = 24 << 20
-#: Stretches that a worker's memo of ids holds before it starts anew.
-MEMO = 600_000
+#: Bytes of text for one task, and of frames in one shard.
+TASK_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+#: Stretches that a worker's memo of ids holds before it starts anew; with
+#: their ids about 20 bytes each.
+MEMO = 500_000
 #: Bytes of text that are cut at once.
-FAST_BYTES = 1 << 20
+FAST_BYTES = 1 << 18
 #: Texts of one Arrow batch.
 ROWS = 400
 END_ID = 0
@@ -55,8 +62,13 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
-    payload = META.pack(width, doc_id is not None, doc_id or 0) + ids.astype(f"<u{width}").tobytes()
+def frame(doc_id: int | str | None, ids: np.ndarray, width: int) -> bytes:
+    if isinstance(doc_id, str):
+        name = doc_id.encode()
+        head = META.pack(width, 2, len(name)) + name
+    else:
+        head = META.pack(width, doc_id is not None, doc_id or 0)
+    payload = head + ids.astype(f"<u{width}").tobytes()
     length = struct.pack("<Q", len(payload))
     return b"".join((MAGIC, length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload)), b"\n"))
 
@@ -72,8 +84,12 @@ def frames(data: bytes):
         payload = data[start:end]
         if len(data) < end + TAIL or data[end + 4 : end + 5] != b"\n" or masked(payload) != struct.unpack_from("<I", data, end)[0]:
             raise ValueError(f"damaged frame at byte {at}")
-        width, given, doc_id = META.unpack_from(payload)
-        yield at, end + TAIL - at, doc_id if given else None, np.frombuffer(payload, f"<u{width}", offset=META.size)
+        width, kind, doc_id = META.unpack_from(payload)
+        first = META.size
+        if kind == 2:
+            first += doc_id
+            doc_id = payload[META.size : first].decode()
+        yield at, end + TAIL - at, doc_id if kind else None, np.frombuffer(payload, f"<u{width}", offset=first)
         at = end + TAIL
 
 
@@ -202,67 +218,79 @@ class Encoder:
         return out
 
 
-_encoders: dict[int, Encoder] = {}
+def kind_of(docs: DataFrame) -> str:
+    """bigint for whole numbers, else string: how frames keep a doc_id."""
+    return "bigint" if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
 
 
-def encoder(data: bytes) -> Encoder:
-    key = hash(data)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(data)
-    return _encoders[key]
-
-
-def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> str:
+def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, task_bytes: int = TASK_BYTES, shard_bytes: int = SHARD_BYTES) -> str:
     """Write docs (doc_id, text) as shards under path, ascending by doc_id over
-    the shards' numbers; returns the path."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    count = max(1, -(-total // shard_bytes))
+    the shards' names; returns the path."""
+    spark, text = docs.sparkSession, F.col("text").cast("string")
+    # equal doc_ids, and equal rows, are spread too
+    order = ["by", "tie", "place"]
+    rows = docs.select(F.col("doc_id").alias("by"), F.xxhash64(text).alias("tie"), F.rand(7).alias("place"), text.alias("text"))
+    total = docs.agg(F.sum(F.octet_length(text)), F.count(F.lit(1))).first()
+    count = max(1, -(-((total[0] or 0) + 64 * total[1]) // task_bytes))
     shipped = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def encode(batches):
-        own = encoder(shipped.value)
-        end = np.array([end_id], np.uint32)
+        own, end = Encoder(shipped.value), np.array([end_id], np.uint32)
+        shard, held, before = 0, 0, 0
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            task, out, shards = batch.column("task").to_pylist(), [], []
             found = own.ids([t or b"" for t in utf8(batch.column("text"))])
-            out = pa.array((frame(i, np.concatenate((x, end)), own.width)[:-1] for i, x in zip(ids, found)), pa.binary())
-            yield pa.RecordBatch.from_arrays([out], names=["value"])
-
-    ordered = rows.repartitionByRange(int(count), "doc_id").sortWithinPartitions("doc_id")
-    map_arrow(ordered, encode, "value binary", ROWS).select(F.col("value").cast("string")).write.option("lineSep", "\n").option("compression", "none").text(path)
+            for n, i, x in zip(task, batch.column("doc_id").to_pylist(), found):
+                out.append(frame(i, np.concatenate((x, end)), own.width)[:-1])
+                if held and held + len(out[-1]) >= shard_bytes:
+                    shard, held = shard + 1, 0
+                held += len(out[-1]) + 1
+                shards.append(f"{n:08d}-{shard:08d}")
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.string()), pa.array(np.arange(before, before + len(out))), pa.array(out, pa.binary())], names=["shard", "nth", "value"])
+            before += len(out)
+
+    ordered = rows.repartitionByRange(int(count), *order).sortWithinPartitions(*order)
+    ordered = ordered.select(F.col("by").cast(kind_of(docs)).alias("doc_id"), "text", F.spark_partition_id().alias("task"))
+    # the writer wants its rows by shard; saying so keeps their order inside
+    out = map_arrow(ordered, encode, "shard string, nth long, value binary", ROWS).sortWithinPartitions("shard", "nth").select("shard", F.col("value").cast("string"))
+    out.write.partitionBy("shard").option("lineSep", "\n").option("compression", "none").option("maxRecordsPerFile", 0).text(path)
+    shipped.destroy()
     return path
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
+def shards(spark: SparkSession, path: str) -> DataFrame:
+    """shard (its name) and content of every shard."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return files.filter("length > 0").select(F.regexp_extract("path", r"shard=([^/]+)/", 1).alias("shard"), "content")
+
+
+def read_shards(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
     """shard, offset, length, doc_id, n_tokens, ids_crc32 of every frame, all
     checksums verified; the first five columns are the offset index."""
 
     def parse(batches):
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content")):
+            for name, data in zip(batch.column("shard").to_pylist(), batch.column("content")):
                 rows = [(at, size, doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for at, size, doc, ids in frames(data.as_py())]
-                cols = list(zip(*rows)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["shard", "offset", "length", "doc_id", "n_tokens", "ids_crc32"])
+                at, size, doc, n, crc = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(rows), pa.string()), pa.array(at, pa.int64()), pa.array(size, pa.int64()), pa.array(doc, pa.int64() if kind == "bigint" else pa.string()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["shard", "offset", "length", "doc_id", "n_tokens", "ids_crc32"],
+                )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    files = files.filter("length > 0").select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
-    return map_arrow(files, parse, "shard string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long")
+    return map_arrow(shards(spark, path), parse, f"shard string, offset long, length long, doc_id {kind}, n_tokens long, ids_crc32 long")
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
+def read_ids(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
     """doc_id and ids (array) of every frame."""
 
     def parse(batches):
         for batch in batches:
             for data in batch.column("content"):
                 for _, _, doc, ids in frames(data.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64() if kind == "bigint" else pa.string()), pa.array([ids.astype(np.int64)], pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).filter("length > 0")
-    return map_arrow(files.select("content"), parse, "doc_id long, ids array<long>")
+    return map_arrow(shards(spark, path).select("content"), parse, f"doc_id {kind}, ids array<long>")
 
 
 def write_index(frames_read: DataFrame, path: str) -> None:
@@ -278,12 +306,10 @@ def encode(docs: DataFrame, tokenizer_path: str, path: str | None = None) -> Dat
     spark = docs.sparkSession
     path = path or scratch(spark, "shards")
     write_shards(docs, tokenizer_path, f"{path}/data")
-    table = f"{path}/frames"
-    read_shards(spark, f"{path}/data").write.parquet(table)
-    found = spark.read.parquet(table)
+    found = stored(read_shards(spark, f"{path}/data", kind_of(docs)), "frames")
     write_index(found, f"{path}/index")
     per_shard = found.groupBy("shard").agg(F.sum("n_tokens").alias("_n"))
-    before = per_shard.select("shard", (F.sum("_n").over(Window.orderBy(F.regexp_extract("shard", r"part-(\d+)", 1).cast("long"))) - F.col("_n")).alias("_before"))
+    before = per_shard.select("shard", (F.sum("_n").over(Window.orderBy("shard")) - F.col("_n")).alias("_before"))
     within = Window.partitionBy("shard").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return found.join(before, "shard").select(
         "doc_id", (F.col("_before") + F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32", "shard", "offset", "length"

@@ -33,14 +33,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one where the
-    session names none (a local test session)."""
+    """The shared folder of spark.checkpoint.dir. Where the session names none,
+    a local master gets a folder of its own; a cluster has to name one."""
     sc = spark.sparkContext
     there = sc._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return str(there.get())
     own = spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="lexspark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
     sc.setCheckpointDir(own)
@@ -71,12 +73,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def pieces(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most rows rows and about BATCH_BYTES."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with batches bounded in rows and, where Spark can, bytes."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(fn, schema)
+    """mapInArrow over batches that are bounded in rows and bytes; the session's
+    own settings stay as they are."""
+    return df.mapInArrow(lambda batches: fn(pieces(batches, rows)), schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """For each name a column name that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def every(df: DataFrame) -> list[Column]:
+    """df's columns, whatever they are called."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

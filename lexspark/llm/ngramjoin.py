@@ -5,26 +5,34 @@ documents link when 100 * intersection >= 75 * union. Copies (equal sets) are
 one node, named by a fingerprint of the set.
 
 Signatures. Sets of a size band [B, 2B) share one partition of the hash domain
-into P(band) parts; a set of the top quarter of its band also signs by the
-partition of the next one, so that every pair that can link has a partition in
-common. Sets r and s that link differ in at most k = (|r| + |s|) / 7 elements,
-so in at most k parts, and agree on all others. A signature is one part with
-the elements that the set has in it (PartEnum's subsets at n2 = 1; larger
-subsets multiply the signatures without making them rarer); parts without
-elements have none. A set with more than k signatures shares one with every set
-that it links with. P is large enough that this holds but for rare sets; a band
-with such a set, and small bands, take parts of single elements, where it
-always holds.
+into n1 parts of n2 smaller ones each; a set of the top quarter of its band also
+signs by the partition of the next one, so that every pair that can link has a
+partition in common. Of each part all subsets of n2 - 1 smaller parts are
+enumerated, and the elements that the set has in such a subset are one
+signature, if there are any. Sets r and s that link differ in at most
+k = (|r| + |s|) / 7 elements, so all but k / 2 of the n1 parts hold one
+difference at most; leaving out the smaller part that holds it, r and s have
+the same signature. That signature isn't empty if r has elements in two smaller
+parts of the part. So a set with more than k / 2 such parts shares a signature
+with every set that it links with; what it has more of them is to spare. n1 is
+large enough that this holds but for rare sets. Those sign, besides, with the
+first elements of the set in hash order, as many as two sets that link can't
+both have without one in common; that is needed only to meet each other.
+n2 is 3 for bands up to SUBSETS, where single smaller parts would hold too few
+elements to be rare, and 2 beyond.
 
 Buckets. Sets that share a signature meet in a bucket. A bucket of at most
 COLD sets yields all its pairs. A larger one yields none at first: a set with
-more than k signatures that aren't in large buckets has met all its partners.
+fewer signatures in large buckets than it has to spare has met all its partners.
 The others (mostly members of large groups of near copies) are compared with
 their bucket's least member; then connected components are found, sets outside
 the largest component of a bucket are compared with one member of it, in each
-bucket another, and only those that are still outside with all the rest. So
-groups cost a multiple of their size, no link between two components is lost,
-and every pair that counts is verified on whole sets.
+bucket another, and those that are still outside meet what they share one of
+their rarest shingles with (as many as two sets that link can't both have
+without one in common). So groups cost a multiple of their size, no link
+between two components is lost, and every pair that counts is verified on whole
+sets. A task that makes more than COLD rows of one signature spreads the rest
+over all partitions, so no signature gathers in one place.
 
 Components come from alternating large-star and small-star rounds over
 checkpointed edges; nothing is collected.
@@ -44,13 +52,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow, mix, span_hashes, stored, utf8, word_spans
+from .common import cut, every, fresh, map_arrow, mix, span_hashes, stored, utf8, word_spans
 
 WORDS = 5
 #: A bucket of at most so many sets yields all its pairs.
 COLD = 24
-#: Signature rows for one partition.
+#: Sets of up to so many shingles sign with subsets of two parts of three.
+SUBSETS = 512
+#: Mean elements of a smaller part for the largest sets of a band, by n2.
+LOAD = {2: 2.75, 3: 1.85}
+#: Signature rows for one partition, and those that a task looks through for
+#: frequent ones at a time.
 ROWS = 2_000_000
+CHUNK = 1 << 19
+#: Pairs that are joined up at a time.
+PAIRS = 200_000
 #: Rounds in which a set outside is compared with one member of each bucket.
 PIVOT_ROUNDS = 3
 #: Sets, and shingles, of a group that is verified in one place.
@@ -87,14 +103,11 @@ def band_of(n: int) -> int:
     return n.bit_length() - 1
 
 
-def parts_of(band: int) -> int:
-    """Parts for the sets of sizes [2^band, 2^(band+1)); 0: one per element.
-
-    A set of the largest size n has 2n / 7 differences at most; with P = c * n
-    parts about c * (1 - exp(-1 / c)) * n hold something. c leaves six standard
-    deviations between the two."""
+def parts_of(band: int) -> tuple[int, int]:
+    """n1, n2 for the sets of sizes [2^band, 2^(band+1))."""
     top = 2 << band
-    return 0 if top <= 64 else int(top * (0.42 if top <= 128 else 0.37 if top <= 256 else 0.345 if top <= 1024 else 0.33))
+    n2 = 3 if top <= SUBSETS else 2
+    return max(1, round(top / (n2 * LOAD[n2]))), n2
 
 
 def bands_for(n: int) -> list[int]:
@@ -112,72 +125,98 @@ def part_of(own: np.ndarray, parts: int) -> np.ndarray:
     return ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
-def filled(own: np.ndarray, band: int) -> int:
-    """Parts that hold something."""
-    parts = parts_of(band)
-    return 1 + int(np.count_nonzero(np.diff(part_of(own, parts)))) if parts else len(own)
+def prefix_of(n: int) -> int:
+    """Elements of a set of n of which sets that link with it must have one
+    among their own, in any order that all sets share."""
+    return n - -(-3 * n // 4) + 1
 
 
-def signatures(own: np.ndarray, fine: frozenset[int] = frozenset()) -> list[tuple[int, np.ndarray, int]]:
-    """For each of the set's bands: the band, its signatures, and how many of
-    them may be left out without losing a link (negative: too few)."""
+def signatures(own: np.ndarray) -> list[tuple[tuple[int, int], np.ndarray, int]]:
+    """For each of the set's bands the domain (band, 0), its signatures, and how
+    many of them may be left out without losing a link (-1: they don't suffice,
+    then the domain (band, 1) has those of the set's first elements)."""
     out = []
     for band in bands_for(len(own)):
-        parts = 0 if band in fine else parts_of(band)
-        seed = mix(np.array([band * 2 + (parts == 0) + 1], np.uint64))[0]
-        if parts == 0:
-            sigs = mix(own ^ seed)
-        else:
-            part = part_of(own, parts)
-            starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            sigs = mix(np.add.reduceat(mix(own + seed), starts) ^ (part[starts] * _MULT[2] + seed))
-        out.append((band, sigs, len(sigs) - differences(len(own), band) - 1))
+        n1, n2 = parts_of(band)
+        seed, plain = mix(np.array([band * 2 + 1, band * 2 + 2], np.uint64) * _MULT[3])
+        part = part_of(own, n1 * n2).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        held = np.zeros(n1 * n2, np.uint64)
+        held[part[starts]] = np.add.reduceat(mix(own + seed), starts)
+        held = held.reshape(n1, n2)
+        full = held != 0
+        term = held * _MULT[:n2]
+        rest = term.sum(1, dtype=np.uint64)[:, None] - term  # without each of the smaller parts
+        some = full.sum(1)
+        kept = np.flatnonzero((some[:, None] - full > 0).ravel())
+        sigs = mix(rest.ravel()[kept] ^ (kept.astype(np.uint64) * _MULT[3] + seed))
+        spare = int(np.count_nonzero(some >= 2)) - differences(len(own), band) // 2 - 1
+        out.append(((band, 0), sigs, max(spare, -1)))
+        if spare < 0:
+            out.append(((band, 1), mix(own[: prefix_of(len(own))] ^ plain), 0))
     return out
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (fingerprint of its set), n_shingles, short (a band in
-    which the set's signatures don't suffice, or null)."""
+    """doc_id, node (fingerprint of its set), n_shingles."""
 
     def run(batches):
         for batch in batches:
-            node, n, short = [], [], []
+            node, n = [], []
             for text in utf8(batch.column("text")):
                 own = shingle_set(text)
                 node.append(fingerprint(own))
                 n.append(len(own))
-                short.append(next((band for band in bands_for(len(own)) if filled(own, band) <= differences(len(own), band)), None) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(short, pa.int32())], names=["doc_id", "node", "n_shingles", "short"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "node", "n_shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, node long, n_shingles long, short int")
+    return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, node long, n_shingles long")
+
 
+#: Marks a row of a bucket that is known to be large.
+LARGE = np.int64(-1 << 63)
 
-def signature_rows(docs: DataFrame, fine: frozenset[int]) -> DataFrame:
-    """sig, node, info (size << 32 | spare << 1 | whether of the next band) of
-    every document; a set that its task has seen before is left out, so that
-    copies cost a row per signature and task."""
+
+def signature_rows(docs: DataFrame) -> DataFrame:
+    """sig, node, info (size << 32 | (spare + 1) << 2 | 2 * kind + whether of the
+    next band) of every document; a set that its task has seen before is left
+    out, so that copies cost a row per signature and task. Rows beyond the first
+    COLD + 1 of a signature are marked LARGE."""
+
+    def emit(sig, node, info):
+        times = [len(s) for s in sig]
+        sig, node, info = np.concatenate(sig).view(np.int64), np.repeat(np.array(node, np.int64), times), np.repeat(np.array(info, np.int64), times)
+        order = np.argsort(sig, kind="stable")
+        ranked = sig[order]
+        starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        size = np.diff(np.append(starts, len(ranked)))
+        many = np.flatnonzero(size > COLD + 1)
+        if len(many):
+            more = np.concatenate([order[starts[i] + COLD + 1 : starts[i] + size[i]] for i in many])
+            info[more] |= LARGE
+        return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(info)], names=["sig", "node", "info"])
 
     def run(batches):
         seen: set[int] = set()
+        sig, node, info, held = [], [], [], 0
         for batch in batches:
-            sig, node, info = [], [], []
             for text in utf8(batch.column(0)):
                 own = shingle_set(text)
                 name = fingerprint(own)
                 if not len(own) or name in seen:
                     continue
                 seen.add(name)
-                for which, (_, sigs, spare) in enumerate(signatures(own, fine)):
+                low = band_of(len(own))
+                for (band, kind), sigs, spare in signatures(own):
                     sig.append(sigs)
                     node.append(name)
-                    info.append(len(own) << 32 | max(spare, 0) << 1 | which)
-            if sig:
-                times = [len(s) for s in sig]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(node, np.int64), times)), pa.array(np.repeat(np.array(info, np.int64), times))],
-                    names=["sig", "node", "info"],
-                )
+                    info.append(len(own) << 32 | (spare + 1) << 2 | kind << 1 | (band - low))
+                    held += len(sigs)
+                if held >= CHUNK:
+                    yield emit(sig, node, info)
+                    sig, node, info, held = [], [], [], 0
+        if sig:
+            yield emit(sig, node, info)
 
     return map_arrow(docs.select(F.col("text").cast("string")), run, "sig long, node long, info long")
 
@@ -195,6 +234,11 @@ def bucket_rows(sigs: DataFrame, partitions: int) -> DataFrame:
             return
         sig, node, info = (np.concatenate(x) for x in zip(*got))
         del got
+        known = info < 0
+        if known.any():
+            none = pa.nulls(int(known.sum()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(sig[known]), pa.array(node[known]), pa.array(info[known] & ~LARGE), none, none, none], names=MET)
+            sig, node, info = sig[~known], node[~known], info[~known]
         order = np.argsort(sig, kind="stable")
         sig = sig[order]
         twice = sig[1:] == sig[:-1]
@@ -219,7 +263,7 @@ def bucket_rows(sigs: DataFrame, partitions: int) -> DataFrame:
                 right.append(b[fit])
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
-            order = np.lexsort((info[a] & 1, info[b] & 1, node[b], node[a]))
+            order = np.lexsort((info[a] & 3, info[b] & 3, node[b], node[a]))
             a, b = a[order], b[order]
             fresh = np.ones(len(a), bool)
             fresh[1:] = (node[a[1:]] != node[a[:-1]]) | (node[b[1:]] != node[b[:-1]]) | (info[a[1:]] != info[a[:-1]]) | (info[b[1:]] != info[b[:-1]])
@@ -232,13 +276,14 @@ def bucket_rows(sigs: DataFrame, partitions: int) -> DataFrame:
             none = pa.nulls(int(large.sum()), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(sig[large]), pa.array(node[large]), pa.array(info[large]), none, none, none], names=MET)
 
-    return map_arrow(sigs.repartition(partitions, "sig"), run, ", ".join(f"{c} long" for c in MET))
+    place = F.when(F.col("info") < 0, F.col("node")).otherwise(F.col("sig"))
+    return map_arrow(sigs.repartition(partitions, place), run, ", ".join(f"{c} long" for c in MET))
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """A column of ids, checkpointed; to be broadcast if it has few rows."""
-    ids = cut(ids)
-    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+def small(rows: DataFrame) -> DataFrame:
+    """A narrow table, checkpointed; to be broadcast if it has few rows."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows
 
 
 def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -249,11 +294,14 @@ def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     some = texts.join(small(named.select("doc_id")), "doc_id", "left_semi").union(texts.filter("doc_id is null"))
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            own = [shingle_set(t) for t in utf8(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "shingles"])
+            own = {fingerprint(x): x.tobytes() for x in map(shingle_set, utf8(batch.column("text")))}
+            new = [x for x in own if x not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([own[x] for x in new], pa.binary())], names=["node", "shingles"])
 
-    return map_arrow(some, run, "node long, shingles binary")
+    return map_arrow(some, run, "node long, shingles binary").join(small(nodes.select("node").distinct()), "node", "left_semi")
 
 
 def links_between(x: bytes, y: bytes) -> bool:
@@ -362,22 +410,30 @@ def components(edges: DataFrame) -> DataFrame:
 
     def contract(batches):
         # what meets in one task by chance is joined up there first
-        pairs = [p for b in batches for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+        pairs: list = []
+        for batch in batches:
+            pairs += zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())
+            if len(pairs) >= PAIRS:
+                yield emit(pairs)
+                pairs = []
+        yield emit(pairs)
+
+    def emit(pairs):
         found = [(x, r) for x, r in joined_up({x for p in pairs for x in p}, pairs).items() if x != r]
         a, b = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     state = lambda df: tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-    spread = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition("b")
+    spread = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition("a", "b")
     edges = cut(map_arrow(spread, contract, "a long, b long").distinct())
     now = state(edges)
     while True:
         # large star: each node's larger neighbours go to its least neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = small(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = cut(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         # small star: smaller neighbours, and the node, go to the least one
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = small(large.groupBy("a").agg(F.min("b").alias("m")))
         linked = large.join(least, "a").filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         edges = cut(linked.union(least.select("a", F.col("m").alias("b"))).distinct())
         before, now = now, state(edges)
@@ -393,14 +449,14 @@ def candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     Of the signatures of a set with so many to spare, one more than these must
     be shared with each set that links with it; those in large buckets may be,
     the others must have met."""
-    spare = lambda c: F.expr(f"({c} & 4294967295) div 2")
+    spare = lambda c: F.expr(f"({c} & 4294967295) div 4 - 1")
     members = met.filter("sig is not null").select("sig", "a", F.col("info_a").alias("info"))
     hidden = cut(members.groupBy("a", "info").agg(F.count(F.lit(1)).alias("hidden")))
     heavy_nodes = hidden.filter(F.col("hidden") > spare("info")).select("a", "info", (F.col("hidden") - spare("info")).alias("need"))
     heavy = members.join(heavy_nodes.select("a").distinct(), "a", "left_semi").join(heavy_nodes, ["a", "info"], "left")
     # of a set's large buckets, as many of the largest as it has signatures to
     # spare aren't needed to meet its partners
-    size = heavy.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    size = small(heavy.groupBy("sig").agg(F.count(F.lit(1)).alias("size")))
     place = F.row_number().over(Window.partitionBy("a", "info").orderBy("size", "sig"))
     heavy = cut(heavy.join(size, "sig").select("sig", "a", (place <= F.coalesce("need", F.lit(0))).alias("needed")))
     pairs = met.filter("sig is null").groupBy("a", "info_a", "b", "info_b").agg(F.sum("times").alias("times"))
@@ -415,12 +471,12 @@ def candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
 def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node, root of the sets that link with others (and of some that don't):
     the least node reachable by links."""
-    stats = sets.agg(F.sum("n_shingles").alias("n"), F.collect_set("short").alias("short")).first()
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     spark = docs.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(stats.n or 0) // ROWS))
-    met = stored(bucket_rows(signature_rows(docs, frozenset(stats.short)), partitions), "buckets")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // ROWS))
+    met = stored(bucket_rows(signature_rows(docs), partitions), "buckets")
     pairs, heavy = candidates(met)
-    first = heavy.groupBy("sig").agg(F.min("a").alias("b"))
+    first = small(heavy.groupBy("sig").agg(F.min("a").alias("b")))
     stars = heavy.join(first, "sig").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     ask = cut(pairs.union(stars).distinct())
 
@@ -449,19 +505,21 @@ def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     placed = cut(components(found))
 
     # in large buckets: sets outside the largest component, first with one
-    # member each of the largest component of many buckets, then with all
+    # member each of the largest component of many buckets
     tested = tried.union(apart)
     for rounds in range(PIVOT_ROUNDS + 1):
-        every = heavy.join(placed, F.col("a") == F.col("node"), "left").select("sig", "a", "needed", F.coalesce("root", "a").alias("root"))
-        counts = every.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max_by("a", F.xxhash64("sig", "a", F.lit(rounds))).alias("pivot"))
+        rooted = heavy.join(small(placed), F.col("a") == F.col("node"), "left").select("sig", "a", "needed", F.coalesce("root", "a").alias("root"))
+        counts = rooted.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("c"), F.max_by("a", F.xxhash64("sig", "a", F.lit(rounds))).alias("pivot"))
         top = counts.groupBy("sig").agg(F.max_by(F.struct("root", "pivot"), F.struct("c", "root")).alias("t"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        every = cut(every.join(top.select("sig", F.col("t.root").alias("top"), "t.pivot"), "sig"))
-        outside = every.filter("needed and root <> top")
+        rooted = cut(rooted.join(small(top.select("sig", F.col("t.root").alias("top"), "t.pivot")), "sig"))
+        outside = rooted.filter("needed and root <> top")
+        if outside.isEmpty():
+            break
         if rounds < PIVOT_ROUNDS:
             pairs = outside.select(F.greatest("a", "pivot").alias("a"), F.least("a", "pivot").alias("b"))
         else:
-            outside = outside.select("sig", F.col("a").alias("u"), F.col("root").alias("ru"))
-            pairs = every.select("sig", "a", "root").join(outside, "sig").filter("root <> ru").select(F.greatest("a", "u").alias("a"), F.least("a", "u").alias("b"))
+            members = rooted.groupBy("a").agg(F.first("root").alias("root"), F.max(F.col("needed") & (F.col("root") != F.col("top"))).alias("asks"))
+            pairs = rare_pairs(own, members)
         pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             continue
@@ -471,38 +529,88 @@ def linked_sets(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return roots.union(placed)
 
 
+def rare_pairs(own: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs a > b of members (a, root, asks) with different roots, one of which
+    asks, that have one of both sets' rarest shingles in common: of all that
+    link, by the prefix filter, in the order of frequency among members."""
+
+    def explode(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("shingles")]
+            n = [len(x) for x in sets]
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column("node"), np.int64), n)), pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(n, np.int64), n))], names=["a", "x", "n"])
+
+    rows = stored(map_arrow(own.join(small(members.select(F.col("a").alias("node"))), "node", "left_semi").dropDuplicates(["node"]), explode, "a long, x long, n long", 200), "shingles")
+    frequency = small(rows.groupBy("x").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.coalesce("df", F.lit(1)), "x"))
+    first = rows.join(frequency, "x", "left").withColumn("_r", place).filter((F.col("_r") <= F.col("n") - F.ceil(F.lit(3) * F.col("n") / 4) + 1) & (F.col("df") > 1))
+    first = stored(first.select("a", "x", "n").join(small(members), "a"), "prefixes")
+    asks = first.filter("asks").select("x", F.col("a").alias("u"), F.col("root").alias("ru"), F.col("n").alias("nu"))
+    fit = (F.col("root") != F.col("ru")) & (4 * F.least("n", "nu") >= 3 * F.greatest("n", "nu"))
+    return first.join(asks, "x").filter(fit).select(F.greatest("a", "u").alias("a"), F.least("a", "u").alias("b"))
+
+
+def named(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, component_id (least doc_id) and first (its least doc_id) of every
+    node that isn't empty."""
+    least = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    joined = least.join(small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    return joined.join(names, "root").select("node", "first", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
     sets = stored(document_sets(docs), "docsets")
-    roots = linked_sets(docs, sets)
-    # a set's documents: its least doc_id, then the least over its component
-    least = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    joined = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_node = joined.join(names, "root").select("node", "component_id")
-    out = sets.join(of_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # only documents whose component has another name than theirs need a join
+    names = named(sets, linked_sets(docs, sets))
+    many = sets.groupBy("node").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y"), F.count("doc_id").alias("c"), F.count(F.lit(1)).alias("all"))
+    many = many.filter("x <> y or c < all").select("node")
+    moved = names.filter("not (first <=> component_id)").select("node", "component_id")
+    again = names.join(many, "node", "left_semi").select("node", "component_id")
+    of_node = small(moved.union(again).distinct())
+    filled = sets.filter("n_shingles > 0").join(of_node, "node", "left")
+    out = filled.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.union(sets.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without those that have a smaller doc_id in their component; of
-    rows with one doc_id, one is kept; those with a null doc_id all are."""
+    """One row of each component: that with the least doc_id (null last), of
+    several texts of one doc_id that with the least fingerprint, of equal rows
+    any. Rows without shingles all stay.
+
+    A doc_id that one row has is decided by the doc_id alone, so that texts stay
+    where they are; where several rows share one, their sets are made anew."""
     sets = stored(document_sets(docs), "docsets")
-    roots = linked_sets(docs, sets)
-    # per node: its least doc_id, and the least of its component
-    least = sets.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
-    joined = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_node = joined.join(names, "root").select("node", "component_id")
-    rows = sets.join(of_node, "node", "left")
-    # few columns a row; the texts stay where they are if the ids are few
-    go = rows.filter("component_id is not null and doc_id > component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
-    out = docs.join(small(go.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
-    again = small(rows.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("doc_id"))
-    if again.isEmpty():
-        return out
-    once = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
+    roots = small(linked_sets(docs, sets))
+    filled = sets.filter("n_shingles > 0").select("doc_id", "node").distinct()
+    joined = filled.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("node"))
+    stays = joined.groupBy("root").agg(F.min_by(F.struct("doc_id", "node"), order).alias("k")).select("k.doc_id", "k.node")
+    stays = cut(stays)
+    repeated = sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1 or doc_id is null").select("doc_id")
+    repeated = small(repeated)
+    node, key, of = fresh(docs, "_node", "_key", "_of")
+    go = filled.join(stays, filled["doc_id"].eqNullSafe(stays["doc_id"]) & (filled["node"] == stays["node"]), "left_anti").select(F.col("doc_id").alias(key))
+    again = repeated.select(F.col("doc_id").alias(key))
+    same = F.col("doc_id").eqNullSafe(F.col(key))
+    single = docs.join(again, same, "left_anti").join(small(go), same, "left_anti")
+    if repeated.isEmpty():
+        return single
+
+    def fingerprints(batches):
+        for batch in batches:
+            found = [fingerprint(shingle_set(t)) for t in utf8(batch.column(text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], schema=pa.schema([*list(batch.schema)[:-1], pa.field(node, pa.int64())]))
+
+    text = fresh(docs, "_text")[0]
+    with_text = docs.join(again, same, "left_semi").withColumn(text, F.col("text").cast("string"))
+    schema = docs.select("*", F.lit(0).cast("long").alias(node)).schema
+    several = map_arrow(with_text, fingerprints, schema)
+    k = stays.select(F.col("doc_id").alias(key), F.col("node").alias(of))
+    kept = several.join(k, same & (F.col(node) == F.col(of)), "left_semi").groupBy("doc_id", node).agg(F.first(F.struct(*every(docs))).alias(of)).select(f"{of}.*")
+    return single.select(*every(docs)).union(several.filter(F.col(node) == 0).select(*every(docs))).union(kept)
 
 
 #: DuckDB's SQL for near_duplicates().

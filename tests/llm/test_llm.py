@@ -443,6 +443,34 @@ def test_signatures_suffice():
             assert best >= 1
 
 
+def test_signatures_are_subsets_of_parts():
+    """Each signature is what a set has in two smaller parts of three: it stays
+    when the third changes, and goes when one of the two does."""
+    rng = np.random.default_rng(8)
+    r = np.unique(rng.integers(0, 1 << 63, 100).astype(np.uint64))
+    band = ngramjoin.band_of(len(r))
+    n1, n2 = ngramjoin.parts_of(band)
+    assert n2 == 3
+    part = ngramjoin.part_of(r, n1 * n2)
+    own = dict(((a, x) for a, x, _ in ngramjoin.signatures(r)))[band, 0]
+    for at in range(0, 100, 7):
+        s = np.delete(r, at)
+        other = dict(((a, x) for a, x, _ in ngramjoin.signatures(s))).get((band, 0))
+        lost = len(np.setdiff1d(own, other))
+        assert lost == 2  # the two subsets that hold its smaller part
+        assert len(np.intersect1d(own, other)) == len(own) - 2
+        assert int(part[at]) // n2 < n1
+
+
+def test_keep_one_goes_by_row(spark):
+    rows = [(1, "a b c d e f g", 1, 1), (2, "h i j k l m n o", 2, 2), (2, "a b c d e f g", 3, 3), (3, "p q r s t u v", 4, 4), (3, "w x y z a b c", 5, 5), (3, "p q r s t u v", 4, 4), (4, "", 6, 6), (4, None, 7, 7), (None, "a b c d e f g", 8, 8), (None, "only here with no id at all", 9, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_node` long, `_key` long")
+    got = ngramjoin.keep_one(df)
+    assert got.columns == df.columns
+    want = [rows[i] for i in (0, 1, 3, 4, 6, 7, 9)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_hashes_follow_words():
     data = np.frombuffer(b"one two one  three\n", np.uint8)
     h = common.span_hashes(data, *common.word_spans(data))
