@@ -8,12 +8,18 @@ Viterbi over the words of a text, with a penalty for each switch, labels spans;
 the text's language is that of most letters.
 
 The n-gram counts are gathered from all training documents, into BUCKETS hash
-buckets per language: the table that is broadcast is bounded by the number of
-languages, not by the documents.
+buckets per language, or fewer where that many times the languages would be more
+than TABLE numbers: the table that is broadcast is bounded, whatever is learned.
+
+Texts of more than LONG words are labelled block by block: forwards for the state
+at the start of each block, then backwards, each block made anew for its path.
+So memory is bounded by the languages times a block, not by a text.
 
 Defined cases: null texts and texts without a letter are und, score 0; rows
 without lang or text aren't learned from; without any training row all are und;
-of two languages with equally many letters the smaller name is taken.
+of two languages with equally many letters the smaller name is taken; repeated
+rows get equal results; columns named lang_pred or score are replaced, other
+columns of docs but text are kept.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held_out, map_arrow, mix, utf8
+from .common import chunks, cut, held_out, map_arrow, mix, utf8
 
 #: 2^16, as buckets are the upper 16 bits of a hash.
 BUCKETS = 1 << 16
@@ -37,9 +43,14 @@ SWITCH = 20.0
 MOST_NGRAMS = 12
 #: Share of a language's letters that a script must have.
 SCRIPT_SHARE = 0.001
-MEMO = 400_000
-#: More languages than this are refused: their table is broadcast.
-MOST_LANGUAGES = 500
+#: Scores (words times languages) that a worker keeps before it starts anew.
+MEMO = 1_600_000
+#: Numbers in the table that is broadcast.
+TABLE = 1 << 25
+#: Words (or stretches between spaces) of a text that is taken whole, and of a
+#: block of a longer one; cells of texts that are taken together.
+LONG = 20_000
+CELLS = 1 << 19
 
 #: Ranges of code points and their scripts (Unicode blocks).
 SCRIPTS = (
@@ -102,7 +113,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), utf8(batch.column("text"))):
                 found[lang].update(pieces(text))
-            if sum(map(len, found.values())) > MEMO:
+            if sum(map(len, found.values())) > 400_000:
                 yield emit(found)
                 found.clear()
         yield emit(found)
@@ -145,6 +156,7 @@ class Model:
     def words(self, words: list[str]) -> np.ndarray:
         """Scores of words: words x languages."""
         word, bucket = ngrams(words)
+        bucket &= len(self.table) - 1
         count = np.bincount(word, minlength=len(words))
         out = np.stack([np.bincount(word, column[bucket], len(words)) for column in self.table.T], 1)
         out *= (np.minimum(count, MOST_NGRAMS) / count)[:, None]
@@ -157,7 +169,7 @@ class Model:
         return out
 
     def learn(self, new: list[bytes]) -> None:
-        if len(self.memo) + len(new) > MEMO:
+        if (len(self.letters) + len(new)) * len(self.langs) > MEMO:
             self.fresh()
         words, at = [], len(self.letters)
         for piece in new:
@@ -169,15 +181,14 @@ class Model:
             self.scores = np.concatenate((self.scores, self.words(words).astype(np.float32)))
             self.letters = np.concatenate((self.letters, [len(w) for w in words]))
 
-    def prepare(self, texts: list[bytes | None]) -> None:
+    def prepare(self, texts: list[list[bytes]]) -> None:
         """Learn the texts' new words in one go."""
-        new = dict.fromkeys(p for t in texts for p in set(pieces(t)) if p not in self.memo)
+        new = dict.fromkeys(p for t in texts for p in set(t) if p not in self.memo)
         if new and self.langs:
             self.learn(list(new))
 
-    def rows(self, text: bytes) -> np.ndarray:
-        """Rows of scores of the text's words, in order."""
-        parts = pieces(text)
+    def rows(self, parts: list[bytes]) -> np.ndarray:
+        """Rows of scores of the words in the pieces, in order."""
         memo = self.memo
         found = list(map(memo.get, parts))
         if None in found:
@@ -198,10 +209,52 @@ class Model:
         none = np.zeros(0, np.int64)
         if not self.langs:
             return [(none, none)] * len(texts)
-        self.prepare(texts)
-        rows = [self.rows(t or b"") for t in texts]
-        paths = viterbi([self.scores[r] for r in rows], SWITCH)
-        return [(path, self.letters[r]) for path, r in zip(paths, rows)]
+        out: list = [(none, none)] * len(texts)
+        parts = [pieces(t) for t in texts]
+        at = 0
+        while at < len(parts):
+            # together as many as fit in CELLS, or a long one by itself
+            some, held = [], 0
+            while at < len(parts) and len(parts[at]) <= LONG and (not some or held + len(parts[at]) * len(self.langs) <= CELLS):
+                held += len(parts[at]) * len(self.langs)
+                some.append(at)
+                at += 1
+            if not some:
+                out[at] = self.long(parts[at])
+                at += 1
+                continue
+            self.prepare([parts[i] for i in some])
+            held_rows = []
+            for i in some:
+                r = self.rows(parts[i])  # may start the memo anew, so take what it gives now
+                held_rows.append((self.scores[r], self.letters[r]))
+            for i, path, (_, letters) in zip(some, viterbi([x for x, _ in held_rows], SWITCH), held_rows):
+                out[i] = (path, letters)
+        return out
+
+    def long(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As spans(), for one text, by blocks."""
+
+        def block(at: int) -> tuple[np.ndarray, np.ndarray]:
+            r = self.rows(parts[at : at + LONG])
+            return self.scores[r], self.letters[r]
+
+        states, state, letters = [], None, []
+        for at in range(0, len(parts), LONG):
+            score, own = block(at)
+            states.append(state)
+            letters.append(own)
+            _, state = steps(score, SWITCH, state)
+        if state is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        paths, last = [], int(state.argmax())
+        for n in range(len(states) - 1, -1, -1):
+            back, _ = steps(block(n * LONG)[0], SWITCH, states[n])
+            path = np.zeros(len(back), np.int64)
+            for t in range(len(back) - 1, -1, -1):
+                path[t], last = last, int(back[t, last])
+            paths.append(path)
+        return np.concatenate(paths[::-1]), np.concatenate(letters)
 
     def predict(self, texts: list[bytes | None]) -> list[tuple[str, float]]:
         out = []
@@ -229,10 +282,27 @@ def constant(score: np.ndarray, penalty: float) -> int | None:
     return best if max(stretch, gain.max() + (gain[-1] - before).max()) <= penalty else None
 
 
+def steps(score: np.ndarray, penalty: float, state: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """For each word and label the label before it on the best path, and the
+    values of the best paths after the last word, from those before the first
+    (None: the text starts here)."""
+    own = np.arange(score.shape[1])
+    back = np.zeros(score.shape, np.int16)
+    for t, row in enumerate(score.astype(np.float64)):
+        if state is None:
+            state, back[t] = row, own
+            continue
+        top = int(state.argmax())
+        other = state[top] - penalty
+        back[t] = np.where(other > state, top, own)
+        state = np.maximum(state, other) + row
+    return back, state
+
+
 def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     """Labels of the best path through each score (words x labels), less
     penalty for each switch. Paths that switch are found step by step, for
-    texts of about the same length at once."""
+    texts of about the same length at once, of CELLS cells together or one."""
     out: list = [np.zeros(0, np.int64)] * len(scores)
     left = []
     for i, score in enumerate(scores):
@@ -243,53 +313,58 @@ def viterbi(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
             else:
                 out[i] = np.full(len(score), label)
     left.sort(key=lambda i: -len(scores[i]))
-    for some in (left[i : i + 64] for i in range(0, len(left), 64)):
-        sizes = np.array([len(scores[i]) for i in some])
-        k, steps = scores[some[0]].shape[1], int(sizes[0])
-        padded = np.zeros((steps, len(some), k), np.float32)
-        for j, i in enumerate(some):
-            padded[: sizes[j], j] = scores[i]
-        back = np.zeros((steps, len(some), k), np.int16)
-        own, docs = np.arange(k), np.arange(len(some))
-        state = padded[0].astype(np.float64)
-        for t in range(1, steps):
-            live = int(np.searchsorted(-sizes, -t))  # texts longer than t come first
-            here = state[:live]
-            top = here.argmax(1)
-            other = here[docs[:live], top][:, None] - penalty
-            switch = other > here
-            back[t, :live] = np.where(switch, top[:, None], own)
-            here = np.where(switch, other, here) + padded[t, :live]
-            state[:live] = here
-        last = state.argmax(1)
-        path = np.zeros((steps, len(some)), np.int64)
-        path[sizes - 1, docs] = last
-        for t in range(steps - 1, 0, -1):
-            live = int(np.searchsorted(-sizes, -t))
-            path[t - 1, :live] = back[t, docs[:live], path[t, :live]]
-        for j, i in enumerate(some):
-            out[i] = path[: sizes[j], j].copy()
+    while left:
+        n = max(1, CELLS // scores[left[0]].size)
+        some, left = left[:n], left[n:]
+        for i, path in zip(some, together([scores[i] for i in some], penalty)):
+            out[i] = path
     return out
 
 
+def together(scores: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """Best paths through scores, of which the longest is the first."""
+    sizes = np.array([len(x) for x in scores])
+    k, most = scores[0].shape[1], int(sizes[0])
+    padded = np.zeros((most, len(scores), k), np.float32)
+    for j, x in enumerate(scores):
+        padded[: sizes[j], j] = x
+    back = np.zeros((most, len(scores), k), np.int16)
+    own, docs = np.arange(k), np.arange(len(scores))
+    state = padded[0].astype(np.float64)
+    for t in range(1, most):
+        live = int(np.searchsorted(-sizes, -t))  # texts longer than t come first
+        here = state[:live]
+        top = here.argmax(1)
+        other = here[docs[:live], top][:, None] - penalty
+        switch = other > here
+        back[t, :live] = np.where(switch, top[:, None], own)
+        state[:live] = np.where(switch, other, here) + padded[t, :live]
+    path = np.zeros((most, len(scores)), np.int64)
+    path[sizes - 1, docs] = state.argmax(1)
+    for t in range(most - 1, 0, -1):
+        live = int(np.searchsorted(-sizes, -t))
+        path[t - 1, :live] = back[t, docs[:live], path[t, :live]]
+    return [path[: sizes[j], j].copy() for j in range(len(scores))]
+
+
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray, dict[str, list[int]]]:
-    rows = count_ngrams(docs)
-    found: dict[str, np.ndarray] = {}
+    rows = cut(count_ngrams(docs))
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    buckets = BUCKETS
+    while buckets * len(langs) > TABLE and buckets > 256:
+        buckets //= 2
+    place = {x: i for i, x in enumerate(langs)}
+    counts = np.zeros((buckets, len(langs)), np.float32)
     scripts: dict[str, Counter] = defaultdict(Counter)
     for r in rows.toLocalIterator():
-        if r.lang not in found:
-            if len(found) >= MOST_LANGUAGES:
-                raise ValueError(f"more than {MOST_LANGUAGES} languages")
-            found[r.lang] = np.zeros(BUCKETS)
         if r.kind == 0:
-            found[r.lang][int(r.at)] = r.n
+            counts[int(r.at) & (buckets - 1), place[r.lang]] += r.n
         else:
             scripts[r.lang][r.at] = r.n
-    langs = sorted(found)
     if not langs:
-        return [], np.zeros((BUCKETS, 0), np.float32), {}
-    counts = np.stack([found[x] for x in langs], 1)
-    table = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * BUCKETS))
+        return [], counts, {}
+    total = counts.sum(0, dtype=np.float64) + 0.5 * buckets
+    table = np.log((counts + np.float32(0.5)) / total.astype(np.float32))
     of_script: dict[str, list[int]] = defaultdict(list)
     for i, x in enumerate(langs):
         total = sum(scripts[x].values())

@@ -247,6 +247,18 @@ def test_viterbi_without_the_best_constant_label():
     assert langid.viterbi([score], 20.0)[0].tolist() == [0, 1]
 
 
+def test_language_blocks_of_long_texts_change_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    model = langid.Model(["de", "en", "fr"], rng.normal(size=(langid.BUCKETS, 3)).astype(np.float32) * 4, {})
+    texts = [" ".join(f"{rng.choice(['ab', 'xy', 'pq'])}{i % 37:x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(n)).encode() for n in (1, 5, 300, 900)]
+    whole = model.spans(texts)
+    assert any(len(set(path.tolist())) > 1 for path, _ in whole)
+    monkeypatch.setattr(langid, "LONG", 7)
+    monkeypatch.setattr(langid, "MEMO", 60)
+    for (path, letters), (path2, letters2) in zip(whole, model.spans(texts)):
+        assert letters.tolist() == letters2.tolist() and path.tolist() == path2.tolist()
+
+
 def test_language_spans_of_mixed_text(spark):
     rows = [(i, t, x, "s") for i in range(40) for t, x in (("the cat sat on the mat and was happy with it", "en"), ("der hund und die katze sind nicht in dem haus", "de"), ("кошка сидит дома и смотрит в окно", "ru"))]
     model = langid.Model(*langid.learn(spark.createDataFrame(rows, SCHEMA)))
