@@ -1,15 +1,20 @@
 """License scan: an exact set-similarity join of text blocks with templates.
 
-A template is a set of words, a block is a line or a paragraph (a run of lines
-that are not blank). A block meets a template when it holds at least CONTAINED
-of the template's words. Words are put in the global order of their document
-frequency, rarest first; a block that meets a template of m words with an
-overlap of o must hold one of its first m - o + 1 words (prefix filter), have o
-words itself (length filter) and can overlap no more than what follows the
-first shared word in that order (positional filter). What passes is verified.
+A template is a set of words (a notice, or a paragraph of a licence), a block is
+a line or a paragraph (a run of lines that are not blank). A block meets a
+template when it holds at least CONTAINED of the template's words. Words are put
+in the global order of their document frequency, rarest first. A block that
+meets a template of m words with an overlap of o must hold one of its first
+m - o + 1 words (prefix filter) and have o of the templates' words itself
+(length filter); words of the block are looked up in that order, and at each one
+that is shared the overlap can't exceed the shared ones so far and the fewer of
+the words that follow in the template and in the block (positional filter). What
+passes is verified.
 
 Defined cases: null texts are empty; an empty text has no words, no labels and
-score 0; a base phrase without a template scores PHRASE_SCORE.
+score 0; a base phrase without a template scores PHRASE_SCORE; repeated rows get
+equal results; equally frequent words are ordered by their bytes; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM_TABLE, map_arrow, utf8
+from .notices import NOTICES as TEMPLATES
 
 #: Share of a template's words that a block must hold.
 CONTAINED = 0.8
@@ -32,21 +38,6 @@ MOST_TEMPLATES = 10_000
 #: The base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Label and wording of usual notices.
-TEMPLATES = (
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by", "Licensed under a Creative Commons Attribution 4.0 International License"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-)
-
-
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(ALNUM_TABLE).split()
 
@@ -72,33 +63,47 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[by
     return {bytes(r.w): r.n for r in rows.groupBy("w").agg(F.sum("n").alias("n")).toLocalIterator()}
 
 
-def prefix_index(sets, frequency: dict[bytes, int], contained: float):
-    """Prefix word -> (template, overlap asked for, words from there on)."""
-    index: dict[bytes, list[tuple[int, int, int]]] = {}
-    for n, (_, words) in enumerate(sets):
-        order = sorted(words, key=lambda w: (frequency.get(w, 0), w))
-        need = math.ceil(contained * len(order) - 1e-9)
-        for at, w in enumerate(order[: len(order) - need + 1]):
-            index.setdefault(w, []).append((n, need, len(order) - at))
-    return index
-
-
-def match_block(block: set[bytes], sets, index, prefix: frozenset[bytes]) -> dict[int, float]:
-    """Containment of each template that the block meets."""
-    bound: dict[int, int] = {}
-    need_of: dict[int, int] = {}
-    for w in prefix & block:
-        for n, need, rest in index[w]:
-            bound[n] = max(bound.get(n, 0), rest)
-            need_of[n] = need
-    out = {}
-    for n, rest in bound.items():
-        if len(block) >= need_of[n] and rest >= need_of[n]:
-            words = sets[n][1]
-            shared = len(words & block)
-            if shared >= need_of[n]:
-                out[n] = shared / len(words)
-    return out
+class Index:
+    """What the filters need of the templates: the rank of every word, the
+    prefix words with (template, place), sizes and least overlaps."""
+
+    def __init__(self, sets, frequency: dict[bytes, int], contained: float):
+        self.sets = sets
+        vocabulary = frozenset().union(*(words for _, words in sets))
+        self.rank = {w: n for n, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
+        self.need = [math.ceil(contained * len(words) - 1e-9) for _, words in sets]
+        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
+        for n, (_, words) in enumerate(sets):
+            for at, w in enumerate(sorted(words, key=self.rank.get)[: len(words) - self.need[n] + 1]):
+                self.prefix.setdefault(w, []).append((n, at))
+        self.vocabulary, self.first = vocabulary, frozenset(self.prefix)
+
+    def candidates(self, block: set[bytes]) -> tuple[set[int], set[int]]:
+        """Templates that pass all filters, and those that only the positional
+        filter leaves out."""
+        known = sorted(self.vocabulary & block, key=self.rank.get)
+        shared: dict[int, int] = {}
+        out: set[int] = set()
+        for at, w in enumerate(known):
+            for n, place in self.prefix.get(w, ()):
+                need = self.need[n]
+                if len(known) < need or n in out:
+                    continue
+                so_far = shared[n] = shared.get(n, 0) + 1
+                if so_far + min(len(self.sets[n][1]) - place - 1, len(known) - at - 1) < need:
+                    out.add(n)
+        return shared.keys() - out, out
+
+    def match(self, block: set[bytes]) -> dict[int, float]:
+        """Containment of each template that the block meets."""
+        out = {}
+        if not self.first.isdisjoint(block):
+            for n in self.candidates(block)[0]:
+                words = self.sets[n][1]
+                both = len(words & block)
+                if both >= self.need[n]:
+                    out[n] = both / len(words)
+        return out
 
 
 def blocks_of(text: bytes):
@@ -132,16 +137,16 @@ def phrase_places(words: list[bytes], phrases) -> list[tuple[int, str]]:
     return out
 
 
-def scan_text(text: bytes, sets, index, prefix, phrases):
+def scan_text(text: bytes, index: Index, phrases):
     """(number of words, base places, spans met as (start, end, label, containment))."""
     words = words_of(text)
     present = set(words)
     places = phrase_places(words, phrases) if any(p.encode().split()[-1] in present for p, _ in phrases) else []
     spans = []
-    if not prefix.isdisjoint(present):
+    if not index.first.isdisjoint(present):
         for start, end in blocks_of(text):
-            for n, share in match_block(set(words_of(text[start:end])), sets, index, prefix).items():
-                spans.append((start, end, sets[n][0], share))
+            for n, share in index.match(set(words_of(text[start:end]))).items():
+                spans.append((start, end, index.sets[n][0], share))
     return len(words), places, spans
 
 
@@ -150,8 +155,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, contained: float
     byte offsets with label and containment) for every document."""
     sets = template_sets(templates)
     vocabulary = frozenset().union(*(w for _, w in sets))
-    index = prefix_index(sets, document_frequency(docs, vocabulary), contained)
-    prefix = frozenset(index)
+    index = Index(sets, document_frequency(docs, vocabulary), contained)
     place = pa.struct([("word", pa.int64()), ("label", pa.string())])
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("label", pa.string()), ("containment", pa.float64())])
 
@@ -159,7 +163,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, contained: float
         for batch in batches:
             n, base, met = [], [], []
             for text in utf8(batch.column("text")):
-                count, places, spans = scan_text(text or b"", sets, index, prefix, phrases)
+                count, places, spans = scan_text(text or b"", index, phrases)
                 n.append(count)
                 base.append([{"word": w, "label": x} for w, x in places])
                 met.append([{"start": a, "end": b, "label": x, "containment": c} for a, b, x, c in spans])

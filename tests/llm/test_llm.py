@@ -333,11 +333,25 @@ def test_license_places_and_blocks(spark, edge, empty):
 def test_license_join_is_exact():
     rng, words = random.Random(9), [f"w{i}".encode() for i in range(40)]
     sets = [(f"t{i}", frozenset(rng.sample(words, rng.randint(3, 12)))) for i in range(30)]
-    index = licenses.prefix_index(sets, {w: rng.randint(0, 9) for w in words}, 0.8)
+    index, left_out = licenses.Index(sets, {w: rng.randint(0, 9) for w in words}, 0.8), 0
     for _ in range(500):
         block = set(rng.sample(words, rng.randint(0, 30)))
         want = {n: len(s & block) / len(s) for n, (_, s) in enumerate(sets) if len(s & block) >= 0.8 * len(s) - 1e-9}
-        assert licenses.match_block(block, sets, index, frozenset(index)) == want
+        assert index.match(block) == want
+        passed, out = index.candidates(block)
+        assert passed >= want.keys() and not out & want.keys()
+        left_out += len(out)
+    assert left_out > 100
+
+
+def test_license_full_texts(spark):
+    from lexspark.llm.notices import NOTICES
+
+    texts = [(i, f"Some words before.\n\n{t}\n\nand after", "en", "s") for i, (_, t) in enumerate(NOTICES)]
+    texts += [(100 + i, f"{t[: len(t) // 2]}\n{t[len(t) // 2 :]}", "en", "s") for i, (_, t) in enumerate(NOTICES)]
+    for r in licenses.report(spark.createDataFrame(texts, SCHEMA)).collect():
+        if r.doc_id < 100:
+            assert NOTICES[r.doc_id][0] in r.labels.split(",") and r.score == 1.0
 
 
 # decontamination
