@@ -357,15 +357,17 @@ def test_license_full_texts(spark):
 # decontamination
 
 
-def test_decontamination_is_exact(spark, edge, empty):
+def test_decontamination_is_exact(spark, edge, empty, monkeypatch):
     rng, words = random.Random(3), [f"w{i}" for i in range(60)]
     text = lambda n: " ".join(rng.choices(words, k=n))
     items = [(i, text(rng.choice([1, 2, 5, 12, 30]))) for i in range(25)] + [(25, None), (26, "...")]
     docs = [(i, text(rng.randint(0, 60)), "en", "s") for i in range(60)]
     docs += [(100 + i, text(5) + " " + items[i][1] + " " + text(5), "en", "s") for i in range(25)] + [(200, None, "en", "s")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (1_000_000, 40):
-        found = decontam.find_benchmark(spark.createDataFrame(docs, SCHEMA).select("doc_id", "text"), bench, block).collect()
+    for most in (1_000_000, 40):
+        monkeypatch.setattr(decontam, "STRETCH", 5)
+        found = decontam.find_benchmark(spark.createDataFrame(docs, SCHEMA).select("doc_id", "text"), bench, broadcast_bytes=most).collect()
+        assert len(found) == len(docs)
         for r in found:
             own, hit, which = alnum(r.text), set(), set()
             for i, t in items:
@@ -380,6 +382,9 @@ def test_decontamination_is_exact(spark, edge, empty):
     got = decontam.report(edge, bench).collect()
     assert len(got) == len(EDGE) and {r.items_sha256 for r in got if not r.n_items} == {hashlib.sha256(b"").hexdigest()}
     assert decontam.report(empty, bench).count() == 0 and decontam.drop_contaminated(edge, bench).columns == edge.columns
+    clash = edge.selectExpr("*", "doc_id as _runs", "doc_id as _items", "doc_id as _rid", "doc_id as _text")
+    for r in [*decontam.drop_contaminated(clash, bench).collect(), *decontam.drop_contaminated(clash, bench.limit(0)).collect()]:
+        assert r._runs == r._items == r._rid == r._text == r.doc_id
 
 
 # near duplicates
