@@ -1,35 +1,40 @@
 """Language-model scores by logistic context mixing.
 
-A text is its tokens: words, then one end. A text has one of CLASSES classes,
-by the most frequent of its short words, which costs log10(CLASSES). A token is spelled as
-bytes, ended by a space (the end is the space alone); each bit of the spelling
-is predicted by several predictors, one for each context (the class and the
-last one, two or three bytes of the word, all of it so far, and that without the
-class), from counts of zeros and ones; all of a word with its space are the
-word's own counts, in its class and in all. The predictions are mixed in the logistic domain by weights
-that a gate selects (how often the longest context was seen, and which bit it
-is), and refined by an adaptive map from what the mixer says to what then came.
-Both are trained on every training document, from counts that leave one
-occurrence of the word at hand out: the weights online, bit by bit in small
-blocks, in each part of the words, and averaged by the bits that each gate saw
-there; the map by counts, which are added. The product over a spelling's bits
-is the word's probability, whether the word was seen or not.
-
-All counts are those of the corpus: a word counts at each of its occurrences.
-The distinct words and classes are dealt by ranges of their spelling, PART of
-them together, so that those with a common beginning are neighbours: whole
-beginnings are counted in the part that has them, and only the few that reach
-over an edge of a part are added up and broadcast. Contexts of one to three
-bytes are counted in tables with at least twice as many slots as there are
-different contexts.
-
-Each distinct word is scored once. The scores of the MOST_BROADCAST most
+A text is its tokens: words, then one end. A token is spelled as bytes, ended by
+a space (the end is the space alone); each bit of the spelling is predicted by
+several predictors, one for each context: the last one, two or three bytes, the
+whole word so far, and the whole word so far with what came before it. What came
+before a word is the word before, if that has at most SHORT bytes (as most
+function words have; in one of SHORTS buckets), else the class of the text, by
+the most frequent of its short words (one of CLASSES, which costs
+log10(CLASSES) a text); contexts of the last bytes reach over the start of a word
+to it. Each context has hashed counts of zeros and ones. The predictions are
+mixed in the logistic domain by weights that a gate selects (how often the word
+so far was seen, and which bit it is), and refined by an adaptive map from what
+the mixer says to what then came. Both learn online from every training
+document, bit by bit in small blocks, from counts that leave out one occurrence
+of the word at hand; the parts of the corpus learn side by side, and their
+weights are averaged by the bits that each gate saw, their maps added up. The
+product over a spelling's bits is the token's probability, whether it was seen
+or not.
+
+All counts are those of the corpus: a token counts at each of its occurrences.
+The distinct words, each with what came before, are dealt by ranges of their
+spelling, so that those with a common beginning are neighbours, and a part's
+counts of beginnings are sums over runs of its sorted words. Beginnings that
+reach over an edge of a part are added up and broadcast: a few hundred numbers a
+part of PART_BYTES. Contexts of one to three bytes are counted in tables with
+twice as many slots as there are different contexts, up to MOST_SLOTS.
+
+Each distinct token is scored once. The scores of the MOST_BROADCAST most
 frequent are broadcast, all others meet the documents in a join, so no key of
 that join is frequent; the way changes no score.
 
 Defined cases: null texts are empty and have the end alone; without training
 documents all counts are 0, the base score of a token is 0 (log10 of 0.1 / 0.1) and
-the model's that of the untrained mixer; repeated rows are scored each.
+the model's that of the untrained mixer; repeated rows are scored each; other
+columns are ignored. A part takes about 100 bytes of memory for each byte of its
+words, so a single word far longer than PART_BYTES takes as much more.
 """
 
 from __future__ import annotations
@@ -41,26 +46,29 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_arrow, mix, powers, span_hashes, stored, utf8, word_spans
 
-#: Least slots of a table.
-SLOT_BITS = 20
-SLOTS = 1 << SLOT_BITS
-#: Bytes of context; the whole word so far, -1 with the class and 0 without, is
-#: counted by parts.
-ORDERS = (1, 2, 3, -1, 0)
-TABLED = sum(n > 0 for n in ORDERS)
-CLASSES = 16
-#: Words and classes of one part, and those whose scores are broadcast.
-PART = 10_000
+#: Slots of a table.
+SLOTS, MOST_SLOTS = 1 << 16, 1 << 21
+#: Bytes of the contexts that are counted in tables.
+TABLED = (1, 2, 3)
+#: The predictors: those, the word so far with what came before, the word so far.
+PREDICTORS = len(TABLED) + 2
+CLASSES, SHORT, SHORTS = 16, 3, 32
+BEFORE = CLASSES + SHORTS
+#: Words (with what came before) of one file, and bytes of one part of it.
+FILE_WORDS = 60_000
+PART_BYTES = 1 << 18
 MOST_BROADCAST = 200_000
 RATE = 0.02
 GATES = 64
 BINS = 33
 #: Steps of the mixer's output for which log-probabilities are tabled.
 FINE = 1025
+#: Bits that learn at once.
+STEP = 8192
 #: Hash of the end of a text.
 END = 0x5EED
 #: Bytes of text that are taken at once.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
@@ -71,129 +79,279 @@ def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-class Spelling:
-    """The bytes of words data[start:end], each with its final space, and the
-    context hashes of each byte."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray):
-        sizes = ends - starts + 1
-        self.first = np.cumsum(sizes) - sizes
-        total = int(sizes.sum())
-        place = np.arange(total) - np.repeat(self.first, sizes)
-        at = place + np.repeat(starts, sizes)
-        own = np.where(place == np.repeat(sizes - 1, sizes), 32, data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else 32).astype(np.uint64)
-        self.bytes, self.word = own.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-        back = [np.zeros(total, np.uint64)]
-        for n in range(1, 4):
-            x = np.zeros(total, np.uint64)
-            x[n:] = own[:-n] + np.uint64(1) if n < total else x[n:]
-            x[place < n] = 0
-            back.append(x)
-        term = (own + np.uint64(1)) * powers(int(sizes.max()) if total else 1)[place]
-        sums = np.cumsum(term) - term
-        prefix = sums - np.repeat(sums[self.first], sizes) if total else sums
-        self.contexts, of_class = [], mix(np.repeat(classes, sizes).astype(np.uint64) + np.uint64(1))
-        for k, order in enumerate(ORDERS):
-            x = prefix + place.astype(np.uint64) if order <= 0 else sum((back[n] << np.uint64(9 * (n - 1)) for n in range(1, order + 1)), np.uint64(0))
-            self.contexts.append(mix(x * np.uint64(8) + np.uint64(k) + (of_class if order else np.uint64(0))))
-
-    def bits(self):
-        """(place in the byte, bit, contexts) from the highest bit down."""
-        for j in range(8):
-            node = (1 << j) | (self.bytes >> (8 - j))
-            spread = (node * 0x9E3779B1).astype(np.uint64)
-            yield j, (self.bytes >> (7 - j)) & 1, [h + spread for h in self.contexts]
+def stretched(zeros, ones) -> np.ndarray:
+    """A predictor's input from its counts."""
+    return np.log((ones + np.float32(0.2)) / (zeros + np.float32(0.2)))
+
+
+# tokens of texts
+
+
+def classes_of(hashes: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Class of each text, texts ending at word upto: by the most frequent of
+    its short words' hash buckets."""
+    n = np.diff(upto, prepend=0)
+    short = np.flatnonzero(sizes <= SHORT)
+    doc = np.searchsorted(upto, short, side="right")
+    votes = np.bincount(doc * 256 + (hashes[short] >> np.uint64(56)).astype(np.int64), minlength=len(n) * 256).reshape(-1, 256)
+    return votes.argmax(1) % CLASSES
+
+
+def before(hashes: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What came before each word, and before the end of each text."""
+    of_text, n = classes_of(hashes, sizes, upto), np.diff(upto, prepend=0)
+    own = np.where(sizes <= SHORT, CLASSES + ((hashes >> np.uint64(40)) % np.uint64(SHORTS)).astype(np.int64), np.repeat(of_text, n))
+    ends = of_text.copy()
+    ends[n > 0] = own[upto[n > 0] - 1]
+    out = np.concatenate((of_text[:1], own[:-1])) if len(own) else own
+    first = (upto - n)[n > 0]
+    out[first] = of_text[n > 0]
+    return out, ends
+
+
+def keyed(hashes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return mix(hashes + mix(q.astype(np.uint64) + np.uint64(1)))
+
+
+#: Keys of the ends of texts, for each of what may come before.
+ENDS = keyed(np.full(BEFORE, END, np.uint64), np.arange(BEFORE))
+
+
+def blocks(batches):
+    """(bytes of some texts, starts and ends of their words, ends of the texts
+    in words), lower-cased, of at most BLOCK bytes or one text."""
+    for batch in batches:
+        some, held = [], 0
+        for t in utf8(batch.column("text")):
+            some.append(t or b"")
+            held += len(some[-1])
+            if held >= BLOCK:
+                yield block(some)
+                some, held = [], 0
+        if some:
+            yield block(some)
+
+
+def block(texts: list[bytes]):
+    data = np.frombuffer(b"\n".join(texts).lower(), np.uint8)
+    starts, ends = word_spans(data)
+    upto = np.cumsum([len(t) + 1 for t in texts])
+    return data, starts, ends, np.searchsorted(starts, upto)
 
 
 def gather(texts: DataFrame, counted: bool) -> DataFrame:
-    """key, word (with its space), k (class) and n (its occurrences, 0 if they
-    don't count) of each block of texts, the end of a text among them."""
+    """key, word (with its space), q (what came before) and n (its occurrences,
+    0 if they don't count) of each block of texts, the ends among them."""
 
     def run(batches):
         for data, starts, ends, upto in blocks(batches):
             hashes = span_hashes(data, starts, ends)
-            of_text = classes_of(hashes, ends - starts, upto)
-            key, first, times = np.unique(keyed(hashes, np.repeat(of_text, np.diff(upto, prepend=0))), return_index=True, return_counts=True)
-            word = [data[i:j].tobytes() + b" " for i, j in zip(starts[first].tolist(), ends[first].tolist())]
-            classes = np.repeat(of_text, np.diff(upto, prepend=0))[first]
-            k, ended = np.unique(of_text, return_counts=True)
-            key, times = np.append(key, keyed(ENDS[k], k)), np.append(times, ended)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(word + [b" "] * len(k), pa.binary()), pa.array(np.append(classes, k).astype(np.int32)), pa.array(times.astype(np.int64) * counted)], names=["key", "word", "k", "n"])
+            q, of_end = before(hashes, ends - starts, upto)
+            key, first, times = np.unique(keyed(hashes, q), return_index=True, return_counts=True)
+            k, ended = np.unique(of_end, return_counts=True)
+            # the words' bytes, each with a space, then those of the ends
+            size = np.append(ends[first] - starts[first] + 1, np.ones(len(k), np.int64))
+            upto = np.cumsum(size)
+            at = np.arange(upto[-1]) - np.repeat(upto - size, size) + np.repeat(np.append(starts[first], np.zeros(len(k), np.int64)), size)
+            flat = data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else np.zeros(len(at), np.uint8)
+            flat[upto - 1] = 32
+            word = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, upto).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+            columns = np.append(key, ENDS[k]).view(np.int64), np.append(q[first], k).astype(np.int32), np.append(times, ended) * counted
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), word, pa.array(columns[1]), pa.array(columns[2].astype(np.int64))], names=["key", "word", "q", "n"])
 
-    return map_arrow(texts.select(F.col("text").cast("string").alias("text")), run, "key long, word binary, k int, n long")
+    return map_arrow(texts.select(F.col("text").cast("string").alias("text")), run, "key long, word binary, q int, n long")
 
 
-def dealt(words: DataFrame) -> DataFrame:
-    """words with part: those of one part are in one file, by ranges of word."""
-    n = words.count()
-    return stored(words.repartitionByRange(max(-(-n // PART), 1), "word").withColumn("part", F.spark_partition_id()), "parts")
+# words in parts
 
 
-def edges(words: DataFrame) -> dict[int, list[bytes]]:
-    """Beginnings that a part may share with its neighbours."""
+def dealt(words: DataFrame) -> DataFrame:
+    """words with part: those of one part are neighbours in one file, by ranges
+    of word and sorted; a word is in one part, whatever came before it."""
+
+    def number(batches):
+        size, last, at = 0, None, 0
+        for batch in batches:
+            out = []
+            for word, file in zip(batch.column("word").to_pylist(), batch.column("file").to_pylist()):
+                if size >= PART_BYTES and word != last:
+                    size, at = 0, at + 1
+                size += len(word)
+                last = word
+                out.append(file << 32 | at)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int64())], names=["key", "word", "q", "n", "part"])
+
+    count = max(-(-words.count() // FILE_WORDS), 1)
+    ranged = words.repartitionByRange(count, "word").sortWithinPartitions("word", "q").select("key", "word", "q", "n", F.spark_partition_id().alias("file"))
+    return stored(map_arrow(ranged, number, "key long, word binary, q int, n long, part long", 10_000), "parts")
+
+
+def neighbours(words: DataFrame) -> dict[int, tuple[bytes | None, bytes | None]]:
+    """For each part the last word before it and the first one after it."""
     ends = sorted((bytes(r.first), bytes(r.last), r.part) for r in words.groupBy("part").agg(F.min("word").alias("first"), F.max("word").alias("last")).collect())
-    out: dict[int, list[bytes]] = {r[2]: [] for r in ends}
-    for (_, last, left), (first, _, right) in zip(ends, ends[1:]):
-        same = next((i for i, (x, y) in enumerate(zip(last, first)) if x != y), min(len(last), len(first)))
-        out[left].append(last[: same + 1])
-        out[right].append(last[: same + 1])
-    return out
+    lasts, firsts = [None, *(r[1] for r in ends)], [*(r[0] for r in ends[1:]), None]
+    return {r[2]: (last, first) for r, last, first in zip(ends, lasts, firsts)}
+
+
+#: Leading zero bits of each byte.
+_ZEROS = np.array([8 - x.bit_length() for x in range(256)])
+_NODE, _PLACE = np.uint64(0x9E3779B1), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def shared_bits(x: bytes, y: bytes) -> int:
+    """Bits that two words have in common at their start."""
+    for i, (a, b) in enumerate(zip(x, y)):
+        if a != b:
+            return 8 * i + int(_ZEROS[a ^ b])
+    return 8 * min(len(x), len(y))
+
+
+def beginnings(word: bytes, bits: int) -> np.ndarray:
+    """Hashes of the word's first 0, 1, ... bits - 1 bits."""
+    data = np.frombuffer(word, np.uint8).astype(np.uint64)
+    sums = np.cumsum((data + np.uint64(1)) * powers(len(data))) if len(data) else data
+    sums = np.append(np.zeros(1, np.uint64), sums)
+    i, j = np.divmod(np.arange(bits), 8)
+    node = (1 << j) | (data[np.minimum(i, len(data) - 1)].astype(np.int64) >> (8 - j))
+    return mix(sums[i] + i.astype(np.uint64) * _PLACE + node.astype(np.uint64) * _NODE)
 
 
 class Part:
-    """Words of a part in mixed order, spelled; the contexts of each bit; the
-    keys and counts of the contexts that are whole beginnings."""
+    """Sorted words with what came before them and their occurrences."""
 
-    def __init__(self, rows: pa.Table):
-        order = np.random.default_rng(5).permutation(len(rows))
-        word = rows.column("word").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-        word = word.combine_chunks() if isinstance(word, pa.ChunkedArray) else word
+    def __init__(self, rows: pa.Table, around: tuple[bytes | None, bytes | None]):
+        word = pa.concat_arrays(rows.column("word").chunks).cast(pa.large_binary())
         upto = np.frombuffer(word.buffers()[1], np.int64)[word.offset : word.offset + len(word) + 1]
-        data = np.frombuffer(word.buffers()[2], np.uint8)
-        self.key, self.k, self.n = (rows.column(c).to_numpy()[order] for c in ("key", "k", "n"))
-        spell = Spelling(data, upto[:-1], upto[1:] - 1, self.k)
-        self.first, self.times = spell.first, self.n[spell.word].astype(np.float64)
-        # c of all classes
-        _, same = np.unique(span_hashes(data, upto[:-1], upto[1:]), return_inverse=True)
-        self.c = np.bincount(same, self.n).astype(np.int64)[same]
-        self.bits, self.nodes = [], [[] for _ in ORDERS]
-        for _, bit, contexts in spell.bits():
-            self.bits.append(bit)
-            for x, context in zip(self.nodes, contexts):
-                x.append(context)
-        self.keys, self.counts, self.slots = [], [], [None] * TABLED
-        for x in self.nodes[TABLED:]:
-            key, at = np.unique(np.concatenate(x), return_inverse=True)
-            self.keys.append(key)
-            self.counts.append(self.tally(at, len(key)))
-            self.slots.append(np.split(at, 8))
-
-    def tally(self, at: np.ndarray, size: int) -> np.ndarray:
-        times, bit = np.tile(self.times, 8), np.concatenate(self.bits)
-        return np.stack((np.bincount(at, times * (1 - bit), size), np.bincount(at, times * bit, size)), 1)
-
-    def short(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of the contexts of one order: bytes after the same
-        context are added up, then taken apart into bits."""
-        _, first, at = np.unique(self.nodes[i][7] * np.uint64(2) + self.bits[7].astype(np.uint64), return_index=True, return_inverse=True)
-        times = np.tile(np.bincount(at, self.times, len(first)), 8)
-        bit = np.concatenate([x[first] for x in self.bits])
-        key, at = np.unique(np.concatenate([x[first] for x in self.nodes[i]]), return_inverse=True)
-        return key, np.stack((np.bincount(at, times * (1 - bit), len(key)), np.bincount(at, times * bit, len(key))), 1)
-
-    def mixer(self, tables: list, over: dict) -> Mixer:
-        """A mixer of the part's counts and what is broadcast; its slots."""
-        for i, (key, count) in enumerate(zip(self.keys, self.counts)):
-            wide, total = over[TABLED + i]
-            at = np.minimum(np.searchsorted(key, wide), max(len(key) - 1, 0))
-            met = key[at] == wide
-            count[at[met]] = total[met]
-        for i, table in enumerate(tables):
-            self.slots[i] = [(x & np.uint64(len(table) - 1)).astype(np.int64) for x in self.nodes[i]]
-        return Mixer([*tables, *self.counts])
-
-
-def parts(batches):
+        self.data = np.frombuffer(word.buffers()[2], np.uint8)[upto[0] : upto[-1]]
+        self.first, self.size = upto[:-1] - upto[0], np.diff(upto)
+        self.key, self.q, self.n = (rows.column(c).to_numpy() for c in ("key", "q", "n"))
+        self.of_byte = np.repeat(np.arange(len(self.size)), self.size)
+        self.around = around
+        self.link = self.links()
+        # c: occurrences of the word, whatever came before
+        starts = np.flatnonzero(self.link < 8 * self.size)
+        self.c = np.repeat(np.add.reduceat(self.n, starts), np.diff(np.append(starts, len(self.n))))
+
+    def links(self) -> np.ndarray:
+        """Bits that each word shares with the one before, -1 for the first."""
+        out = np.full(len(self.size), -1)
+        live, i = np.arange(1, len(out)), 0
+        while len(live):
+            x, y = self.data[self.first[live - 1] + i], self.data[self.first[live] + i]
+            other = x != y
+            out[live[other]] = 8 * i + _ZEROS[x[other] ^ y[other]]
+            live, i = live[~other], i + 1
+            whole = self.size[live] == i  # the same word
+            out[live[whole]] = 8 * i
+            live = live[~whole]
+        return out
+
+    def word(self, row: int) -> bytes:
+        return self.data[self.first[row] : self.first[row] + self.size[row]].tobytes()
+
+    def edge_rows(self):
+        """(key, zeros, ones) of each beginning that a neighbour may share, for
+        every q and (-1) for all."""
+        key, zeros, ones = [], [], []
+        left, right = self.around
+        low = shared_bits(left, self.word(0)) if left is not None else -1
+        inner = int(self.link[1:].min()) if len(self.link) > 1 else 8 * int(self.size[0])
+        for word, most, rows in ((left, low, None), (right, shared_bits(right, self.word(-1)) if right is not None else -1, -1)):
+            if word is None:
+                continue
+            # what each row shares with the edge falls from row to row
+            if rows is None:
+                run = np.minimum.accumulate(np.append(most, self.link[1:]))
+            else:
+                run = np.minimum.accumulate(np.append(most, self.link[:0:-1]))
+            bits = min(most + 1, 8 * len(word))
+            names = beginnings(word, bits)
+            for d in range(bits):
+                if rows is not None and d <= min(inner, low):
+                    continue  # the left edge has it
+                m = int(np.searchsorted(-run, -d, side="right"))
+                some = slice(0, m) if rows is None else slice(len(run) - m, len(run))
+                bit = (self.data[self.first[some] + d // 8] >> (7 - d % 8)) & 1
+                count = np.bincount(self.q[some] * 2 + bit, self.n[some], 2 * BEFORE).reshape(-1, 2)
+                met = np.flatnonzero(count.any(1))
+                key.append(np.append(keyed(np.full(len(met), names[d]), met), keyed(names[d : d + 1], np.array([BEFORE]))))
+                zeros.append(np.append(count[met, 0], count[:, 0].sum()))
+                ones.append(np.append(count[met, 1], count[:, 1].sum()))
+        none = np.zeros(0)
+        return (np.concatenate(key) if key else np.zeros(0, np.uint64), np.concatenate([none, *zeros]), np.concatenate([none, *ones]))
+
+    def runs(self, group: np.ndarray | None, over) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of zeros and ones after the beginning of each bit (8 x bytes),
+        among rows of one group (None: all). over: keys and counts of edges."""
+        count, link = len(self.n), self.link
+        if group is None:
+            order, begin, names = np.arange(count), np.zeros(1, np.int64), np.array([BEFORE])
+        else:
+            order = np.argsort(group, kind="stable")
+            ranked = group[order]
+            begin = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            names, link = ranked[begin], np.full(count, -1)
+            for lo, hi in zip(begin, np.append(begin[1:], count)):
+                own = order[lo:hi]
+                if hi - lo > 1:
+                    link[lo + 1 : hi] = np.minimum.reduceat(self.link[: own[-1] + 1], own[:-1] + 1)
+        end = np.append(begin[1:], count) - 1
+        first, n = self.first[order], self.n[order].astype(np.float64)
+        deep = np.maximum(link, np.append(link[1:], -1))
+        edges = []
+        for at, word in ((begin, self.around[0]), (end, self.around[1])):
+            reach = np.array([shared_bits(word, self.word(order[x])) for x in at]) if word is not None else np.full(len(at), -1)
+            bits = min(int(reach.max()) + 1, 8 * len(word)) if word is not None else 0
+            sums = np.zeros((2, bits, len(at)))
+            if bits:
+                key = keyed(np.repeat(beginnings(word, bits), len(at)), np.tile(names, bits))
+                place = np.minimum(np.searchsorted(over[0], key), max(len(over[0]) - 1, 0))
+                met = over[0][place] == key
+                sums = np.stack([np.where(met, x[place], 0.0).reshape(bits, -1) for x in over[1:]])
+            deep[at] = np.maximum(deep[at], np.minimum(reach, bits - 1))
+            edges.append((at, np.minimum(reach, bits - 1), sums))
+        deep = np.minimum(deep, 8 * self.size[order] - 1)
+        # a beginning that no other word shares has that word's own occurrences
+        own = self.n[self.of_byte].astype(np.float32)
+        bits = (self.data >> np.arange(7, -1, -1, dtype=np.uint8)[:, None]) & 1
+        ones = own * bits
+        zeros = own - ones
+        live = np.arange(count)
+        for d in range(int(deep.max()) + 1 if count else 0):
+            live = live[deep[live] >= d]
+            i, j = divmod(d, 8)
+            at, weight = first[live] + i, n[live]
+            start = np.flatnonzero(link[live] < d)
+            total, one = np.add.reduceat(weight, start), np.add.reduceat(weight * bits[j, at], start)
+            zero = total - one
+            for place, reach, sums in edges:
+                some = np.flatnonzero(reach >= d)
+                if len(some):
+                    run = np.searchsorted(start, np.searchsorted(live, place[some]), side="right") - 1
+                    zero[run], one[run] = sums[0, d, some], sums[1, d, some]
+            times = np.diff(np.append(start, len(live)))
+            zeros[j, at], ones[j, at] = np.repeat(zero, times), np.repeat(one, times)
+        return zeros, ones
+
+    def contexts(self) -> list[np.ndarray]:
+        """For each of TABLED the hash of each byte's context: the bytes before
+        it, and what came before the word if there are fewer."""
+        place = np.arange(len(self.data)) - self.first[self.of_byte]
+        own, q = self.data.astype(np.uint64) + np.uint64(1), self.q[self.of_byte].astype(np.uint64) + np.uint64(300)
+        out, x = [], np.zeros(len(self.data), np.uint64)
+        for n in TABLED:
+            back = np.zeros(len(self.data), np.uint64)
+            back[n:] = own[:-n]
+            x = x + (np.where(place >= n, back, np.where(place == n - 1, q, np.uint64(0))) << np.uint64(9 * (n - 1)))
+            out.append(mix(x * np.uint64(8) + np.uint64(n)))
+        return out
+
+    def nodes(self, j: int) -> np.ndarray:
+        """What is added to a byte's context for its bit j."""
+        return ((1 << j) | (self.data >> (8 - j)).astype(np.int64)).astype(np.uint64) * _NODE
+
+
+def parts(batches, around):
     """(number, Part) of each part."""
     held, at = [], None
     for b in batches:
@@ -202,296 +360,221 @@ def parts(batches):
         for lo, hi in zip([0, *turns.tolist()], [*turns.tolist(), len(own)]):
             if hi > lo:
                 if held and own[lo] != at:
-                    yield at, Part(pa.Table.from_batches(held))
+                    yield Part(pa.Table.from_batches(held), around[at])
                     held = []
                 at = int(own[lo])
                 held.append(b.slice(lo, hi - lo))
     if held:
-        yield at, Part(pa.Table.from_batches(held))
-
-
-def contexts(words: DataFrame) -> tuple[list[np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Tables (slots x zeros, ones) of the short contexts, and for the others
-    keys and counts of those that more than one part has."""
-    shared = words.sparkSession.sparkContext.broadcast(edges(words))
+        yield Part(pa.Table.from_batches(held), around[at])
 
-    def run(batches):
-        held: list[list] = [[] for _ in ORDERS]
-        for number, part in parts(batches):
-            for i in range(TABLED):
-                held[i].append(part.short(i))
-                if len(held[i]) >= 8:
-                    held[i] = [joined(held[i])]
-            some = shared.value[number]
-            if some:
-                data = np.frombuffer(b"".join(some), np.uint8)
-                ends = np.cumsum([len(x) for x in some])
-                n = len(some)
-                spell = Spelling(data, np.tile(ends - [len(x) for x in some], CLASSES), np.tile(ends, CLASSES), np.repeat(np.arange(CLASSES), n))
-                wide: list[list] = [[] for _ in ORDERS]
-                for _, _, found in spell.bits():
-                    for x, context in zip(wide, found):
-                        x.append(context)
-                for i in range(TABLED, len(ORDERS)):
-                    key, count = part.keys[i - TABLED], part.counts[i - TABLED]
-                    x = np.unique(np.concatenate(wide[i]))
-                    at = np.minimum(np.searchsorted(key, x), len(key) - 1)
-                    yield listed(i, key[at[key[at] == x]], count[at[key[at] == x]])
-        for i in range(TABLED):
-            if held[i]:
-                yield listed(i, *joined(held[i]))
-
-    def joined(some):
-        key, at = np.unique(np.concatenate([x[0] for x in some]), return_inverse=True)
-        count = np.concatenate([x[1] for x in some])
-        return key, np.stack((np.bincount(at, count[:, 0], len(key)), np.bincount(at, count[:, 1], len(key))), 1)
 
-    def listed(i, key, count):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.view(np.int64)), *(pa.array(count[:, x].astype(np.int64)) for x in (0, 1))], names=["i", "key", "zeros", "ones"])
-
-    found = map_arrow(words, run, "i int, key long, zeros long, ones long").groupBy("i", "key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.count(F.lit(1)).alias("n"))
-    found = stored(found.filter((F.col("i") < TABLED) | (F.col("n") > 1)).drop("n"), "contexts")
-
-    def pack(batches):
-        for b in batches:
-            x = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("i", "key", "zeros", "ones")])
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["data"])
-
-    sizes = {r.i: r.n for r in found.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
-    tables = [np.zeros((max(SLOTS, 1 << (2 * sizes.get(i, 0)).bit_length()), 2), np.float32) for i in range(TABLED)]
-    over: dict[int, list] = {i: [] for i in range(TABLED, len(ORDERS))}
-    for r in map_arrow(found, pack, "data binary", 100_000).toLocalIterator():
-        which, key, zeros, ones = np.frombuffer(r.data, np.int64).reshape(4, -1)
-        for i in np.unique(which).tolist():
-            here = which == i
-            own, count = key[here].view(np.uint64), np.stack((zeros[here], ones[here]), 1)
-            if i < TABLED:
-                np.add.at(tables[i], (own & np.uint64(len(tables[i]) - 1)).astype(np.int64), count)
-            else:
-                over[i].append((own, count))
-    shared.unpersist()
-    none = (np.zeros(0, np.uint64), np.zeros((0, 2)))
-    return tables, {i: tuple(np.concatenate(x) for x in zip(none, *some)) for i, some in over.items()}
+# counts
 
 
-def keyed(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return mix(hashes + mix(classes.astype(np.uint64) + np.uint64(1)))
+def summed_by(*columns: np.ndarray):
+    """Distinct first columns and sums of the others."""
+    key, at = np.unique(columns[0], return_inverse=True)
+    return key, *(np.bincount(at, x, len(key)) for x in columns[1:])
 
 
-#: Hashes of the ends of texts, for each class.
-ENDS = np.full(CLASSES, END, np.uint64)
-
-
-def classes_of(hashes: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """Class of each text, texts ending at word upto: by the most frequent of
-    its short words' hash buckets."""
-    n = np.diff(upto, prepend=0)
-    short = np.flatnonzero(sizes <= 3)
-    doc = np.searchsorted(upto, short, side="right")
-    votes = np.bincount(doc * 256 + (hashes[short] >> np.uint64(56)).astype(np.int64), minlength=len(n) * 256).reshape(-1, 256)
-    return votes.argmax(1) % CLASSES
-
-
-def blocks(batches):
-    """(bytes of some texts, starts and ends of their words, ends of the texts
-    in words), lower-cased, of at most BLOCK bytes or one text."""
-    for batch in batches:
-        some, held = [], 0
-        for t in utf8(batch.column("text")):
-            some.append(t or b"")
-            held += len(some[-1])
-            if held >= BLOCK:
-                yield block(some)
-                some, held = [], 0
-        if some:
-            yield block(some)
-
-
-def block(texts: list[bytes]):
-    raw = b"\n".join(texts).lower()
-    data = np.frombuffer(raw, np.uint8)
-    starts, ends = word_spans(data)
-    upto = np.cumsum([len(t) + 1 for t in texts])
-    return data, starts, ends, np.searchsorted(starts, upto)
+def count_contexts(words: DataFrame, around: dict) -> tuple[list[np.ndarray], tuple]:
+    """Tables (slots x zeros, ones) of the contexts of a few bytes; keys, zeros
+    and ones of the beginnings that reach over an edge of a part."""
+    shipped = words.sparkSession.sparkContext.broadcast(around)
 
+    def run(batches):
+        held: list[list] = [[] for _ in TABLED]
+        for part in parts(batches, shipped.value):
+            times = part.n[part.of_byte].astype(np.float64)
+            for i, x in enumerate(part.contexts()):
+                pair, first, at = np.unique(x + part.data.astype(np.uint64) * _PLACE, return_index=True, return_inverse=True)
+                # the byte is in the low bits, as it has to be known again
+                held[i].append((pair, x[first], part.data[first], np.bincount(at, times, len(pair))))
+                if len(held[i]) >= 8:
+                    held[i] = [merged(held[i])]
+            yield listed(-1, *part.edge_rows())
+        for i in range(len(TABLED)):
+            if held[i]:
+                _, x, byte, n = merged(held[i])
+                yield listed(i, x, byte.astype(np.float64), n)
 
-class Table:
-    """Counts (slots x zeros, ones) and what is derived from them."""
+    def merged(some):
+        pair, first, at = np.unique(np.concatenate([x[0] for x in some]), return_index=True, return_inverse=True)
+        return pair, *(np.concatenate([x[k] for x in some])[first] for k in (1, 2)), np.bincount(at, np.concatenate([x[3] for x in some]), len(pair))
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
-        self.logs = np.log((counts[:, 1] + 0.2) / (counts[:, 0] + 0.2)).astype(np.float32)
-        self._without: np.ndarray | None = None
+    def listed(i, key, x, y):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), i, np.int32)), pa.array(key.view(np.int64)), *(pa.array(z.astype(np.int64)) for z in (x, y))], names=["i", "key", "x", "y"])
 
-    def __len__(self) -> int:
-        return len(self.counts)
+    found = stored(map_arrow(words, run, "i int, key long, x long, y long"), "contexts")
+    edge = found.filter("i < 0").groupBy("key").agg(F.sum("x").alias("zeros"), F.sum("y").alias("ones")).toArrow().sort_by("key")
+    over = (edge.column("key").to_numpy().view(np.uint64), edge.column("zeros").to_numpy().astype(np.float64), edge.column("ones").to_numpy().astype(np.float64))
+    order = np.argsort(over[0])
 
-    def without(self) -> np.ndarray:
-        """For each slot and bit, the input with that bit left out once."""
-        if self._without is None:
-            x, out = self.counts, np.empty((len(self.counts), 2), np.float32)
-            out[:, 0] = np.log((x[:, 1] + 0.2) / (np.maximum(x[:, 0] - 1, 0) + 0.2))
-            out[:, 1] = np.log((np.maximum(x[:, 1] - 1, 0) + 0.2) / (x[:, 0] + 0.2))
-            self._without = out.ravel()
-        return self._without
+    def slots(batches):
+        for b in batches:
+            which, key, byte, n = (b.column(c).to_numpy() for c in ("i", "key", "x", "n"))
+            for i in np.unique(which).tolist():
+                own = which == i
+                x, c, times = key[own].view(np.uint64), byte[own], n[own].astype(np.float64)
+                at = np.concatenate([x + ((1 << j) | (c >> (8 - j))).astype(np.uint64) * _NODE for j in range(8)]) & np.uint64(MOST_SLOTS - 1)
+                bit = np.concatenate([(c >> (7 - j)) & 1 for j in range(8)])
+                slot, zeros, ones = summed_by(at, np.tile(times, 8) * (1 - bit), np.tile(times, 8) * bit)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), i, np.int32)), *(pa.array(z.astype(np.int64)) for z in (slot, zeros, ones))], names=["i", "slot", "zeros", "ones"])
+
+    pairs = found.filter("i >= 0").groupBy("i", "key", "x").agg(F.sum("y").alias("n"))
+    counts = map_arrow(pairs, slots, "i int, slot long, zeros long, ones long", 50_000).groupBy("i", "slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
+    which, slot, zeros, ones = (counts.column(c).to_numpy() for c in ("i", "slot", "zeros", "ones"))
+    tables = []
+    for i in range(len(TABLED)):
+        own = which == i
+        size = min(MOST_SLOTS, max(SLOTS, 1 << (2 * int(own.sum())).bit_length()))
+        at = slot[own] & (size - 1)
+        tables.append(np.stack([np.bincount(at, x[own], size) for x in (zeros, ones)], 1).astype(np.float32))
+    shipped.destroy()
+    return tables, tuple(x[order] for x in over)
+
+
+# the mixer
 
 
 class Mixer:
-    """Probabilities of spellings from context counts."""
+    """Weights by gate, and the map from the mixer's output."""
 
-    def __init__(self, counts):
-        """counts: slots x (zeros, ones) of each order, or its Table."""
-        tables = [x if isinstance(x, Table) else Table(x) for x in counts]
-        self.tables, self.table, self.counts = tables, [x.logs for x in tables], [x.counts for x in tables]
-        self.logs = np.zeros(0, np.float32)
-        self.level = np.minimum(np.log2(self.counts[-1].sum(1) + 1), 7).astype(np.int8)
-        self.weights = np.full((GATES, len(ORDERS)), 0.35)
+    def __init__(self):
+        self.weights = np.full((GATES, PREDICTORS), 0.35)
         self.map = np.tile(squash(np.linspace(-8, 8, BINS)), (GATES, 1))
-
-    def mixed(self, inputs: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.einsum("kn,nk->n", inputs, self.weights[gate])
+        self.seen, self.observed = np.zeros(GATES), np.zeros((2, GATES * BINS))
+        self.logs = np.zeros(0, np.float32)
 
     @staticmethod
     def bin_of(x: np.ndarray) -> np.ndarray:
-        return np.clip(np.rint((x + 8) * (BINS - 1) / 16), 0, BINS - 1).astype(np.int64)
+        step = np.float32((BINS - 1) / 16)
+        return np.minimum(np.maximum(x * step + (8 * step + np.float32(0.5)), 0), BINS - 1).astype(np.int64)
 
-    def refined(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return (squash(x) + self.map[gate, self.bin_of(x)]) / 2
+    def learn(self, bit: np.ndarray, inputs: list[np.ndarray], gate: np.ndarray, times: np.ndarray) -> None:
+        """Predict some bits, then adjust the weights and the map to them."""
+        weights = self.weights.T.astype(np.float32)
+        x = weights[0][gate] * inputs[0]
+        for k in range(1, PREDICTORS):
+            x += weights[k][gate] * inputs[k]
+        at = gate * BINS + self.bin_of(x)
+        hits = times * bit
+        self.observed[0] += np.bincount(at, times, GATES * BINS)
+        self.observed[1] += np.bincount(at, hits, GATES * BINS)
+        error = hits - times * squash(x)
+        size, total = np.bincount(gate, minlength=GATES), np.bincount(gate, times, GATES)
+        self.seen += total
+        rate = RATE * np.sqrt(size) / np.maximum(total, 1)
+        for k in range(PREDICTORS):
+            self.weights[:, k] += rate * np.bincount(gate, error * inputs[k], GATES)
+
+    def chart(self) -> None:
+        """The adaptive map, from what was observed."""
+        seen, hits = self.observed.reshape(2, GATES, BINS)
+        prior = squash(np.linspace(-8, 8, BINS))[None, :]
+        self.map = np.clip((hits + 20 * prior) / (seen + 20), 1e-5, 1 - 1e-5)
 
     def settle(self) -> None:
         """Table the logs of both bits' probabilities for each gate and step."""
-        x = np.tile(np.linspace(-8, 8, FINE), GATES)
-        gate = np.repeat(np.arange(GATES), FINE)
-        p = self.refined(x, gate)
+        x, gate = np.tile(np.linspace(-8, 8, FINE), GATES), np.repeat(np.arange(GATES), FINE)
+        p = (squash(x) + self.map[gate, self.bin_of(x)]) / 2
         self.logs = np.log10(np.stack((1 - p, p), 1)).astype(np.float32).ravel()
 
-    def log10(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability."""
-        if not len(starts):
-            return np.zeros(0)
-        spell = Spelling(data, starts, ends, classes)
-        found = ((bit, [(x & np.uint64(len(t) - 1)).astype(np.int64) for x, t in zip(nodes, self.table)]) for _, bit, nodes in spell.bits())
-        return self.summed(found, spell.first, len(spell.bytes))
-
-    def summed(self, found, first: np.ndarray, size: int) -> np.ndarray:
-        """log10 of each word's probability from bits and slots, of which a
-        word's start at first."""
-        total = np.zeros(size, np.float32)
+    def log10(self, bit: np.ndarray, inputs, gate: np.ndarray) -> np.ndarray:
         weights = self.weights.T.astype(np.float32)
-        for j, (bit, slots) in enumerate(found):
-            gate = self.level[slots[-1]].astype(np.int64) * 8 + j
-            x = self.table[0][slots[0]] * weights[0][gate]
-            for k in range(1, len(ORDERS)):
-                x += self.table[k][slots[k]] * weights[k][gate]
-            step = np.clip(x * np.float32((FINE - 1) / 16) + np.float32((FINE - 1) / 2 + 0.5), 0, FINE - 1).astype(np.int64)
-            total += self.logs[(gate * FINE + step) * 2 + bit]
-        return np.add.reduceat(total.astype(np.float64), first)
-
-    def score(self, part: Part) -> np.ndarray:
-        found = ((part.bits[j], [s[j] for s in part.slots]) for j in range(8))
-        return self.summed(found, part.first, len(part.times))
-
-    def steps(self, part: Part):
-        """(bit, inputs, gate, times) of the words that were seen, some bytes at
-        a time: one of each word's occurrences is left out of the counts."""
-        without = [x.without() for x in self.tables]
-        level = np.minimum(np.log2(np.maximum(self.counts[-1].sum(1) - 1, 0) + 1), 7).astype(np.int8)
-        seen = np.flatnonzero(part.times > 0)
-        for some in np.split(seen, range(5000, len(seen), 5000)):
-            for j in range(8) if len(some) else ():
-                bit = part.bits[j][some]
-                inputs = np.stack([table[slots[j][some] * 2 + bit] for table, slots in zip(without, part.slots)])
-                yield bit, inputs, level[part.slots[-1][j][some]].astype(np.int64) * 8 + j, part.times[some]
-
-    def train(self, part: Part) -> np.ndarray:
-        """Adjust the weights online; bits that each gate saw."""
-        seen = np.zeros(GATES)
-        for bit, inputs, gate, times in self.steps(part):
-            error = (bit - squash(self.mixed(inputs, gate))) * times
-            size, total = np.bincount(gate, minlength=GATES), np.bincount(gate, times, GATES)
-            seen += total
-            rate = RATE * np.sqrt(size) / np.maximum(total, 1)
-            for k in range(len(ORDERS)):
-                self.weights[:, k] += rate * np.bincount(gate, error * inputs[k], GATES)
-        return seen
-
-    def observe(self, part: Part) -> np.ndarray:
-        """For each gate and bin of the mixer's output, bits and ones."""
-        out = np.zeros((2, GATES * BINS))
-        for bit, inputs, gate, times in self.steps(part):
-            at = gate * BINS + self.bin_of(self.mixed(inputs, gate))
-            out += np.stack((np.bincount(at, times, GATES * BINS), np.bincount(at, bit * times, GATES * BINS)))
-        return out
-
-    def chart(self, observed: np.ndarray) -> None:
-        """The adaptive map, from what was observed."""
-        seen, hits = observed.reshape(2, GATES, BINS)
-        prior = squash(np.linspace(-8, 8, BINS))[None, :]
-        self.map = np.clip((hits + 20 * prior) / (seen + 20), 1e-5, 1 - 1e-5)
+        x = sum(own * weights[k][gate] for k, own in enumerate(inputs))
+        step = np.clip(x * np.float32((FINE - 1) / 16) + np.float32((FINE - 1) / 2 + 0.5), 0, FINE - 1).astype(np.int64)
+        return self.logs[(gate * FINE + step) * 2 + bit]
+
+
+def gates(total: np.ndarray, j: int) -> np.ndarray:
+    return np.minimum(np.frexp(total + 1)[1] - 1, 7).astype(np.int64) * 8 + j
+
+
+def without(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """For each slot and bit the input with that bit left out once."""
+    return [np.stack((stretched(np.maximum(x[:, 0] - 1, 0), x[:, 1]), stretched(x[:, 0], np.maximum(x[:, 1] - 1, 0))), 1).ravel() for x in tables]
+
+
+def train(part: Part, mixer: Mixer, left_out: list[np.ndarray], over) -> None:
+    """Learn from every occurrence of the part's words, some bytes at a time in
+    mixed order."""
+    seen = np.flatnonzero(part.n[part.of_byte] > 0)
+    if not len(seen):
+        return
+    mixed = np.random.default_rng(5).permutation(seen)
+    contexts, trees = [x[mixed] for x in part.contexts()], []
+    bits = (part.data >> np.arange(7, -1, -1, dtype=np.uint8)[:, None]) & 1
+    for group in (part.q, None):
+        zeros, ones = part.runs(group, over)
+        total = np.maximum(zeros + ones - 1, 0)
+        trees.append(stretched(np.maximum(zeros - (1 - bits), 0), np.maximum(ones - bits, 0)))
+    times, data = part.n[part.of_byte][mixed].astype(np.float32), part.data[mixed]
+    for at in range(0, len(mixed), STEP):
+        some = slice(at, at + STEP)
+        own, here, weight = data[some].astype(np.int64), mixed[some], times[some]
+        for j in range(8):
+            bit = (own >> (7 - j)) & 1
+            node = ((1 << j) | (own >> (8 - j))).astype(np.uint64) * _NODE
+            inputs = [t[((x[some] + node) & np.uint64(len(t) // 2 - 1)).astype(np.int64) * 2 + bit] for x, t in zip(contexts, left_out)]
+            mixer.learn(bit, [*inputs, *(t[j][here] for t in trees)], gates(total[j][here], j), weight)
 
 
-def summed(rows: DataFrame, size: int) -> np.ndarray:
-    """Sum of the arrays that the partitions give."""
-    out = np.zeros(size)
-    for r in rows.collect():
-        out += np.frombuffer(r.data, np.float64)
-    return out
+def spelled(part: Part, mixer: Mixer, logs: list[np.ndarray], over) -> np.ndarray:
+    """log10 of the probability of each of the part's words."""
+    contexts, out = part.contexts(), np.zeros(len(part.data), np.float64)
+    counts = [part.runs(group, over) for group in (part.q, None)]
+    for j in range(8):
+        slots = [((x + part.nodes(j)) & np.uint64(len(t) - 1)).astype(np.int64) for x, t in zip(contexts, logs)]
+        inputs = [*(t[s] for s, t in zip(slots, logs)), *(stretched(zeros[j], ones[j]) for zeros, ones in counts)]
+        bit = ((part.data >> (7 - j)) & 1).astype(np.int64)
+        out += mixer.log10(bit, inputs, gates(counts[1][0][j] + counts[1][1][j], j))
+    return np.add.reduceat(out, part.first)
 
 
 def learn(words: DataFrame) -> tuple:
-    """Tables, counts across parts, weights and map."""
-    tables, over = contexts(words)
-    shipped = words.sparkSession.sparkContext.broadcast((tables, over))
-    weights = np.full((GATES, len(ORDERS)), 0.35)
-
-    def opened():
-        return [Table(x) for x in shipped.value[0]], shipped.value[1]
-
-    def packed(x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary())], names=["data"])
-
-    def weigh(batches):
-        tables, wide = opened()
-        own, out = weights.copy(), np.zeros((GATES, len(ORDERS) + 1))
-        for _, part in parts(batches):
-            mixer = part.mixer(tables, wide)
-            mixer.weights = own  # goes on from part to part
-            seen = mixer.train(part)[:, None]
-            out += np.concatenate((seen, own * seen), 1)
-        yield packed(out)
-
-    found = summed(map_arrow(words, weigh, "data binary"), GATES * (len(ORDERS) + 1)).reshape(GATES, -1)
-    met = found[:, 0] > 0
-    weights[met] = found[met, 1:] / found[met, :1]
-
-    def observe(batches):
-        tables, wide = opened()
-        out = np.zeros((2, GATES * BINS))
-        for _, part in parts(batches):
-            mixer = part.mixer(tables, wide)
-            mixer.weights = weights
-            out += mixer.observe(part)
-        yield packed(out)
-
-    whole = Mixer([np.zeros((1, 2))] * len(ORDERS))
-    whole.chart(summed(map_arrow(words, observe, "data binary"), 2 * GATES * BINS))
-    return shipped, weights, whole.map
+    """What is needed to score words: the parts' neighbours, counts across
+    edges, logs of the tables, the mixer."""
+    around = neighbours(words)
+    tables, over = count_contexts(words, around)
+    shipped = words.sparkSession.sparkContext.broadcast((around, without(tables), over))
+
+    def run(batches):
+        around, left_out, over = shipped.value
+        mixer = Mixer()  # goes on from part to part
+        total = np.zeros((GATES, PREDICTORS))
+        for part in parts(batches, around):
+            seen = mixer.seen.copy()
+            train(part, mixer, left_out, over)
+            total += mixer.weights * (mixer.seen - seen)[:, None]
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((mixer.seen, total.ravel(), mixer.observed.ravel())).tobytes()], pa.binary())], names=["data"])
+
+    found = np.zeros(GATES * (1 + PREDICTORS + 2 * BINS))
+    for r in map_arrow(words, run, "data binary").toLocalIterator():
+        found += np.frombuffer(r.data, np.float64)
+    shipped.destroy()
+    mixer = Mixer()
+    mixer.seen, total, mixer.observed = found[:GATES], found[GATES : GATES * (1 + PREDICTORS)].reshape(GATES, -1), found[GATES * (1 + PREDICTORS) :].reshape(2, -1)
+    met = mixer.seen > 0
+    mixer.weights[met] = total[met] / mixer.seen[met, None]
+    mixer.chart()
+    mixer.settle()
+    return around, [stretched(x[:, 0], x[:, 1]) for x in tables], over, mixer
 
 
 def scored(words: DataFrame, learned: tuple) -> DataFrame:
-    """key, c (occurrences in all classes) and lm (log10 of the probability) of
-    each word and class."""
-    shipped, weights, table = learned
+    """key, n, c (occurrences, whatever came before) and lm (log10 of the
+    probability) of each word with what came before."""
+    shipped = words.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches):
-        tables, wide = [Table(x) for x in shipped.value[0]], shipped.value[1]
-        for _, part in parts(batches):
-            mixer = part.mixer(tables, wide)
-            mixer.weights, mixer.map = weights, table
-            mixer.settle()
-            yield pa.RecordBatch.from_arrays([pa.array(part.key), pa.array(part.c), pa.array(mixer.score(part))], names=["key", "c", "lm"])
+        around, logs, over, mixer = shipped.value
+        for part in parts(batches, around):
+            yield pa.RecordBatch.from_arrays([pa.array(part.key), pa.array(part.n), pa.array(part.c), pa.array(spelled(part, mixer, logs, over))], names=["key", "n", "c", "lm"])
 
-    return stored(map_arrow(words, run, "key long, c long, lm double"), "scores")
+    out = stored(map_arrow(words, run, "key long, n long, c long, lm double"), "scores")
+    shipped.destroy()
+    return out
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -500,20 +583,18 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     among training."""
     spark = docs.sparkSession
     gathered = gather(training, True).union(gather(docs.filter("held_out"), False))
-    words = dealt(stored(gathered.groupBy("key").agg(F.first("word").alias("word"), F.first("k").alias("k"), F.sum("n").alias("n")), "words"))
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    distinct = words.filter("n > 0").select("word").distinct().count()
+    words = dealt(stored(gathered.groupBy("key").agg(F.first("word").alias("word"), F.first("q").alias("q"), F.sum("n").alias("n")), "words"))
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct(F.when(F.col("n") > 0, F.xxhash64("word")))).first()
     scores = scored(words, learn(words))
-    # the largest count that no more than MOST_BROADCAST reach, by powers of 2^(1/8)
-    level = F.floor(8 * F.log2(F.col("c") + 1))
+    # the least count that no more than MOST_BROADCAST reach, by powers of 2^(1/8)
+    level = F.floor(8 * F.log2(F.col("n") + 1))
     reach, least = 0, None
-    for r in scores.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("level")).collect():
-        reach += r.n
+    for r in scores.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("level")).collect():
+        reach += r.c
         if reach > MOST_BROADCAST:
             break
         least = r.level
-    ends = keyed(ENDS, np.arange(CLASSES)).view(np.int64).tolist()
-    hot = scores.filter(F.col("key").isin(ends) | (F.lit(False) if least is None else level >= least)).toArrow().sort_by("key")
+    hot = scores.filter(F.col("key").isin(ENDS.view(np.int64).tolist()) | (F.lit(False) if least is None else level >= least)).toArrow().sort_by("key")
     shipped = spark.sparkContext.broadcast(tuple(hot.column(c).to_numpy() for c in ("key", "c", "lm")))
 
     def first(batches):
@@ -524,8 +605,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             for data, starts, ends, upto in blocks([batch]):
                 docs_here, n = len(upto), np.diff(upto, prepend=0)
                 hashes = span_hashes(data, starts, ends)
-                of_text = classes_of(hashes, ends - starts, upto)
-                each = np.concatenate((keyed(hashes, np.repeat(of_text, n)), keyed(ENDS[of_text], of_text))).view(np.int64)
+                q, of_end = before(hashes, ends - starts, upto)
+                each = np.concatenate((keyed(hashes, q), ENDS[of_end])).view(np.int64)
                 doc = np.concatenate((np.repeat(np.arange(docs_here), n), np.arange(docs_here)))
                 h, at = np.unique(each, return_inverse=True)
                 place = np.minimum(np.searchsorted(keys, h), last)
@@ -553,7 +634,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = stored(map_arrow(rows, first, f"doc_id {kind}, held_out boolean, rid long, n_tokens long, known long, base double, mine double, n_bytes long, keys array<long>, n array<int>"), "scored")
     rare = known.select("rid", F.explode(F.arrays_zip("keys", "n")).alias("x")).select("rid", F.col("x.keys").alias("key"), "x.n")
-    met = rare.join(scores, "key").select("rid", (F.col("n") * F.log10(F.col("c") + 0.1)).alias("base_rare"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("known_rare"), (F.col("n") * F.col("lm")).alias("mine_rare"))
+    met = rare.join(scores.drop("n"), "key").select("rid", (F.col("n") * F.log10(F.col("c") + 0.1)).alias("base_rare"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).cast("long").alias("known_rare"), (F.col("n") * F.col("lm")).alias("mine_rare"))
     sums = met.groupBy("rid").agg(F.sum("base_rare").alias("base_rare"), F.sum("known_rare").alias("known_rare"), F.sum("mine_rare").alias("mine_rare"))
     zero = lambda x: F.coalesce(x, F.lit(0))
     out = known.drop("keys", "n").join(sums, "rid", "left")

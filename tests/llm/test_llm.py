@@ -158,58 +158,123 @@ def test_lm_base_and_gain(docs):
         assert g.base_score == pytest.approx(base) and g.score < 0
 
 
-def test_lm_mixer_is_a_distribution():
-    rng = np.random.default_rng(1)
-    counts = rng.integers(0, 50, (len(lm.ORDERS), lm.SLOTS, 2)).astype(np.float32)
-    mixer = lm.Mixer(counts)
+def tokens_of(text):
+    """(word with its space, what came before) of a text's tokens, plainly."""
+    words = text.encode().lower().split()
+    hashes = [int(common.span_hashes(np.frombuffer(w, np.uint8), np.zeros(1, np.int64), np.full(1, len(w)))[0]) for w in words]
+    votes = [0] * 256
+    for w, h in zip(words, hashes):
+        votes[h >> 56] += len(w) <= lm.SHORT
+    own, out = votes.index(max(votes)) % lm.CLASSES, []
+    q = own
+    for w, h in zip(words, hashes):
+        out.append((w + b" ", q))
+        q = lm.CLASSES + (h >> 40) % lm.SHORTS if len(w) <= lm.SHORT else own
+    return [*out, (b" ", q)]
+
+
+def lm_words(rows):
+    return lm.dealt(lm.stored(lm.gather(rows, True).groupBy("key").agg(lm.F.first("word").alias("word"), lm.F.first("q").alias("q"), lm.F.sum("n").alias("n")), "words"))
+
+
+def random_texts(n=40):
+    rng = random.Random(4)
+    return [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(60)) for _ in range(n)]
+
+
+def test_lm_tokens_and_what_came_before(spark):
+    texts = [*random_texts(10), "", "one", "the cat the dog of the cat"]
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)
+    got = {(bytes(r.word), r.q): r.n for r in lm_words(rows).collect()}
+    assert got == Counter(x for t in texts for x in tokens_of(t))
+
+
+def test_lm_counts_and_scores_are_those_of_plain_code(spark, monkeypatch):
+    texts = random_texts()
+    monkeypatch.setattr(lm, "PART_BYTES", 400)
+    monkeypatch.setattr(lm, "FILE_WORDS", 300)
+    monkeypatch.setattr(lm, "SLOTS", 1 << 22)
+    monkeypatch.setattr(lm, "MOST_SLOTS", 1 << 22)
+    words = lm_words(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA))
+    around, logs, over, mixer = lm.learn(words)
+    got = {r.key: r for r in lm.scored(words, (around, logs, over, mixer)).collect()}
+    seen = Counter(x for t in texts for x in tokens_of(t))
+    assert len(got) == len(seen) == words.count() and words.select("part").distinct().count() > 5
+    # counts of zeros and ones by context, plainly
+    counts: dict = defaultdict(lambda: [0, 0])
+
+    def contexts(w, q, i, j):
+        node = (1 << j) | (w[i] >> (8 - j))
+        back = [*w[max(i - 3, 0) : i][::-1], 300 + q]
+        return [("last", n, tuple(back[:n]), node) for n in lm.TABLED] + [("before", q, w[:i], node), ("all", w[:i], node)]
+
+    for (w, q), n in seen.items():
+        for i in range(len(w)):
+            for j in range(8):
+                for c in contexts(w, q, i, j):
+                    counts[c][w[i] >> (7 - j) & 1] += n
+    key, equal = {bytes(r.word) + bytes([r.q]): r.key for r in words.collect()}, 0
+    for (w, q), _ in random.Random(1).sample(sorted(seen.items()), 60):
+        want = 0.0
+        for i in range(len(w)):
+            for j in range(8):
+                found = [counts[c] for c in contexts(w, q, i, j)]
+                gate = int(min(np.log2(sum(found[-1]) + 1), 7)) * 8 + j
+                x = sum(k * np.log((one + 0.2) / (zero + 0.2)) for k, (zero, one) in zip(mixer.weights[gate], found))
+                x = np.clip(int(np.clip(x, -9, 9) * 64 + 512.5) / 64 - 8, -8, 8)  # as it is tabled
+                p = (lm.squash(x) + mixer.map[gate, int(mixer.bin_of(x))]) / 2
+                want += np.log10(p if w[i] >> (7 - j) & 1 else 1 - p)
+        r = got[key[w + bytes([q])]]
+        equal += abs(r.lm - want) < 0.01
+        assert r.c == sum(n for (v, _), n in seen.items() if v == w)
+    assert equal >= 54  # but for contexts that share a slot
+
+
+def test_lm_mixer_is_a_distribution(spark):
+    """Of all first bytes, each followed by the end, the probabilities add up to
+    no more than one."""
+    table = [np.random.default_rng(1).normal(size=lm.SLOTS).astype(np.float32) for _ in lm.TABLED]
+    rows = pa_rows([(bytes([c, 32]) if c != 32 else b" ", 0, 1) for c in range(256)])
+    part = lm.Part(rows, (None, None))
+    mixer = lm.Mixer()
     mixer.settle()
-    # every first byte, each followed by the end: no more than one in all
-    data = np.frombuffer(bytes(c for c in range(256)), np.uint8)
-    starts = np.arange(256)
-    assert (10.0 ** mixer.log10(data, starts, starts + 1, np.zeros(256, np.int64))).sum() <= 1.0 + 1e-6
+    none = (np.zeros(1, np.uint64), np.zeros(1), np.zeros(1))
+    assert 0 < (10.0 ** lm.spelled(part, mixer, table, none)).sum() <= 1.0 + 1e-6
+
 
+def pa_rows(rows):
+    import pyarrow as pa
 
-def test_lm_mixer_learns_from_all_documents(spark, monkeypatch):
+    word, q, n = zip(*rows)
+    return pa.table([pa.array(range(len(rows)), pa.int64()), pa.array(word, pa.binary()), pa.array(q, pa.int32()), pa.array(n, pa.int64())], names=["key", "word", "q", "n"])
+
+
+def test_lm_learns_from_all_documents(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(lm.Mixer, "chart", lambda self, observed, f=lm.Mixer.chart: (seen.append(observed.reshape(2, -1)[0].sum()), f(self, observed))[1])
+    monkeypatch.setattr(lm.Mixer, "chart", lambda self, f=lm.Mixer.chart: (seen.append(self.observed[0].sum()), f(self))[1])
     rows = spark.createDataFrame([(i, f"word{i:04d}", "en", "s") for i in range(900)], SCHEMA).repartition(3)
     lm.score(rows.withColumn("held_out", common.held_out(10, 0)), rows).count()
     assert seen == [900 * (9 + 1) * 8]  # each word's eight bytes and the space after it, and the end
 
 
-def test_lm_contexts_are_true_counts(spark, monkeypatch):
-    rng = random.Random(4)
-    texts = [" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(60)) for _ in range(40)]
-    monkeypatch.setattr(lm, "PART", 30)
-    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], SCHEMA)
-    words = lm.dealt(lm.stored(lm.gather(rows, True).groupBy("key").agg(lm.F.first("word").alias("word"), lm.F.first("k").alias("k"), lm.F.sum("n").alias("n")), "words"))
-    tables, over = lm.contexts(words)
-    spelled = Counter(w + " " for t in texts for w in (*t.split(), ""))
-    got = 0
-    for number, part in lm.parts(words.orderBy("part").toArrow().to_batches()):
-        mixer = part.mixer(tables, over)
-        own = words.filter(f"part = {number}").toArrow()
-        word = [own.column("word")[i].as_py().decode() for i in np.random.default_rng(5).permutation(len(own))]
-        for w, first in zip(word, part.first):
-            got += 1
-            for i in range(len(w)):
-                for j in range(8):
-                    same = [(x, n) for x, n in spelled.items() if x[:i] == w[:i] and len(x) > i and ord(x[i]) >> (8 - j) == ord(w[i]) >> (8 - j)]
-                    ones = sum(n for x, n in same if ord(x[i]) >> (7 - j) & 1)
-                    assert mixer.counts[-1][part.slots[-1][j][first + i]].tolist() == [sum(n for _, n in same) - ones, ones]
-    assert got == words.count() and words.select("part").distinct().count() > 3
-
-
-def test_lm_mixer_scores_every_word(spark):
+def test_lm_scores_don_t_depend_on_what_is_broadcast(spark, monkeypatch):
     rows = spark.createDataFrame([(i, f"the word w{i % 7} is the {i}", "en", "s") for i in range(50)], SCHEMA)
-    words = lm.dealt(lm.stored(lm.gather(rows, True).groupBy("key").agg(lm.F.first("word").alias("word"), lm.F.first("k").alias("k"), lm.F.sum("n").alias("n")), "words"))
-    learned = lm.learn(words)
-    got = {r.key: r.lm for r in lm.scored(words, learned).collect()}
-    for _, part in lm.parts(words.orderBy("part").toArrow().to_batches()):
-        mixer = part.mixer(*learned[0].value)
-        mixer.weights, mixer.map = learned[1:]
-        mixer.settle()
-        assert [got[k] for k in part.key.tolist()] == pytest.approx(mixer.score(part).tolist(), abs=1e-4)
+    want = {r.doc_id: r for r in lm.report(rows).collect()}
+    monkeypatch.setattr(lm, "MOST_BROADCAST", 3)
+    for r in lm.report(rows).collect():
+        w = want[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (w.n_tokens, w.n_known)
+        assert r.score == pytest.approx(w.score) and r.base_score == pytest.approx(w.base_score)
+
+
+def test_lm_end_is_known_among_many_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(lm, "MOST_BROADCAST", 100)
+    many = " ".join(f"w{i} w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, many, "en", "s"), (2, "w1 w2", "en", "s")], SCHEMA)
+    got = {r.doc_id: r for r in lm.score(docs.withColumn("held_out", lm.F.lit(False)), docs).collect()}
+    n, v = 6000 + 2 + 2, 3001
+    assert got[2].n_known == 3 and got[2].train_tokens == n
+    assert got[2].base_score == pytest.approx(2 * np.log10(3.1) + np.log10(2.1) - 3 * np.log10(n + 0.1 * (v + 1)))
 
 
 def test_lm_edges(edge, empty):
