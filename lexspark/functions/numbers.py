@@ -7,8 +7,10 @@ from __future__ import annotations
 
 
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import fold
 
@@ -99,12 +101,21 @@ def law_id(kind: Column, number: Column, year: Column) -> Column:
 
 
 def edit_ratio(a: Column, b: Column) -> Column:
-    """1 - edit distance by the longer length's share: a native stand-in for a
-    matching-blocks ratio, and not equal to it."""
+    """Edit distance by the longer length, in the JVM; for matching_ratio()'s
+    measure it is only a stand-in."""
     longest = F.greatest(F.length(a), F.length(b), F.lit(1))
     return F.levenshtein(a, b) / longest
 
 
+@F.pandas_udf(T.DoubleType())
+def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """1 - 2 * characters in matching blocks by both lengths: 0 for equal texts
+    and for two empty ones; null counts as empty."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([1 - SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+
+
 def file_identity(path: Column) -> Column:
     """part, number, bis and date from names such as
     'Monitorul-Oficial--PI--123Bis--2007-03-05.pdf'; a sentinel otherwise."""

@@ -53,6 +53,11 @@ def fold_ws(c: Column) -> Column:
     return F.regexp_replace(fold(c), r"[\s\-–—|*#>_]", "")
 
 
+def strip_all(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
 def collapse_spaces(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -191,3 +196,71 @@ def try_json(c: Column, schema: str) -> Column:
     return F.from_json(F.regexp_replace(some, r"[\x00-\x1f]", " "), schema, {"mode": "PERMISSIVE"})
 
 
+
+
+#: Roles that sign with a comma; the place and date of a closing.
+SIGNED = r"(?:Ministrul|Ministra|Președintele|Directorul\s+general|Guvernatorul|p\.\s+Ministrul|Secretarul\s+de\s+stat)[^\n]{0,120},"
+DATED = r"Bucure[șs]ti,\s+\d{1,2}\s+\w+\s+\d{4}"
+ORPHANED = "<!-- orphaned-signature -->"
+#: Letters of a paragraph that may be an echo, look-back of a signature.
+ECHO, LOOK_BACK = 120, 300
+
+
+def drop_echoes(c: Column) -> Column:
+    """Without fence lines and without paragraphs that came before: those of
+    ECHO letters at least, without a number of an act."""
+    def once(parts: Column) -> Column:
+        def kept(keys: Column) -> Column:
+            return F.array_join(F.filter(parts, lambda p, i: F.get(keys, i).isNull() | (F.array_position(keys, F.get(keys, i)) == i + 1)), "\n\n")
+
+        key = lambda p: F.lower(F.regexp_replace(p, r"(?U)\W+", ""))
+        return let(F.transform(parts, lambda p: F.when((F.length(key(p)) >= ECHO) & ~p.rlike(r"(?i)\bnr\.\s*\d"), key(p))), kept)
+
+    return let(F.split(F.regexp_replace(c, r"(?m)^\s*```(?:markdown)?\s*$\n?", ""), r"\n\s*\n"), once)
+
+
+def mark_orphaned(c: Column) -> Column:
+    """ORPHANED after every signature line without a place and date in the
+    LOOK_BACK characters before it."""
+    parts = F.split(F.regexp_replace(c, rf"(?m)^({SIGNED})[^\S\n]*$", "\u0001$1\u0002"), "\u0001")
+    start = F.struct(F.get(parts, F.lit(0)).alias("out"), F.right(F.get(parts, F.lit(0)), F.lit(LOOK_BACK)).alias("tail"))
+
+    def step(state, part):
+        plain = F.translate(part, "\u0002", "")
+        said = F.when(state["tail"].rlike(DATED), plain).otherwise(F.replace(part, F.lit("\u0002"), F.lit(f"\n{ORPHANED}")))
+        return F.struct(F.concat(state["out"], said).alias("out"), F.right(F.concat(state["tail"], plain), F.lit(LOOK_BACK)).alias("tail"))
+
+    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), start, step, lambda s: s["out"])
+
+
+def normalize_markdown(c: Column, era: Column) -> Column:
+    """A document's Markdown made fit for segmentation: marker comments go, code
+    points are put right by era, in the scanned era echoes go, runs of spaces
+    inside body lines become one, signatures without a date are marked.
+    (Headings of the scanned era are promoted by layout.promote_headings, words
+    of the later broken era split by defusion.defuse.)"""
+    out = normalize_text(F.regexp_replace(c, r"<!--\w+:[^>]+-->\n?", ""), era)
+    out = F.translate(out, "\x82\x92\x93", "ășț")
+    out = F.when(era == "scanned", drop_echoes(out)).otherwise(out)
+    body = lambda x: ~(x.startswith("#") | x.startswith("|") | x.startswith("  "))
+    lines = F.transform(F.split(out, "\n"), lambda x: F.when(body(x), F.regexp_replace(x, r"(?<=\S) {2,}(?=\S)", " ")).otherwise(x))
+    return mark_orphaned(F.array_join(lines, "\n"))
+
+
+#: Running header (on pages after the first), start of the colophon,
+#: marks of OCR and footnotes; (n) stays, as it numbers a paragraph.
+RUNNING = r"(?iu)MONITORUL\s+OFICIAL\s+AL\s+ROM[ÂA]NIEI,?\s*PARTEA\s+I,?\s*Nr\.\s*\d+[^\n]*\n"
+COLOPHON = r"(?is)(?:EDITOR:\s*PARLAMENTUL|Monitorul Oficial R\.A\.|Pre[tț]ul:|ABONAMENTE).*"
+MARKS = r"<[^>]{1,12}>|\[\d{1,3}\]|(?<!\S)\*(?!\S)|\bcite\b"
+
+
+def strip_structural(pages: Column) -> Column:
+    """Pages without running headers (the first keeps its own), lone page
+    numbers, the colophon to the page's end, and marks."""
+    def page(p: Column, i: Column) -> Column:
+        out = F.when(i > 0, F.regexp_replace(p, RUNNING, "")).otherwise(p)
+        for pattern in (r"(?m)^\s*\d{1,3}\s*$", COLOPHON, MARKS):
+            out = F.regexp_replace(out, pattern, "")
+        return strip_all(strip_artifacts(out))
+
+    return F.transform(pages, page)

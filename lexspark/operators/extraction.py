@@ -18,16 +18,25 @@ HEADINGS = (
 COURT = r"curtea\s+constitutionala"
 CADASTRE = r"agenti(?:a|ei)\s+nationala\s+de\s+cadastru"
 
-#: Authorities by pattern, the first that occurs anywhere wins.
+#: Authorities, their short tags and (folded) patterns, the first
+#: that occurs anywhere wins; of parliament not the newspaper's footer.
 AUTHORITIES = (
-    ("Curtea Constituțională", COURT), ("Agenția Națională de Cadastru și Publicitate Imobiliară", CADASTRE),
-    ("Autoritatea Electorală Permanentă", r"autoritatea\s+electorala\s+permanenta"),
-    ("Autoritatea Națională Sanitară Veterinară și pentru Siguranța Alimentelor", r"autorit[a]tea\s+nationala\s+sanitara\s+veterinara"),
-    ("Banca Națională a României", r"banca\s+nationala\s+a\s+romaniei"), ("Parlamentul României", r"parlamentul\s+romaniei"),
-    ("Președintele României", r"presedintele\s+romaniei"), ("Guvernul României", r"(?:^|\n)guvernul\s+romaniei"),
-    ("Ministerul Internelor", r"ministr\w+\s+internelor"), ("Ministerul Educației", r"ministr\w+\s+educatiei"),
-    ("Ministerul Finanțelor", r"ministr\w+\s+finantelor"), ("Ministerul Sănătății", r"ministr\w+\s+sanatatii"), ("Minister", r"\bminister(?:ul)?\b"),
-)
+    ("Curtea Constituțională", "ccr", COURT),
+    ("Agenția Națională de Cadastru și Publicitate Imobiliară", "ancpi", CADASTRE),
+    ("Agenția Națională de Control al Exporturilor", "ance", r"agentia\s+nationala\s+de\s+control\s+al\s+export"),
+    ("Agenția Națională pentru Resurse Minerale", "anrm", r"agentia\s+nationala\s+pentru\s+resurse\s+minerale"),
+    ("Autoritatea Electorală Permanentă", "aep", r"autoritatea\s+electorala\s+permanenta"),
+    ("Autoritatea Națională Sanitară Veterinară și pentru Siguranța Alimentelor", "ansvsa", r"autoritatea\s+nationala\s+sanitara\s+veterinara"),
+    ("Banca Națională a României", "bnr", r"banca\s+nationala\s+a\s+romaniei"),
+    ("Parlamentul României", "parl", r"parlamentul\s+romaniei(?!\s*[—–-]\s*camera)"),
+    ("Președintele României", "pres", r"presedintele\s+romaniei"),
+    ("Guvernul României", "gov", r"(?m)^guvernul\s+romaniei"),
+    ("Ministerul Internelor", "mai", r"ministr\w+\s+internelor"),
+    ("Ministerul Educației", "medu", r"ministr\w+\s+educatiei"),
+    ("Ministerul Finanțelor", "mfin", r"ministr\w+\s+finantelor"),
+    ("Ministerul Sănătății", "msan", r"ministr\w+\s+sanatatii"),
+    ("Minister", "min", r"\bminister(?:ul)?\b"),
+)
 
 CLOSING = r"bucuresti, +\d{1,2} +[a-z]+ +(\d{4})\.[^§]{0,100}?nr\. *([\d.]*\d)\."
 LONE = r"(?:^|\n) *nr\. *([\d.]*\d)\. *(?:\n|$)"
@@ -46,14 +55,65 @@ def doc_type(text: Column, head: int = 800) -> Column:
     return F.coalesce(kind, F.lit("UNKNOWN"))
 
 
-def authority(text: Column) -> Column:
+def _authority(text: Column, field: int) -> Column:
     folded = fold(text)
     out = F.lit(None).cast("string")
-    for name, pattern in reversed(AUTHORITIES):
-        out = F.when(folded.rlike(pattern), name).otherwise(out)
+    for row in reversed(AUTHORITIES):
+        out = F.when(folded.rlike(row[2]), row[field]).otherwise(out)
     return out
 
 
+def authority(text: Column) -> Column:
+    """The first authority of the list that the text names."""
+    return _authority(text, 0)
+
+
+def authority_tag(text: Column) -> Column:
+    return _authority(text, 1)
+
+
+#: Roles after which a comma and the next line's name sign an act (folded).
+ROLES = ("ministrul", "ministra", "presedintele", "directorul", "guvernatorul", r"p\.\s+ministrul", "secretarul de stat")
+
+
+def signatory_hint(text: Column) -> Column:
+    """The first signature's name, three words of it at most: a line that starts
+    a role and ends with a comma, then (after a blank line or none) a line that
+    starts with a capital; empty without one, or if it is a single word."""
+    plain = F.replace(text, F.lit("<!-- orphaned-signature -->"), F.lit(""))
+    role = "|".join(ROLES).replace("presedintele", "pre[sșş]edintele")
+    name = F.trim(F.regexp_extract(plain, rf"(?:(?i:{role}))[^\n]{{0,120}},[^\S\n]*\n(?:[^\S\n]*\n)?[^\S\n]*([A-ZĂÂÎȘȚ][^\n]{{2,60}})", 1))
+    return let(F.filter(F.split(F.regexp_replace(name, r"[,;.]+$", ""), r"\s+"), lambda w: w != ""), lambda w: F.when(F.size(w) >= 2, F.array_join(F.slice(w, 1, 3), " ")).otherwise(""))
+
+
+def issue_header(text: Column) -> Column:
+    """year_label (the newspaper's own, in Roman numerals) and weekday of a
+    masthead; null where it has none."""
+    some = lambda p: F.nullif(F.regexp_extract(fold(text), p, 1), F.lit(""))
+    return F.struct(F.upper(some(r"\banul\s+([ivxlcdm\d]+)\b")).alias("year_label"), some(r"\b(luni|marti|miercuri|joi|vineri|sambata|duminica)\b").alias("weekday"))
+
+
+def reclassify(acts: DataFrame) -> DataFrame:
+    """acts with type and authority found anew where they are UNKNOWN or empty;
+    what is known stays."""
+    kind, by = doc_type(F.col("full_text")), F.coalesce(authority(F.col("full_text")), F.lit(""))
+    empty = F.coalesce("issuing_authority", F.lit("")) == ""
+    return acts.withColumns({"doc_type": F.when(F.col("doc_type") == "UNKNOWN", kind).otherwise(F.col("doc_type")), "issuing_authority": F.when(empty, F.nullif(by, F.lit(""))).otherwise(F.col("issuing_authority"))})
+
+
+def reclassify_chunks(chunks: DataFrame) -> DataFrame:
+    """chunks (issue_id, act_index, chunk_index, text, doc_type,
+    issuing_authority) with their acts' type and authority, found anew in the
+    acts' texts, which are put together from their chunks; one small row an act
+    is joined back."""
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), "\n")
+    acts = chunks.groupBy("issue_id", "act_index").agg(texts.alias("full_text"), F.first("doc_type").alias("doc_type"), F.first("issuing_authority").alias("issuing_authority"))
+    found = reclassify(acts.filter((F.col("doc_type") == "UNKNOWN") | (F.coalesce("issuing_authority", F.lit("")) == ""))).select("issue_id", "act_index", F.struct("doc_type", "issuing_authority").alias("_n"))
+    out = chunks.join(found, ["issue_id", "act_index"], "left")
+    new = lambda c: F.when(F.col("_n").isNotNull(), F.col("_n")[c]).otherwise(F.col(c)).alias(c)
+    return out.select(*(new(c) if c in ("doc_type", "issuing_authority") else F.col(c) for c in chunks.columns))
+
+
 def numbers_in(text: Column, pattern: str) -> Column:
     """Distinct numbers that the pattern finds, without dots, in order."""
     return F.array_distinct(F.transform(F.regexp_extract_all(fold(text), F.lit(pattern), F.lit(1)), lambda n: F.regexp_replace(n, r"\.", "")))
@@ -163,18 +223,29 @@ def closing_signatures(pages: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(first)).filter("_r = 1").select("doc_id", "page_no", "number", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300).alias("context"))
 
 
-def match_recovered(acts: DataFrame, signatures: DataFrame, tolerance: int = 2) -> DataFrame:
+def match_recovered(acts: DataFrame, signatures: DataFrame, tolerance: int = 2, excluded: DataFrame | None = None) -> DataFrame:
     """doc_id, act_index, number of acts without a number whose signatory's
-    names all stand in the context of one signature near their page; null if
-    none or several. A range join: pages are cut into bands of the tolerance, so
-    it is an equi-join on document and band."""
+    names all stand in the context of one signature: of those near their page
+    if they have a page_hint, of the document's else; null if none or several.
+    excluded (doc_id, number): numbers that the document's acts abrogate, which
+    sign none of them.
+
+    A range join: pages are cut into bands of the tolerance, so it is an
+    equi-join on document and band. Acts without a page meet the document's
+    signatures by the signatory's longest name, which has to be there."""
     width = 2 * tolerance + 1
-    a = acts.withColumn("_band", F.explode(F.array_distinct(F.array(F.floor((F.col("page_hint") - tolerance) / width), F.floor((F.col("page_hint") + tolerance) / width)))))
-    s = signatures.withColumn("_band", F.floor(F.col("page_no") / width))
+    if excluded is not None:
+        signatures = signatures.join(excluded.select("doc_id", "number").distinct(), ["doc_id", "number"], "left_anti")
+    words = lambda c: F.filter(F.split(fold(c), r"[^a-z0-9]+"), lambda n: F.length(n) > 3)
     names = F.filter(F.split(fold(F.col("signatory")), r"\s+"), lambda n: F.length(n) > 3)
-    near = a.join(s, ["doc_id", "_band"]).filter(F.abs(F.col("page_hint") - F.col("page_no")) <= tolerance)
-    near = near.filter((F.size(names) > 0) & let(fold(F.col("context")), lambda c: F.forall(names, lambda n: c.contains(n))))
-    found = near.groupBy("doc_id", "act_index").agg(F.count_distinct("number").alias("c"), F.min("number").alias("number"))
+    named = acts.filter(F.size(names) > 0)
+    a = named.filter("page_hint is not null").withColumn("_band", F.explode(F.array_distinct(F.array(F.floor((F.col("page_hint") - tolerance) / width), F.floor((F.col("page_hint") + tolerance) / width)))))
+    s = signatures.withColumn("_band", F.floor(F.col("page_no") / width))
+    near = a.join(s, ["doc_id", "_band"]).filter(F.abs(F.col("page_hint") - F.col("page_no")) <= tolerance).drop("_band")
+    longest = F.array_max(F.transform(words(F.col("signatory")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    far = named.filter("page_hint is null").withColumn("_w", longest).join(signatures.withColumn("_w", F.explode(F.array_distinct(words(F.col("context"))))), ["doc_id", "_w"]).drop("_w")
+    met = near.unionByName(far).filter(let(fold(F.col("context")), lambda c: F.forall(names, lambda n: c.contains(n))))
+    found = met.groupBy("doc_id", "act_index").agg(F.count_distinct("number").alias("c"), F.min("number").alias("number"))
     return acts.select("doc_id", "act_index").join(found, ["doc_id", "act_index"], "left").select("doc_id", "act_index", F.when(F.col("c") == 1, F.col("number")).alias("number"))
 
 

@@ -6,12 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import act_id, chunk_id, law_id
-from ..functions.text import fold, let
+from ..functions.text import fold, let, strip_all
 
 #: Chunk sizes in tokens, overlap, and the least preamble.
 TARGET, LARGEST, OVERLAP, PREAMBLE = 450, 512, 80, 50
@@ -22,15 +22,23 @@ POISON_SHARE, POISON_LEAST, POISON_HEAD = 0.12, 150, 1000
 ARTICLE_TYPES = ("LEGE", "OUG", "HG", "HOTĂRÂRE", "ORDIN", "ORDONANȚĂ", "DECRET_LEGE")
 
 
+#: What isn't an act's text: running headers, page breaks, marker
+#: comments, the colophon up to the end, lone page numbers.
+POLLUTION = (
+    r"(?im)^\s*\d*\s*MONITORUL\s+OFICIAL\s+AL\s+ROM[ÂA]NIEI[^\n]*$\n?",
+    r"(?imu)^\s*Monitorul\s+Oficial\s+al\s+Rom[âa]niei,\s*Partea\s+I[^\n]*$\n?",
+    r"(?im)^\s*(?:<!--\s*\w+:)?page-break(?:\s*-->)?\s*$\n?",
+    r"<!--\s*\w+:[^>]*-->\n?",
+    r"(?is)\n[^\n]{0,10}EDITOR\s*:\s*(?:PARLAMENTUL|CONSILIUL|MONITORUL).{0,2500}\z",
+    r"(?m)^\s*\d{1,3}\s*$\n?",
+)
+
+
 def clean_act_text(c: Column) -> Column:
-    """Without running headers, page breaks, marker comments, the colophon and
-    lone page numbers; equal neighbouring lines of 15 letters count once."""
-    for pattern, to in (
-        (r"(?im)^[^\n]*monitorul oficial al rom[^\n]*partea[^\n]*$", ""), (r"(?im)^\s*partea i[^\n]*nr\.[^\n]*$", ""),
-        (r"(?m)^\s*(?:-{3,}|<!--\s*page[^>]*-->)\s*$", ""), (r"(?s)<!--.*?-->", ""), (r"(?s)\n\s*EDITOR:.{0,2500}\z", ""), (r"(?m)^\s*\d{1,3}\s*$", ""),
-    ):
-        c = F.regexp_replace(c, pattern, to)
-    return F.trim(F.regexp_replace(collapse_lines(c), r"\n{3,}", "\n\n"))
+    """Without POLLUTION; blocks of lines that repeat at once count once."""
+    for pattern in POLLUTION:
+        c = F.regexp_replace(c, pattern, "")
+    return strip_all(F.regexp_replace(collapse_blocks_udf(c), r"\n{3,}", "\n\n"))
 
 
 def line_key(line: Column) -> Column:
@@ -58,7 +66,7 @@ def collapse_blocks(text: str | None, most: int = 8, least: int = 15) -> str | N
 
     lines = text.split("\n")
     keys = [key(x) for x in lines]
-    changed = True
+    changed = any(k and k in keys[i + 1 : i + most + 1] for i, k in enumerate(keys))
     while changed:
         changed = False
         for size in range(most, 0, -1):
@@ -100,20 +108,25 @@ def shingles(c: Column, n: int = DUP_WORDS) -> Column:
 
 def duplicate_pairs(docs: DataFrame, key: str, share: float = DUP_SHARE, length: int = DUP_LENGTH, within: tuple[str, ...] = ()) -> DataFrame:
     """Pairs a < b of long texts whose containment, shared shingles by the
-    smaller set, reaches share. The join is on the shingles of each text's
-    prefix in hash order: one that is needed must be there, so that frequent
-    shingles don't pair everything; what meets is verified on whole sets."""
+    smaller set, reaches share. The smaller set shares at least share of itself,
+    so one of its first shingles, in the order of document frequency, must be in
+    the larger one: the join is on those, the rarest, so that frequent shingles
+    don't pair everything; what meets is verified on whole sets."""
     rows = docs.filter(F.length("text") >= length).select(F.col(key).alias("id"), *within, F.transform(shingles(F.col("text")), lambda x: F.xxhash64(x)).alias("s"))
-    rows = rows.filter(F.size("s") >= DUP_SHINGLES).withColumn("s", F.array_sort("s"))
-    # the smaller set shares at least share of itself, so its prefix must meet
-    # the whole of the larger one
-    prefix = F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.lit(share) * F.size("s")) + 1).cast("int"))
-    small = rows.select(F.col("id").alias("x"), *within, F.size("s").alias("nx"), F.explode(prefix).alias("h"))
-    large = rows.select(F.col("id").alias("y"), *within, F.size("s").alias("ny"), F.explode("s").alias("h"))
-    met = small.join(large, [*within, "h"]).filter((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny")))
-    met = met.select(*within, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    left, right = rows.select(F.col("id").alias("a"), F.col("s").alias("sa")), rows.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-    both = met.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    rows = rows.filter(F.size("s") >= DUP_SHINGLES)
+    every = rows.select("id", *within, F.size("s").alias("n"), F.explode("s").alias("h"))
+    # a shingle that one text has can't meet another, but comes first
+    common = every.groupBy(*within, "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    met = every.join(common, [*within, "h"])
+    own = Window.partitionBy(*within, "id")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "h"))
+    first = met.withColumn("_r", place).filter(F.col("_r") <= F.col("n") - F.ceil(F.lit(share) * F.col("n")) + 1)
+    small = first.select(F.col("id").alias("x"), *within, F.col("n").alias("nx"), "h")
+    large = met.select(F.col("id").alias("y"), *within, F.col("n").alias("ny"), "h")
+    pairs = small.join(large, [*within, "h"]).filter((F.col("x") != F.col("y")) & (F.col("nx") <= F.col("ny")))
+    pairs = pairs.select(*within, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left, right = rows.select(*within, F.col("id").alias("a"), F.col("s").alias("sa")), rows.select(*within, F.col("id").alias("b"), F.col("s").alias("sb"))
+    both = pairs.join(left, [*within, "a"]).join(right, [*within, "b"]).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     both = both.select(*within, "a", "b", "shared", F.size("sa").alias("na"), F.size("sb").alias("nb"))
     return both.filter(F.col("shared") >= F.lit(share) * F.least("na", "nb"))
 
@@ -315,22 +328,46 @@ def embed(df: DataFrame, embedder: Callable[[pd.Series], pd.Series], text: str =
     return df.withColumn("embedding", udf(F.substring(text, 1, most)))
 
 
-def build_chunks(acts: DataFrame, token_counter: Callable[[str], int] = default_counter) -> DataFrame:
-    """The gold table of chunks: acts with 20 characters that are no poison,
-    chunked, with law id, prefix and up to 12,000 characters of parent text."""
-    good = acts.withColumn("full_text", clean_act_text(F.col("full_text"))).filter((F.length("full_text") >= 20) & ~is_poison(F.col("full_text")))
+def table_chunks(tables: DataFrame) -> DataFrame:
+    """chunk_id, issue_id, act_index (null), chunk_index, path, text, n_tokens,
+    title, text_embedded, parent_text of tables (issue_id, table_index, markdown,
+    title, act_year), cut at rows."""
+    rows = tables.filter(F.length("markdown") >= 10).withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Tabel "), (F.col("table_index") + 1).cast("string"))))
+    rows = rows.select("*", F.posexplode(split_table(F.col("markdown"))).alias("chunk_index", "text"))
+    n, i = F.col("table_index").cast("string"), F.col("chunk_index").cast("string")
+    return rows.select(
+        F.concat("issue_id", F.lit("_tbl"), n, F.lit("_p"), i).alias("chunk_id"), "issue_id", F.lit(None).cast("int").alias("act_index"), "chunk_index", F.lit("TABLE").alias("doc_type"), "act_year",
+        F.concat(F.lit("table/"), n, F.lit("/part/"), i).alias("path"), "text", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("n_tokens"), "title",
+        F.concat(F.lit("[TABLE | "), "title", F.lit(" | MO "), "issue_id", F.lit(" | "), F.col("act_year").cast("string"), F.lit("] "), "text").alias("text_embedded"), F.substring("markdown", 1, 12000).alias("parent_text"),
+    )
+
+
+def without_duplicates(acts: DataFrame) -> DataFrame:
+    """acts without those whose long text near-duplicates another one of their
+    issue; the shorter one goes."""
+    key = acts.select("issue_id", F.col("act_index").alias("n"), F.col("full_text").alias("text"))
+    gone = duplicate_losers(duplicate_pairs(key, "n", within=("issue_id",)), "issue_id").withColumnRenamed("id", "act_index")
+    return acts.join(gone, ["issue_id", "act_index"], "left_anti")
+
+
+def build_chunks(acts: DataFrame, token_counter: Callable[[str], int] = default_counter, tables: DataFrame | None = None) -> DataFrame:
+    """The gold table of chunks: acts with 20 characters that are neither poison
+    nor near-duplicates in their issue, chunked, with law id, prefix and up to
+    12,000 characters of parent text; tables' chunks after them."""
+    good = without_duplicates(acts.filter(F.length("full_text") >= 20)).withColumn("full_text", clean_act_text(F.col("full_text")))
+    good = good.filter((F.length("full_text") >= 20) & ~is_poison(F.col("full_text")))
     facets = good.select(
         "issue_id", "act_index", "doc_type", "act_number", "act_year", "issuing_authority", "title", law_id(F.col("doc_type"), F.col("act_number"), F.col("act_year")).alias("law_id"),
         prefix(F.col("doc_type"), F.col("act_number"), F.col("act_year"), F.col("issuing_authority"), F.col("issue_id")).alias("head"), F.substring("full_text", 1, 12000).alias("parent_text"),
     )
     out = chunk_acts(good, token_counter).join(facets, ["issue_id", "act_index"])
-    return out.withColumn("text_embedded", F.concat_ws(" ", "head", "text")).withColumn("parts", path_parts(F.col("path"))).drop("head")
+    out = out.withColumn("text_embedded", F.concat_ws(" ", "head", "text")).withColumn("parts", path_parts(F.col("path"))).drop("head")
+    return out if tables is None else out.unionByName(table_chunks(tables), allowMissingColumns=True)
 
 
 def issue_coverage(acts: DataFrame, raw: DataFrame) -> DataFrame:
     """issue_id, coverage_ratio: characters of an issue's acts by those of its
-    raw text."""
+    raw text (rows of issue_id, raw; lengths are summed, texts stay apart)."""
     mapped = acts.groupBy("issue_id").agg(F.sum(dense_length(F.col("full_text"))).alias("m"))
-    return raw.join(mapped, "issue_id", "left").select("issue_id", F.when(dense_length(F.col("raw")) == 0, F.lit(1.0)).otherwise(F.least(F.coalesce("m", F.lit(0)) / dense_length(F.col("raw")), F.lit(1.0))).alias("coverage_ratio"))
-
-
+    whole = raw.groupBy("issue_id").agg(F.sum(dense_length(F.col("raw"))).alias("n"))
+    return whole.join(mapped, "issue_id", "left").select("issue_id", F.when(F.col("n") == 0, F.lit(1.0)).otherwise(F.least(F.coalesce("m", F.lit(0)) / F.col("n"), F.lit(1.0))).alias("coverage_ratio"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, markdown_plain
+from ..functions.text import fold, let, markdown_plain
 
 #: Short artefact, publisher's footer, lead block, orphan tokens, ratios.
 ARTEFACT, FOOTER, LEAD, ORPHAN, ORPHAN_SCANNED, LOW, HIGH, SHORT = 150, 1000, 300, 50, 20, 0.3, 2.0, 50
@@ -28,6 +28,90 @@ def split_closings(blocks: DataFrame, key: str = "doc_id", text: str = "block")
     return parts.select(*[c for c in blocks.columns if c != text], F.posexplode("_p").alias("part_no", text))
 
 
+#: Headers that start an act, a letter-spaced title, types and
+#: numbered items that do where there are none; the delimiter of one era.
+INSTITUTIONS = ("PARLAMENTUL ROMÂNIEI", "CURTEA CONSTITUȚIONALĂ", "GUVERNUL ROMÂNIEI", "PREȘEDINTELE ROMÂNIEI", "MINISTERUL", "BANCA NAȚIONALĂ")
+SPACED = r"(?m)^(?:[A-ZĂÂÎȘȚ]\s+){3,}"
+TYPED = r"(?m)^(?:Comunicat|COMUNICAT|Decret-lege|DECRET-LEGE)\b"
+ITEMS = r"(?:(?<=\A)|(?<=\n\n))(?=\d{1,2}\.\s+[A-ZĂÂÎȘȚ])"
+DELIMITER = "«"
+#: Least acts, growth and multiple of what is expected that count
+#: as cut too often.
+LEAST_ACTS, GROWTH, BEYOND = 3, 2, 3
+
+
+def split_patterns(c: Column) -> Column:
+    """A text's pieces that start at an institution's name or a letter-spaced
+    title; without any at a type, without those at numbered items; the whole if
+    there is none of these."""
+    names = "|".join(x.replace(" ", r"\s") for x in INSTITUTIONS)
+    cut = F.when(c.rlike(rf"(?iu){names}") | c.rlike(SPACED), F.regexp_replace(F.regexp_replace(c, rf"(?iu)({names})", "\u0001$1"), SPACED.replace("(?:", "(\u0001?(?:", 1) + ")", "\u0001$1"))
+    cut = cut.when(c.rlike(TYPED), F.regexp_replace(c, f"({TYPED})", "\u0001$1")).otherwise(F.regexp_replace(c, ITEMS, "\u0001"))
+    return F.filter(F.transform(F.split(cut, "\u0001+"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def closing_parts(c: Column) -> Column:
+    """A text's parts, each up to a closing; the rest after the last one."""
+    marked = F.regexp_replace(c, r"(?i)(bucure[sș]ti,\s+\d{1,2}\s+\w+\s+\d{4}\.[\s\S]{0,120}?nr\.\s*[\d.]+\.)", "$1\u0001")
+    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def split_guarded(acts: Column, expected: Column) -> Column:
+    """An array of acts cut at closings; as it was if three or more became twice
+    as many, and more than expected (0: not known)."""
+    def judged(parts: Column) -> Column:
+        spurious = (F.size(acts) >= LEAST_ACTS) & (F.size(parts) >= GROWTH * F.size(acts)) & ((expected == 0) | (F.size(parts) > expected))
+        return F.when(spurious, acts).otherwise(parts)
+
+    return let(F.flatten(F.transform(acts, closing_parts)), judged)
+
+
+def segment_pages(pages: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+    """doc_id, act_index, text of documents given as pages (doc_id, page_no,
+    text, era, expected: acts that the table of contents leads one to expect, 0
+    if none). By the contents' pages where they can be trusted, else by pages
+    that start with an authority, by the delimiter of the era that has one, or
+    by patterns; then cut at closings. A document that patterns cut into more
+    than three times what is expected is one act; short fragments of patterns
+    join the act before."""
+    doc = pages.groupBy("doc_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "text"))), lambda p: p["text"]), "\n").alias("full"),
+        F.first("era").alias("era"), F.max(F.coalesce("expected", F.lit(0))).alias("expected"), F.max("page_no").alias("last"),
+    )
+    listed = lambda df, order: df.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "text"))), lambda x: x["text"]).alias("acts"))
+    headed = listed(split_page_headers(pages.select("doc_id", "page_no", "text")), "act_no").withColumnRenamed("acts", "headed")
+    rows = doc.join(headed, "doc_id", "left")
+    if toc is not None:
+        n_pages = doc.select("doc_id", (F.col("last") + 1).alias("n_pages"))
+        rows = rows.join(degenerate_toc(toc.join(n_pages, "doc_id")), "doc_id", "left")
+        rows = rows.join(listed(slice_pages(pages.select("doc_id", "page_no", "text"), toc), "toc_idx").withColumnRenamed("acts", "sliced"), "doc_id", "left")
+    else:
+        rows = rows.withColumns({"degenerate": F.lit(None).cast("boolean"), "sliced": F.lit(None).cast("array<string>")})
+    split = lambda c: split_guarded(c, F.col("expected"))
+    patterns = split(split_patterns(F.col("full")))
+    patterns = F.when((F.col("expected") >= 2) & (F.size(patterns) > BEYOND * F.col("expected")), F.array("full")).otherwise(joined_fragments(patterns))
+    delimited = F.filter(F.transform(F.split("full", DELIMITER), lambda x: F.trim(x)), lambda x: x != "")
+    several = F.size("headed") > 1
+    how = (
+        F.when(F.col("degenerate") == F.lit(False), "contents").when(F.col("degenerate") & (F.size("headed") > 0), "headers")
+        .when((F.col("era") == "broken_2002") & F.col("full").contains(DELIMITER), "delimiter").when(several, "headers").otherwise("patterns")
+    )
+    acts = F.when(how == "contents", split(F.col("sliced"))).when(how == "headers", split(F.col("headed"))).when(how == "delimiter", split(delimited)).otherwise(patterns)
+    return rows.select("doc_id", how.alias("strategy"), F.posexplode(acts).alias("act_index", "text"))
+
+
+def joined_fragments(acts: Column, least: int = SHORT) -> Column:
+    """Acts shorter than least join the one before."""
+    start = F.array().cast("array<string>")
+
+    def step(done, x):
+        short = (F.size(done) > 0) & (F.length(F.trim(x)) < least)
+        last = F.concat(F.rtrim(F.element_at(done, -1)), F.lit("\n"), x)
+        return F.when(short, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(last))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(acts, start, step)
+
+
 def is_artefact(c: Column) -> Column:
     """Short without a body's signs, a footnote, or the publisher's footer."""
     folded = fold(c)

@@ -44,12 +44,10 @@ def strip_html(spark, d):
 
 
 @query(r"""WITH m AS (SELECT doc_id, '# ' || replace(text, '.', '.**x** `y`') AS md FROM documents)
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(md, '`([^`\n]*)`', '\1', 'g'), '\*\*([^*\n]+)\*\*', '\1', 'g'), '(?m)^#{1,6}[ \t]+', '', 'g') AS t FROM m
-WHERE NOT contains(md, '__') AND NOT contains(md, '![')""")
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '(?m)^```[^\n]*\n?', '', 'g'), '`([^`\n]*)`', '\1', 'g'), '\*\*([^*\n]+)\*\*', '\1', 'g'), '__([^_\n]+)__', '\1', 'g'), '(?m)^#{1,6}[ \t]+', '', 'g') AS t FROM m""")
 def strip_markdown(spark, d):
     md = F.concat(F.lit("# "), F.replace(F.col("text"), F.lit("."), F.lit(".**x** `y`")))
-    rows = table(spark, d, "documents").select("doc_id", md.alias("md")).filter(~F.col("md").contains("__") & ~F.col("md").contains("!["))
-    return rows.select("doc_id", text.strip_markdown(F.col("md")).alias("t"))
+    return table(spark, d, "documents").select("doc_id", text.strip_markdown(md).alias("t"))
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -97,11 +95,11 @@ def file_identities(spark, d):
     return acts(spark, d).select("k", numbers.file_identity(p).alias("i")).select("k", "i.number", "i.bis", "i.date")
 
 
-@query("""SELECT conv_id, turn, levenshtein(left(text, 60), left(reverse(text), 60)) * 1.0 / greatest(length(left(text, 60)), 1) AS ratio FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7f]*')""")
+@query()
 def edit_ratios(spark, d):
-    a, b = F.substring("text", 1, 60), F.substring(F.reverse("text"), 1, 60)
-    ascii_only = table(spark, d, "conversations").filter(F.col("text").rlike(r"\A[\x00-\x7f]*\z"))
-    return ascii_only.select("conv_id", "turn", numbers.edit_ratio(a, b).alias("ratio"))
+    c = table(spark, d, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return c.join(after, ["conv_id", "turn"], "left").select("conv_id", "turn", F.round(numbers.matching_ratio(F.col("text"), F.col("next")), 6).alias("ratio"))
 
 
 @query("""WITH w AS (SELECT unnest(regexp_extract_all(strip_accents(lower(text)), '[a-z]+')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM w GROUP BY w)
@@ -256,7 +254,7 @@ def page_range_slices(spark, d):
     return segmentation.slice_pages(spark.sql(f"{WITH_ACTS}{PAGED} SELECT * FROM pg"), spark.sql(f"{WITH_ACTS}{PAGED} SELECT * FROM tc"))
 
 
-MARKED = """, g AS (SELECT issue_id AS doc_id, act_index, k, concat('## ', full_text, chr(10)) AS t FROM a2 WHERE act_index < 20)"""
+MARKED = """, g AS (SELECT issue_id AS doc_id, act_index, k, concat('## ', full_text, chr(10)) AS t FROM a2)"""
 
 
 @query(WITH_ACTS + MARKED + """, m AS (SELECT doc_id, string_agg(t, '' ORDER BY act_index) AS text FROM g GROUP BY doc_id)
@@ -283,12 +281,55 @@ def toc_degenerate(spark, d):
     return segmentation.degenerate_toc(spark.sql(f"{WITH_ACTS}{PAGED} SELECT *, 150 AS n_pages FROM tc"))
 
 
+@query(WITH_ACTS + """ SELECT issue_id AS doc_id, count(*) + count(CASE WHEN k % 11 <> 0 AND nxt THEN 0 END) AS n FROM (SELECT *, lead(k) OVER (PARTITION BY issue_id ORDER BY act_index) IS NOT NULL AS nxt FROM a2) GROUP BY issue_id""")
+def closing_parts(spark, d):
+    a = acts(spark, d).select("issue_id", "act_index", F.concat("full_text", F.lit("\nUrmeaza alt act.")).alias("t"))
+    last = a.groupBy("issue_id").agg(F.max("act_index").alias("m"))
+    parts = a.join(last, "issue_id").select("issue_id", F.size(segmentation.closing_parts(F.col("t"))).alias("n"), (F.col("act_index") == F.col("m")).alias("last"))
+    return parts.groupBy(F.col("issue_id").alias("doc_id")).agg(F.sum(F.when(F.col("last"), 1).otherwise(F.col("n"))).alias("n"))
+
+
+@query(WITH_ACTS + """ SELECT issue_id AS doc_id, row_number() OVER (PARTITION BY issue_id ORDER BY act_index) - 1 AS act_index, 'MINISTERUL ' || title || chr(10) || 'text ' || cast(k AS string) || repeat(' de lege', 10) AS text FROM a2""")
+def pattern_segments(spark, d):
+    pages = acts(spark, d).select(F.col("issue_id").alias("doc_id"), F.col("act_index").alias("page_no"), F.concat(F.lit("x "), F.lit("MINISTERUL "), "title", F.lit("\ntext "), F.col("k").cast("string"), F.repeat(F.lit(" de lege"), F.lit(10))).alias("text"), F.lit("modern").alias("era"), F.lit(0).alias("expected"))
+    rows = segmentation.segment_pages(pages).filter("text <> 'x'")
+    return rows.select("doc_id", (F.col("act_index") - 1).alias("act_index"), F.regexp_replace("text", r"\nx$", "").alias("text"))
+
+
+@query(WITH_ACTS + """ SELECT issue_id AS doc_id, 'headers' AS strategy, count(*) AS n FROM a2 GROUP BY issue_id HAVING count(*) > 1""")
+def page_segments(spark, d):
+    pages = acts(spark, d).select(F.col("issue_id").alias("doc_id"), (F.col("act_index") + 1).alias("page_no"), F.concat(F.lit("MINISTERUL "), "title").alias("text"), F.lit("modern").alias("era"), F.lit(0).alias("expected"))
+    several = segmentation.segment_pages(pages)
+    return several.groupBy("doc_id", "strategy").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+
+
+@query(WITH_ACTS + """ SELECT k, title || ' unu doi' || chr(10) || '| a  b |' || chr(10) || CASE WHEN k % 2 = 0 THEN 'Bucuresti, 3 mai 2007.' || chr(10) ELSE '' END || 'Ministrul finanțelor,' || CASE WHEN k % 2 = 0 THEN '' ELSE chr(10) || '<!-- orphaned-signature -->' END || chr(10) || 'Ana Dinu' AS t FROM a2""")
+def normalized_markdown(spark, d):
+    dated = F.when(F.col("k") % 2 == 0, "Bucuresti, 3 mai 2007.\n").otherwise("")
+    md = F.concat(F.lit("<!--cache:a=1-->\n"), "title", F.lit("  unu   doi\n| a  b |\n"), dated, F.lit("Ministrul finanţelor,\nAna Dinu"))
+    return acts(spark, d).select("k", text.normalize_markdown(md, F.lit("modern")).alias("t"))
+
+
+@query(WITH_ACTS + """ SELECT k, concat_ws('|', 'MONITORUL OFICIAL AL ROMÂNIEI, PARTEA I, Nr. 5/2007' || chr(10) || title, title || ' 2') AS t FROM a2""")
+def stripped_pages(spark, d):
+    head = F.lit("MONITORUL OFICIAL AL ROMÂNIEI, PARTEA I, Nr. 5/2007\n")
+    pages = F.array(F.concat(head, "title", F.lit("\n12\n")), F.concat(head, "title", F.lit(" 2 [3]\nPrețul: 5 lei\nrest")))
+    return acts(spark, d).select("k", F.array_join(text.strip_structural(pages), "|").alias("t"))
+
+
+@query(WITH_ACTS + """ SELECT k, 'prima linie de text a actului' || chr(10) || 'a doua linie ' || cast(k AS string) || chr(10) || 'sfarsit' AS t FROM a2""")
+def cleaned_acts(spark, d):
+    block = F.concat(F.lit("prima linie de text a actului\na doua linie "), F.col("k").cast("string"), F.lit("\n"))
+    t = F.concat(F.lit("12 MONITORUL OFICIAL AL ROMÂNIEI, PARTEA I\n"), block, F.upper(block), block, F.lit("sfarsit\n44\n\nEDITOR: PARLAMENTUL ROMÂNIEI si altele"))
+    return acts(spark, d).select("k", preparation.clean_act_text(t).alias("t"))
+
+
 # extraction
 
 
-@query(WITH_ACTS + """ SELECT k, CASE doc_type WHEN 'UNKNOWN' THEN 'UNKNOWN' ELSE doc_type END AS type FROM a2 WHERE title <> 'ORDIN' OR doc_type <> 'UNKNOWN' """)
+@query(WITH_ACTS + """ SELECT k, CASE WHEN doc_type = 'UNKNOWN' AND title = 'ORDIN' THEN 'ORDIN' ELSE doc_type END AS type FROM a2""")
 def earliest_type(spark, d):
-    return acts(spark, d).filter("title <> 'ORDIN' or doc_type <> 'UNKNOWN'").select("k", extraction.doc_type(F.col("full_text")).alias("type"))
+    return acts(spark, d).select("k", extraction.doc_type(F.col("full_text")).alias("type"))
 
 
 @query(WITH_ACTS + """ SELECT k, CASE WHEN k % 11 = 0 THEN '0' ELSE cast(k AS string) END AS number, CASE WHEN k % 11 = 0 THEN NULL ELSE act_year END::INTEGER AS year, CASE WHEN k % 11 = 0 THEN 'low' ELSE 'high' END AS confidence FROM a2""")
@@ -301,9 +342,41 @@ def repealed_and_cited(spark, d):
     return acts(spark, d).select("k", F.array_join(extraction.repealed_numbers(F.col("full_text")), ",").alias("repealed"), F.array_join(extraction.cited_numbers(F.col("full_text")), ",").alias("cited"))
 
 
-@query(WITH_ACTS + """ SELECT k, 'Minister' AS authority FROM a2""")
+#: Spellings in the order of the list; a text names the one of its key and, as
+#: all acts do, a ministry.
+SPELLED = (
+    "Curtea Constituţională", "agenției națională de cadastru", "Agentia Nationala de Control al Exporturilor", "AGENȚIA NAȚIONALĂ PENTRU RESURSE MINERALE", "AUTORITATEA ELECTORALĂ PERMANENTĂ",
+    "Autoritatea Națională Sanitară Veterinară", "BANCA NAȚIONALĂ A ROMÂNIEI", "PARLAMENTUL ROMÂNIEI", "PREȘEDINTELE ROMÂNIEI", "GUVERNUL ROMÂNIEI", "ministrul internelor", "ministrul educaţiei",
+    "ministra finanțelor", "ministrul sănătății", "nimeni", "PARLAMENTUL ROMÂNIEI — CAMERA DEPUTAȚILOR",
+)
+NAMES = "CASE k % 16 " + " ".join(f"WHEN {i} THEN '{row[0]}'" for i, row in enumerate(extraction.AUTHORITIES[:-1])) + " ELSE 'Minister' END"
+
+
+@query(WITH_ACTS + f" SELECT k, {NAMES} AS authority FROM a2")
 def authority_first_match(spark, d):
-    return acts(spark, d).select("k", extraction.authority(F.col("full_text")).alias("authority"))
+    named = F.get(F.array(*map(F.lit, SPELLED)), (F.col("k") % 16).cast("int"))
+    return acts(spark, d).select("k", extraction.authority(F.concat("full_text", F.lit("\n"), named)).alias("authority"))
+
+
+@query(WITH_ACTS + """ SELECT k, CASE WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN 'Ion Vasile Popescu' ELSE 'Ana Dinu' END AS hint FROM a2""")
+def signatory_hints(spark, d):
+    name = F.when(F.col("k") % 3 == 0, "Popescu").when(F.col("k") % 3 == 1, "Ion Vasile Popescu ANEXĂ").otherwise("Ana Dinu.")
+    signed = F.concat("full_text", F.lit("\nMinistrul finanțelor,\n\n"), name, F.lit("\nDirectorul general,\nAlt Nume\n"))
+    return acts(spark, d).select("k", extraction.signatory_hint(signed).alias("hint"))
+
+
+@query(WITH_ACTS + """ SELECT k, CASE WHEN doc_type <> 'UNKNOWN' THEN doc_type WHEN title = 'ORDIN' THEN 'ORDIN' ELSE 'UNKNOWN' END AS doc_type, CASE WHEN k % 2 = 0 THEN 'Minister' ELSE issuing_authority END AS issuing_authority FROM a2""")
+def reclassified_acts(spark, d):
+    a = acts(spark, d).withColumn("issuing_authority", F.when(F.col("k") % 2 == 0, "").otherwise(F.col("issuing_authority")))
+    return extraction.reclassify(a).select("k", "doc_type", "issuing_authority")
+
+
+@query(WITH_ACTS + """ SELECT k, CASE WHEN doc_type <> 'UNKNOWN' THEN doc_type WHEN title = 'ORDIN' THEN 'ORDIN' ELSE 'UNKNOWN' END AS doc_type, i AS chunk_index FROM a2, (SELECT unnest([0, 1]) AS i)""")
+def reclassified_chunks(spark, d):
+    a = acts(spark, d).withColumn("h", F.expr("instr(full_text, 'In temeiul')"))
+    parts = F.array(F.expr("rtrim(chr(10), substr(full_text, 1, h - 1))"), F.expr("substr(full_text, h)"))
+    chunks = a.select("k", "issue_id", "act_index", "doc_type", "issuing_authority", F.posexplode(parts).alias("chunk_index", "text"))
+    return extraction.reclassify_chunks(chunks).select("k", "doc_type", "chunk_index")
 
 
 @query(WITH_ACTS + """ SELECT k, i AS pos, cast(i + 1 AS string) AS number, CASE WHEN i = 0 THEN 2 ELSE 0 END AS n_paragraphs FROM a2, (SELECT unnest([0, 1]) AS i)""")
@@ -324,7 +397,7 @@ def closing_signatures(spark, d):
     return extraction.closing_signatures(pages).select("doc_id", "page_no", "number")
 
 
-RECOVER = """, a AS (SELECT issue_id AS doc_id, act_index, act_index AS page_hint, issuing_authority AS signatory FROM a2 WHERE k % 5 = 1), s AS (SELECT issue_id AS doc_id, act_index AS page_no, cast(k AS string) AS number, full_text AS context FROM a2 WHERE k % 3 = 0)"""
+RECOVER = """, a AS (SELECT issue_id AS doc_id, act_index, act_index AS page_hint, issuing_authority AS signatory FROM a2), s AS (SELECT issue_id AS doc_id, act_index AS page_no, cast(k AS string) AS number, full_text AS context FROM a2)"""
 
 
 @query(WITH_ACTS + RECOVER + """, m AS (SELECT a.doc_id, act_index, count(DISTINCT number) AS c, min(number) AS n FROM a JOIN s ON a.doc_id = s.doc_id AND abs(page_hint - page_no) <= 2
@@ -444,31 +517,32 @@ def contained_acts_dropped(spark, d):
 
 
 CHECKS = r""", i AS (SELECT issue_id, act_index, unnest(list_filter([
-  CASE WHEN act_number = '0' THEN 'ACT_NUMBER_ZERO' WHEN act_number = '' THEN 'ACT_NUMBER_EMPTY' END,
+  CASE WHEN act_number = '0' THEN 'ACT_NUMBER_ZERO' WHEN act_number = '' THEN 'ACT_NUMBER_EMPTY' WHEN k % 3 = 0 AND split_part(regexp_replace(regexp_replace(trim(act_number), '^(\d{1,3})\.(\d{3})$', '\1\2'), '^(.*)/((19|20)\d\d)$', '\1'), '/', 1) = cast(k % 300 + 1 AS string) THEN 'ACT_NUMBER_IN_ABROGATION' END,
   CASE WHEN starts_with(act_number, 'E ') THEN 'ACT_NUMBER_MALFORMED' END,
-  CASE WHEN doc_type = 'UNKNOWN' THEN 'DOC_TYPE_UNKNOWN' END], lambda x: x IS NOT NULL)) AS "check", doc_type FROM a2 WHERE k > 300),
-v AS (SELECT issue_id, act_index, "check", CASE WHEN "check" LIKE 'ACT_NUMBER_Z%' OR "check" LIKE 'ACT_NUMBER_EM%' THEN CASE WHEN doc_type = 'COMUNICAT' THEN 'INFO' ELSE 'ERROR' END WHEN "check" = 'DOC_TYPE_UNKNOWN' THEN 'ERROR' ELSE 'WARNING' END AS severity FROM i)"""
+  CASE WHEN doc_type = 'UNKNOWN' THEN 'DOC_TYPE_UNKNOWN' END], lambda x: x IS NOT NULL)) AS "check", doc_type FROM a2),
+v AS (SELECT issue_id, act_index, "check", CASE WHEN "check" LIKE 'ACT_NUMBER_Z%' OR "check" LIKE 'ACT_NUMBER_EM%' THEN CASE WHEN doc_type = 'COMUNICAT' THEN 'INFO' ELSE 'ERROR' END WHEN "check" IN ('DOC_TYPE_UNKNOWN', 'ACT_NUMBER_IN_ABROGATION') THEN 'ERROR' ELSE 'WARNING' END AS severity FROM i)"""
 
 
 @query(WITH_ACTS + CHECKS + " SELECT issue_id, act_index, \"check\", severity FROM v")
 def validate_rules(spark, d):
-    return validation.act_issues(acts(spark, d).filter("k > 300")).filter("check <> 'ACT_NUMBER_IN_ABROGATION'")
+    return validation.act_issues(acts(spark, d))
 
 
 @query(WITH_ACTS + CHECKS + " SELECT severity, \"check\", count(*) AS n FROM v GROUP BY ROLLUP (severity, \"check\")")
 def severity_rollup(spark, d):
-    return validation.report(validation.act_issues(acts(spark, d).filter("k > 300")).filter("check <> 'ACT_NUMBER_IN_ABROGATION'"))
+    return validation.report(validation.act_issues(acts(spark, d)))
 
 
-@query(WITH_ALL + """, a AS (SELECT issue_id, count(*) AS a FROM a2 WHERE k % 3 = 0 GROUP BY issue_id), t AS (SELECT issue_id, count(*) AS t FROM t0 GROUP BY issue_id)
+@query(WITH_ALL + """, a AS (SELECT issue_id, count(*) AS a FROM a2 GROUP BY issue_id), t AS (SELECT issue_id, count(*) * 3 AS t FROM t0 GROUP BY issue_id)
 SELECT issue_id, 'ACT_COUNT_MISMATCH' AS "check", 'WARNING' AS severity FROM a JOIN t USING (issue_id) WHERE a * 1.0 / t < 0.5 OR a * 1.0 / t > 2.5""")
 def issue_checks(spark, d):
-    return validation.issue_issues(acts(spark, d).filter("k % 3 = 0"), toc(spark, d))
+    t = toc(spark, d)
+    return validation.issue_issues(acts(spark, d), t.union(t).union(t))
 
 
-@query(WITH_ACTS + CHECKS + """ SELECT issue_id, bool_or(severity = 'ERROR' AND "check" IN ('ACT_NUMBER_ZERO', 'ACT_NUMBER_EMPTY', 'DOC_TYPE_UNKNOWN')) AS needed FROM v GROUP BY issue_id""")
+@query(WITH_ACTS + CHECKS + """ SELECT issue_id, bool_or(severity = 'ERROR' AND "check" IN ('ACT_NUMBER_ZERO', 'ACT_NUMBER_EMPTY', 'ACT_NUMBER_IN_ABROGATION', 'DOC_TYPE_UNKNOWN')) AS needed FROM v GROUP BY issue_id""")
 def needs_reextraction(spark, d):
-    i = validation.act_issues(acts(spark, d).filter("k > 300")).filter("check <> 'ACT_NUMBER_IN_ABROGATION'")
+    i = validation.act_issues(acts(spark, d))
     return validation.needs_reextraction(i).select("issue_id", "needed")
 
 
@@ -477,15 +551,15 @@ def structural_checks(spark, d):
     return validation.structural_issues(acts(spark, d), toc(spark, d))
 
 
-@query(WITH_ACTS + """, p AS (SELECT issue_id, act_index, k, CASE WHEN k % 5 = 0 THEN '2' ELSE cast(k AS string) END AS n, CASE WHEN k % 3 = 0 THEN '' ELSE title END AS t, CASE WHEN k % 4 = 0 THEN 'UNKNOWN' ELSE doc_type END AS d FROM a2 WHERE k % 13 <> 0 AND k > 3000),
-f AS (SELECT issue_id, act_index, k, cast(k AS string) AS n, title AS t, doc_type AS d FROM a2 WHERE k % 17 <> 0 AND k > 3000),
+@query(WITH_ACTS + """, p AS (SELECT issue_id, act_index, k, CASE WHEN k % 5 = 0 THEN '2' ELSE cast(k AS string) END AS n, CASE WHEN k % 3 = 0 THEN '' ELSE title END AS t, CASE WHEN k % 4 = 0 THEN 'UNKNOWN' ELSE doc_type END AS d FROM a2 WHERE k % 13 <> 0),
+f AS (SELECT issue_id, act_index, k, cast(k AS string) AS n, title AS t, doc_type AS d FROM a2 WHERE k % 17 <> 0),
 known AS (SELECT DISTINCT issue_id, regexp_replace(n, '[^0-9]', '', 'g') AS kn FROM p)
 SELECT coalesce(p.issue_id, f.issue_id) AS issue_id, coalesce(p.act_index, f.act_index) AS act_index,
   CASE WHEN p.k IS NULL OR (f.k IS NOT NULL AND p.n = '2') THEN f.n ELSE p.n END AS act_number, CASE WHEN p.k IS NULL OR (f.k IS NOT NULL AND p.t = '') THEN f.t ELSE p.t END AS title,
   CASE WHEN p.k IS NULL OR (f.k IS NOT NULL AND p.d = 'UNKNOWN') THEN f.d ELSE p.d END AS doc_type
 FROM p FULL JOIN f ON p.issue_id = f.issue_id AND p.act_index = f.act_index WHERE p.k IS NOT NULL OR NOT EXISTS (SELECT 1 FROM known WHERE known.issue_id = f.issue_id AND kn = regexp_replace(f.n, '[^0-9]', '', 'g'))""")
 def merge_field_preference(spark, d):
-    a = acts(spark, d).filter("k > 3000").withColumn("n", F.col("k").cast("string"))
+    a = acts(spark, d).withColumn("n", F.col("k").cast("string"))
     p = a.filter("k % 13 <> 0").withColumns({"act_number": F.when(F.col("k") % 5 == 0, "2").otherwise(F.col("n")), "title": F.when(F.col("k") % 3 == 0, "").otherwise(F.col("title")), "doc_type": F.when(F.col("k") % 4 == 0, "UNKNOWN").otherwise(F.col("doc_type"))})
     f = a.filter("k % 17 <> 0").withColumn("act_number", F.col("n"))
     return validation.merge(p, f).select("issue_id", "act_index", "act_number", "title", "doc_type")

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, graph, layout, preparation, recovery, retrieval, validation
-from ..session import table
+from ..session import materialize, shared_folder, table
 from ..sources import bundle
 from .corpus import WITH_ACTS, acts
 from .registry import query
@@ -85,7 +82,7 @@ def chunk_prefix(spark, d):
 @query(WITH_ACTS + r"""SELECT issue_id, round(sum(length(regexp_replace(title, '\s', '', 'g'))) * 1.0 / sum(length(regexp_replace(full_text, '\s', '', 'g'))), 6) AS coverage FROM a2 GROUP BY issue_id""")
 def issue_coverage(spark, d):
     a = acts(spark, d)
-    raw = a.groupBy("issue_id").agg(F.array_join(F.collect_list("full_text"), " ").alias("raw"))
+    raw = a.select("issue_id", F.col("full_text").alias("raw"))
     mapped = a.withColumn("full_text", F.col("title"))
     return preparation.issue_coverage(mapped, raw).select("issue_id", F.round("coverage_ratio", 6).alias("coverage"))
 
@@ -101,28 +98,30 @@ QUERY = "the and of eaon thination inoran 3 questions about"
 
 
 def _queries(spark, d):
-    q = table(spark, d, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
-    v = table(spark, d, "embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
-    return q.join(v, "query_id")
+    """Every row whose id is divisible by 50: query_id, q and v, null where the
+    other table has no such id."""
+    q = table(spark, d, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    v = table(spark, d, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))
+    return q.join(v, "query_id", "full")
 
 
 STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
 BM25 = f"""t AS (SELECT doc_id AS id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), lambda x: x NOT IN ({STOP})) AS t FROM documents),
 st AS (SELECT count(*) AS n, avg(len(t)) AS avg_dl FROM t),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), lambda x: x NOT IN ({STOP})))) AS term FROM benchmark WHERE item_id < 5),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), lambda x: x NOT IN ({STOP})))) AS term FROM benchmark WHERE item_id % 50 = 0),
 e AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM t), tf AS (SELECT id, dl, term, count(*) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY query_id, id),
 bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 80)"""
-VECTOR = """v AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 5), vs AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)), 6) AS score FROM embeddings, v {where}),
+VECTOR = """v AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), vs AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)), 6) AS score FROM embeddings, v {where}),
 vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= 80)"""
 
 
 def _bm25(spark, d):
-    return retrieval.bm25(table(spark, d, "documents"), _queries(spark, d), "doc_id")
+    return retrieval.bm25(table(spark, d, "documents"), _queries(spark, d).filter("q is not null"), "doc_id")
 
 
 def _vectors(spark, d, where=None):
-    return retrieval.vector_search(table(spark, d, "embeddings"), _queries(spark, d), "vec_id", where=where)
+    return retrieval.vector_search(table(spark, d, "embeddings"), _queries(spark, d).filter("v is not null"), "vec_id", where=where)
 
 
 @query(f"WITH {BM25} SELECT query_id, id, score, rank FROM bm")
@@ -155,16 +154,16 @@ def rrf_hybrid(spark, d):
     return retrieval.fuse(_vectors(spark, d), _bm25(spark, d)).select("query_id", "id", "score", "rank")
 
 
-@query()
+@query(RRF.replace("0.3 / (60", "1.0 / (60").replace("0.7 / (60", "1.0 / (60") + " SELECT query_id, id, score, rank FROM r WHERE rank <= 20")
 def rank_fusion_equal(spark, d):
     return retrieval.fuse(_vectors(spark, d), _bm25(spark, d), weights=(1.0, 1.0)).select("query_id", "id", "score", "rank")
 
 
-@query(RRF + ", g AS (SELECT item_id AS query_id, item_id AS target FROM benchmark WHERE item_id < 5), j AS (SELECT g.query_id, min(CASE WHEN rank <= 10 THEN rank END) AS rank FROM g LEFT JOIN r ON g.query_id = r.query_id AND target = id GROUP BY g.query_id)"
+@query(RRF + ", g AS (SELECT item_id AS query_id, item_id AS target FROM benchmark WHERE item_id % 50 = 0), j AS (SELECT g.query_id, min(CASE WHEN rank <= 10 THEN rank END) AS rank FROM g LEFT JOIN r ON g.query_id = r.query_id AND target = id GROUP BY g.query_id)"
        " SELECT count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 4) AS hit_at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 4) AS hit_at_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 4) AS hit_at_5,"
        " round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 4) AS hit_at_10, round(avg(coalesce(1.0 / rank, 0.0)), 4) AS mrr_at_10, round(avg(coalesce(1 / log2(rank + 1), 0.0)), 4) AS ndcg_at_10 FROM j")
 def hit_mrr(spark, d):
-    golden = table(spark, d, "benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("target"))
+    golden = table(spark, d, "benchmark").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("item_id").alias("target"))
     ranked = retrieval.fuse(_vectors(spark, d), _bm25(spark, d), limit=160)
     return evaluation.retrieval_metrics(golden, ranked)
 
@@ -183,9 +182,11 @@ def question_hints(spark, d):
 
 @query(WITH_ACTS + r""", n AS (SELECT issue_id, act_index, k, title, act_year, CASE WHEN regexp_matches(f, '^0*$') THEN '' ELSE f END AS n FROM (SELECT *, regexp_replace(regexp_replace(trim(act_number), '^(\d{1,3})\.(\d{3})$', '\1\2'), '^(.*)/((19|20)\d\d)$', '\1') AS f FROM a2))
 SELECT k, 'q1' AS query_id, round(CASE WHEN (n = '20' OR split_part(n, '/', 1) = '20') AND abs(act_year - 1996) <= 1 THEN 0.01 + CASE WHEN act_year = 1996 THEN 0.005 ELSE 0 END + CASE WHEN contains(lower(title), 'ordinul') OR contains(lower(title), 'privind') OR contains(lower(title), 'regimul') THEN 0.015 ELSE 0 END ELSE 0 END, 6) AS boost FROM n
+UNION ALL SELECT k, 'q2', round(CASE WHEN (n = '45' OR split_part(n, '/', 1) = '45') AND abs(act_year - 1997) <= 1 THEN 0.01 + CASE WHEN act_year = 1997 THEN 0.005 ELSE 0 END + CASE WHEN contains(lower(title), 'decizia') THEN 0.015 ELSE 0 END ELSE 0 END, 6) FROM n
+UNION ALL SELECT k, 'q4', 0 FROM n
 UNION ALL SELECT k, 'q3', CASE WHEN issue_id IN ('MO_PI_3_1996', 'PI_3_1996') THEN 0.15 WHEN contains(issue_id, '3') AND contains(issue_id, '1996') THEN 0.02 ELSE 0 END FROM n""")
 def metadata_boost(spark, d):
-    q = _hinted(spark).filter("query_id in ('q1', 'q3')").withColumn("h", retrieval.hints(F.col("q")))
+    q = _hinted(spark).withColumn("h", retrieval.hints(F.col("q")))
     rows = acts(spark, d).join(F.broadcast(q))
     return rows.select("k", "query_id", retrieval.boost(F.col("h"), F.col("q"), F.col("act_number"), F.col("act_year"), F.col("title"), F.col("issue_id")).alias("boost"))
 
@@ -203,9 +204,10 @@ def context_assembly(spark, d):
 
 @query()
 def hybrid_search(spark, d):
-    a = preparation.build_chunks(acts(spark, d).filter("act_index < 10"))
-    e = table(spark, d, "embeddings").select((F.col("vec_id") % 500).alias("v_id"), "embedding").dropDuplicates(["v_id"])
-    chunks = a.withColumn("v_id", F.col("act_index") * 7 % 500).join(F.broadcast(e), "v_id").withColumn("era", F.lit("modern"))
+    a = preparation.build_chunks(acts(spark, d))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("v_id"), "embedding")
+    chunks = a.crossJoin(F.broadcast(e.agg(F.max("v_id").alias("m")))).withColumn("v_id", F.col("act_index") * 7 % (F.col("m") + 1)).join(e, "v_id").withColumn("era", F.lit("modern"))
+    chunks = materialize(chunks.select("chunk_id", "text", "embedding", "doc_type", "act_number", "act_year", "title", "issue_id", "era"))
     q = _hinted(spark).crossJoin(table(spark, d, "embeddings").filter("vec_id = 3").select(F.col("embedding").alias("v")))
     return retrieval.search(chunks, q).select("query_id", "id", "score", "boost", "rank")
 
@@ -262,10 +264,24 @@ def type_authority_counts(spark, d):
 # graph
 
 
-@query(WITH_ACTS + """ SELECT k, 0 AS pos, 'other' AS type, cast(k % 400 + 1 AS string) AS number, act_year - 1 AS year FROM a2 WHERE false UNION ALL
-SELECT k, (CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END) * 0, 'other', cast(k % 300 + 1 AS string), act_year - 2 FROM a2 WHERE k % 3 = 0""")
+CITING = """, c AS (SELECT k, i AS pos, ['lege', 'ordonanta', 'ordonanta', 'hotarare_guvern', 'decret', 'decizie', 'lege'][i + 1] AS type, cast(CASE WHEN i = 6 THEN k + 1 ELSE 1000 + k % 100 + i END AS string) AS number, (1990 + k % 9 + i)::INTEGER AS year, CASE WHEN i = 0 THEN '5 alin. (2)' WHEN i = 4 THEN '7' END AS article
+FROM a2, (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS i))"""
+
+
+def _citing(spark, d):
+    """Acts whose texts name each kind of act that counts, an order that doesn't,
+    and a law that may be there."""
+    names = ("Legea", "ORDONANŢA Guvernului", "Ordonanța de  urgență a Guvernului", "Hotărârea\nGuvernului", "Decretul", "Decizia Curții Constituționale", "lege")
+    year = lambda i: (F.lit(1990 + i) + F.col("k") % 9).cast("string")
+    number = lambda i: (F.col("k") + 1).cast("string") if i == 6 else F.concat(F.lit("1."), F.lpad((F.col("k") % 100 + i).cast("string"), 3, "0"))
+    ends = (", art. 5 alin. (2)", ".", ".", ".", ", art. 7", ".", ";")
+    said = F.concat(*(x for i, (n, e) in enumerate(zip(names, ends)) for x in (F.lit(f" {n} nr. "), number(i), F.lit("/"), year(i), F.lit(e))), F.lit(" Ordinul nr. 5/2001."))
+    return acts(spark, d).select("k", F.concat("full_text", F.lit("\n"), said).alias("full_text"))
+
+
+@query(WITH_ACTS + CITING + " SELECT k, pos, type, number, year, article FROM c")
 def citation_edges(spark, d):
-    return graph.citations(acts(spark, d).select("k", "full_text")).filter("type = 'other'").select("k", "pos", "type", "number", "year")
+    return graph.citations(_citing(spark, d)).select("k", "pos", "type", "number", "year", "article")
 
 
 @query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS target FROM pages""")
@@ -273,13 +289,11 @@ def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("target"))
 
 
-@query(WITH_ACTS + """, e AS (SELECT k, cast(k % 300 + 1 AS string) AS number, act_year - 2 AS year FROM a2 WHERE k % 3 = 0), t AS (SELECT cast(k AS string) AS number, act_year AS year, min(k) AS target_id FROM a2 GROUP BY 1, 2)
-SELECT k, e.number, e.year, target_id, target_id IS NULL AS external FROM e LEFT JOIN t USING (number, year)""")
+@query(WITH_ACTS + CITING + """, t AS (SELECT cast(k AS string) AS number, 1996 + k % 9 AS year, min(k) AS target_id FROM a2 GROUP BY 1, 2)
+SELECT c.k, pos, c.number, c.year, target_id, target_id IS NULL AS external FROM c LEFT JOIN t ON type = 'lege' AND c.number = t.number AND c.year = t.year""")
 def edge_resolution(spark, d):
-    a = acts(spark, d)
-    edges = graph.citations(a.select("k", "full_text")).filter("type = 'other'")
-    targets = a.select(F.lit("other").alias("type"), F.col("k").cast("string").alias("number"), F.col("act_year").alias("year"), F.col("k").alias("act_id"))
-    return graph.resolve(edges, targets).select("k", "number", "year", "target_id", "external")
+    targets = acts(spark, d).select(F.lit("lege").alias("type"), F.col("k").cast("string").alias("number"), (F.lit(1996) + F.col("k") % 9).cast("int").alias("year"), F.col("k").alias("act_id"))
+    return graph.resolve(graph.citations(_citing(spark, d)), targets).select("k", "pos", "number", "year", "target_id", "external")
 
 
 # evaluation
@@ -345,13 +359,15 @@ def drift_histogram(spark, d):
 
 @query()
 def golden_sample(spark, d):
-    c = preparation.build_chunks(acts(spark, d).filter("act_index < 10"))
+    c = preparation.build_chunks(acts(spark, d))
     return evaluation.sample_golden(c, 20, least_tokens=50).select("chunk_id", "law_id", "n_tokens")
 
 
-@query("SELECT doc_id, 0 AS headings, 0 AS table_rows, len(regexp_extract_all(text, '(?mi)^\\s*art\\.')) AS articles FROM documents".replace("\\\\", "\\"))
+@query(r"""WITH m AS (SELECT doc_id, '# a' || chr(10) || replace(text, '. ', chr(10) || '## b' || chr(10) || '| c | d |' || chr(10) || 'Art. 1') AS md FROM documents)
+SELECT doc_id, len(regexp_extract_all(md, '(?m)^#{1,6}\s'))::INTEGER AS headings, len(regexp_extract_all(md, '(?m)^\s*\|.*\|\s*$'))::INTEGER AS table_rows, len(regexp_extract_all(md, '(?mi)^\s*art\.'))::INTEGER AS articles FROM m""")
 def structure_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", evaluation.structure(F.col("text")).alias("s")).select("doc_id", F.lit(0).alias("headings"), F.lit(0).alias("table_rows"), "s.articles")
+    md = F.concat(F.lit("# a\n"), F.replace(F.col("text"), F.lit(". "), F.lit("\n## b\n| c | d |\nArt. 1")))
+    return table(spark, d, "documents").select("doc_id", evaluation.structure(md).alias("s")).select("doc_id", "s.*")
 
 
 # loading
@@ -373,7 +389,7 @@ def incremental_skip(spark, d):
 def stream_events_upsert(spark, d):
     from ..streaming.upserts import latest, upsert_stream, watch
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexspark-")) + "/stream-" + spark.sql("SELECT uuid()").first()[0]
+    root = shared_folder(spark) + "/stream-" + spark.sql("SELECT uuid()").first()[0]
     schema = table(spark, d, "events").schema
     stream = watch(spark, f"{d}/events.parquet*", schema).select("user_id", "event_id", F.struct("ts", "event_id").alias("o"))
     upsert_stream(stream, f"{root}/table", f"{root}/checkpoint", "user_id", "o")

@@ -32,13 +32,30 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """df's rows from a reliable checkpoint, in the folder that the session
-    names (a temporary one where it names none): what several later steps read
-    is made once, and the plan starts anew."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, set for the session's checkpoints.
+    Where none is named a local master gets one of its own, which goes with the
+    process; a cluster has to name one that all executors share."""
+    import atexit
+    import shutil
     import tempfile
 
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexspark-"))
+    sc = spark.sparkContext
+    there = sc._jsc.sc().getCheckpointDir()
+    if there.isDefined():
+        return str(there.get())
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if not own:
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="lexspark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    sc.setCheckpointDir(own)
+    return str(sc._jsc.sc().getCheckpointDir().get())
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df's rows from a reliable checkpoint in the shared folder: what several
+    later steps read is made once, and the plan starts anew."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
