@@ -6,13 +6,15 @@ lines). A sketch is a histogram with buckets of a relative width of 1/32 (whole
 numbers below 64 exactly): it is merged by adding counts, so sketches per
 language and source add up to those per language and of all. A group's fences
 are Tukey's, FENCE quartile distances outside the quartiles, at least a stated
-width; a group with fewer than LEAST_GROUP documents takes its language's, and
+width, as the quartiles of clean text often coincide (all three quarters at no
+symbols, repeated words or lines); each width is under what the base rules
+refuse, so that every fence can be the one that decides; a group with fewer than LEAST_GROUP documents takes its language's, and
 a small language that of all. A document is kept if it passes the base rules
 and lies inside its group's fences.
 
 Defined cases: null texts have no words and fail; null languages and sources
 are groups of their own; rates of a text without words or lines are 0; ties and
-repeated rows count as often as they are there.
+repeated rows count as often as they are there; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ FENCE = 3
 LEAST_GROUP = 50
 #: Rate -> (least distance of the lower fence, of the upper one) from the
 #: quartile; null: no such fence.
-WIDTHS = {"word_length": (150, 200), "symbol_rate": (None, 10), "repeat_rate": (None, 20), "line_rate": (None, 45)}
+WIDTHS = {"word_length": (150, 200), "symbol_rate": (None, 10), "repeat_rate": (None, 15), "line_rate": (None, 45)}
 #: Groups up to which their fences are broadcast.
 MOST_BROADCAST = 100_000
 
@@ -172,7 +174,7 @@ WITH d AS (
     max(q1 - greatest(3 * (q3 - q1), 150)) FILTER (rate = 'word_length') AS wl,
     max(q3 + greatest(3 * (q3 - q1), 200)) FILTER (rate = 'word_length') AS wu,
     max(q3 + greatest(3 * (q3 - q1), 10)) FILTER (rate = 'symbol_rate') AS su,
-    max(q3 + greatest(3 * (q3 - q1), 20)) FILTER (rate = 'repeat_rate') AS ru,
+    max(q3 + greatest(3 * (q3 - q1), 15)) FILTER (rate = 'repeat_rate') AS ru,
     max(q3 + greatest(3 * (q3 - q1), 45)) FILTER (rate = 'line_rate') AS lu
   FROM q GROUP BY level, lang, source
 ), k AS (

@@ -7,7 +7,9 @@ the number of merges, so no identifiers are made. Counts of distinct stretches
 between ASCII white space are kept per Python worker, in a bounded memo.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens. Special strings
-inside a text count as one token each, as the library's default has it.
+inside a text count as one token each, as the library's default has it. Equally
+ranked pairs merge from the left; repeated rows get equal counts; other columns
+are ignored.
 """
 
 from __future__ import annotations

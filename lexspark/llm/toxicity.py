@@ -7,13 +7,15 @@ its sentences, 1 - product(1 - p). Only documents have labels; the gradient of
 the noisy-or gives each sentence its share, so that the same weights locate the
 offending sentences afterwards.
 
-The weights are fitted on a bounded sample of labelled rows (FIT_ROWS of each
-label, in the order of a hash, FIT_BYTES of text of each at most); all
-documents are scored, whole.
+The weights are fitted on a bounded sample of labelled rows: of each label the
+first in the order of a hash, up to FIT_ROWS rows or FIT_BYTES of whole texts,
+whichever comes first (no text is passed over for its length). All documents are
+scored, whole.
 
 Defined cases: null and empty texts have no sentence and score 0; null labels
 aren't learned from; of repeated doc_ids in labels any labels it toxic; without
-labelled rows of both kinds all scores are 0.
+labelled rows of both kinds all scores are 0; repeated rows get equal scores;
+drop_toxic() keeps all columns, whatever they are called.
 """
 
 from __future__ import annotations
@@ -179,8 +181,8 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int, rows: int, most_bytes
     found = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
     out, held = [], 0
     for r in found.filter("text is not null").orderBy(F.xxhash64("doc_id"), "text").toLocalIterator():
-        if held + len(r.text) > most_bytes:
-            continue
+        if out and held + len(r.text) > most_bytes:
+            break
         out.append(bytes(r.text))
         held += len(r.text)
     return out, total

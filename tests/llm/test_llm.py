@@ -385,6 +385,26 @@ def test_quality_counts(spark, edge, empty):
     assert quality.report(edge).count() == len(EDGE) and quality.report(empty).count() == 0
 
 
+def test_quality_fences_decide_alone(spark):
+    """Each fence refuses a document that the base rules and all others let
+    pass, in a group whose other documents are alike."""
+    rng = random.Random(3)
+    word = lambda n=5: "".join(rng.choice("abcdefghijklm") for _ in range(n))
+    plain = [(i, "\n".join(" ".join(word() for _ in range(10)) for _ in range(10)), "en", "s") for i in range(60)]
+    lines = [" ".join(word() for _ in range(20)) for _ in range(4)]
+    again = " ".join(word() for _ in range(9))
+    odd = [
+        (100, " ".join(word(12) for _ in range(50)), "en", "s"),  # long words
+        (101, " ".join([word() for _ in range(50)] + ["#$%"] * 4 + [word() for _ in range(50)]), "en", "s"),  # symbols
+        (102, " ".join([*(word() for _ in range(41)), again, *(word() for _ in range(41)), again]), "en", "s"),  # 18 % repeated words
+        (103, "\n".join([*(f"{x} {word()} {word()}" for x in lines), *["a b"] * 8]), "en", "s"),  # equal lines
+    ]
+    got = {r.doc_id: r for r in quality.report(spark.createDataFrame(plain + odd, SCHEMA)).collect()}
+    assert all(got[i].kept for i in range(60))
+    for i in (100, 101, 102, 103):
+        assert not got[i].base_failed and not got[i].kept, i
+
+
 # licenses
 
 
@@ -533,8 +553,8 @@ def test_signatures_suffice():
             if 100 * shared < 75 * (len(r) + len(s) - shared):
                 continue
             best = max(
-                len(np.intersect1d(x, y)) - max(p, q, 0)
-                for a, x, p in ngramjoin.signatures(r) for b, y, q in ngramjoin.signatures(s) if a == b
+                len(set(m[np.isin(x, y)].tolist())) - max(p, q, 0)
+                for a, x, m, p in ngramjoin.signatures(r) for b, y, _, q in ngramjoin.signatures(s) if a == b
             )
             assert best >= 1
 
@@ -548,10 +568,10 @@ def test_signatures_are_subsets_of_parts():
     n1, n2 = ngramjoin.parts_of(band)
     assert n2 == 3
     part = ngramjoin.part_of(r, n1 * n2)
-    own = dict(((a, x) for a, x, _ in ngramjoin.signatures(r)))[band, 0]
+    own = dict(((a, x) for a, x, *_ in ngramjoin.signatures(r)))[band, 0]
     for at in range(0, 100, 7):
         s = np.delete(r, at)
-        other = dict(((a, x) for a, x, _ in ngramjoin.signatures(s))).get((band, 0))
+        other = dict(((a, x) for a, x, *_ in ngramjoin.signatures(s))).get((band, 0))
         lost = len(np.setdiff1d(own, other))
         assert lost == 2  # the two subsets that hold its smaller part
         assert len(np.intersect1d(own, other)) == len(own) - 2
@@ -567,6 +587,79 @@ def test_keep_one_goes_by_row(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
 
 
+def test_repeated_rows_and_clashing_names(spark, edge):
+    """Every operator gives one row for each row, equal rows equal results, with
+    columns of other meanings beside the ones that it reads."""
+    names = ("_h", "_k", "_d", "_hash", "_total", "_rows", "_runs", "_items", "_node", "_key", "_at", "_copies", "_plan", "score", "lang_pred", "size", "target", "n", "c", "rid", "part", "shard")
+    twice = edge.union(edge).selectExpr("*", *(f"doc_id as `{x}`" for x in names))
+    labels = spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "same text here twice over")], "item_id long, text string")
+    path = public_tokenizers.path
+    for f in (
+        mixing.report, lm.report, langid.report, quality.report, licenses.report, ngramjoin.near_duplicates,
+        lambda d: tokens.count_tokens(d, path("word_bpe_49k.json")), lambda d: toxicity.report(d, labels), lambda d: decontam.report(d, bench), lambda d: binary.encode(d, path("byte_bpe_50k.json")),
+    ):
+        rows = f(twice).collect()
+        assert len(rows) == 2 * len(EDGE)
+        assert Counter(r.doc_id for r in rows) == Counter(d for d, *_ in EDGE * 2)
+    for f in (mixing.mix, ngramjoin.keep_one, lambda d: decontam.drop_contaminated(d, bench), lambda d: toxicity.drop_toxic(d, labels)):
+        out = f(twice)
+        assert out.columns == twice.columns
+        for r in out.collect():
+            assert all(r[x] == r.doc_id for x in names)
+
+
+def test_mix_by_brute_force(spark):
+    """Rates from a bisection of the dual in plain code; copies follow them."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 3, 7, 20, 50, 200])), "en", rng.choice(["a", "b", "c", "d", None])) for i in range(400)]
+    rows += [(1000, "w w w w w", "en", "a")] * 9
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.report(df).join(df.select("doc_id", "source").distinct(), "doc_id").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    for source, own in by.items():
+        sizes, target = np.array([r.size for r in own], float), own[0].target
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            rate = np.minimum(2, np.exp(np.minimum(lam * sizes / 200, 700)))
+            low, high = (lam, high) if (rate * sizes).sum() < target else (low, lam)
+        taken = sum(r.taken for r in own)
+        assert abs(taken - target) <= max(1, 0.01 * target)
+        off = 0.0
+        for size in set(sizes) - {0.0}:
+            same = [r.copies for r in own if r.size == size]
+            want = float(np.minimum(2, np.exp(np.minimum(low * size / 200, 700))))
+            assert max(same) <= 2 and max(same) - min(same) <= 1
+            off += size * abs(sum(same) - want * len(same))
+        # a copy of each size for rounding, and what that leaves made up by a few
+        assert off <= sum(set(sizes)) + max(sizes)
+    mixed = Counter((r.doc_id, r.source) for r in mixing.mix(df).collect())
+    planned = Counter()
+    for r in got:
+        planned[r.doc_id, r.source] += r.copies
+    assert mixed == +planned
+
+
+def test_toxicity_scores_are_those_of_plain_code(spark):
+    """Noisy-or over sentences of the sums of their words' weights."""
+    rows = toxic_rows()[:200]
+    docs = spark.createDataFrame([(i, t, "de", "s") for i, t, _ in rows], SCHEMA)
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.report(docs, labels).collect()}
+    for i, t, _ in rows:
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n\r]", t.lower()):
+            words = set(re.findall(r"[a-z0-9]+", sentence))
+            if words:
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.features(w.encode()))
+                clean *= 1 - 1 / (1 + np.exp(-z))
+        assert got[i] == pytest.approx(1 - clean, abs=1e-9)
+
+
 def test_hashes_follow_words():
     data = np.frombuffer(b"one two one  three\n", np.uint8)
     h = common.span_hashes(data, *common.word_spans(data))
