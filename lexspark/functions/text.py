@@ -264,3 +264,17 @@ def strip_structural(pages: Column) -> Column:
         return strip_all(strip_artifacts(out))
 
     return F.transform(pages, page)
+
+
+#: Cedillas and signs of broken fonts, and what they stand for.
+AUDIT_POINTS = ("şţŞŢ˛∫˚", "șțȘȚțșț")
+
+
+def normalize_audit(c: Column) -> Column:
+    """Spellings that an audit of coverage takes as one."""
+    return F.translate(c, *AUDIT_POINTS)
+
+
+def strip_issn_lines(c: Column) -> Column:
+    """Without lines that name an ISSN."""
+    return F.regexp_replace(c, r"(?im)^[^\n]*\bI\.?S\.?S\.?N\.?\b[^\n]*$\n?", "")

@@ -101,3 +101,9 @@ def drift(run: DataFrame, baseline: DataFrame, key: str, tolerance: float = 0.2)
     share = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("t")))).select(key, F.round(F.col("c") / F.col("t"), 6).alias(name))
     both = share(run, "share").join(share(baseline, "base_share"), key, "full_outer").fillna(0.0, ["share", "base_share"])
     return both.withColumn("drifted", F.abs(F.col("share") - F.col("base_share")) > F.lit(tolerance) * F.greatest("base_share", F.lit(0.01)))
+
+
+def status_histogram(answers: DataFrame) -> DataFrame:
+    """status, n and share of a run's answers."""
+    n = answers.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(F.broadcast(answers.agg(F.count(F.lit(1)).alias("_all")))).select("status", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))

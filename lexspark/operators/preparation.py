@@ -321,11 +321,55 @@ def quantize(v: Column) -> Column:
     return F.transform(v, lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.bround(x.cast("double") * 127).cast("int"))).cast("tinyint"))
 
 
-def embed(df: DataFrame, embedder: Callable[[pd.Series], pd.Series], text: str = "text", most: int = 30_000) -> DataFrame:
+#: Characters that are embedded at most; what a question starts
+#: with for models that ask for it.
+MOST_CHARS = 30_000
+QUERY_INSTRUCTION = "Reprezintă această interogare pentru căutarea documentelor juridice românești: "
+
+
+def unit(v: Column) -> Column:
+    """A vector at length 1; one of zeros stays."""
+    norm = lambda x: F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double")))
+    return let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: (x.cast("double") / n).cast("float"))).otherwise(v))
+
+
+def embed(df: DataFrame, embedder: Callable[[pd.Series], pd.Series], text: str = "text", most: int = MOST_CHARS, normalize: bool = True, instruction: str = "") -> DataFrame:
     """df with embedding, made by the plug-in on batches of texts (cut to its
-    limit, as the model would)."""
+    limit, as the model would; questions after their instruction)."""
     udf = F.pandas_udf(embedder, "array<float>")
-    return df.withColumn("embedding", udf(F.substring(text, 1, most)))
+    rows = df.withColumn("embedding", udf(F.substring(F.concat(F.lit(instruction), F.col(text)), 1, most)))
+    return rows.withColumn("embedding", unit(F.col("embedding"))) if normalize else rows
+
+
+def reembed(chunks: DataFrame, embedder: Callable[[pd.Series], pd.Series], version: str) -> DataFrame:
+    """chunks with embeddings made anew of what was embedded (its prefix kept,
+    or made where there is none) and their version."""
+    head = prefix(F.col("doc_type"), F.col("act_number"), F.col("act_year"), F.col("issuing_authority"), F.col("issue_id"))
+    rows = chunks.withColumn("text_embedded", F.coalesce("text_embedded", F.concat_ws(" ", head, "text")))
+    return embed(rows.drop("embedding"), embedder, "text_embedded").withColumn("embedding_version", F.lit(version))
+
+
+def legacy_prefix(text: Column, kind: Column, number: Column, year: Column, authority: Column, issue: Column) -> Column:
+    """[TYPE n/y | authority | MO issue | year] text; a party's table without an
+    authority gets the party that its text names."""
+    nr = F.nullif(number, F.lit(""))
+    label = F.concat_ws(" ", F.coalesce(F.nullif(kind, F.lit("")), F.lit("ACT")), F.when(nr.isNotNull(), F.concat_ws("/", nr, year.cast("string"))))
+    party = F.nullif(F.trim(F.regexp_extract(text, r"(?iU)(Partidul[ \t]+\w+(?:[ \t]+\w+)?)", 1)), F.lit(""))
+    by = F.coalesce(F.nullif(authority, F.lit("")), F.when(text.contains("STRUCTURA TABEL COTIZATII"), F.concat_ws(" | ", party, F.lit("cotizatii lunare 12 luni"))))
+    return F.concat(F.lit("["), F.concat_ws(" | ", label, by, F.concat(F.lit("MO "), F.nullif(issue, F.lit(""))), year.cast("string")), F.lit("] "), text)
+
+
+#: Lines that are a table's title, and those that never are.
+TITLE_GOOD = r"(?iu)ANEX[AĂE]|Nomenclator|Lista|Situa[țt]ia|Structura"
+TITLE_BAD = r"(?u)^\d+$|^MONITORUL\s+OFICIAL|^PRIM-?MINISTRU|^MINISTRU|^PRE[ȘS]EDINTELE|^[A-ZĂÂÎȘȚ\s.\-]+$"
+
+
+def table_title(above: Column, most: int = 120) -> Column:
+    """Of the lines above a table the last one that reads like a caption, else
+    the last that isn't a signature, a header or a number; else empty."""
+    lines = F.reverse(F.filter(F.transform(F.split(above, "\n"), lambda x: F.trim(x)), lambda x: x != ""))
+    best = F.coalesce(F.get(F.filter(lines, lambda x: x.rlike(TITLE_GOOD)), F.lit(0)), F.get(F.filter(lines, lambda x: ~x.rlike(TITLE_BAD)), F.lit(0)), F.lit(""))
+    return F.substring(best, 1, most)
 
 
 def table_chunks(tables: DataFrame) -> DataFrame:

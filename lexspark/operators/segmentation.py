@@ -120,6 +120,33 @@ def is_artefact(c: Column) -> Column:
     return ((F.length(F.trim(c)) < ARTEFACT) & ~signal) | c.rlike(r"^\s*(?:\*\)|\d{1,2}\))\s") | (footer & ~folded.rlike(r"(?m)^\s*art\."))
 
 
+#: Words (folded) that open an act, of which one is in its first
+#: characters; the least text of an act without one.
+OPENERS = r"decret(?:-lege)?|hotarare|ordin(?:ul)?|lege\b|oug\b|comunicat|decizie|raport|anunt|rectificare|ministerul\b|curtea\b|guvernul\b|parlamentul\b|agentia\b|banca\b|presedintele\b|consiliul\b|autoritatea\b|art\.\s*\d"
+OPENER_HEAD, GHOST = 200, 80
+
+
+def is_fragment(c: Column) -> Column:
+    """Whether a text starts like none of the acts: a stretch of another one."""
+    return ~fold(F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, OPENER_HEAD)).rlike(OPENERS)
+
+
+def merge_act_fragments(acts: DataFrame) -> DataFrame:
+    """issue_id, act_index, full_text: texts that open no act join the one
+    before, the first of an issue stays, empty ones go."""
+    rows = acts.select("issue_id", "act_index", F.trim(F.coalesce("full_text", F.lit(""))).alias("t"))
+    w = Window.partitionBy("issue_id").orderBy("act_index")
+    rows = rows.withColumn("_first", F.row_number().over(w) == 1).filter(F.col("_first") | (F.col("t") != ""))
+    rows = rows.withColumn("_g", F.sum((F.col("_first") | ~is_fragment(F.col("t"))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = F.array_sort(F.collect_list(F.struct("act_index", "t")))
+    return rows.groupBy("issue_id", "_g").agg(F.min("act_index").alias("act_index"), F.array_join(F.transform(parts, lambda p: p["t"]), "\n").alias("full_text")).drop("_g")
+
+
+def suppress_ghosts(acts: DataFrame) -> DataFrame:
+    """acts without those that are short and open nothing."""
+    return acts.filter(~((F.length(F.trim(F.coalesce("full_text", F.lit("")))) < GHOST) & is_fragment(F.col("full_text"))))
+
+
 def page_hints(c: Column) -> Column:
     """Distinct lone page numbers, in order."""
     found = F.regexp_extract_all(c, F.lit(r"(?m)^\s*(\d{1,3})\s*$"), F.lit(1))

@@ -140,3 +140,22 @@ def resolve_missing(warnings: DataFrame, fallback: DataFrame) -> DataFrame:
     wanted = warnings.select("issue_id", n.alias("number")).filter("number <> ''").distinct()
     have = fallback.select("issue_id", "act_index", fold_act_number(F.col("act_number")).alias("number"), F.length("full_text").alias("len"))
     return wanted.join(have, ["issue_id", "number"]).groupBy("issue_id", "number").agg(F.max_by("act_index", F.struct("len", -F.col("act_index"))).alias("act_index"))
+
+
+def directory_issues(issues: DataFrame, found: DataFrame) -> DataFrame:
+    """found (findings of acts) and a PARSE_ERROR for each issue file that can't
+    be read (_corrupt_record), in order of severity's name, issue and act."""
+    broken = issues.filter("_corrupt_record is not null").select(F.col("gazette_id").alias("issue_id"), F.lit(None).cast("int").alias("act_index"), F.lit("PARSE_ERROR").alias("check"), F.lit("ERROR").alias("severity"))
+    return found.select("issue_id", "act_index", "check", "severity").unionByName(broken).orderBy("severity", "issue_id", F.coalesce("act_index", F.lit(-1)))
+
+
+def reextract(acts: DataFrame, fallback: DataFrame, toc: DataFrame | None = None) -> DataFrame:
+    """acts after another extraction of the issues that need one: merged field
+    by field; numbers that a 'missing' warning names come from the fallback's
+    longest act. Issues without an error stay as they are."""
+    found = act_issues(acts)
+    need = needs_reextraction(found).filter("needed").select("issue_id")
+    fields = ["issue_id", "act_index", "doc_type", "act_number", "act_year", "issuing_authority", "title", "full_text"]
+    some = acts.join(need, "issue_id", "left_semi")
+    done = merge(some.select(*fields), fallback.join(need, "issue_id", "left_semi").select(*fields), toc).select(*fields, "merged")
+    return acts.join(need, "issue_id", "left_anti").select(*fields, F.lit(False).alias("merged")).unionByName(done)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, graph, layout, preparation, recovery, retrieval, validation
+from ..operators import evaluation, graph, layout, preparation, recovery, retrieval, segmentation, validation
 from ..session import materialize, shared_folder, table
 from ..sources import bundle
 from .corpus import WITH_ACTS, acts
@@ -106,12 +106,20 @@ def _queries(spark, d):
 
 
 STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
-BM25 = f"""t AS (SELECT doc_id AS id, list_filter(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), lambda x: x NOT IN ({STOP})) AS t FROM documents),
-st AS (SELECT count(*) AS n, avg(len(t)) AS avg_dl FROM t),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]+'), lambda x: x NOT IN ({STOP})))) AS term FROM benchmark WHERE item_id % 50 = 0),
-e AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM t), tf AS (SELECT id, dl, term, count(*) AS tf FROM e WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 6) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY query_id, id),
-bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 80)"""
+
+
+def _bm25_sql(field: str = "text", x: str = "") -> str:
+    """The legs' SQL over a field of documents; x ends the names of its parts."""
+    words = f"list_filter(regexp_extract_all(strip_accents(lower({{}})), '[a-z0-9]+'), lambda x: x NOT IN ({STOP}))"
+    return f"""t{x} AS (SELECT doc_id AS id, {words.format(field)} AS t FROM documents),
+st{x} AS (SELECT count(*) AS n, avg(len(t)) AS avg_dl FROM t{x}),
+q{x} AS (SELECT item_id AS query_id, unnest(list_distinct({words.format("text")})) AS term FROM benchmark WHERE item_id % 50 = 0),
+e{x} AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM t{x}), tf{x} AS (SELECT id, dl, term, count(*) AS tf FROM e{x} WHERE term IN (SELECT term FROM q{x}) GROUP BY ALL), df{x} AS (SELECT term, count(*) AS df FROM tf{x} GROUP BY term),
+sc{x} AS (SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))), 6) AS score FROM tf{x} JOIN df{x} USING (term) JOIN q{x} USING (term), st{x} GROUP BY query_id, id),
+bm{x} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc{x}) WHERE rank <= 80)"""
+
+
+BM25 = _bm25_sql()
 VECTOR = """v AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), vs AS (SELECT query_id, vec_id AS id, round(list_dot_product(embedding::DOUBLE[], q) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(q, q)), 6) AS score FROM embeddings, v {where}),
 vt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= 80)"""
 
@@ -168,6 +176,13 @@ def hit_mrr(spark, d):
     return evaluation.retrieval_metrics(golden, ranked)
 
 
+@query(f"WITH {_bm25_sql('left(text, 60)', '1')}, {_bm25_sql('text', '2')}, u AS (SELECT query_id, id, score * 1.0 AS score FROM sc1 UNION ALL SELECT query_id, id, score * 0.4 FROM sc2), g AS (SELECT query_id, id, round(sum(score), 6) AS score FROM u GROUP BY query_id, id)"
+       " SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM g) WHERE rank <= 80")
+def two_field_bm25(spark, d):
+    docs = table(spark, d, "documents").withColumn("title", F.substring("text", 1, 60))
+    return retrieval.bm25_fields(docs, _queries(spark, d).filter("q is not null"), "doc_id", {"title": 1.0, "text": 0.4})
+
+
 QS = [("q1", "Ordinul nr. 20/1996 privind regimul", None), ("q2", "Decizia 45 din 1997", None), ("q3", "MO nr. 3/1996 despre building", None), ("q4", "ceva fara repere", None)]
 
 
@@ -261,6 +276,17 @@ def type_authority_counts(spark, d):
     return acts(spark, d).groupBy("doc_type", "issuing_authority").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(WITH_ACTS + " SELECT count(*) AS chunks, count(DISTINCT concat_ws('_', doc_type, nullif(act_number, ''), cast(act_year AS string))) AS laws, count(*) AS acts, min(act_year) AS first_year, max(act_year) AS last_year, count(DISTINCT issue_id) AS issues FROM a2")
+def corpus_counts(spark, d):
+    a = acts(spark, d)
+    return retrieval.counts(_laws(spark, d).join(a.select("issue_id", "act_index", F.format_string("%s::act-%03d::chunk-000", F.col("issue_id"), F.col("act_index")).alias("chunk_id")), ["issue_id", "chunk_id"]), a.select("issue_id").distinct())
+
+
+@query("SELECT event_type AS status, count(*) AS n, round(count(*) * 1.0 / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY event_type")
+def status_histogram(spark, d):
+    return evaluation.status_histogram(table(spark, d, "events").withColumnRenamed("event_type", "status"))
+
+
 # graph
 
 
@@ -423,6 +449,55 @@ def resolved_missing(spark, d):
 
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE left(text, 40) END AS markdown FROM documents")
+def markdown_cache(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.substring("text", 1, 40).alias("markdown"), F.lit("modern").alias("era"))
+    stale = F.when(F.col("doc_id") % 3 == 0, F.lit("0")).otherwise(F.col("sha256"))
+    return bundle.cached_markdown(rows.select("doc_id", "sha256"), rows.withColumn("sha256", stale)).select("doc_id", "markdown")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN 'laws/2007/03/05/d' || cast(doc_id AS VARCHAR) || '.pdf' ELSE 'laws/2001/01/01/d' || cast(doc_id AS VARCHAR) || '.pdf' END AS path FROM documents")
+def source_files(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("stem"))
+    at = lambda day: rows.select(F.concat(F.lit(f"laws/{day}/"), "stem", F.lit(".pdf")).alias("path"))
+    files = at("2007/03/05").filter("cast(regexp_extract(path, 'd([0-9]+).pdf', 1) as long) % 2 = 0").union(at("2001/01/01")).filter("cast(regexp_extract(path, 'd([0-9]+).pdf', 1) as long) % 5 <> 0")
+    return bundle.match_files(rows.withColumn("date", F.lit("2007-03-05")), files).select("doc_id", "path")
+
+
+@query(WITH_ACTS + """ SELECT k, '[' || concat_ws(' | ', doc_type || CASE WHEN act_number <> '' THEN ' ' || act_number || '/' || cast(act_year AS string) ELSE '' END, CASE WHEN k % 2 = 0 THEN 'Partidul Nou Roman | cotizatii lunare 12 luni' ELSE issuing_authority END, 'MO ' || issue_id, cast(act_year AS string)) || '] STRUCTURA TABEL COTIZATII Partidul Nou Roman: ' || title AS t FROM a2""")
+def legacy_prefixes(spark, d):
+    a = acts(spark, d)
+    t = F.concat(F.lit("STRUCTURA TABEL COTIZATII Partidul Nou Roman: "), "title")
+    by = F.when(F.col("k") % 2 == 0, "").otherwise(F.col("issuing_authority"))
+    return a.select("k", preparation.legacy_prefix(t, F.col("doc_type"), F.col("act_number"), F.col("act_year"), by, F.col("issue_id")).alias("t"))
+
+
+@query(WITH_ACTS + " SELECT k, CASE k % 3 WHEN 0 THEN 'Lista ' || title WHEN 1 THEN title || ' text' ELSE '' END AS title FROM a2")
+def table_titles(spark, d):
+    lines = F.when(F.col("k") % 3 == 0, F.concat(F.lit("Lista "), "title", F.lit("\nalta linie\nPRIM-MINISTRU"))).when(F.col("k") % 3 == 1, F.concat("title", F.lit(" text\n12\nMINISTRU X\n"))).otherwise("12\nMINISTRUL")
+    return acts(spark, d).select("k", preparation.table_title(lines).alias("title"))
+
+
+@query("""SELECT vec_id, [round(cast(x::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS FLOAT)::DOUBLE, 5) FOR x IN embedding] AS u FROM embeddings""")
+def unit_vectors(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.transform(preparation.unit(F.col("embedding")), lambda x: F.round(x.cast("double"), 5)).alias("u"))
+
+
+@query(WITH_ACTS + """, f AS (SELECT issue_id, act_index, k, CASE WHEN k % 4 = 0 THEN 'continuare de text ' || cast(k AS string) WHEN k % 9 = 1 THEN '' ELSE 'ORDIN ' || cast(k AS string) END AS t FROM a2),
+r AS (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY act_index) = 1 AS one FROM f), n AS (SELECT * FROM r WHERE one OR t <> ''), g AS (SELECT *, sum(CASE WHEN one OR NOT starts_with(t, 'continuare') THEN 1 ELSE 0 END) OVER (PARTITION BY issue_id ORDER BY act_index) AS g FROM n)
+SELECT issue_id, min(act_index) AS act_index, string_agg(t, chr(10) ORDER BY act_index) AS full_text FROM g GROUP BY issue_id, g""")
+def merged_fragments(spark, d):
+    t = F.when(F.col("k") % 4 == 0, F.concat(F.lit("continuare de text "), F.col("k").cast("string"))).when(F.col("k") % 9 == 1, "").otherwise(F.concat(F.lit("ORDIN "), F.col("k").cast("string")))
+    return segmentation.merge_act_fragments(acts(spark, d).withColumn("full_text", t))
+
+
+@query(WITH_ACTS + r""", n AS (SELECT issue_id, bool_or((act_number IN ('0', '') AND doc_type <> 'COMUNICAT') OR doc_type = 'UNKNOWN' OR (k % 3 = 0 AND split_part(regexp_replace(regexp_replace(trim(act_number), '^(\d{1,3})\.(\d{3})$', '\1\2'), '^(.*)/((19|20)\d\d)$', '\1'), '/', 1) = cast(k % 300 + 1 AS string))) AS need FROM a2 GROUP BY issue_id)
+SELECT issue_id, act_index, CASE WHEN need AND regexp_full_match(regexp_replace(trim(act_number), '^0+', ''), '|[123]|20[0-2]\d') AND NOT regexp_full_match(cast(k AS string), '[123]|20[0-2]\d') THEN cast(k AS string) ELSE act_number END AS act_number FROM a2 JOIN n USING (issue_id)""")
+def reextracted_numbers(spark, d):
+    a = acts(spark, d)
+    return validation.reextract(a, a.withColumn("act_number", F.col("k").cast("string"))).select("issue_id", "act_index", "act_number")
+
+
 # recovery and audits
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import file_identity
+from ..session import materialize
 
 #: Versions with their own invalidation: a row is new if any differs.
 VERSIONS = ("schema_version", "pipeline_version", "embedding_version")
@@ -117,7 +118,7 @@ def load(spark: SparkSession, new: DataFrame, path: str, key: str, partition: st
         old = None
     if old is not None:
         touched = new.select(partition).distinct()
-        old = old.join(touched, partition, "left_semi").checkpoint()
+        old = materialize(old.join(touched, partition, "left_semi"))
     upsert(old, new, key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
@@ -126,7 +127,41 @@ def emit_bundle(chunks: DataFrame, edges: DataFrame, issues: DataFrame, root: st
     for name, df in (("gazettes", issues), ("chunks", chunks), ("edges", edges)):
         df.write.mode("overwrite").partitionBy("issue_id").option("compression", "gzip").json(f"{root}/{name}")
     counts = chunks.groupBy("issue_id").agg(F.count(F.lit(1)).alias("chunks"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list(F.sha2("text", 256)))), 256).alias("sha256"))
-    append_manifest(counts.select(F.col("issue_id").alias("doc_id"), F.lit(1).alias("seq"), "chunks", "sha256"), f"{root}/manifest")
+    before = _manifest_end(chunks.sparkSession, f"{root}/manifest")
+    append_manifest(counts.select(F.col("issue_id").alias("doc_id"), F.lit(before + 1).alias("seq"), "chunks", "sha256"), f"{root}/manifest")
+
+
+def _manifest_end(spark: SparkSession, path: str) -> int:
+    """The last seq of a manifest, 0 without one."""
+    try:
+        return spark.read.schema("seq long").json(path).agg(F.max("seq")).first()[0] or 0
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return 0
+
+
+def save_markdown(docs: DataFrame, path: str) -> None:
+    """Append doc_id, sha256 (of the source), era, markdown to the cache."""
+    docs.select("doc_id", "sha256", "era", "markdown").write.mode("append").parquet(path)
+
+
+def cached_markdown(sources: DataFrame, cache: DataFrame) -> DataFrame:
+    """sources (doc_id, sha256) with the cached markdown and era; null where the
+    cache has none for this content (a changed source makes it stale)."""
+    known = cache.groupBy("doc_id", "sha256").agg(F.max_by(F.struct("markdown", "era"), F.length("markdown")).alias("_m"))
+    return sources.join(known, ["doc_id", "sha256"], "left").select(*sources.columns, F.col("_m.markdown").alias("markdown"), F.col("_m.era").alias("era"))
+
+
+def match_files(issues: DataFrame, files: DataFrame) -> DataFrame:
+    """issues (issue_id, stem, date yyyy-mm-dd) with path, the source file: the
+    one below the date's folders, else the first by path that has the stem."""
+    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    own = files.select("path", name.alias("stem"), F.array_join(F.slice(F.split("path", "/"), -4, 3), "-").alias("_date"))
+    by_date = own.groupBy("stem", F.col("_date").alias("date")).agg(F.min("path").alias("_exact"))
+    by_name = own.groupBy("stem").agg(F.min("path").alias("_any"))
+    out = issues.join(by_date, ["stem", "date"], "left").join(by_name, "stem", "left")
+    return out.select(*issues.columns, F.coalesce("_exact", "_any").alias("path"))
 
 
 def record_run(spark: SparkSession, path: str, run_id: str, stats: dict[str, int], failures: list[str]) -> None:
