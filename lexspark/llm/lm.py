@@ -41,6 +41,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,16 +171,26 @@ def dealt(words: DataFrame) -> DataFrame:
     of word and sorted; a word is in one part, whatever came before it."""
 
     def number(batches):
-        size, last, at = 0, None, 0
+        size, last, part = 0, None, 0
         for batch in batches:
-            out = []
-            for word, file in zip(batch.column("word").to_pylist(), batch.column("file").to_pylist()):
-                if size >= PART_BYTES and word != last:
-                    size, at = 0, at + 1
-                size += len(word)
-                last = word
-                out.append(file << 32 | at)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.int64())], names=["key", "word", "q", "n", "part"])
+            word = batch.column("word")
+            length = pc.binary_length(word).to_numpy().astype(np.int64)
+            turns = np.flatnonzero(np.append(word[0].as_py() != last, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False)))
+            upto, at = np.cumsum(length), 0
+            out = np.zeros(len(length), np.int64)
+            while at < len(length):
+                # the first new word once the part is full
+                full = int(np.searchsorted(upto, upto[at] - length[at] + PART_BYTES - size)) + 1 if size < PART_BYTES else at
+                turn = int(np.searchsorted(turns, full))
+                end = int(turns[turn]) if turn < len(turns) else len(length)
+                out[at:end] = part
+                size += int(length[at:end].sum())
+                if end < len(length):
+                    size, part = 0, part + 1
+                at = end
+            last = word[-1].as_py()
+            file = batch.column("file").to_numpy().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(file << 32 | out)], names=["key", "word", "q", "n", "part"])
 
     count = max(-(-words.count() // FILE_WORDS), 1)
     ranged = words.repartitionByRange(count, "word").sortWithinPartitions("word", "q").select("key", "word", "q", "n", F.spark_partition_id().alias("file"))
@@ -547,11 +558,13 @@ def learn(words: DataFrame) -> tuple:
             seen = mixer.seen.copy()
             train(part, mixer, left_out, over)
             total += mixer.weights * (mixer.seen - seen)[:, None]
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate((mixer.seen, total.ravel(), mixer.observed.ravel())).tobytes()], pa.binary())], names=["data"])
+        own = np.concatenate((mixer.seen, total.ravel(), mixer.observed.ravel()))
+        some = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(own[some])], names=["i", "x"])
 
+    sums = map_arrow(words, run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
     found = np.zeros(GATES * (1 + PREDICTORS + 2 * BINS))
-    for r in map_arrow(words, run, "data binary").toLocalIterator():
-        found += np.frombuffer(r.data, np.float64)
+    found[sums.column("i").to_numpy()] = sums.column("x").to_numpy()
     shipped.destroy()
     mixer = Mixer()
     mixer.seen, total, mixer.observed = found[:GATES], found[GATES : GATES * (1 + PREDICTORS)].reshape(GATES, -1), found[GATES * (1 + PREDICTORS) :].reshape(2, -1)
