@@ -269,9 +269,9 @@ def _marked(spark, d):
     return g.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("act_index", "t"))), lambda x: x["t"]), "").alias("text"))
 
 
-@query()
+@query(WITH_ACTS + """ SELECT issue_id AS doc_id, act_index, CASE doc_type WHEN 'HG' THEN 'HOTARARE' WHEN 'OUG' THEN 'ORDONANTA DE URGENTA' WHEN 'UNKNOWN' THEN 'Anexa' ELSE doc_type END AS title_hint, '## ' || full_text AS markdown FROM a2""")
 def segmented_acts(spark, d):
-    return segmentation.segment_markdown(_marked(spark, d))
+    return segmentation.segment_markdown(_marked(spark, d)).select("doc_id", "act_index", "title_hint", F.regexp_replace("markdown", r"\n\z", "").alias("markdown"))
 
 
 @query(WITH_ACTS + PAGED + """, g AS (SELECT doc_id, max(CASE WHEN page_start < before THEN 1 ELSE 0 END) AS back, count(DISTINCT page_start) AS c, count(*) AS n, max(page_start) AS m FROM (SELECT *, lag(page_start) OVER (PARTITION BY doc_id ORDER BY toc_idx) AS before FROM tc) GROUP BY doc_id)
@@ -423,7 +423,9 @@ def positional_fill(spark, d):
     return extraction.positional_fill(acts(spark, d), toc(spark, d)).select("issue_id", "act_index", "act_number")
 
 
-@query()
+@query(WITH_ACTS + r""" SELECT k, CASE WHEN doc_type = 'UNKNOWN' AND title = 'ORDIN' THEN 'ORDIN' ELSE doc_type END AS doc_type, CASE WHEN k % 11 = 0 THEN '0' ELSE cast(k AS string) END AS act_number, act_year::INTEGER AS act_year, CASE WHEN k % 11 = 0 THEN 'low' ELSE 'high' END AS confidence, 'Minister' AS issuing_authority,
+left(title || ' In temeiul Legii nr. ' || cast(k % 400 + 1 AS string) || '/' || cast(act_year - 1 AS string) || ', art. ' || cast(k % 9 + 1 AS string) || ' ' || CASE WHEN k % 3 = 0 THEN 'Se abroga Ordinul nr. ' || cast(k % 300 + 1 AS string) || '/' || cast(act_year - 2 AS string) || '.' ELSE issuing_authority || ' emite prezentul act.' END, 300) AS title,
+nullif(regexp_extract(full_text, 'Judetul\s+([A-Z][a-z-]{2,})', 1), '') AS locality FROM a2""".replace("\\\\", "\\"))
 def rule_drafts(spark, d):
     return extraction.extract_acts(acts(spark, d)).select("k", "draft.*")
 
@@ -507,10 +509,15 @@ def repaired_numbers(spark, d):
     return linkage.repair_numbers(acts(spark, d), toc(spark, d)).select("k", "act_number")
 
 
-@query()
+TAILS = """, r AS (SELECT issue_id, act_index, full_text FROM a2 UNION ALL SELECT issue_id, act_index + 5000, CASE WHEN k % 12 = 0 THEN concat('alt inceput de act ', full_text) ELSE concat(full_text, ' cu alta incheiere a textului care nu se afla in niciun alt act al numarului ', cast(k AS string)) END FROM a2 WHERE k % 6 = 0)"""
+
+
+@query(WITH_ACTS + TAILS + """, b AS (SELECT issue_id, act_index, upper(regexp_replace(strip_accents(lower(full_text)), '[^a-z0-9]', '', 'g')) AS body FROM r), t AS (SELECT *, substr(body, greatest(length(body) - 119, 1), 120) AS tail FROM b WHERE act_index >= 5000)
+SELECT DISTINCT t.issue_id, t.act_index FROM t JOIN b ON t.issue_id = b.issue_id AND b.act_index < 5000 AND contains(b.body, tail) WHERE length(tail) >= 60""")
 def contained_acts_dropped(spark, d):
-    a, t = acts(spark, d), toc(spark, d)
-    return linkage.drop_contained(a, linkage.reconcile(a, t))
+    acts(spark, d)
+    rows = spark.sql(f"{WITH_ACTS}{TAILS} SELECT * FROM r")
+    return linkage.drop_contained(rows, rows.filter("act_index < 5000").select("issue_id", "act_index"))
 
 
 # validation and merge
