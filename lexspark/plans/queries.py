@@ -443,26 +443,37 @@ p2 AS (SELECT issue_id, act_index, toc_idx FROM a1r JOIN (SELECT issue_id, act_i
 
 @query(WITH_ALL + RECONCILE + " SELECT *, 1 AS pass FROM p1 UNION ALL SELECT *, 2 FROM p2")
 def reconcile_unique_pairs(spark, d):
-    return linkage.reconcile(acts(spark, d), toc(spark, d)).filter("pass <= 2")
+    return linkage.reconcile(acts(spark, d), toc(spark, d), passes=2)
 
 
-@query()
+PASSES = """, m2 AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2),
+a2l AS (SELECT * FROM ka ANTI JOIN m2 USING (issue_id, act_index)), b2l AS (SELECT * FROM kb ANTI JOIN m2 USING (issue_id, toc_idx)),
+p3 AS (SELECT issue_id, act_index, toc_idx FROM (SELECT *, count(*) OVER (PARTITION BY issue_id, t) AS c FROM a2l WHERE t <> '') x JOIN (SELECT *, count(*) OVER (PARTITION BY issue_id, t) AS c2 FROM b2l WHERE t <> '') y USING (issue_id, t) WHERE c = 1 AND c2 = 1),
+a3l AS (SELECT * FROM a2l ANTI JOIN p3 USING (issue_id, act_index)), b3l AS (SELECT * FROM b2l ANTI JOIN p3 USING (issue_id, toc_idx)),
+j4 AS (SELECT x.issue_id, x.act_index, toc_idx, length(full_text) AS len FROM a3l x JOIN b3l y ON x.issue_id = y.issue_id AND x.n = y.n AND (x.t = '' OR y.t = '' OR x.t = y.t) JOIN a2 ON a2.issue_id = x.issue_id AND a2.act_index = x.act_index WHERE x.n <> ''),
+l4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY issue_id, toc_idx ORDER BY len DESC, act_index) AS r FROM j4) WHERE r = 1),
+p4 AS (SELECT issue_id, act_index, toc_idx FROM (SELECT *, row_number() OVER (PARTITION BY issue_id, act_index ORDER BY toc_idx) AS r2 FROM l4) WHERE r2 = 1),
+a4l AS (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY act_index) AS r FROM (SELECT * FROM a3l ANTI JOIN p4 USING (issue_id, act_index))), b4l AS (SELECT *, row_number() OVER (PARTITION BY issue_id ORDER BY toc_idx) AS r FROM (SELECT * FROM b3l ANTI JOIN p4 USING (issue_id, toc_idx))),
+p5 AS (SELECT x.issue_id, act_index, toc_idx FROM a4l x JOIN b4l y ON x.issue_id = y.issue_id AND x.r = y.r WHERE x.t = '' OR y.t = '' OR x.t = y.t)"""
+
+
+@query(WITH_ALL + RECONCILE + PASSES + " SELECT *, 1 AS pass FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3 UNION ALL SELECT *, 4 FROM p4 UNION ALL SELECT *, 5 FROM p5")
 def reconcile_all(spark, d):
     return linkage.reconcile(acts(spark, d), toc(spark, d))
 
 
-@query(WITH_ALL + RECONCILE + """, m AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2)
+@query(WITH_ALL + RECONCILE + PASSES + """, m AS (SELECT * FROM m2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5)
 SELECT issue_id, 'missing' AS kind, toc_idx AS idx FROM t0 ANTI JOIN m USING (issue_id, toc_idx) UNION ALL SELECT issue_id, 'phantom', act_index FROM a2 ANTI JOIN m USING (issue_id, act_index)""")
 def missing_and_phantom(spark, d):
     a, t = acts(spark, d), toc(spark, d)
-    return linkage.missing_and_phantom(a, t, linkage.reconcile(a, t).filter("pass <= 2"))
+    return linkage.missing_and_phantom(a, t, linkage.reconcile(a, t))
 
 
-@query(WITH_ALL + RECONCILE + """, m AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2)
+@query(WITH_ALL + RECONCILE + PASSES + """, m AS (SELECT * FROM m2 UNION ALL SELECT * FROM p3 UNION ALL SELECT * FROM p4 UNION ALL SELECT * FROM p5)
 SELECT k, CASE WHEN title = 'ORDIN' AND toc_title IS NOT NULL AND toc_title <> 'ORDIN' THEN toc_title ELSE title END AS title FROM a2 LEFT JOIN m USING (issue_id, act_index) LEFT JOIN t0 USING (issue_id, toc_idx)""")
 def title_backfill(spark, d):
     a, t = acts(spark, d), toc(spark, d)
-    return linkage.backfill(a, t, linkage.reconcile(a, t).filter("pass <= 2")).select("k", "title")
+    return linkage.backfill(a, t, linkage.reconcile(a, t)).select("k", "title")
 
 
 @query("""WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]{3,}')) AS e FROM benchmark), a AS (SELECT item_id + 1 AS item_id, regexp_extract_all(strip_accents(lower(text)), '[a-z0-9]{3,}') AS h FROM benchmark)
