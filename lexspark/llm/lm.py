@@ -2,13 +2,13 @@
 
 A text is its tokens: words, then one end. A token is spelled as bytes, ended by
 a space (the end is the space alone); each bit of the spelling is predicted by
-several predictors, one for each context: the last one, two or three bytes, the
-whole word so far, and the whole word so far with what came before it. What came
-before a word is the word before, if that has at most SHORT bytes (as most
-function words have; in one of SHORTS buckets), else the class of the text, by
-the most frequent of its short words (one of CLASSES, which costs
-log10(CLASSES) a text); contexts of the last bytes reach over the start of a word
-to it. Each context has hashed counts of zeros and ones. The predictions are
+several predictors, one for each context: the class of the text with the last
+one, two or three bytes or with the whole word so far, and the whole word so far
+in all classes. The class is that of the most frequent short word (one of
+CLASSES, which costs log10(CLASSES) a text). Contexts of the last bytes reach
+over the start of a word to the word before, if that has at most SHORT bytes (as
+most function words have; in one of SHORTS buckets). Each context has hashed
+counts of zeros and ones. The predictions are
 mixed in the logistic domain by weights that a gate selects (how often the word
 so far was seen, and which bit it is), and refined by an adaptive map from what
 the mixer says to what then came. Both learn online from every training
@@ -19,7 +19,7 @@ product over a spelling's bits is the token's probability, whether it was seen
 or not.
 
 All counts are those of the corpus: a token counts at each of its occurrences.
-The distinct words, each with what came before, are dealt by ranges of their
+The distinct words, each with its class and the word before, are dealt by ranges of their
 spelling, so that those with a common beginning are neighbours, and a part's
 counts of beginnings are sums over runs of its sorted words. Beginnings that
 reach over an edge of a part are added up and broadcast: a few hundred numbers a
@@ -48,18 +48,22 @@ from pyspark.sql import functions as F
 from .common import held_out, map_arrow, mix, powers, span_hashes, stored, utf8, word_spans
 
 #: Slots of a table.
-SLOTS, MOST_SLOTS = 1 << 16, 1 << 21
+SLOTS, MOST_SLOTS = 1 << 16, 1 << 22
 #: Bytes of the contexts that are counted in tables.
 TABLED = (1, 2, 3)
-#: The predictors: those, the word so far with what came before, the word so far.
+#: The predictors: those, the word so far in its class, the word so far.
 PREDICTORS = len(TABLED) + 2
+#: Classes, bytes and buckets of short words; what came before is a class and a
+#: bucket, or 0 if the word before isn't short.
 CLASSES, SHORT, SHORTS = 16, 3, 32
-BEFORE = CLASSES + SHORTS
+BEFORE = CLASSES * (SHORTS + 1)
 #: Words (with what came before) of one file, and bytes of one part of it.
 FILE_WORDS = 60_000
 PART_BYTES = 1 << 18
 MOST_BROADCAST = 200_000
-RATE = 0.02
+#: First weights, and the length of a weight's first step; later ones are as much
+#: shorter as its slopes add up (AdaGrad).
+START, RATE = 0.25, 0.05
 GATES = 64
 BINS = 33
 #: Steps of the mixer's output for which log-probabilities are tabled.
@@ -68,8 +72,9 @@ FINE = 1025
 STEP = 8192
 #: Hash of the end of a text.
 END = 0x5EED
-#: Bytes of text that are taken at once.
+#: Bytes of text that are taken at once, and words that a task adds up.
 BLOCK = 4 << 20
+GATHERED = 1_000_000
 
 
 def stretch(p: np.ndarray) -> np.ndarray:
@@ -99,15 +104,16 @@ def classes_of(hashes: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> np.nd
 
 
 def before(hashes: np.ndarray, sizes: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What came before each word, and before the end of each text."""
+    """What came before each word, and before the end of each text: its class
+    and the word before."""
     of_text, n = classes_of(hashes, sizes, upto), np.diff(upto, prepend=0)
-    own = np.where(sizes <= SHORT, CLASSES + ((hashes >> np.uint64(40)) % np.uint64(SHORTS)).astype(np.int64), np.repeat(of_text, n))
-    ends = of_text.copy()
-    ends[n > 0] = own[upto[n > 0] - 1]
-    out = np.concatenate((of_text[:1], own[:-1])) if len(own) else own
-    first = (upto - n)[n > 0]
-    out[first] = of_text[n > 0]
-    return out, ends
+    own = np.where(sizes <= SHORT, 1 + ((hashes >> np.uint64(40)) % np.uint64(SHORTS)).astype(np.int64), 0)
+    last = np.zeros(len(n), np.int64)
+    last[n > 0] = own[upto[n > 0] - 1]
+    out = np.append(np.zeros(1, np.int64), own[:-1]) if len(own) else own
+    out[(upto - n)[n > 0]] = 0
+    base = of_text * (SHORTS + 1)
+    return out + np.repeat(base, n), last + base
 
 
 def keyed(hashes: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -142,9 +148,28 @@ def block(texts: list[bytes]):
 
 def gather(texts: DataFrame, counted: bool) -> DataFrame:
     """key, word (with its space), q (what came before) and n (its occurrences,
-    0 if they don't count) of each block of texts, the ends among them."""
+    0 if they don't count) of the texts, the ends among them; what a task finds
+    in several blocks is added up there, GATHERED rows at a time."""
+
+    def merged(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(some).combine_chunks()
+        key, first, at = np.unique(whole.column("key").to_numpy(), return_index=True, return_inverse=True)
+        n = np.bincount(at, whole.column("n").to_numpy(), len(key)).astype(np.int64)
+        taken = whole.select(["word", "q"]).take(pa.array(first)).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array(key), *(c.chunk(0) for c in taken.columns), pa.array(n)], names=["key", "word", "q", "n"])
 
     def run(batches):
+        held: list[pa.RecordBatch] = []
+        for found in each(batches):
+            held.append(found)
+            if len(held) > 1 and sum(x.num_rows for x in held[1:]) >= held[0].num_rows:
+                held = [merged(held)]
+                if held[0].num_rows >= GATHERED:
+                    yield held.pop()
+        if held:
+            yield merged(held)
+
+    def each(batches):
         for data, starts, ends, upto in blocks(batches):
             hashes = span_hashes(data, starts, ends)
             q, of_end = before(hashes, ends - starts, upto)
@@ -236,6 +261,7 @@ class Part:
         self.data = np.frombuffer(word.buffers()[2], np.uint8)[upto[0] : upto[-1]]
         self.first, self.size = upto[:-1] - upto[0], np.diff(upto)
         self.key, self.q, self.n = (rows.column(c).to_numpy() for c in ("key", "q", "n"))
+        self.k = self.q // (SHORTS + 1)
         self.of_byte = np.repeat(np.arange(len(self.size)), self.size)
         self.around = around
         self.link = self.links()
@@ -262,7 +288,7 @@ class Part:
 
     def edge_rows(self):
         """(key, zeros, ones) of each beginning that a neighbour may share, for
-        every q and (-1) for all."""
+        every class and (CLASSES) for all."""
         key, zeros, ones = [], [], []
         left, right = self.around
         low = shared_bits(left, self.word(0)) if left is not None else -1
@@ -283,9 +309,9 @@ class Part:
                 m = int(np.searchsorted(-run, -d, side="right"))
                 some = slice(0, m) if rows is None else slice(len(run) - m, len(run))
                 bit = (self.data[self.first[some] + d // 8] >> (7 - d % 8)) & 1
-                count = np.bincount(self.q[some] * 2 + bit, self.n[some], 2 * BEFORE).reshape(-1, 2)
+                count = np.bincount(self.k[some] * 2 + bit, self.n[some], 2 * CLASSES).reshape(-1, 2)
                 met = np.flatnonzero(count.any(1))
-                key.append(np.append(keyed(np.full(len(met), names[d]), met), keyed(names[d : d + 1], np.array([BEFORE]))))
+                key.append(np.append(keyed(np.full(len(met), names[d]), met), keyed(names[d : d + 1], np.array([CLASSES]))))
                 zeros.append(np.append(count[met, 0], count[:, 0].sum()))
                 ones.append(np.append(count[met, 1], count[:, 1].sum()))
         none = np.zeros(0)
@@ -296,7 +322,7 @@ class Part:
         among rows of one group (None: all). over: keys and counts of edges."""
         count, link = len(self.n), self.link
         if group is None:
-            order, begin, names = np.arange(count), np.zeros(1, np.int64), np.array([BEFORE])
+            order, begin, names = np.arange(count), np.zeros(1, np.int64), np.array([CLASSES])
         else:
             order = np.argsort(group, kind="stable")
             ranked = group[order]
@@ -346,15 +372,16 @@ class Part:
 
     def contexts(self) -> list[np.ndarray]:
         """For each of TABLED the hash of each byte's context: the bytes before
-        it, and what came before the word if there are fewer."""
+        it, and the word before if there are fewer, in the text's class."""
         place = np.arange(len(self.data)) - self.first[self.of_byte]
-        own, q = self.data.astype(np.uint64) + np.uint64(1), self.q[self.of_byte].astype(np.uint64) + np.uint64(300)
+        own, q = self.data.astype(np.uint64) + np.uint64(1), (self.q % (SHORTS + 1))[self.of_byte].astype(np.uint64) + np.uint64(300)
+        of_class = mix(self.k[self.of_byte].astype(np.uint64) + np.uint64(1))
         out, x = [], np.zeros(len(self.data), np.uint64)
         for n in TABLED:
             back = np.zeros(len(self.data), np.uint64)
             back[n:] = own[:-n]
             x = x + (np.where(place >= n, back, np.where(place == n - 1, q, np.uint64(0))) << np.uint64(9 * (n - 1)))
-            out.append(mix(x * np.uint64(8) + np.uint64(n)))
+            out.append(mix(x * np.uint64(8) + np.uint64(n) + of_class))
         return out
 
     def nodes(self, j: int) -> np.ndarray:
@@ -452,7 +479,7 @@ class Mixer:
     """Weights by gate, and the map from the mixer's output."""
 
     def __init__(self):
-        self.weights = np.full((GATES, PREDICTORS), 0.35)
+        self.weights, self.steep = np.full((GATES, PREDICTORS), START), np.zeros((GATES, PREDICTORS))
         self.map = np.tile(squash(np.linspace(-8, 8, BINS)), (GATES, 1))
         self.seen, self.observed = np.zeros(GATES), np.zeros((2, GATES * BINS))
         self.logs = np.zeros(0, np.float32)
@@ -473,11 +500,11 @@ class Mixer:
         self.observed[0] += np.bincount(at, times, GATES * BINS)
         self.observed[1] += np.bincount(at, hits, GATES * BINS)
         error = hits - times * squash(x)
-        size, total = np.bincount(gate, minlength=GATES), np.bincount(gate, times, GATES)
+        total = np.bincount(gate, times, GATES)
         self.seen += total
-        rate = RATE * np.sqrt(size) / np.maximum(total, 1)
-        for k in range(PREDICTORS):
-            self.weights[:, k] += rate * np.bincount(gate, error * inputs[k], GATES)
+        slope = np.stack([np.bincount(gate, error * own, GATES) for own in inputs], 1) / np.maximum(total, 1)[:, None]
+        self.steep += slope * slope
+        self.weights += RATE * slope / np.sqrt(self.steep + 1e-12)
 
     def chart(self) -> None:
         """The adaptive map, from what was observed."""
@@ -508,33 +535,40 @@ def without(tables: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def train(part: Part, mixer: Mixer, left_out: list[np.ndarray], over) -> None:
-    """Learn from every occurrence of the part's words, some bytes at a time in
-    mixed order."""
+    """Learn from every occurrence of the part's words, STEP bytes at a time:
+    every so many-th byte of the part, so that a step has words from all over."""
     seen = np.flatnonzero(part.n[part.of_byte] > 0)
     if not len(seen):
         return
-    mixed = np.random.default_rng(5).permutation(seen)
-    contexts, trees = [x[mixed] for x in part.contexts()], []
+    steps = -(-len(seen) // STEP)
+
+    def dealt(x: np.ndarray) -> np.ndarray:
+        """The columns of the bytes that were seen, steps x bytes of a step."""
+        x = x[..., seen]
+        spare = -x.shape[-1] % steps
+        x = np.concatenate((x, np.zeros((*x.shape[:-1], spare), x.dtype)), -1)  # spare ones count 0 times
+        return np.ascontiguousarray(np.moveaxis(x.reshape(*x.shape[:-1], -1, steps), -1, -2))
+
     bits = (part.data >> np.arange(7, -1, -1, dtype=np.uint8)[:, None]) & 1
-    for group in (part.q, None):
+    trees = []
+    for group in (part.k, None):
         zeros, ones = part.runs(group, over)
-        total = np.maximum(zeros + ones - 1, 0)
-        trees.append(stretched(np.maximum(zeros - (1 - bits), 0), np.maximum(ones - bits, 0)))
-    times, data = part.n[part.of_byte][mixed].astype(np.float32), part.data[mixed]
-    for at in range(0, len(mixed), STEP):
-        some = slice(at, at + STEP)
-        own, here, weight = data[some].astype(np.int64), mixed[some], times[some]
+        gate = dealt(np.minimum(np.frexp(np.maximum(zeros + ones - 1, 0) + 1)[1] - 1, 7).astype(np.int8)) if group is None else None
+        trees.append(dealt(stretched(np.maximum(zeros - (1 - bits), 0), np.maximum(ones - bits, 0))))
+    contexts, data, times = [dealt(x) for x in part.contexts()], dealt(part.data.astype(np.int64)), dealt(part.n[part.of_byte].astype(np.float32))
+    for i in range(steps):
+        own = data[i]
         for j in range(8):
             bit = (own >> (7 - j)) & 1
             node = ((1 << j) | (own >> (8 - j))).astype(np.uint64) * _NODE
-            inputs = [t[((x[some] + node) & np.uint64(len(t) // 2 - 1)).astype(np.int64) * 2 + bit] for x, t in zip(contexts, left_out)]
-            mixer.learn(bit, [*inputs, *(t[j][here] for t in trees)], gates(total[j][here], j), weight)
+            inputs = [t[((x[i] + node) & np.uint64(len(t) // 2 - 1)).astype(np.int64) * 2 + bit] for x, t in zip(contexts, left_out)]
+            mixer.learn(bit, [*inputs, *(t[j, i] for t in trees)], gate[j, i].astype(np.int64) * 8 + j, times[i])
 
 
 def spelled(part: Part, mixer: Mixer, logs: list[np.ndarray], over) -> np.ndarray:
     """log10 of the probability of each of the part's words."""
     contexts, out = part.contexts(), np.zeros(len(part.data), np.float64)
-    counts = [part.runs(group, over) for group in (part.q, None)]
+    counts = [part.runs(group, over) for group in (part.k, None)]
     for j in range(8):
         slots = [((x + part.nodes(j)) & np.uint64(len(t) - 1)).astype(np.int64) for x, t in zip(contexts, logs)]
         inputs = [*(t[s] for s, t in zip(slots, logs)), *(stretched(zeros[j], ones[j]) for zeros, ones in counts)]
