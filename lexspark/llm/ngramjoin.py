@@ -10,13 +10,14 @@ signs by the partition of the next one, so that every pair that can link has a
 partition in common. Of each part all subsets of n2 - 1 smaller parts are
 enumerated, and the elements that the set has in such a subset are one
 signature, if there are any. Sets r and s that link differ in at most
-k = (|r| + |s|) / 7 elements, so all but k / 2 of the n1 parts hold one
-difference at most; leaving out the smaller part that holds it, r and s have
-the same signature. That signature isn't empty if r has elements in two smaller
-parts of the part. So a set with more than k / 2 such parts shares a signature
-with every set that it links with; what it has more of them is to spare. n1 is
-large enough that this holds but for rare sets. Those sign, besides, with the
-first elements of the set in hash order, as many as two sets that link can't
+k = (|r| + |s|) / 7 elements. A part in which r has elements in two smaller parts
+at least takes two differences to leave r and s without a signature in common
+there: leaving out the smaller part that holds a single difference, they have
+the same one, and it isn't empty. A part in which r has elements in one smaller
+part takes one. So r and s share signatures in as many parts as k differences
+can't pay for, and if that is one at least no link is lost; what r has more of
+them is to spare. n1 is large enough that this holds but for rare sets. Those
+sign, besides, with the first elements of the set in hash order, as many as two sets that link can't
 both have without one in common; that is needed only to meet each other.
 n2 is 3 for bands up to SUBSETS, where single smaller parts would hold too few
 elements to be rare, and 2 beyond.
@@ -40,7 +41,9 @@ checkpointed edges; nothing is collected.
 Defined cases: null texts and texts without words have no shingles, n_shingles
 0 and themselves as component; a text of fewer than five words is one shingle;
 repeated rows are copies; a component is named by its least doc_id that isn't
-null.
+null; other columns are ignored by near_duplicates() and kept by keep_one().
+Sets count as equal if their 64-bit fingerprints are: among 10^9 different sets
+one such pair has a chance of 3 %.
 """
 
 from __future__ import annotations
@@ -60,7 +63,7 @@ COLD = 24
 #: Sets of up to so many shingles sign with subsets of two parts of three.
 SUBSETS = 512
 #: Mean elements of a smaller part for the largest sets of a band, by n2.
-LOAD = {2: 2.75, 3: 1.85}
+LOAD = {2: 2.75, 3: 2.0}
 #: Signature rows for one partition, and those that a task looks through for
 #: frequent ones at a time.
 ROWS = 2_000_000
@@ -131,10 +134,11 @@ def prefix_of(n: int) -> int:
     return n - -(-3 * n // 4) + 1
 
 
-def signatures(own: np.ndarray) -> list[tuple[tuple[int, int], np.ndarray, int]]:
-    """For each of the set's bands the domain (band, 0), its signatures, and how
-    many of them may be left out without losing a link (-1: they don't suffice,
-    then the domain (band, 1) has those of the set's first elements)."""
+def signatures(own: np.ndarray) -> list[tuple[tuple[int, int], np.ndarray, np.ndarray, int]]:
+    """For each of the set's bands the domain (band, 0), its signatures, the part
+    of each, and how many parts may be left out without losing a link (-1: they
+    don't suffice, then the domain (band, 1) has those of the set's first
+    elements, each a part)."""
     out = []
     for band in bands_for(len(own)):
         n1, n2 = parts_of(band)
@@ -150,13 +154,26 @@ def signatures(own: np.ndarray) -> list[tuple[tuple[int, int], np.ndarray, int]]
         some = full.sum(1)
         kept = np.flatnonzero((some[:, None] - full > 0).ravel())
         sigs = mix(rest.ravel()[kept] ^ (kept.astype(np.uint64) * _MULT[3] + seed))
-        spare = int(np.count_nonzero(some >= 2)) - differences(len(own), band) // 2 - 1
-        out.append(((band, 0), sigs, max(spare, -1)))
+        # differences go to the parts that one of them spoils, then by twos
+        one, two, k = int(np.count_nonzero(some == 1)), int(np.count_nonzero(some >= 2)), differences(len(own), band)
+        spare = (one - k + two if k < one else two - (k - one) // 2) - 1
+        out.append(((band, 0), sigs, kept // n2, max(spare, -1)))
         if spare < 0:
-            out.append(((band, 1), mix(own[: prefix_of(len(own))] ^ plain), 0))
+            first = own[: prefix_of(len(own))]
+            out.append(((band, 1), mix(first ^ plain), np.arange(len(first)), 0))
     return out
 
 
+def packed(size: int, spare: int, which: int, part: np.ndarray) -> np.ndarray:
+    """What a signature row says of its set: size (26 bits, or all of them set),
+    spare + 1 (17), the domain (2) and the part (18). Where a number doesn't fit,
+    nothing is to spare."""
+    if spare + 1 >= 1 << 17 or (len(part) and int(part.max()) >= 1 << 18):
+        spare = -1
+    head = min(size, MOST_SIZE) << 37 | (spare + 1) << 20 | which << 18
+    return head | (part & ((1 << 18) - 1))
+
+
 def document_sets(docs: DataFrame) -> DataFrame:
     """doc_id, node (fingerprint of its set), n_shingles."""
 
@@ -173,19 +190,20 @@ def document_sets(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", F.col("text").cast("string").alias("text")), run, f"doc_id {kind}, node long, n_shingles long")
 
 
+#: Sizes beyond this one are kept as it, and fit any other.
+MOST_SIZE = (1 << 26) - 1
 #: Marks a row of a bucket that is known to be large.
 LARGE = np.int64(-1 << 63)
 
 
 def signature_rows(docs: DataFrame) -> DataFrame:
-    """sig, node, info (size << 32 | (spare + 1) << 2 | 2 * kind + whether of the
-    next band) of every document; a set that its task has seen before is left
-    out, so that copies cost a row per signature and task. Rows beyond the first
-    COLD + 1 of a signature are marked LARGE."""
+    """sig, node, info (packed()) of every document; a set that its task has
+    seen before is left out, so that copies cost a row per signature and task.
+    Rows beyond the first COLD + 1 of a signature are marked LARGE."""
 
     def emit(sig, node, info):
         times = [len(s) for s in sig]
-        sig, node, info = np.concatenate(sig).view(np.int64), np.repeat(np.array(node, np.int64), times), np.repeat(np.array(info, np.int64), times)
+        sig, node, info = np.concatenate(sig).view(np.int64), np.repeat(np.array(node, np.int64), times), np.concatenate(info)
         order = np.argsort(sig, kind="stable")
         ranked = sig[order]
         starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
@@ -207,10 +225,10 @@ def signature_rows(docs: DataFrame) -> DataFrame:
                     continue
                 seen.add(name)
                 low = band_of(len(own))
-                for (band, kind), sigs, spare in signatures(own):
+                for (band, kind), sigs, part, spare in signatures(own):
                     sig.append(sigs)
                     node.append(name)
-                    info.append(len(own) << 32 | (spare + 1) << 2 | kind << 1 | (band - low))
+                    info.append(packed(len(own), spare, kind << 1 | (band - low), part))
                     held += len(sigs)
                 if held >= CHUNK:
                     yield emit(sig, node, info)
@@ -252,25 +270,26 @@ def bucket_rows(sigs: DataFrame, partitions: int) -> DataFrame:
         sig, node, info = sig[fresh], node[fresh], info[fresh]
         starts = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
         size = np.diff(np.append(starts, len(sig)))
-        n, left, right = info >> 32, [], []
+        n, left, right = info >> 37, [], []
+        pair = info >> 18  # without the part
         for m in range(2, COLD + 1):
             at = starts[size == m]
             if len(at):
                 i, j = np.triu_indices(m, 1)
                 a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                fit = np.minimum(n[a], n[b]) * 4 >= np.maximum(n[a], n[b]) * 3
+                fit = (np.minimum(n[a], n[b]) * 4 >= np.maximum(n[a], n[b]) * 3) | (n[b] == MOST_SIZE) | (n[a] == MOST_SIZE)
                 left.append(a[fit])
                 right.append(b[fit])
         if left:
             a, b = np.concatenate(left), np.concatenate(right)
-            order = np.lexsort((info[a] & 3, info[b] & 3, node[b], node[a]))
+            order = np.lexsort((pair[a] & 3, pair[b] & 3, node[b], node[a]))
             a, b = a[order], b[order]
             fresh = np.ones(len(a), bool)
-            fresh[1:] = (node[a[1:]] != node[a[:-1]]) | (node[b[1:]] != node[b[:-1]]) | (info[a[1:]] != info[a[:-1]]) | (info[b[1:]] != info[b[:-1]])
+            fresh[1:] = (node[a[1:]] != node[a[:-1]]) | (node[b[1:]] != node[b[:-1]]) | (pair[a[1:]] != pair[a[:-1]]) | (pair[b[1:]] != pair[b[:-1]])
             at = np.flatnonzero(fresh)
             times = np.diff(np.append(at, len(a)))
             a, b = a[at], b[at]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(node[a]), pa.array(info[a]), pa.array(node[b]), pa.array(info[b]), pa.array(times)], names=MET)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(node[a]), pa.array(pair[a]), pa.array(node[b]), pa.array(pair[b]), pa.array(times)], names=MET)
         large = np.repeat(size > COLD, size)
         if large.any():
             none = pa.nulls(int(large.sum()), pa.int64())
@@ -427,13 +446,15 @@ def components(edges: DataFrame) -> DataFrame:
     spread = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition("a", "b")
     edges = cut(map_arrow(spread, contract, "a long, b long").distinct())
     now = state(edges)
+    # a row for each node at most: twice the edges, which aren't more from here on
+    hint = F.broadcast if 2 * now[0] <= MOST_BROADCAST else cut
     while True:
         # large star: each node's larger neighbours go to its least neighbour
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = small(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        least = hint(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = cut(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct())
         # small star: smaller neighbours, and the node, go to the least one
-        least = small(large.groupBy("a").agg(F.min("b").alias("m")))
+        least = hint(large.groupBy("a").agg(F.min("b").alias("m")))
         linked = large.join(least, "a").filter("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         edges = cut(linked.union(least.select("a", F.col("m").alias("b"))).distinct())
         before, now = now, state(edges)
@@ -446,19 +467,20 @@ def candidates(met: DataFrame) -> tuple[DataFrame, DataFrame]:
     that may have partners which they haven't met in another bucket, and whether
     they must look for them in this one.
 
-    Of the signatures of a set with so many to spare, one more than these must
-    be shared with each set that links with it; those in large buckets may be,
-    the others must have met."""
-    spare = lambda c: F.expr(f"({c} & 4294967295) div 4 - 1")
-    members = met.filter("sig is not null").select("sig", "a", F.col("info_a").alias("info"))
-    hidden = cut(members.groupBy("a", "info").agg(F.count(F.lit(1)).alias("hidden")))
+    A set with so many parts to spare shares a signature in one part more with
+    each set that links with it; those in large buckets may be hidden, the
+    others must have met."""
+    spare = lambda c: F.expr(f"(({c} >> 2) & 131071) - 1")
+    members = met.filter("sig is not null").select("sig", "a", F.expr("info_a >> 18").alias("info"), F.expr("info_a & 262143").alias("part"))
+    hidden = cut(members.groupBy("a", "info", "part").agg(F.lit(1).alias("x")).groupBy("a", "info").agg(F.count("x").alias("hidden")))
     heavy_nodes = hidden.filter(F.col("hidden") > spare("info")).select("a", "info", (F.col("hidden") - spare("info")).alias("need"))
     heavy = members.join(heavy_nodes.select("a").distinct(), "a", "left_semi").join(heavy_nodes, ["a", "info"], "left")
-    # of a set's large buckets, as many of the largest as it has signatures to
-    # spare aren't needed to meet its partners
+    # of a set's parts with large buckets, as many of those with the largest as
+    # it has to spare aren't needed to meet its partners
     size = small(heavy.groupBy("sig").agg(F.count(F.lit(1)).alias("size")))
-    place = F.row_number().over(Window.partitionBy("a", "info").orderBy("size", "sig"))
-    heavy = cut(heavy.join(size, "sig").select("sig", "a", (place <= F.coalesce("need", F.lit(0))).alias("needed")))
+    sized = heavy.join(size, "sig").withColumn("most", F.max("size").over(Window.partitionBy("a", "info", "part")))
+    place = F.dense_rank().over(Window.partitionBy("a", "info").orderBy("most", "part"))
+    heavy = cut(sized.select("sig", "a", (place <= F.coalesce("need", F.lit(0))).alias("needed")))
     pairs = met.filter("sig is null").groupBy("a", "info_a", "b", "info_b").agg(F.sum("times").alias("times"))
     for c in "ab":
         h = hidden.select(F.col("a").alias(c), F.col("info").alias(f"info_{c}"), F.col("hidden").alias(f"hidden_{c}"))

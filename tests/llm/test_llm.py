@@ -165,12 +165,11 @@ def tokens_of(text):
     votes = [0] * 256
     for w, h in zip(words, hashes):
         votes[h >> 56] += len(w) <= lm.SHORT
-    own, out = votes.index(max(votes)) % lm.CLASSES, []
-    q = own
+    own, out, q = votes.index(max(votes)) % lm.CLASSES * (lm.SHORTS + 1), [], 0
     for w, h in zip(words, hashes):
-        out.append((w + b" ", q))
-        q = lm.CLASSES + (h >> 40) % lm.SHORTS if len(w) <= lm.SHORT else own
-    return [*out, (b" ", q)]
+        out.append((w + b" ", own + q))
+        q = 1 + (h >> 40) % lm.SHORTS if len(w) <= lm.SHORT else 0
+    return [*out, (b" ", own + q)]
 
 
 def lm_words(rows):
@@ -205,15 +204,16 @@ def test_lm_counts_and_scores_are_those_of_plain_code(spark, monkeypatch):
 
     def contexts(w, q, i, j):
         node = (1 << j) | (w[i] >> (8 - j))
-        back = [*w[max(i - 3, 0) : i][::-1], 300 + q]
-        return [("last", n, tuple(back[:n]), node) for n in lm.TABLED] + [("before", q, w[:i], node), ("all", w[:i], node)]
+        k, last = divmod(q, lm.SHORTS + 1)
+        back = [*w[max(i - 3, 0) : i][::-1], 300 + last]
+        return [("last", n, tuple(back[:n]), k, node) for n in lm.TABLED] + [("class", k, w[:i], node), ("all", w[:i], node)]
 
     for (w, q), n in seen.items():
         for i in range(len(w)):
             for j in range(8):
                 for c in contexts(w, q, i, j):
                     counts[c][w[i] >> (7 - j) & 1] += n
-    key, equal = {bytes(r.word) + bytes([r.q]): r.key for r in words.collect()}, 0
+    key, equal = {(bytes(r.word), r.q): r.key for r in words.collect()}, 0
     for (w, q), _ in random.Random(1).sample(sorted(seen.items()), 60):
         want = 0.0
         for i in range(len(w)):
@@ -224,7 +224,7 @@ def test_lm_counts_and_scores_are_those_of_plain_code(spark, monkeypatch):
                 x = np.clip(int(np.clip(x, -9, 9) * 64 + 512.5) / 64 - 8, -8, 8)  # as it is tabled
                 p = (lm.squash(x) + mixer.map[gate, int(mixer.bin_of(x))]) / 2
                 want += np.log10(p if w[i] >> (7 - j) & 1 else 1 - p)
-        r = got[key[w + bytes([q])]]
+        r = got[key[w, q]]
         equal += abs(r.lm - want) < 0.01
         assert r.c == sum(n for (v, _), n in seen.items() if v == w)
     assert equal >= 54  # but for contexts that share a slot
