@@ -573,7 +573,7 @@ def structural_checks(spark, d):
 f AS (SELECT issue_id, act_index, k, cast(k AS string) AS n, title AS t, doc_type AS d FROM a2 WHERE k % 17 <> 0),
 known AS (SELECT DISTINCT issue_id, regexp_replace(n, '[^0-9]', '', 'g') AS kn FROM p)
 SELECT coalesce(p.issue_id, f.issue_id) AS issue_id, coalesce(p.act_index, f.act_index) AS act_index,
-  CASE WHEN p.k IS NULL OR (f.k IS NOT NULL AND p.n = '2') THEN f.n ELSE p.n END AS act_number, CASE WHEN p.k IS NULL OR (f.k IS NOT NULL AND p.t = '') THEN f.t ELSE p.t END AS title,
+  CASE WHEN p.k IS NULL OR (f.k IS NOT NULL AND regexp_full_match(p.n, '[123]|20[0-2][0-9]') AND NOT regexp_full_match(f.n, '[123]|20[0-2][0-9]')) THEN f.n ELSE p.n END AS act_number, CASE WHEN p.k IS NULL OR (f.k IS NOT NULL AND p.t = '') THEN f.t ELSE p.t END AS title,
   CASE WHEN p.k IS NULL OR (f.k IS NOT NULL AND p.d = 'UNKNOWN') THEN f.d ELSE p.d END AS doc_type
 FROM p FULL JOIN f ON p.issue_id = f.issue_id AND p.act_index = f.act_index WHERE p.k IS NOT NULL OR NOT EXISTS (SELECT 1 FROM known WHERE known.issue_id = f.issue_id AND kn = regexp_replace(f.n, '[^0-9]', '', 'g'))""")
 def merge_field_preference(spark, d):
