@@ -77,10 +77,6 @@ BLOCK = 4 << 20
 GATHERED = 1_000_000
 
 
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
