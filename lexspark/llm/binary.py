@@ -37,7 +37,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch, span_hashes, stored, utf8
+from .common import give_back, map_arrow, scratch, span_hashes, stored, utf8
 from .tokens import read_tokenizer
 
 MAGIC = b"LXR1"
@@ -218,6 +218,20 @@ class Encoder:
         return out
 
 
+_KEPT: dict[bytes, Encoder] = {}
+
+
+def kept_encoder(data: bytes) -> Encoder:
+    """The encoder of this process for a vocabulary file, built once and used by
+    all tasks that the process runs: the memory of one that is dropped comes
+    back in pieces only, so that an encoder for each task makes a worker grow
+    with the number of its tasks. Only the last file's is kept."""
+    if data not in _KEPT:
+        _KEPT.clear()
+        _KEPT[data] = Encoder(data)
+    return _KEPT[data]
+
+
 def kind_of(docs: DataFrame) -> str:
     """bigint for whole numbers, else string: how frames keep a doc_id."""
     return "bigint" if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") else "string"
@@ -235,7 +249,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     shipped = spark.sparkContext.broadcast(read_tokenizer(tokenizer_path))
 
     def encode(batches):
-        own, end = Encoder(shipped.value), np.array([end_id], np.uint32)
+        give_back()
+        own, end = kept_encoder(shipped.value), np.array([end_id], np.uint32)
         shard, held, before = 0, 0, 0
         for batch in batches:
             task, out, shards = batch.column("task").to_pylist(), [], []
@@ -269,6 +284,7 @@ def read_shards(spark: SparkSession, path: str, kind: str = "bigint") -> DataFra
     checksums verified; the first five columns are the offset index."""
 
     def parse(batches):
+        give_back()
         for batch in batches:
             for name, data in zip(batch.column("shard").to_pylist(), batch.column("content")):
                 rows = [(at, size, doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for at, size, doc, ids in frames(data.as_py())]

@@ -82,6 +82,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(lambda batches: fn(pieces(batches, rows)), schema)
 
 
+def give_back() -> None:
+    """Return to the system what earlier tasks of this process have freed:
+    Arrow's pool and the C library keep it otherwise, and workers are reused."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """For each name a column name that df doesn't have."""
     taken, out = {c.lower() for c in df.columns}, []

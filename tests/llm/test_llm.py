@@ -130,6 +130,27 @@ def test_binary_round_trip(edge, empty):
     assert binary.encode(empty, path).count() == 0
 
 
+def test_binary_tasks_share_an_encoder(spark, tmp_path, monkeypatch):
+    """Two tasks of one process build one encoder, and write the same frames."""
+    import pyarrow as pa
+
+    built, wrote, real, kind = [], [], binary.map_arrow, binary.Encoder
+    texts = ["one two\nthree two", "two four", ""]
+
+    def two_tasks(df, fn, *rest):
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array(texts), pa.array([0, 0, 0])], names=["doc_id", "text", "task"])
+        wrote.extend(pa.Table.from_batches(fn(iter([batch]))).to_pylist() for _ in range(2))
+        return real(df, fn, *rest)
+
+    monkeypatch.setattr(binary, "_KEPT", {}, raising=False)
+    monkeypatch.setattr(binary, "map_arrow", two_tasks)
+    monkeypatch.setattr(binary, "Encoder", lambda data: built.append(1) or kind(data))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    binary.write_shards(docs, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "data"))
+    assert len(built) == 1
+    assert wrote[0] == wrote[1] and len(wrote[0]) == 3
+
+
 def test_damaged_frames_are_refused():
     data = binary.frame(5, np.arange(20), 2)
     assert [(d, x.tolist()) for _, _, d, x in binary.frames(data * 2)] == [(5, list(range(20)))] * 2
