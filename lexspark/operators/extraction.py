@@ -4,6 +4,8 @@ one form covers all spellings."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,19 +50,35 @@ def doc_type(text: Column, head: int = 800) -> Column:
     """The type whose heading comes first in the text's head; the order of
     HEADINGS breaks ties; the court's decisions are DCC, the cadastre's acts
     ORDIN; UNKNOWN without a heading."""
-    start = F.substring(fold(text), 1, head)
-    found = F.array(*(F.struct(F.regexp_instr(start, F.lit(rf"(?m)^\s*(?:{p})")).alias("at"), F.lit(i).alias("rank"), F.lit(t).alias("type")) for i, (t, p) in enumerate(HEADINGS)))
-    best = F.array_min(F.filter(found, lambda x: x["at"] > 0))["type"]
-    kind = F.when((best == "DECIZIE") & start.rlike(COURT), "DCC").when(start.rlike(CADASTRE), "ORDIN").otherwise(best)
-    return F.coalesce(kind, F.lit("UNKNOWN"))
+    # one search: the alternatives are tried in order where the first one fits,
+    # and what it found tells which
+    words = "|".join(f"(?:{p})" for _, p in HEADINGS)
+
+    def of(start: Column) -> Column:
+        def typed(word: Column) -> Column:
+            best = F.lit(None).cast("string")
+            for t, p in reversed(HEADINGS):
+                best = F.when(word.rlike(f"^(?:{p})"), t).otherwise(best)
+            return let(best, lambda b: F.when((b == "DECIZIE") & start.rlike(COURT), "DCC").when(start.contains("agenti") & start.rlike(CADASTRE), "ORDIN").otherwise(b))
+
+        return F.coalesce(let(F.regexp_extract(start, rf"(?m)^\s*({words})", 1), typed), F.lit("UNKNOWN"))
+
+    return let(F.substring(fold(text), 1, head), of)
+
+
+def _opening(pattern: str) -> str:
+    """The letters that a pattern starts with, which a text that it fits has."""
+    return re.match(r"(?:\(\?m\)\^|\\b)?([a-z]+?)(?=[a-z]?[?*{]|[^a-z]|$)", pattern)[1]
 
 
 def _authority(text: Column, field: int) -> Column:
-    folded = fold(text)
-    out = F.lit(None).cast("string")
-    for row in reversed(AUTHORITIES):
-        out = F.when(folded.rlike(row[2]), row[field]).otherwise(out)
-    return out
+    def of(folded: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for row in reversed(AUTHORITIES):
+            out = F.when(folded.contains(_opening(row[2])) & folded.rlike(row[2]), row[field]).otherwise(out)
+        return out
+
+    return let(fold(text), of)
 
 
 def authority(text: Column) -> Column:
@@ -96,9 +114,9 @@ def issue_header(text: Column) -> Column:
 def reclassify(acts: DataFrame) -> DataFrame:
     """acts with type and authority found anew where they are UNKNOWN or empty;
     what is known stays."""
-    kind, by = doc_type(F.col("full_text")), F.coalesce(authority(F.col("full_text")), F.lit(""))
+    kind, by = doc_type(F.col("full_text")), authority(F.col("full_text"))
     empty = F.coalesce("issuing_authority", F.lit("")) == ""
-    return acts.withColumns({"doc_type": F.when(F.col("doc_type") == "UNKNOWN", kind).otherwise(F.col("doc_type")), "issuing_authority": F.when(empty, F.nullif(by, F.lit(""))).otherwise(F.col("issuing_authority"))})
+    return acts.withColumns({"doc_type": F.when(F.col("doc_type") == "UNKNOWN", kind).otherwise(F.col("doc_type")), "issuing_authority": F.when(empty, by).otherwise(F.col("issuing_authority"))})
 
 
 def reclassify_chunks(chunks: DataFrame) -> DataFrame:
@@ -116,7 +134,11 @@ def reclassify_chunks(chunks: DataFrame) -> DataFrame:
 
 def numbers_in(text: Column, pattern: str) -> Column:
     """Distinct numbers that the pattern finds, without dots, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(fold(text), F.lit(pattern), F.lit(1)), lambda n: F.regexp_replace(n, r"\.", "")))
+    return _numbers_in(fold(text), pattern)
+
+
+def _numbers_in(folded: Column, pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(folded, F.lit(pattern), F.lit(1)), lambda n: F.regexp_replace(n, r"\.", "")))
 
 
 def repealed_numbers(text: Column) -> Column:
@@ -130,16 +152,20 @@ def cited_numbers(text: Column) -> Column:
 def number_and_year(text: Column) -> Column:
     """number, year, confidence: from the last closing block; else the first
     lone 'Nr. n.' of the last 5000 characters that no preamble cites; else 0."""
-    folded = fold(text)
-    ns = F.regexp_extract_all(folded, F.lit(CLOSING), F.lit(2))
-    years = F.regexp_extract_all(folded, F.lit(CLOSING), F.lit(1))
-    tail = F.regexp_extract_all(F.substring(folded, F.greatest(F.length(folded) - 4999, F.lit(1)), F.lit(5000)), F.lit(LONE), F.lit(1))
-    lone = let(cited_numbers(text), lambda cited: F.get(F.filter(F.transform(tail, lambda n: F.regexp_replace(n, r"\.", "")), lambda n: ~F.array_contains(cited, n)), 0))
-    n = F.regexp_replace(F.try_element_at(ns, F.lit(-1)), r"\.", "")
-    return F.struct(
-        F.coalesce(n, lone, F.lit("0")).alias("number"), F.try_element_at(years, F.lit(-1)).cast("int").alias("year"),
-        F.when(n.isNotNull(), "high").otherwise("low").alias("confidence"),
-    )
+    def of(folded: Column) -> Column:
+        def lone() -> Column:
+            tail = F.regexp_extract_all(F.substring(folded, F.greatest(F.length(folded) - 4999, F.lit(1)), F.lit(5000)), F.lit(LONE), F.lit(1))
+            return let(_numbers_in(folded, PREAMBLE), lambda cited: F.get(F.filter(F.transform(tail, lambda n: F.regexp_replace(n, r"\.", "")), lambda n: ~F.array_contains(cited, n)), 0))
+
+        def said(closing: Column) -> Column:
+            return F.struct(
+                F.coalesce(F.regexp_replace(F.regexp_extract(closing, CLOSING, 2), r"\.", ""), lone(), F.lit("0")).alias("number"), F.regexp_extract(closing, CLOSING, 1).cast("int").alias("year"),
+                F.when(closing.isNotNull(), "high").otherwise("low").alias("confidence"),
+            )
+
+        return let(F.try_element_at(F.regexp_extract_all(folded, F.lit(CLOSING), F.lit(0)), F.lit(-1)), said)
+
+    return let(fold(text), of)
 
 
 def final_year(number: Column, closing_year: Column, issue_year: Column) -> Column:
@@ -159,7 +185,7 @@ def title_after_type(text: Column) -> Column:
 
 def locality(text: Column) -> Column:
     """The county named after the first 50 characters."""
-    return F.nullif(F.regexp_extract(F.substring(text, F.lit(51), F.length(text)), r"(?iu)jude[țt]ul(?:ui)?\s+((?-i)[A-ZĂÂÎȘȚ][a-zăâîșț-]{2,})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.when(F.lower(text).contains("jude"), F.substring(text, F.lit(51), F.length(text))).otherwise(""), r"(?iu)jude[țt]ul(?:ui)?\s+((?-i)[A-ZĂÂÎȘȚ][a-zăâîșț-]{2,})", 1), F.lit(""))
 
 
 def articles(text: Column) -> Column:
@@ -187,11 +213,10 @@ def signatories(text: Column) -> Column:
 
 def extract_acts(acts: DataFrame, text: str = "full_text", issue_year: str = "act_year") -> DataFrame:
     """acts with draft, the fields that rules find."""
-    n = number_and_year(F.col(text))
-    return acts.withColumn("_n", n).withColumn("draft", F.struct(
-        doc_type(F.col(text)).alias("doc_type"), F.col("_n.number").alias("act_number"), final_year(F.col("_n.number"), F.col("_n.year"), F.col(issue_year)).alias("act_year"),
-        F.col("_n.confidence").alias("confidence"), authority(F.col(text)).alias("issuing_authority"), title_after_type(F.col(text)).alias("title"), locality(F.col(text)).alias("locality"),
-    )).drop("_n")
+    return acts.withColumn("draft", let(number_and_year(F.col(text)), lambda n: F.struct(
+        doc_type(F.col(text)).alias("doc_type"), n["number"].alias("act_number"), final_year(n["number"], n["year"], F.col(issue_year)).alias("act_year"),
+        n["confidence"].alias("confidence"), authority(F.col(text)).alias("issuing_authority"), title_after_type(F.col(text)).alias("title"), locality(F.col(text)).alias("locality"),
+    )))
 
 
 def propagate_annex(acts: DataFrame) -> DataFrame:
@@ -238,13 +263,15 @@ def match_recovered(acts: DataFrame, signatures: DataFrame, tolerance: int = 2,
         signatures = signatures.join(excluded.select("doc_id", "number").distinct(), ["doc_id", "number"], "left_anti")
     words = lambda c: F.filter(F.split(fold(c), r"[^a-z0-9]+"), lambda n: F.length(n) > 3)
     names = F.filter(F.split(fold(F.col("signatory")), r"\s+"), lambda n: F.length(n) > 3)
-    named = acts.filter(F.size(names) > 0)
+    # names and contexts are folded once, not for each pair
+    named = acts.withColumn("_names", names).filter(F.size("_names") > 0)
+    signatures = signatures.select("doc_id", "page_no", "number", fold(F.col("context")).alias("context"))
     a = named.filter("page_hint is not null").withColumn("_band", F.explode(F.array_distinct(F.array(F.floor((F.col("page_hint") - tolerance) / width), F.floor((F.col("page_hint") + tolerance) / width)))))
     s = signatures.withColumn("_band", F.floor(F.col("page_no") / width))
     near = a.join(s, ["doc_id", "_band"]).filter(F.abs(F.col("page_hint") - F.col("page_no")) <= tolerance).drop("_band")
     longest = F.array_max(F.transform(words(F.col("signatory")), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     far = named.filter("page_hint is null").withColumn("_w", longest).join(signatures.withColumn("_w", F.explode(F.array_distinct(words(F.col("context"))))), ["doc_id", "_w"]).drop("_w")
-    met = near.unionByName(far).filter(let(fold(F.col("context")), lambda c: F.forall(names, lambda n: c.contains(n))))
+    met = near.unionByName(far).filter(F.forall("_names", lambda n: F.col("context").contains(n)))
     found = met.groupBy("doc_id", "act_index").agg(F.count_distinct("number").alias("c"), F.min("number").alias("number"))
     return acts.select("doc_id", "act_index").join(found, ["doc_id", "act_index"], "left").select("doc_id", "act_index", F.when(F.col("c") == 1, F.col("number")).alias("number"))
 

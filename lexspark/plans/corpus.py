@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import register_views
+from ..session import parts, register_views, table
 
 ACTS = """
 a0 AS (
@@ -63,14 +63,25 @@ WITH_ACTS = f"WITH {ACTS}, {TEXTS}"
 WITH_ALL = f"WITH {ACTS}, {TEXTS}, {TOC}"
 
 
+#: Bytes of orders' files whose acts make a task: about 100,000 acts.
+ORDERS_BYTES = 2 << 20
+
+
+def corpus(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """sql (one of the WITHs above and a query) over the tables of sf_dir. Acts are
+    spread by key before their texts are made: the window that numbers them has
+    a group for each issue, too few and too small for the work on texts."""
+    register_views(spark, sf_dir, ("orders", "customer", "nation"))
+    n = parts(table(spark, sf_dir, "orders"), size=ORDERS_BYTES)
+    return spark.sql(sql.replace("FROM a1", f"FROM (SELECT /*+ REPARTITION({n}, k) */ * FROM a1) a1"))
+
+
 def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """issue_id, act_index, doc_type, act_number, act_year, issuing_authority,
     title, k, full_text."""
-    register_views(spark, sf_dir, ("orders", "customer", "nation"))
-    return spark.sql(f"{WITH_ACTS} SELECT * FROM a2")
+    return corpus(spark, sf_dir, f"{WITH_ACTS} SELECT * FROM a2")
 
 
 def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """issue_id, toc_idx, toc_type, toc_number, toc_title, page_start."""
-    register_views(spark, sf_dir, ("orders", "customer", "nation"))
-    return spark.sql(f"WITH {ACTS}, {TOC} SELECT * FROM t0")
+    return corpus(spark, sf_dir, f"WITH {ACTS}, {TOC} SELECT * FROM t0")
