@@ -59,11 +59,11 @@ def closing_parts(c: Column) -> Column:
 def split_guarded(acts: Column, expected: Column) -> Column:
     """An array of acts cut at closings; as it was if three or more became twice
     as many, and more than expected (0: not known)."""
-    def judged(parts: Column) -> Column:
-        spurious = (F.size(acts) >= LEAST_ACTS) & (F.size(parts) >= GROWTH * F.size(acts)) & ((expected == 0) | (F.size(parts) > expected))
-        return F.when(spurious, acts).otherwise(parts)
+    def judged(own: Column, parts: Column) -> Column:
+        spurious = (F.size(own) >= LEAST_ACTS) & (F.size(parts) >= GROWTH * F.size(own)) & ((expected == 0) | (F.size(parts) > expected))
+        return F.when(spurious, own).otherwise(parts)
 
-    return let(F.flatten(F.transform(acts, closing_parts)), judged)
+    return let(acts, lambda own: let(F.flatten(F.transform(own, closing_parts)), lambda parts: judged(own, parts)))
 
 
 def segment_pages(pages: DataFrame, toc: DataFrame | None = None) -> DataFrame:
@@ -89,27 +89,29 @@ def segment_pages(pages: DataFrame, toc: DataFrame | None = None) -> DataFrame:
         rows = rows.withColumns({"degenerate": F.lit(None).cast("boolean"), "sliced": F.lit(None).cast("array<string>")})
     split = lambda c: split_guarded(c, F.col("expected"))
     patterns = split(split_patterns(F.col("full")))
-    patterns = F.when((F.col("expected") >= 2) & (F.size(patterns) > BEYOND * F.col("expected")), F.array("full")).otherwise(joined_fragments(patterns))
+    patterns = let(patterns, lambda p: F.when((F.col("expected") >= 2) & (F.size(p) > BEYOND * F.col("expected")), F.array("full")).otherwise(p))
     delimited = F.filter(F.transform(F.split("full", DELIMITER), lambda x: F.trim(x)), lambda x: x != "")
     several = F.size("headed") > 1
-    how = (
+    chosen = (
         F.when(F.col("degenerate") == F.lit(False), "contents").when(F.col("degenerate") & (F.size("headed") > 0), "headers")
         .when((F.col("era") == "broken_2002") & F.col("full").contains(DELIMITER), "delimiter").when(several, "headers").otherwise("patterns")
     )
+    how = F.col("strategy")
     acts = F.when(how == "contents", split(F.col("sliced"))).when(how == "headers", split(F.col("headed"))).when(how == "delimiter", split(delimited)).otherwise(patterns)
-    return rows.select("doc_id", how.alias("strategy"), F.posexplode(acts).alias("act_index", "text"))
-
-
-def joined_fragments(acts: Column, least: int = SHORT) -> Column:
-    """Acts shorter than least join the one before."""
-    start = F.array().cast("array<string>")
-
-    def step(done, x):
-        short = (F.size(done) > 0) & (F.length(F.trim(x)) < least)
-        last = F.concat(F.rtrim(F.element_at(done, -1)), F.lit("\n"), x)
-        return F.when(short, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(last))).otherwise(F.concat(done, F.array(x)))
-
-    return F.aggregate(acts, start, step)
+    return joined_fragments(rows.withColumn("strategy", chosen).select("doc_id", "strategy", F.posexplode(acts).alias("act_index", "text")))
+
+
+def joined_fragments(acts: DataFrame, least: int = SHORT) -> DataFrame:
+    """acts (doc_id, strategy, act_index, text): those of patterns shorter than
+    least join the one before. Over rows, as an array that grows is copied for
+    each act."""
+    w = Window.partitionBy("doc_id").orderBy("act_index")
+    starts = (F.col("strategy") != "patterns") | (F.col("act_index") == 0) | (F.length(F.trim("text")) >= least)
+    rows = acts.withColumn("_g", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int") - 1)
+    parts = F.array_sort(F.collect_list(F.struct("act_index", "text")))
+    # a piece that others join loses the spaces at its end
+    text = F.transform(parts, lambda p, i: F.when(i + 1 < F.size(parts), F.rtrim(p["text"])).otherwise(p["text"]))
+    return rows.groupBy("doc_id", "strategy", "_g").agg(F.array_join(text, "\n").alias("text")).select("doc_id", "strategy", F.col("_g").alias("act_index"), "text")
 
 
 def is_artefact(c: Column) -> Column:

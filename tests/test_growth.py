@@ -53,3 +53,12 @@ def test_signatures_are_marked_in_one_pass(spark):
     got = spark.createDataFrame([("a\nMinistrul x,\nb",)], "t string").select(text.mark_orphaned(F.col("t")).alias("x"))
     assert got.first().x == f"a\nMinistrul x,\n{text.ORPHANED}\nb"
     assert plan(got).count("regexp_replace(") == 1
+
+
+def test_many_fragments_join(spark):
+    n = 30_000
+    pages = spark.range(n).select(F.lit("d").alias("doc_id"), F.col("id").alias("page_no"), F.concat(F.lit("MINISTERUL "), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("lung "), F.lit(12))).otherwise("x")).alias("text"), F.lit("modern").alias("era"), F.lit(0).alias("expected"))
+    with within(spark, 60):
+        got = segmentation.segment_pages(pages.withColumn("text", F.concat(F.lit("y "), "text"))).toPandas().sort_values("act_index")
+    assert len(got) == n // 3 + 1 and list(got.act_index) == list(range(len(got)))
+    assert got.text.iloc[1].split("\n")[1:] == ["y", "MINISTERUL x", "y", "MINISTERUL x", "y"]
