@@ -62,3 +62,13 @@ def test_many_fragments_join(spark):
         got = segmentation.segment_pages(pages.withColumn("text", F.concat(F.lit("y "), "text"))).toPandas().sort_values("act_index")
     assert len(got) == n // 3 + 1 and list(got.act_index) == list(range(len(got)))
     assert got.text.iloc[1].split("\n")[1:] == ["y", "MINISTERUL x", "y", "MINISTERUL x", "y"]
+
+
+def test_numbers_that_many_acts_share(spark):
+    n = 20_000
+    a = spark.range(n).select(F.lit("i").alias("issue_id"), F.col("id").alias("act_index"), F.when(F.col("id") % 2 == 0, "HG").otherwise("LEGE").alias("doc_type"), F.lit("0").alias("act_number"), F.lit("t").alias("title"), F.repeat(F.lit("x"), (F.col("id") % 100).cast("int")).alias("full_text"))
+    t = spark.range(n).select(F.lit("i").alias("issue_id"), F.col("id").alias("toc_idx"), F.when(F.col("id") % 3 == 0, "HG").when(F.col("id") % 3 == 1, "UNKNOWN").otherwise("LEGE").alias("toc_type"), F.lit("0").alias("toc_number"), F.lit("t").alias("toc_title"))
+    with within(spark, 90):
+        got = [tuple(r) for r in linkage.reconcile(a, t, passes=4).select("act_index", "toc_idx", "pass").collect()]
+    # the longest act of each type, the first of equals, by its first line
+    assert sorted(got) == [(98, 0, 4), (99, 1, 4)]
