@@ -72,3 +72,8 @@ def test_numbers_that_many_acts_share(spark):
         got = [tuple(r) for r in linkage.reconcile(a, t, passes=4).select("act_index", "toc_idx", "pass").collect()]
     # the longest act of each type, the first of equals, by its first line
     assert sorted(got) == [(98, 0, 4), (99, 1, 4)]
+
+
+def test_chunks_are_made_once(spark):
+    got = preparation.build_chunks(acts(spark, D))
+    assert plan(got).count("collapse_blocks_udf(") == 1 and plan(got).count("ArrowEvalPython") == 2
