@@ -77,3 +77,20 @@ def test_numbers_that_many_acts_share(spark):
 def test_chunks_are_made_once(spark):
     got = preparation.build_chunks(acts(spark, D))
     assert plan(got).count("collapse_blocks_udf(") == 1 and plan(got).count("ArrowEvalPython") == 2
+def test_vectors(spark):
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(400, 8)).astype("float32")
+    m[100:200] = m[100]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, None), (901, [1.0, None] + [1.0] * 6), (902, [1.0])]
+    chunks = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(3)
+    q = chunks.filter("id in (7, 100, 902)").select(F.col("id").alias("query_id"), F.col("embedding").alias("v"))
+    found = retrieval.vector_search(chunks, q, "id", limit=20)
+    assert "MapInArrow" in plan(found)
+    got = {k: [(r.id, r.score) for r in sorted(g, key=lambda r: r["rank"])] for k, g in ((k, [r for r in found.collect() if r.query_id == k]) for k in (7, 100, 902))}
+    x = m.astype("float64")
+    for k in (7, 100):
+        s = np.round(x @ x[k] / np.sqrt((x * x).sum(1) * (x[k] @ x[k])), 6)
+        assert got[k] == [(i, s[i]) for i in sorted(range(400), key=lambda i: (-s[i], i))[:20]]
+    assert got[902][0] == (902, 1.0) and got[902][1:] == [(i, None) for i in range(19)]
+    few = retrieval.vector_search(chunks.filter("id >= 395"), q.filter("query_id = 7"), "id", limit=20).collect()
+    assert [r.id for r in sorted(few, key=lambda r: r["rank"])][-3:] == [900, 901, 902]
