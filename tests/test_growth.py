@@ -112,3 +112,20 @@ def test_ids_and_vectors_as_the_sql_says(spark):
     spark.createDataFrame([(1, "X")], "n_nationkey int, n_name string").write.mode("overwrite").parquet(f"{d}/nation.parquet")
     ids = [r.act_id for r in registry.QUERIES["deterministic_ids"](spark, d).collect()]
     assert "MO_PI_1_1970::act-119" in ids and not any("act-1199" in x for x in ids)
+
+
+def test_lost_acts_of_a_long_issue(spark):
+    from lexspark.operators import recovery
+
+    n = 6000
+    act = F.concat(F.lit("ORDIN privind ceva destul de lung ca sa treaca de prag, cu text ca in orice act al acestei zile, numarul "), F.col("id").cast("string"), F.lit(" al lunii.\nBucurești, 5 martie 2007.\nNr. "), F.col("id").cast("string"), F.lit("."))
+    own = spark.range(1000, 1000 + n).select(F.lit("i").alias("issue_id"), F.col("id"), act.alias("t"))
+    text = lambda df: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "t"))), lambda x: x["t"]), "\n")
+    layer = own.groupBy("issue_id").agg(text(own).alias("text"))
+    md = own.filter("id % 3 > 0").groupBy("issue_id").agg(text(own).alias("markdown"))
+    acts_ = own.filter("id % 2 = 0").select("issue_id", F.col("id").cast("string").alias("act_number"))
+    with within(spark, 90):
+        got = sorted(int(r.number) for r in recovery.recover_acts(layer, acts_, md).collect())
+    assert got == [k for k in range(1000, 1000 + n) if k % 2 and k % 3 == 0]
+    short = recovery.numbered_ends(spark.createDataFrame([("i", "xnr.1.2.ynr.3"), ("j", None)], "issue_id string, _md string"), "issue_id", 6)
+    assert [(r._last, r._end) for r in short.collect()] == [("1", "xnr.1."), ("1.2", "r.1.2.")]
