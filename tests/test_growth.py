@@ -129,3 +129,63 @@ def test_lost_acts_of_a_long_issue(spark):
     assert got == [k for k in range(1000, 1000 + n) if k % 2 and k % 3 == 0]
     short = recovery.numbered_ends(spark.createDataFrame([("i", "xnr.1.2.ynr.3"), ("j", None)], "issue_id string, _md string"), "issue_id", 6)
     assert [(r._last, r._end) for r in short.collect()] == [("1", "xnr.1."), ("1.2", "r.1.2.")]
+
+
+def test_anchors_as_if_all_pairs_were_scored(spark):
+    rng = np.random.default_rng(3)
+    words = [f"cuv{i}" for i in range(14)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    a = [(f"i{k % 2}", k, str(int(rng.integers(1, 40))), f"x\nprivind {say(7)}\n{say(2)}\nb") for k in range(120)]
+    t = [(f"i{k % 2}", k, "LEGE", str(int(rng.integers(1, 40))), "privind " + say(5)) for k in range(60)]
+    acts_, toc = spark.createDataFrame(a, "issue_id string, act_index int, act_number string, full_text string"), spark.createDataFrame(t, "issue_id string, toc_idx int, toc_type string, toc_number string, toc_title string")
+    want = []
+    for issue in ("i0", "i1"):
+        taken = set()
+        for _, act, own, text in (r for r in a if r[0] == issue):
+            h = " ".join(text.split("\n")[1:4]).split()
+            h = [w for w in h if len(w) >= 3][:25]
+            scores = [(round(sum(w in r[4].split() for w in h) / len(h), 6), r[1], r[3]) for r in t if r[0] == issue]
+            free = [s for s in scores if s[1] not in taken]
+            most = max((s[0] for s in free), default=0)
+            if most < 0.65:
+                continue
+            best = min(s[1:] for s in free if s[0] >= most - 0.2)
+            if best[1] != own and any(s[2] == own and s[0] >= 0.65 for s in scores):
+                continue
+            taken.add(best[0])
+            if best[1] != own:
+                want.append((issue, act, best[1]))
+    got = [tuple(r) for r in linkage.anchor_numbers(acts_, toc).collect()]
+    assert len(want) > 10 and sorted(got) == sorted(want)
+
+
+def test_anchors_of_many_acts(spark):
+    n = 6000
+    a = spark.range(n).select(F.lit("i").alias("issue_id"), F.col("id").alias("act_index"), F.lit("7").alias("act_number"), F.concat(F.lit("x\nprivind regimul unu doi trei patru cinci\nnumar "), F.col("id").cast("string")).alias("full_text"))
+    t = spark.range(n).select(F.lit("i").alias("issue_id"), F.col("id").alias("toc_idx"), F.lit("").alias("toc_type"), (F.col("id") + 10).cast("string").alias("toc_number"), F.lit("privind regimul unu doi trei patru cinci").alias("toc_title"))
+    with within(spark, 60):
+        got = linkage.anchor_numbers(a, t).collect()
+    assert len(got) == n and all(int(r.new_number) == r.act_index + 10 for r in got)
+
+
+def test_repeated_acts_as_if_all_pairs_were_compared(spark):
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("abcdef"), 200)) for _ in range(25)]
+    rows = []
+    for k in range(160):
+        b = base[k % 25]
+        i, j = sorted(rng.integers(0, 201, 2))
+        rows.append(("i", k, "LEGE" if k % 3 else "HG", "5" if k % 4 else str(k % 7), b if k % 5 == 0 else b[i:j] if k % 2 else b + "".join(rng.choice(list("abcdef"), 3))))
+    df = spark.createDataFrame(rows, "issue_id string, act_index int, doc_type string, act_number string, full_text string")
+    want = {x[1] for x in rows for y in rows if x[1] != y[1] and x[2:4] == y[2:4] and x[4] and x[4] in y[4] and (len(y[4]) > len(x[4]) or y[1] < x[1])}
+    got = [r.act_index for r in linkage.repeated_acts(df).collect()]
+    assert len(want) > 20 and sorted(got) == sorted(want)
+
+
+def test_repeated_acts_of_one_number(spark):
+    n = 20_000
+    text = F.concat(F.repeat(F.lit("inceput comun "), F.lit(8)), F.sha2(F.col("id").cast("string"), 512), F.when(F.col("id") % 100 == 0, "").otherwise(F.repeat(F.lit(" sfarsit comun"), F.lit(8))))
+    df = spark.range(n).select(F.lit("i").alias("issue_id"), F.col("id").alias("act_index"), F.lit("LEGE").alias("doc_type"), F.lit("0").alias("act_number"), text.alias("full_text"))
+    df = df.union(df.filter("id = 1").withColumn("act_index", F.lit(n).cast("long"))).union(df.filter("id = 7").withColumns({"act_index": F.lit(n + 1).cast("long"), "full_text": F.substring("full_text", 60, 120)}))
+    with within(spark, 60):
+        assert sorted(r.act_index for r in linkage.repeated_acts(df).collect()) == [n, n + 1]
