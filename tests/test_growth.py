@@ -189,3 +189,14 @@ def test_repeated_acts_of_one_number(spark):
     df = df.union(df.filter("id = 1").withColumn("act_index", F.lit(n).cast("long"))).union(df.filter("id = 7").withColumns({"act_index": F.lit(n + 1).cast("long"), "full_text": F.substring("full_text", 60, 120)}))
     with within(spark, 60):
         assert sorted(r.act_index for r in linkage.repeated_acts(df).collect()) == [n, n + 1]
+
+
+def test_contained_acts_of_a_long_issue(spark):
+    n = 30_000
+    common = F.repeat(F.lit("regula comuna a tuturor actelor din aceasta zi si din acest loc "), F.lit(3))
+    df = spark.range(2 * n).select(F.lit("i").alias("issue_id"), F.col("id").alias("act_index"), F.concat(F.sha2((F.col("id") % 7).cast("string"), 256), common, F.lit("Nr. "), (F.col("id") + 100_000).cast("string")).alias("full_text"))
+    late = F.when(F.col("act_index") >= n, F.concat(F.lit("alt inceput "), F.regexp_replace("full_text", r"\d+$", (F.col("act_index") - n + F.when(F.col("act_index") % 2 == 0, 100_000).otherwise(300_000)).cast("string")))).otherwise(F.col("full_text"))
+    df = df.withColumn("full_text", late)
+    with within(spark, 60):
+        got = linkage.drop_contained(df, df.filter(F.col("act_index") < n).select("issue_id", "act_index")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col("act_index") % 2 == 0).alias("even")).first()
+    assert (got.n, got.even) == (n // 2, True)
